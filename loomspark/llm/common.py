@@ -51,6 +51,23 @@ def doc_hash(text: str | Column = "text") -> Column:
     return F.xxhash64(text)
 
 
+#: Rows of the word table of maybe_in, 64 bits each.
+BITMAP_WORDS = 1 << 18
+
+
+def maybe_in(df: DataFrame, h: str, ids: DataFrame) -> DataFrame:
+    """df with a column maybe: false where h is certainly not among the single long column of
+    ids. The broadcast side is a bitmap of at most BITMAP_WORDS rows, whatever the size of ids;
+    it spares rows a shuffle and never decides."""
+    bit = F.pmod(F.col(ids.columns[0]), F.lit(64 * BITMAP_WORDS))
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("bm_word"))
+    words = materialize(words.agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bm_bits")), "bitmap")
+    own = F.pmod(F.col(h), F.lit(64 * BITMAP_WORDS))
+    out = df.withColumn("bm_own", own).join(F.broadcast(words), F.shiftright("bm_own", 6) == F.col("bm_word"), "left")
+    hit = F.expr("coalesce(getbit(bm_bits, int(bm_own & 63)) = 1, false)")
+    return out.withColumn("maybe", hit).drop("bm_own", "bm_word", "bm_bits")
+
+
 #: Separators of plain words, the complement of the class [^\\x20\\x09-\\x0D].
 BLANKS = r"[\x20\x09-\x0D]+"
 

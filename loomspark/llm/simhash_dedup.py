@@ -36,6 +36,9 @@ SHINGLE, RADIUS, BITS = 3, 2, 64
 TABLES = 6
 #: Fingerprints that the partitioning is fitted on, by hash; the join itself is exact.
 FIT_SAMPLE = 2000
+#: Number of fingerprints that the thresholds are chosen for, whatever the input: the plan is
+#: the same at every size. Sampled pairs up to NEAR bits apart are left out of its estimates.
+PLAN_SIZE, NEAR = 1 << 24, 16
 _BLOCK = 1 << 15
 
 
@@ -162,6 +165,8 @@ def plan(fps: DataFrame, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     corr = correlations(fps, n)
     sample = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(FIT_SAMPLE).collect()], np.int64)
     bits = _bits_of(sample).astype(np.float32)
+    whole = bits.sum(1)
+    far = whole[:, None] + whole[None, :] - 2 * bits @ bits.T > NEAR
     best = None
     for parts in range(2, radius + 3):
         groups = group_bits(corr, parts)
@@ -169,14 +174,14 @@ def plan(fps: DataFrame, radius: int = RADIUS) -> list[tuple[list[int], int]]:
         for g in groups:
             x = bits[:, g]
             apart = x.sum(1)[:, None] + x.sum(1)[None, :] - 2 * x @ x.T
-            near = apart[~np.eye(len(x), dtype=bool)]
+            near = apart[far]
             row = [0.0]
             for t in range(radius + 1):
                 chance = sum(comb(len(g), k) for k in range(t + 1)) / 2.0 ** len(g)
                 share = max(chance, float((near <= t).mean()) if len(near) else 0.0)
                 probes = sum(comb(len(g), k) for k in range(t + 1))
                 # probes are rows to shuffle; a candidate brings 65 more rows
-                row.append(n * probes + 65 * n * min(1.0, n * share))
+                row.append(probes + 65 * min(1.0, PLAN_SIZE * share))
             cost.append(row)
         got = allocate(cost, radius - parts + 1)
         if best is None or got[0] < best[0]:
