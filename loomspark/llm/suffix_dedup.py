@@ -10,7 +10,8 @@ of DIGIT bytes, so equal windows have equal anchors at equal offsets, and consec
 mostly share one. Pass 1 groups anchors instead of suffixes (about 2 / (LENGTH - DIGIT) of
 them). Pass 2 groups the anchors that occur twice by the union of all their windows: where
 that is repeated, all these windows are. Pass 3 groups single windows, only for the other
-anchors whose string repeats, against one representative of each equal union.
+anchors whose string repeats, against one representative of each equal union: the bytes of
+such unions meet by anchor string, in one task up to GROUP of them and over all tasks beyond.
 
 Defined results: null and empty texts have no bytes; texts shorter than a window lose nothing;
 rows equal in doc_id and text are two occurrences; an empty table gives no rows.
@@ -25,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import broadcast_if_small, chunks, doc_hash, materialize, mix, powers, prefix_hash, span_hash
+from loomspark.llm.common import broadcast_if_small, chunks, doc_hash, materialize, maybe_in, mix, powers, prefix_hash, span_hash
 
-LENGTH, DIGIT = 200, 80
+LENGTH, DIGIT = 200, 50
+#: A string with more different unions than this has its windows grouped by Spark instead of
+#: within one task.
+GROUP = 4096
 
 
 def anchors(chunk, length: int, digit: int) -> dict[str, np.ndarray]:
@@ -85,32 +89,111 @@ def _anchor_rows(length: int, digit: int):
 _ANCHORS = "doc_id long, h long, key long, ctx long, lo int, hi int"
 
 
-def _window_rows(length: int):
-    """Window digits of the listed runs of each text."""
+def _union_bytes(length: int):
+    """The bytes of the listed runs of each text: doc_id, h, key, large, lo, b."""
 
     def run(batches):
         for batch in batches:
-            runs = batch.column("runs")
-            for chunk in chunks(batch.column("text"), 1 << 18):
-                prefix = prefix_hash(chunk.b)
-                for i in range(chunk.n):
-                    todo = runs[chunk.first + i].as_py()
-                    lo = np.array([r["lo"] for r in todo], np.int64)
-                    count = np.array([r["hi"] for r in todo], np.int64) - lo + 1
-                    s = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                    key = np.repeat(np.array([r["key"] for r in todo], np.int64), count)
-                    at = s + chunk.at[i]
-                    digit = span_hash(prefix, at, at + length).view(np.int64)
-                    row = np.full(len(s), chunk.first + i)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array(key), pa.array(digit), pa.array(s.astype(np.int32))],
-                        names=["doc_id", "h", "key", "digit", "s"],
-                    )
+            out = {k: [] for k in ("row", "key", "large", "lo", "b")}
+            for i, (t, runs) in enumerate(zip(batch.column("text"), batch.column("runs"), strict=True)):
+                raw = t.as_py().encode("utf-8", "surrogatepass")
+                for r in runs.as_py():
+                    out["row"].append(i)
+                    out["key"].append(r["key"])
+                    out["large"].append(r["large"])
+                    out["lo"].append(r["lo"])
+                    out["b"].append(raw[r["lo"] : r["hi"] + length])
+            rows = pa.array(out["row"], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(rows), batch.column("h").take(rows), pa.array(out["key"], pa.int64()), pa.array(out["large"], pa.bool_()), pa.array(out["lo"], pa.int32()), pa.array(out["b"], pa.binary())],
+                names=["doc_id", "h", "key", "large", "lo", "b"],
+            )
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataFrame:
+def _windows_of(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start within the row and digit of all windows of the batch's byte strings."""
+    b = pa.array(batch.column("b").to_pylist(), pa.large_binary())
+    at = np.frombuffer(b.buffers()[1], np.int64)[: len(b) + 1]
+    raw = np.frombuffer(b.buffers()[2], np.uint8)[: at[-1]]
+    count = np.maximum(np.diff(at) - length + 1, 0)
+    row = np.repeat(np.arange(len(b)), count)
+    start = np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+    s = start + at[:-1][row]
+    return row, start, span_hash(prefix_hash(raw), s, s + length)
+
+
+_SPAN = "doc_id long, h long, lo int, hi int"
+
+
+def _spans(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Runs of consecutive window starts as spans of their texts."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1 if len(first) else first
+    rows = pa.array(row[first])
+    base = batch.column("lo").to_numpy(zero_copy_only=False)[row[first]]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id").take(rows), batch.column("h").take(rows), pa.array((base + start[first]).astype(np.int32)), pa.array((base + start[last]).astype(np.int32))],
+        names=["doc_id", "h", "lo", "hi"],
+    )
+
+
+def _group_in_task(length: int):
+    """Spans of windows that occur twice under their key. Rows come sorted by key; those of the
+    last key wait for the next batch."""
+
+    def repeated(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, start, digit = _windows_of(batch, length)
+        key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+        full = mix(digit ^ mix(key)[row])
+        order = np.argsort(full, kind="stable")
+        same = full[order][1:] == full[order][:-1]
+        twice = np.zeros(len(full), bool)
+        twice[order[1:]] |= same
+        twice[order[:-1]] |= same
+        return _spans(batch, row[twice], start[twice])
+
+    def run(batches):
+        wait = None
+        for batch in batches:
+            if wait is not None:
+                batch = pa.concat_batches([wait, batch])
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            edges = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
+            wait = batch.slice(int(edges[-2])) if len(edges) > 1 else batch
+            done, lo = int(edges[-2]) if len(edges) > 1 else 0, 0
+            while lo < done:  # whole keys, about a thousand strings at a time
+                hi = int(edges[min(np.searchsorted(edges, lo + 1000), len(edges) - 2)])
+                yield repeated(batch.slice(lo, hi - lo))
+                lo = hi
+        if wait is not None and wait.num_rows:
+            yield repeated(wait)
+
+    return run
+
+
+def _window_rows(length: int):
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                row, start, digit = _windows_of(part, length)
+                rows = pa.array(row)
+                s = part.column("lo").to_numpy(zero_copy_only=False)[row] + start
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(rows), part.column("h").take(rows), part.column("key").take(rows), pa.array(digit.view(np.int64)), pa.array(s.astype(np.int32))],
+                    names=["doc_id", "h", "key", "digit", "s"],
+                )
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT, group: int = GROUP) -> DataFrame:
     """doc_id, h, spans (array of lo, hi: first and last start of repeated windows, in bytes)
     for every document with a repeated window."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_hash().alias("h"))
@@ -125,21 +208,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) ->
     ref = F.struct("doc_id", "h", "lo", "hi")
     unions = mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(ref).alias("one"))
     unions = materialize(unions, "suffix-2")
-    many = unions.filter("n > 1").select("key", "ctx")
-    whole = twice.filter("not mixed").select("doc_id", "h", "lo", "hi").unionByName(
-        mixed.join(many, ["key", "ctx"], "left_semi").select("doc_id", "h", "lo", "hi")
-    )
+    alone = unions.filter("n = 1").select("key", "ctx")
+    several = mixed.join(alone, ["key", "ctx"], "left_anti")
+    whole = twice.filter("not mixed").select("doc_id", "h", "lo", "hi").unionByName(several.select("doc_id", "h", "lo", "hi"))
     # Pass 3: windows of the rest, where some union of the string occurs once.
-    open_keys = unions.groupBy("key").agg(F.min("n").alias("least")).filter("least = 1").select("key")
-    rest = unions.join(open_keys, "key").select("key", "one.*")
-    rest = rest.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "key")).alias("runs"))
-    rest = materialize(rest.withColumnRenamed("doc_id", "r_id").withColumnRenamed("h", "r_h"), "suffix-rest")
-    joined = src.join(broadcast_if_small(rest, 20_000), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")))
-    windows = joined.select("doc_id", "h", "text", "runs").mapInArrow(_window_rows(length), "doc_id long, h long, key long, digit long, s int")
-    windows = materialize(windows, "suffix-3")
+    open_keys = unions.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("m"))
+    open_keys = open_keys.filter("least = 1 and m > 1").select("key", (F.col("m") > group).alias("large"))
+    rest = unions.join(open_keys, "key").select("key", "large", "one.*")
+    rest = rest.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "key", "large")).alias("runs"))
+    rest = materialize(rest.select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), "runs"), "suffix-rest")
+    texts = maybe_in(src, "h", rest.select("r_h")).filter("maybe")
+    joined = texts.join(broadcast_if_small(rest, 20_000), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")))
+    strings = joined.select("doc_id", "h", "text", "runs").mapInArrow(_union_bytes(length), "doc_id long, h long, key long, large boolean, lo int, b binary")
+    strings = materialize(strings, "suffix-3")
+    small = strings.filter("not large").repartition("key").sortWithinPartitions("key").drop("large").mapInArrow(_group_in_task(length), _SPAN)
+    windows = strings.filter("large").mapInArrow(_window_rows(length), "doc_id long, h long, key long, digit long, s int")
     equal = windows.groupBy("key", "digit").agg(F.count("*").alias("n")).filter("n > 1").select("key", "digit")
-    single = windows.join(equal, ["key", "digit"], "left_semi").select("doc_id", "h", F.col("s").alias("lo"), F.col("s").alias("hi"))
-    spans = whole.unionByName(single)
+    large = windows.join(equal, ["key", "digit"], "left_semi").select("doc_id", "h", F.col("s").alias("lo"), F.col("s").alias("hi"))
+    spans = whole.unionByName(small).unionByName(large)
     return spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -186,21 +272,26 @@ def _cleaned(length: int):
     return run
 
 
-def _with_spans(docs: DataFrame, length: int, digit: int) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, digit: int) -> tuple[DataFrame, DataFrame]:
+    """docs that certainly have no spans, and the others with their spans."""
     spans = repeated_spans(docs, length, digit)
     spans = materialize(spans.withColumnRenamed("doc_id", "s_id").withColumnRenamed("h", "s_h"), "suffix-spans")
-    on = F.col("doc_id").eqNullSafe(F.col("s_id")) & (doc_hash() == F.col("s_h"))
-    return docs.join(broadcast_if_small(spans, 20_000), on, "left").drop("s_id", "s_h")
+    named = maybe_in(docs.withColumn("s_own", doc_hash()), "s_own", spans.select("s_h"))
+    none = F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans")
+    on = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("s_own") == F.col("s_h"))
+    more = named.filter("maybe").join(broadcast_if_small(spans, 20_000), on, "left")
+    return named.filter("not maybe").select(*docs.columns, none), more.select(*docs.columns, "spans")
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _with_spans(src, length, digit).mapInArrow(_digest(length), schema)
+    plain, cut_ = (d.mapInArrow(_digest(length), schema) for d in _with_spans(src, length, digit))
+    return plain.unionByName(cut_)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataFrame:
     """docs with the repeated bytes cut out of text; half characters at a cut are dropped."""
-    wide = _with_spans(docs, length, digit)
-    return wide.mapInArrow(_cleaned(length), docs.schema)
+    plain, wide = _with_spans(docs, length, digit)
+    return plain.drop("spans").unionByName(wide.mapInArrow(_cleaned(length), docs.schema))
