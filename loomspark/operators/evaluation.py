@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspark.functions.text import normalize, strip
 
 DEFINITION, NAME, PAGE, THRESHOLD = 0.60, 0.25, 0.15, 0.6
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Larger of both directions' matching-block ratios."""
     return pd.Series([max(SequenceMatcher(None, x, y).ratio(), SequenceMatcher(None, y, x).ratio()) for x, y in zip(a, b, strict=True)])

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CHUNK = T.StructType.fromDDL("id string, text string, page_number int, filename string, page_tags array<string>")
-CONCEPT = T.StructType.fromDDL("id string, name string, definition string, chunk_id string, page_number int, filename string")
-TRUTH = T.StructType.fromDDL("name string, definition string, page_number int")
+CHUNK = "id string, text string, page_number int, filename string, page_tags array<string>"
+CONCEPT = "id string, name string, definition string, chunk_id string, page_number int, filename string"
+TRUTH = "concepts array<struct<name:string,definition:string,page_number:int>>"
 
 
 def text_elements(docs: DataFrame, name: str = "doc_id", text: str = "text", pattern: str = r"\n|, ") -> DataFrame:
@@ -43,8 +42,7 @@ def read_concepts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """Objects with a concepts array; filename is the file's own path."""
-    schema = T.StructType([T.StructField("concepts", T.ArrayType(TRUTH))])
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = spark.read.schema(TRUTH).option("multiLine", True).json(path)
     return rows.select(F.col("_metadata.file_path").alias("filename"), F.posexplode("concepts").alias("gt_seq", "c")).select("filename", "gt_seq", "c.*")
 
 
