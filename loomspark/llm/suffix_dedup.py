@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import broadcast_if_small, chunks, doc_hash, materialize, maybe_in, mix, powers, prefix_hash, span_hash
+from loomspark.llm.common import chunks, doc_hash, materialize, maybe_in, mix, powers, prefix_hash, span_hash
 
 LENGTH, DIGIT = 200, 50
 #: A string with more different unions than this has its windows grouped by Spark instead of
@@ -218,7 +218,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT, gr
     rest = rest.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "key", "large")).alias("runs"))
     rest = materialize(rest.select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), "runs"), "suffix-rest")
     texts = maybe_in(src, "h", rest.select("r_h")).filter("maybe")
-    joined = texts.join(broadcast_if_small(rest, 20_000), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")))
+    joined = texts.join(rest, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")))
     strings = joined.select("doc_id", "h", "text", "runs").mapInArrow(_union_bytes(length), "doc_id long, h long, key long, large boolean, lo int, b binary")
     strings = materialize(strings, "suffix-3")
     small = strings.filter("not large").repartition("key").sortWithinPartitions("key").drop("large").mapInArrow(_group_in_task(length), _SPAN)
@@ -279,7 +279,7 @@ def _with_spans(docs: DataFrame, length: int, digit: int) -> tuple[DataFrame, Da
     named = maybe_in(docs.withColumn("s_own", doc_hash()), "s_own", spans.select("s_h"))
     none = F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans")
     on = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("s_own") == F.col("s_h"))
-    more = named.filter("maybe").join(broadcast_if_small(spans, 20_000), on, "left")
+    more = named.filter("maybe").join(spans, on, "left")
     return named.filter("not maybe").select(*docs.columns, none), more.select(*docs.columns, "spans")
 
 
