@@ -195,18 +195,27 @@ def _signed(x: int) -> int:
 
 def candidates(fps: DataFrame, partitions: Sequence[tuple[list[int], int]]) -> DataFrame:
     """fps: t (table), fp, distinct. Those that another one of the table meets within some
-    partition's threshold."""
-    entries, probes = [], []
+    partition's threshold.
+
+    A probe is shuffled as its flipped fingerprint x and one number c (table and probe); what it
+    is joined on and whom it belongs to follow from these two."""
+    masks, numbers, flips = [], [], []
     for k, (bits, t) in enumerate(partitions):
-        if t < 0:
-            continue
-        value = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        flips = [_signed(sum(1 << b for b in c)) for r in range(t + 1) for c in combinations(bits, r)]
-        entries.append(F.struct(F.lit(k).alias("k"), value.alias("v")))
-        probes += [F.struct(F.lit(k).alias("k"), value.bitwiseXOR(F.lit(f)).alias("v"), F.lit(f == 0).alias("own")) for f in flips]
-    counts = fps.select("t", F.explode(F.array(*entries)).alias("e")).groupBy("t", "e.k", "e.v").agg(F.count("*").alias("n"))
-    asked = fps.select("t", "fp", F.explode(F.array(*probes)).alias("p")).select("t", "fp", "p.k", "p.v", "p.own")
-    return asked.join(counts, ["t", "k", "v"]).filter((F.col("n") > 1) | ~F.col("own")).select("t", "fp").distinct()
+        for r in range(t + 1):
+            for c in combinations(bits, r):
+                masks.append(_signed(sum(1 << b for b in bits)))
+                numbers.append(k)
+                flips.append(_signed(sum(1 << b for b in c)))
+    of = lambda values: F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.pmod("c", F.lit(len(flips))))
+    entry = [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in sorted(set(zip(numbers, masks, strict=True)))]
+    counts = fps.select("t", F.explode(F.array(*entry)).alias("e")).groupBy("t", "e.k", "e.v").agg(F.count("*").alias("n"))
+    counts = counts.withColumnRenamed("t", "e_t")
+    probes = fps.select("t", F.posexplode(F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in flips])).alias("p", "x"))
+    asked = probes.select((F.col("t") * len(flips) + F.col("p")).cast("int").alias("c"), "x")
+    table = F.floor(F.col("c") / len(flips)).cast("int")
+    same = (table == F.col("e_t")) & (of(numbers) == F.col("k")) & (F.col("x").bitwiseAND(of(masks)) == F.col("v"))
+    met = asked.join(counts, same).filter((F.col("n") > 1) | (of(flips) != 0))
+    return met.select(F.col("e_t").alias("t"), F.col("x").bitwiseXOR(of(flips)).alias("fp")).distinct()
 
 
 def links(found: DataFrame, radius: int = RADIUS) -> DataFrame:
