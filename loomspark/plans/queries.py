@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.operators import chunking, concepts, evaluation, store, taxonomy, vectors
+from loomspark.operators import chunking, concepts, evaluation, placement, store, taxonomy, vectors
 from loomspark.sources import elements as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -290,3 +290,46 @@ SELECT filename, min(el_seq) AS ord, text FROM h GROUP BY filename, text""")
 def f12_highlights(spark, sf_dir):
     rows = _elements(spark, sf_dir).withColumnRenamed("el_seq", "ord")
     return evaluation.clean_highlights(rows).select("filename", "ord", "text")
+
+
+@query()
+def e9_filled_definitions(spark, sf_dir):
+    n = _nodes(spark, sf_dir).withColumn("definition", F.expr("case when child_ord % 3 = 1 then '' else definition end")).withColumn("Source name", F.lit("sheet"))
+    return placement.fill_definitions(n).select("node_id", "definition", F.col("Source name").alias("source_name"))
+
+
+@query("""SELECT vec_id::VARCHAR AS node_id, CASE WHEN vec_id % 7 = 0 THEN 'missing' ELSE 'extra' END AS what FROM embeddings WHERE (vec_id % 7 = 0) <> (vec_id % 5 = 0)""")
+def e12_index_sync(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").selectExpr("cast(vec_id as string) as node_id", "vec_id")
+    return vectors.out_of_sync(e.filter("vec_id % 5 <> 0 or vec_id % 7 = 0"), e.filter("vec_id % 7 <> 0 or vec_id % 5 = 0"))
+
+
+@query(_N + """SELECT n.node_id AS id, n.name AS term, coalesce(p.name, '') AS parent, coalesce(c.children, '') AS children, 'Original' AS status FROM nodes n
+LEFT JOIN nodes p ON n.parent_id = p.node_id
+LEFT JOIN (SELECT parent_id, string_agg(name, '; ' ORDER BY child_ord, name) AS children FROM nodes GROUP BY 1) c ON c.parent_id = n.node_id""")
+def e14_export(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    out = placement.export_rows(n, taxonomy.preorder(n))
+    return out.select(F.col("ID").alias("id"), F.col("Term").alias("term"), F.col("Parent name/Broader").alias("parent"), F.col("Child name/Narrower").alias("children"), F.col("Status").alias("status"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, embedding, CASE WHEN vec_id = 0 THEN NULL ELSE vec_id // 10 END AS parent FROM embeddings WHERE vec_id < 100),
+c AS (SELECT q.vec_id AS concept, n.vec_id AS node, n.parent, q.embedding FROM embeddings q JOIN e n ON n.vec_id = q.vec_id % 100 WHERE q.vec_id >= 100),
+d AS (SELECT c.concept, t.vec_id = c.parent AS up, 1 - list_sum(list_transform(range(1, len(c.embedding) + 1), lambda i: (c.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE) * (c.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE))) AS s
+      FROM c JOIN e t ON t.vec_id = c.parent OR (t.parent = c.parent AND t.vec_id <> c.node)),
+m AS (SELECT concept, max(s) FILTER (up) AS p, max(s) FILTER (NOT up) AS s FROM d GROUP BY 1)
+SELECT c.concept::VARCHAR AS concept_id, CASE WHEN p >= -0.5 AND p > coalesce(s, -1e9) THEN 'parent' WHEN s >= -0.5 AND s > coalesce(p, -1e9) THEN 'sibling' ELSE 'child' END AS placement
+FROM c LEFT JOIN m ON c.concept = m.concept""")
+def e19_placement(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    n = e.filter("vec_id < 100").selectExpr("cast(vec_id as string) as node_id", "cast(case when vec_id > 0 then vec_id div 10 end as string) as parent_id", "embedding")
+    c = e.filter("vec_id >= 100").selectExpr("cast(vec_id as string) as concept_id", "cast(vec_id % 100 as string) as node_id", "embedding")
+    return placement.compare_placement(c, n, -0.5).select("concept_id", "placement")
+
+
+@query()
+def e21_ordered_decisions(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    c = e.filter("vec_id >= 100").selectExpr("vec_id as seq", "concat('concept ', vec_id) as name", "'defined' as definition", "embedding")
+    return placement.decide_in_order(c, e.filter("vec_id < 100").selectExpr("vec_id as ord", "embedding"), -0.40, -0.30)
