@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import CHUNK_BYTES, chunks
+from loomspark.llm.common import CHUNK_BYTES, broadcast_if_small, chunks, materialize
 
 SIZES = (1, 2, 3, 4)
 BUCKET_BITS, DIM = 16, 16
@@ -146,9 +146,9 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """About per_lang snippets of each lang, chosen by hash over all rows: (lang, snippet)."""
     cut = F.regexp_extract_all("text", F.lit(rf"([^\n]{{20,{SNIPPET}}})"), F.lit(1))
     parts = docs.filter("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.size(F.split("text", "\n")).alias("n"), "text")
-    total = parts.groupBy("lang").agg(F.sum("n").alias("all")).withColumnRenamed("lang", "t_lang")
+    total = materialize(parts.groupBy(F.col("lang").alias("t_lang")).agg(F.sum("n").alias("all")), "langs")
     u = F.pmod(F.xxhash64("doc_id", "lang", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = parts.join(total, F.col("lang") == F.col("t_lang")).filter(u < 4 * F.lit(per_lang) / F.col("all"))
+    chosen = parts.join(broadcast_if_small(total, 10_000), F.col("lang") == F.col("t_lang")).filter(u < 4 * F.lit(per_lang) / F.col("all"))
     each = chosen.select("lang", "doc_id", F.posexplode(cut).alias("i", "snippet"))
     # a few long documents must not fill the sample: the smallest hashes of single snippets
     h = F.xxhash64("doc_id", "i", F.lit("snippet"))
