@@ -18,7 +18,8 @@ smallest doc_id ignores nulls; repeated rows get equal results; an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from math import comb
 
@@ -28,12 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import broadcast_if_small, doc_hash, materialize, mix
+from loomspark.llm.common import broadcast_if_small, doc_hash, materialize, maybe_in, mix
 from loomspark.llm.components import components
 
 SHINGLE, RADIUS, BITS = 3, 2, 64
-#: Independent fingerprints of similar_texts.
-TABLES = 6
+#: Independent fingerprints of similar_texts, the most a word counts there, and what its pairs are verified by.
+TABLES, WORD_WEIGHT = 6, 4
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints that the partitioning is fitted on, by hash; the join itself is exact.
 FIT_SAMPLE = 2000
 #: Number of fingerprints that the thresholds are chosen for, whatever the input: the plan is
@@ -42,39 +44,48 @@ PLAN_SIZE, NEAR = 1 << 24, 16
 _BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a text, repeats included."""
+def shingle_digests(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the word shingles of a text, repeats included, in blocks; fewer words
+    are one shingle, no words give none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     start = np.concatenate([[0], np.cumsum(size)])
     lo, hi = start[:n].tolist(), (start[min(shingle, len(words)) :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
     for k in range(0, n, _BLOCK):
         part = [digest(joined[a:b], 42) for a, b in zip(lo[k : k + _BLOCK], hi[k : k + _BLOCK], strict=True)]
-        h = np.array(part, np.uint64).view(np.uint8).reshape(-1, 8)
+        yield np.array(part, np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a text, repeats included."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in shingle_digests(text, shingle):
+        n += len(h)
         # bits of up to 255 hashes fit a byte: sum narrow blocks first
-        bits = np.unpackbits(h, axis=1, bitorder="little")
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         for j in range(0, len(bits), 255):
             ones += bits[j : j + 255].sum(0, dtype=np.uint8)
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
 
 
 def word_fingerprints(text: str | None, tables: int) -> list[int]:
-    """Independent SimHashes of a text's distinct lower-cased words, one a table."""
-    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    """Independent SimHashes of a text's lower-cased words, one a table. A word weighs its count,
+    at most WORD_WEIGHT: repeats bring edited copies closer, the bound keeps one word from
+    deciding every bit."""
+    words = Counter((text or "").encode("utf-8", "surrogatepass").lower().split())
     h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    weight = np.minimum(np.fromiter(words.values(), np.int64, len(words)), WORD_WEIGHT).astype(np.float64)
     out = []
     for t in range(tables):
-        bits = _bits_of(mix(h + np.uint64(t * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
-        ones = np.zeros(BITS, np.int64)
-        for j in range(0, len(bits), 255):
-            ones += bits[j : j + 255].sum(0, dtype=np.uint8)
-        out.append(sum(1 << i for i in np.flatnonzero(2 * ones > len(words)).tolist()))
+        spread, ones = mix(h + np.uint64(t * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), np.zeros(BITS)
+        for k in range(0, len(h), _BLOCK):
+            ones += weight[k : k + _BLOCK] @ _bits_of(spread[k : k + _BLOCK])
+        out.append(sum(1 << i for i in np.flatnonzero(2 * ones > weight.sum()).tolist()))
     return out
 
 
@@ -97,6 +108,18 @@ def _word_tables(tables: int):
     return run
 
 
+def _shingle_sets(shingle: int):
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_digests(t.as_py(), shingle)])) for t in batch.column("text")]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            s = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("key"), s], names=["h", "key", "s"])
+
+    return run
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, h, fp of every row."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_hash().alias("h"))
@@ -218,9 +241,10 @@ def candidates(fps: DataFrame, partitions: Sequence[tuple[list[int], int]]) -> D
     return met.select(F.col("e_t").alias("t"), F.col("x").bitwiseXOR(of(flips)).alias("fp")).distinct()
 
 
-def links(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(found: DataFrame, radius: int = RADIUS, chain: bool = False) -> DataFrame:
     """Edges t, a, b that connect exactly the candidates (t, fp) linked within the radius (at
-    most 2)."""
+    most 2); chain adds edges between consecutive members of a
+    neighbourhood and to its largest, which makes all pairs of up to four members."""
     if radius > 2:
         raise ValueError("verification by common neighbours covers radius 0 to 2")
     single = [_signed(1 << b) for b in range(BITS)]
@@ -230,7 +254,14 @@ def links(found: DataFrame, radius: int = RADIUS) -> DataFrame:
         there = found.select("t", F.col("fp").alias("b"))
         return around.withColumnRenamed("x", "b").join(there, ["t", "b"]).filter("fp <> b").select("t", F.col("fp").alias("a"), "b")
     hubs = around.groupBy("t", "x").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.collect_list("fp").alias("members"))
-    return hubs.filter("a <> z").select("t", "a", F.explode("members").alias("b")).filter("a <> b").distinct()
+    hubs = hubs.filter("a <> z")
+    star = hubs.select("t", "a", F.explode("members").alias("b"))
+    if chain:
+        row = hubs.select("t", F.array_sort("members").alias("m"))
+        steps = row.select("t", F.explode(F.expr("arrays_zip(slice(m, 1, size(m) - 1), slice(m, 2, size(m) - 1))")).alias("e"))
+        star = star.unionByName(hubs.select("t", F.col("z").alias("a"), F.explode("members").alias("b")))
+        star = star.unionByName(steps.select("t", F.col("e.0").alias("a"), F.col("e.1").alias("b")))
+    return star.filter("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -252,14 +283,42 @@ def hex_fingerprint(column: str = "fp") -> Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-def similar_texts(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicate classes for texts that agree in most of their words: a pair is linked
-    where any of several independent fingerprints of the distinct words lies within the radius.
-
-    A five-word-shingle similarity of 0.8 leaves about 98% of the words alike, which is about 4
+def _sets_of(docs: DataFrame, want: DataFrame, shingle: int) -> DataFrame:
+    """h, key, s: the distinct shingle hashes of the texts that want (w_h, w_id, key) names."""
+    want = materialize(want, "similar-want")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_hash().alias("h"))
+    src = maybe_in(src, "h", want.select("w_h")).filter("maybe")
+    hit = src.join(broadcast_if_small(want), (F.col("h") == F.col("w_h")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    return hit.select("h", "key", "text").mapInArrow(_shingle_sets(shingle), "h long, key long, s array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of pairs (a, b: hashes of texts) whose shingle sets have at least the similarity;
+    first (h, w_id) names a row of docs for each text. Two texts without words are alike."""
+    named = first.withColumnRenamed("h", "w_h")
+    left = _sets_of(docs, pairs.join(named, F.col("b") == F.col("w_h")).select("w_h", "w_id", F.col("a").alias("key")), shingle)
+    right = _sets_of(docs, pairs.select(F.col("a").alias("key")).distinct().join(named, F.col("key") == F.col("w_h")).select("w_h", "w_id", "key"), shingle)
+    both = left.join(right.select("key", F.col("s").alias("r")), "key")
+    shared = F.size(F.array_intersect("s", "r"))
+    union = F.size("s") + F.size("r") - shared
+    alike = F.when(union == 0, True).otherwise(shared / F.greatest(union, F.lit(1)) >= similarity)
+    return both.filter(alike).select(F.col("key").alias("a"), F.col("h").alias("b")).distinct()
+
+
+def similar_texts(
+    docs: DataFrame, tables: int = TABLES, radius: int = RADIUS, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY
+) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicate classes for texts by the similarity of their word shingles: a pair is a
+    candidate where any of several independent word fingerprints lies within
+    the radius, and a link if its shingle sets are similar enough.
+
+    A five-word-shingle similarity of 0.8 leaves about 98% of the words alike, which is 3 or 4
     of 64 bits; one table at radius 2 would miss many such pairs, and a wider radius has no
     selective partitions, so further tables add the recall at a cost that stays linear.
 
+    Not all pairs of a neighbourhood are verified. Each text is compared with the root of its
+    candidates' component; then the candidate pairs that still lie in different classes are.
+
     Returns rows (doc_id, h, and the number of equal rows) and classes (node h, root h) of the
     texts that have near-duplicates."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_hash().alias("h"))
@@ -267,18 +326,32 @@ def similar_texts(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS) -
     rows = materialize(rows, "similar")
     texts = rows.groupBy("h").agg(F.min("fps").alias("fps")).select("h", F.posexplode("fps").alias("t", "fp"))
     texts = materialize(texts, "similar-texts")
-    nodes = materialize(texts.groupBy("t", "fp").agg(F.min("h").alias("rep")), "similar-nodes")
+    salt = F.xxhash64("t")  # so that every table has its own representatives
+    nodes = texts.groupBy("t", "fp").agg(F.min(F.col("h").bitwiseXOR(salt)).alias("rep"))
+    nodes = materialize(nodes.withColumn("rep", F.col("rep").bitwiseXOR(salt)), "similar-nodes")
     partitions = plan(nodes.filter("t = 0").select("fp"), radius)
     if partitions:
         found = materialize(candidates(nodes.select("t", "fp"), partitions), "similar-found")
-        near = materialize(links(found, radius), "similar-links")
+        near = materialize(links(found, radius, chain=True), "similar-links")
     else:
         near = nodes.select("t", F.col("fp").alias("a"), F.col("fp").alias("b"))
     ends = nodes.select("t", F.col("fp").alias("a"), F.col("rep").alias("ra"))
     other = nodes.select("t", F.col("fp").alias("b"), F.col("rep").alias("rb"))
     across = near.join(ends, ["t", "a"]).join(other, ["t", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     same = texts.join(nodes, ["t", "fp"]).filter("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b"))
-    classes = components(across.unionByName(same))
+    pairs = across.unionByName(same).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = materialize(pairs.distinct(), "similar-pairs")
+    wide = materialize(components(pairs), "similar-wide")
+    first = rows.join(wide, F.col("h") == F.col("node")).groupBy("h").agg(F.min("doc_id").alias("w_id"))
+    first = materialize(first, "similar-first")
+    rooted = verified(wide.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), docs, first, shingle, similarity)
+    rooted = materialize(rooted, "similar-rooted")
+    label = wide.join(rooted.select(F.col("b").alias("node"), F.col("a").alias("label")), "node", "left")
+    label = materialize(label.select("node", F.coalesce("label", "node").alias("label")), "similar-label")
+    la = label.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    lb = label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    rest = materialize(pairs.join(la, "a").join(lb, "b").filter("la <> lb").select("a", "b"), "similar-rest")
+    classes = components(rooted.unionByName(verified(rest, docs, first, shingle, similarity)))
     return rows.groupBy("doc_id", "h").agg(F.count("*").alias("rows")), classes
 
 
