@@ -1,14 +1,14 @@
 """Operator 7, benchmark decontamination, in DataFrame operations only.
 
-Item-sized windows of a document are SimHashed and looked up among the benchmark items'
-fingerprints through a multi-index: the 64 bits form BLOCKS blocks, and two fingerprints
-within RADIUS bits agree within RADIUS // BLOCKS bits in some block, so probing each block's
-values finds all of them. Candidates are verified by exact weighted-shingle similarity: the
-sum of minimum over the sum of maximum shingle counts.
+Item-sized windows of a document are compared with the benchmark items by exact
+weighted-shingle similarity: the sum of minimum over the sum of maximum shingle counts. Their
+SimHashes give the distance column only; at the threshold they lie too far apart to select by.
 
-Windows are fingerprinted only where they can reach the threshold: for similarity t and m
+Windows are compared only where they can reach the threshold: for similarity t and m
 shingles, at least 2mt / (1 + t) of a window's places must hold a shingle of some item of the
 same size. A running count of such places gives these windows exactly, whatever the corpus.
+A window and an item that share that many shingles also share one of their rarest
+m - 2mt / (1 + t) + 1 each, in one order of all shingles: joining on these finds every pair.
 
 Defined results: texts and items are compared by lower-cased words of letters and digits; a
 text or item of fewer words than a shingle is one shingle; null or empty texts and items match
@@ -17,9 +17,6 @@ nothing; rows equal in doc_id and text get equal results; empty tables give no r
 
 from __future__ import annotations
 
-import math
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,7 +24,6 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import broadcast_if_small, doc_hash, materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
-BLOCKS, RADIUS = 4, 11
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -71,31 +67,25 @@ def _fingerprint(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*simhash("g")).select(*keys, packed().alias("fp"))
 
 
-def _block(k: int, blocks: int, value: Column) -> Column:
-    lo, hi = 64 * k // blocks, 64 * (k + 1) // blocks
-    return F.shiftrightunsigned(value, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-
-
-def _entries(k: int, value: Column, flips: Column) -> Column:
-    return F.transform(flips, lambda f: F.struct(F.lit(k).alias("k"), value.bitwiseXOR(f).alias("v")))
+def _rarest(rows: DataFrame, owner: str, frequency: DataFrame, take: Column) -> DataFrame:
+    """rows: owner, g, c (count of a shingle), and what take needs. The shingles of each owner
+    that hold its take rarest ones, repeats counted."""
+    order = W.partitionBy(owner).orderBy("f", "g")
+    ranked = rows.join(broadcast_if_small(frequency, 1_000_000), "g", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    before = F.coalesce(F.sum("c").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return ranked.withColumn("before", before).filter(F.col("before") < take)
 
 
-def _index(items: DataFrame, blocks: int, radius: int) -> DataFrame:
-    """item, n, item_fp, k, v: every value of block k within radius // blocks bits of the item's."""
-    out = []
-    for k in range(blocks):
-        width = 64 * (k + 1) // blocks - 64 * k // blocks
-        flips = [sum(1 << b for b in c) for r in range(radius // blocks + 1) for c in combinations(range(width), r)]
-        flip = F.array(*[F.lit(f).cast("long") for f in flips])
-        out.append(_entries(k, _block(k, blocks, F.col("fp")), flip))
-    return items.select("item", "n", F.col("fp").alias("item_fp"), F.explode(F.concat(*out)).alias("e")).select("item", "n", "item_fp", "e.*")
+def _need(m: Column, k: Column, similarity: float) -> Column:
+    """Least number of shingles that m and k shingles of that similarity share."""
+    return F.ceil((m + k) * (similarity / (1 + similarity)) - F.lit(1e-9)).cast("int")
 
 
 def windows_to_check(hits: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """hits: doc_id, h, n, p (a place whose shingle occurs in an item of n words). The starts s
     of all n-word windows with enough hits: doc_id, h, n, s, m (places of a window)."""
     m = F.greatest(F.col("n") - (shingle - 1), F.lit(1)).cast("int")
-    need = F.ceil(m * (2 * similarity / (1 + similarity)) - F.lit(1e-9)).cast("int")
+    need = _need(m, m, similarity)
     ranked = hits.withColumn("r", F.row_number().over(W.partitionBy("key", "n").orderBy("p")))
     first = ranked.withColumn("m", m).withColumn("need", need).withColumn("at", F.col("r") + F.col("need") - 1)
     last = ranked.select(F.col("key").alias("l_key"), F.col("n").alias("l_n"), F.col("r").alias("l_r"), F.col("p").alias("l_p"))
@@ -111,8 +101,6 @@ def contaminated(
     benchmark: DataFrame,
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
-    blocks: int = BLOCKS,
-    radius: int = RADIUS,
 ) -> DataFrame:
     """docs: doc_id, text; benchmark: item_id, text. One row a document (doc_id, h) and item
     that it holds: first_word and n_words of its best window, distance, similarity."""
@@ -134,22 +122,31 @@ def contaminated(
     held = held.select("doc_id", doc_hash().alias("h"), shingles_of("text", shingle).alias("g"), "todo")
     cut = F.transform("todo", lambda t: F.struct(t["n"].alias("n"), t["s"].alias("s"), F.slice("g", t["s"] + 1, t["m"]).alias("g"), t["m"].alias("m")))
     windows = held.select("doc_id", "h", F.explode(F.filter(cut, lambda t: F.size(t["g"]) == t["m"])).alias("t")).distinct()
-    windows = materialize(windows.select("doc_id", "h", F.xxhash64("doc_id", "h", "t.n", "t.s").alias("win"), "t.n", "t.s", "t.m", "t.g"), "windows")
-
-    item_fp = _fingerprint(items, "item", "item_id", "n")
-    index = _index(item_fp, blocks, radius)
-    shown = windows.select("win", "n", F.explode("g").alias("g"))
-    win_fp = _fingerprint(shown, "win", "n")
-    probes = win_fp.select("win", "n", "fp", F.posexplode(F.array(*[_block(k, blocks, F.col("fp")) for k in range(blocks)])).alias("k", "v"))
-    found = probes.join(index, ["k", "v", "n"])
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    found = found.withColumn("distance", distance).filter(F.col("distance") <= radius).select("win", "item", "distance").distinct()
-
-    ours = shown.groupBy("win", "g").agg(F.count("*").alias("c"))
-    theirs = items.groupBy("item", "g").agg(F.count("*").alias("ic"))
-    shared = found.join(ours, "win").join(theirs, ["item", "g"]).groupBy("win", "item", "distance").agg(F.sum(F.least("c", "ic")).alias("shared"))
+    windows = materialize(windows.select("doc_id", "h", F.xxhash64("t.n", F.sort_array("t.g")).alias("win"), "t.n", "t.s", "t.m", "t.g"), "windows")
+
+    # equal windows and equal items are compared once
+    shown = windows.select("win", "n", "m", "g").dropDuplicates(["win"])
+    shown = shown.select("win", "n", "m", F.explode("g").alias("g"))
+    ours = materialize(shown.groupBy("win", "n", "m", "g").agg(F.count("*").alias("c")), "window-shingles")
+    each = items.groupBy("item", "n").agg(F.sort_array(F.collect_list("g")).alias("all"))
+    twins = materialize(each.select("item", "n", F.xxhash64("n", "all").alias("like")), "item-likes")
+    one = twins.groupBy("like").agg(F.min("item").alias("item"))
+    theirs = items.join(broadcast_if_small(one), "item").groupBy("like", "n", "g").agg(F.count("*").alias("c"))
+    theirs = materialize(theirs, "like-shingles")
+    frequency = materialize(theirs.groupBy("g").agg(F.count("*").alias("f")), "shingle-frequency")
+    m = F.greatest(F.col("n") - (shingle - 1), F.lit(1))
+    take = m - _need(m, m, similarity) + 1
+    ask = _rarest(ours, "win", frequency, take).select("win", "n", "g")
+    have = _rarest(theirs, "like", frequency, take).select("like", "n", "g")
+    found = materialize(ask.join(have, ["n", "g"]).select("win", "like").distinct(), "window-pairs")
+
+    counts = theirs.select("like", "g", F.col("c").alias("ic"))
+    shared = found.join(ours.select("win", "g", "c"), "win").join(counts, ["like", "g"]).groupBy("win", "like").agg(F.sum(F.least("c", "ic")).alias("shared"))
     scored = shared.join(windows.select("win", "doc_id", "h", "n", "s", "m"), "win")
     scored = scored.withColumn("similarity", F.col("shared") / (2 * F.col("m") - F.col("shared"))).filter(F.col("similarity") >= similarity)
+    item_fp = _fingerprint(items, "item", "item_id", "n").withColumnRenamed("fp", "item_fp")
+    scored = scored.join(twins.select("like", "item"), "like").join(_fingerprint(shown, "win"), "win").join(item_fp.select("item", "item_fp"), "item")
+    scored = scored.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
     best = F.max(F.struct("similarity", (-F.col("s")).alias("back"), "n", "distance")).alias("best")
     names = item_fp.select("item", "item_id")
     return (

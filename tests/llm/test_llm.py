@@ -199,3 +199,18 @@ def test_models(spark, docs, rows):
     lab = spark.createDataFrame([(i, q) for i, (_, q) in enumerate(text) if i < 80], "doc_id long, quality int")
     got = {r["doc_id"]: r["score"] for r in line_crf.classify(d, lab).collect()}
     assert all((got[i] >= 0.3) == (q == 1) for i, (_, q) in enumerate(text)) and 0 <= got[900] <= 1
+
+
+def test_decontamination_finds_edited_passages(spark):
+    rng = random.Random(11)
+    w = lambda n: [f"q{rng.randrange(50000)}" for _ in range(n)]
+    items = [w(49 + i % 11) for i in range(60)]
+    docs = []
+    for item in items:  # one inner word replaced: similarity 0.8 to 0.83
+        edited = item.copy()
+        edited[len(item) // 2] = "edited"
+        docs.append(w(30) + edited + w(30))
+    d = spark.createDataFrame([(i, " ".join(x), None, None, 0, 0, 0) for i, x in enumerate(docs)], SCHEMA)
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(100, " ".join(items[0]))], "item_id long, text string")
+    got = counted(decontaminate.contaminated(d, b), "doc_id", "item_id", "first_word")
+    assert got == Counter({(i, i, 30): 1 for i in range(60)} | {(0, 100, 30): 1})
