@@ -10,9 +10,13 @@ same size. A running count of such places gives these windows exactly, whatever
 A window and an item that share that many shingles also share one of their rarest
 m - 2mt / (1 + t) + 1 each, in one order of all shingles: joining on these finds every pair.
 
-Defined results: texts and items are compared by lower-cased words of letters and digits; a
-text or item of fewer words than a shingle is one shingle; null or empty texts and items match
-nothing; rows equal in doc_id and text get equal results; empty tables give no rows.
+A window may be clipped by the document's start or end and is scored by its real shingle count;
+a document shorter than an item is such a window. An item of fewer words than a shingle is
+looked up by shingles of its own length, in documents of any length.
+
+Defined results: texts and items are compared by lower-cased words of letters and digits; null
+or empty texts and items match nothing; rows equal in doc_id and text get equal results; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -82,18 +86,48 @@ def _need(m: Column, k: Column, similarity: float) -> Column:
 
 
 def windows_to_check(hits: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """hits: doc_id, h, n, p (a place whose shingle occurs in an item of n words). The starts s
-    of all n-word windows with enough hits: doc_id, h, n, s, m (places of a window)."""
+    """hits: key, n, p (a place whose shingle occurs in an item of n words). The starts s and
+    greatest lengths k of all windows with enough hits: key, n, m (places of an item), s, k. A
+    window that the document's start or end clips needs fewer: it begins or ends at a hit, as
+    others are less similar, and those that turn out not to be clipped are whole windows."""
     m = F.greatest(F.col("n") - (shingle - 1), F.lit(1)).cast("int")
     need = _need(m, m, similarity)
-    ranked = hits.withColumn("r", F.row_number().over(W.partitionBy("key", "n").orderBy("p")))
+    doc = W.partitionBy("key", "n")
+    ranked = hits.withColumn("r", F.row_number().over(doc.orderBy("p")))
+    ranked = ranked.withColumn("hits", F.count("*").over(doc)).withColumn("end", F.max("p").over(doc))
     first = ranked.withColumn("m", m).withColumn("need", need).withColumn("at", F.col("r") + F.col("need") - 1)
     last = ranked.select(F.col("key").alias("l_key"), F.col("n").alias("l_n"), F.col("r").alias("l_r"), F.col("p").alias("l_p"))
     # the need-th hit from here on still lies in a window that starts here or a little before
     dense = first.join(last, (F.col("key") == F.col("l_key")) & (F.col("n") == F.col("l_n")) & (F.col("at") == F.col("l_r")))
     dense = dense.filter(F.col("l_p") - F.col("p") < F.col("m"))
     starts = F.sequence(F.greatest(F.col("p") - (F.col("m") - F.col("need")), F.lit(0)), F.col("p"))
-    return dense.select("key", "n", "m", F.explode(starts).alias("s")).distinct()
+    whole = dense.select("key", "n", "m", F.explode(starts).alias("s"), F.col("m").alias("k"))
+    least = F.ceil(m * similarity - F.lit(1e-9)).cast("int")
+    tail = ranked.filter((F.col("hits") - F.col("r") + 1 >= least) & (F.col("end") - F.col("p") < m))
+    tail = tail.select("key", "n", m.alias("m"), F.col("p").alias("s"), m.alias("k"))
+    head = ranked.filter((F.col("r") >= least) & (F.col("p") + 1 < m))
+    head = head.select("key", "n", m.alias("m"), F.lit(0).alias("s"), (F.col("p") + 1).alias("k"))
+    return whole.unionByName(tail).unionByName(head).distinct()
+
+
+def short_items(docs: DataFrame, items: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, h, item, n, s: the first place in each document of each item (item, n, w: its
+    word hashes) of fewer words than a shingle; compared by shingles of the item's own length."""
+    short = materialize(items.filter(F.col("n") < shingle).select("item", "n", F.xxhash64("w").alias("g")), "short-items")
+    sizes = sorted(r["n"] for r in short.select("n").distinct().collect())
+    key = ["doc_id", doc_hash().alias("h")]
+    if not sizes:
+        return docs.select(*key, F.lit(0).cast("long").alias("item"), F.lit(0).alias("n"), F.lit(0).alias("s")).limit(0)
+
+    def runs(z: int) -> Column:
+        starts = F.when(F.size("w") >= z, F.sequence(F.lit(0), F.size("w") - z)).otherwise(F.array().cast("array<int>"))
+        run = lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(z)])
+        return F.transform(starts, lambda i: F.struct(F.lit(z).alias("n"), i.alias("s"), run(i).alias("g")))
+
+    words = docs.select(*key, word_hashes(F.col("text")).alias("w"))
+    at = words.select("doc_id", "h", F.explode(F.concat(*map(runs, sizes))).alias("e")).select("doc_id", "h", "e.*")
+    found = at.join(broadcast_if_small(short, 1_000_000), ["n", "g"])
+    return found.groupBy("doc_id", "h", "item", "n").agg(F.min("s").alias("s"))
 
 
 def contaminated(
@@ -107,6 +141,9 @@ def contaminated(
     items = benchmark.select("item_id", "text").distinct()
     items = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", word_hashes(F.col("text")).alias("w"))
     items = items.withColumn("n", F.size("w")).filter("n > 0")
+    whole_items = materialize(items, "item-words")
+    short = short_items(docs, whole_items, shingle).join(whole_items.select("item", "item_id"), "item")
+    items = whole_items.filter(F.col("n") >= shingle)
     items = materialize(items.select("item", "item_id", "n", F.explode(shingles("w", shingle)).alias("g")), "items")
     sizes = materialize(items.select("g", "n").distinct(), "item-shingles")
 
@@ -116,18 +153,19 @@ def contaminated(
     hits = places.join(broadcast_if_small(sizes, 1_000_000), "g").select("key", "n", "p")
     hits = materialize(hits.distinct(), "hits")
     todo = windows_to_check(hits, shingle, similarity)
-    todo = todo.groupBy("key").agg(F.collect_list(F.struct("n", "s", "m")).alias("todo")).withColumnRenamed("key", "t_key")
+    todo = todo.groupBy("key").agg(F.collect_list(F.struct("n", "s", "k", "m")).alias("todo")).withColumnRenamed("key", "t_key")
     todo = materialize(todo, "windows-todo")
     held = docs.join(broadcast_if_small(todo, 100_000), key == F.col("t_key"))
     held = held.select("doc_id", doc_hash().alias("h"), shingles_of("text", shingle).alias("g"), "todo")
-    cut = F.transform("todo", lambda t: F.struct(t["n"].alias("n"), t["s"].alias("s"), F.slice("g", t["s"] + 1, t["m"]).alias("g"), t["m"].alias("m")))
-    windows = held.select("doc_id", "h", F.explode(F.filter(cut, lambda t: F.size(t["g"]) == t["m"])).alias("t")).distinct()
-    windows = materialize(windows.select("doc_id", "h", F.xxhash64("t.n", F.sort_array("t.g")).alias("win"), "t.n", "t.s", "t.m", "t.g"), "windows")
+    cut = F.transform("todo", lambda t: F.struct(t["n"].alias("n"), t["s"].alias("s"), F.slice("g", t["s"] + 1, t["k"]).alias("g"), t["m"].alias("m")))
+    enough = F.filter(cut, lambda t: F.size(t["g"]) >= t["m"] * similarity - 1e-9)
+    windows = held.select("doc_id", "h", F.explode(enough).alias("t")).distinct()
+    windows = materialize(windows.select("doc_id", "h", F.xxhash64("t.n", F.sort_array("t.g")).alias("win"), "t.n", "t.s", "t.m", F.size("t.g").alias("k"), "t.g"), "windows")
 
     # equal windows and equal items are compared once
-    shown = windows.select("win", "n", "m", "g").dropDuplicates(["win"])
-    shown = shown.select("win", "n", "m", F.explode("g").alias("g"))
-    ours = materialize(shown.groupBy("win", "n", "m", "g").agg(F.count("*").alias("c")), "window-shingles")
+    shown = windows.select("win", "n", "k", "g").dropDuplicates(["win"])
+    shown = shown.select("win", "n", "k", F.explode("g").alias("g"))
+    ours = materialize(shown.groupBy("win", "n", "k", "g").agg(F.count("*").alias("c")), "window-shingles")
     each = items.groupBy("item", "n").agg(F.sort_array(F.collect_list("g")).alias("all"))
     twins = materialize(each.select("item", "n", F.xxhash64("n", "all").alias("like")), "item-likes")
     one = twins.groupBy("like").agg(F.min("item").alias("item"))
@@ -135,21 +173,22 @@ def contaminated(
     theirs = materialize(theirs, "like-shingles")
     frequency = materialize(theirs.groupBy("g").agg(F.count("*").alias("f")), "shingle-frequency")
     m = F.greatest(F.col("n") - (shingle - 1), F.lit(1))
-    take = m - _need(m, m, similarity) + 1
-    ask = _rarest(ours, "win", frequency, take).select("win", "n", "g")
-    have = _rarest(theirs, "like", frequency, take).select("like", "n", "g")
+    least = F.ceil(m * similarity - F.lit(1e-9)).cast("int")  # shared with the shortest window
+    ask = _rarest(ours, "win", frequency, F.col("k") - _need(m, F.col("k"), similarity) + 1).select("win", "n", "g")
+    have = _rarest(theirs, "like", frequency, m - least + 1).select("like", "n", "g")
     found = materialize(ask.join(have, ["n", "g"]).select("win", "like").distinct(), "window-pairs")
 
     counts = theirs.select("like", "g", F.col("c").alias("ic"))
     shared = found.join(ours.select("win", "g", "c"), "win").join(counts, ["like", "g"]).groupBy("win", "like").agg(F.sum(F.least("c", "ic")).alias("shared"))
-    scored = shared.join(windows.select("win", "doc_id", "h", "n", "s", "m"), "win")
-    scored = scored.withColumn("similarity", F.col("shared") / (2 * F.col("m") - F.col("shared"))).filter(F.col("similarity") >= similarity)
+    scored = shared.join(windows.select("win", "doc_id", "h", "n", "s", "m", "k"), "win")
+    scored = scored.withColumn("similarity", F.col("shared") / (F.col("m") + F.col("k") - F.col("shared"))).filter(F.col("similarity") >= similarity)
     item_fp = _fingerprint(items, "item", "item_id", "n").withColumnRenamed("fp", "item_fp")
     scored = scored.join(twins.select("like", "item"), "like").join(_fingerprint(shown, "win"), "win").join(item_fp.select("item", "item_fp"), "item")
     scored = scored.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-    best = F.max(F.struct("similarity", (-F.col("s")).alias("back"), "n", "distance")).alias("best")
+    # a clipped window counts where no whole one is similar enough
+    best = F.max(F.struct((F.col("k") == F.col("m")).alias("whole"), "similarity", (-F.col("s")).alias("back"), "k", "distance")).alias("best")
     names = item_fp.select("item", "item_id")
-    return (
+    long = (
         scored.groupBy("doc_id", "h", "item")
         .agg(best)
         .join(names, "item")
@@ -158,11 +197,13 @@ def contaminated(
             "h",
             "item_id",
             (-F.col("best.back")).cast("long").alias("first_word"),
-            F.col("best.n").cast("long").alias("n_words"),
+            (F.col("best.k") + F.lit(shingle - 1)).cast("long").alias("n_words"),
             F.col("best.distance").cast("int").alias("distance"),
             F.col("best.similarity").alias("similarity"),
         )
     )
+    own = [F.col("s").cast("long").alias("first_word"), F.col("n").cast("long").alias("n_words"), F.lit(0).alias("distance"), F.lit(1.0).alias("similarity")]
+    return long.unionByName(short.select("doc_id", "h", "item_id", *own))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -214,3 +214,15 @@ def test_decontamination_finds_edited_passages(spark):
     b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(100, " ".join(items[0]))], "item_id long, text string")
     got = counted(decontaminate.contaminated(d, b), "doc_id", "item_id", "first_word")
     assert got == Counter({(i, i, 30): 1 for i in range(60)} | {(0, 100, 30): 1})
+
+
+def test_decontamination_clipped_windows_and_short_items(spark):
+    rng = random.Random(12)
+    w = lambda n: [f"q{rng.randrange(50000)}" for _ in range(n)]
+    a, b = w(30), w(60)
+    items = [a, b, ["only", "three", "words"], ["solo"]]
+    docs = [a[:28], a[2:], w(40) + b[:50], b[10:] + w(40), w(40) + b[:45], w(9) + items[2] + w(9) + items[2], ["solo"], w(7) + ["solo"]]
+    d = spark.createDataFrame([(i, " ".join(x), None, None, 0, 0, 0) for i, x in enumerate(docs)], SCHEMA)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = counted(decontaminate.contaminated(d, bench), "doc_id", "item_id", "first_word", "n_words")
+    assert got == Counter([(0, 0, 0, 28), (1, 0, 0, 28), (2, 1, 40, 50), (3, 1, 0, 50), (5, 2, 9, 3), (6, 3, 0, 1), (7, 3, 7, 1)])
