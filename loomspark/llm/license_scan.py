@@ -1,7 +1,9 @@
 """Operator 9, license scans, in DataFrame operations only.
 
-An exact set-similarity join between text blocks (lines) and license templates: a template's
-label holds where at least CONTAINMENT of its distinct words occur in one block. Words are
+An exact set-similarity join between text blocks and license templates: a template's label
+holds where at least CONTAINMENT of its distinct words occur in one block. A block is a line,
+or the words around a line break, on each side as many as the longest template has less one,
+so that a wrapped notice lies in one block wherever its lines break. Words are
 ordered by their frequency in the whole corpus, rarest first. A block that meets the threshold
 shares a word with the template's prefix (prefix filter), holds enough template words (length
 filter), and from the first shared word on both sides have enough words left (positional
@@ -14,6 +16,7 @@ text get equal results; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -57,15 +60,34 @@ def template_words(text: str) -> list[str]:
     return list(dict.fromkeys(kept.split()))
 
 
-def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]], vocabulary: Sequence[str]) -> DataFrame:
+def around_breaks(lines: Column, reach: int) -> Column:
+    """For each line break between words, the at most reach words on each side of it; lines: an
+    array of arrays of words, empty ones included. One-element transforms bind what is used
+    more than once."""
+    tokens = F.array_remove(F.flatten(F.transform(lines, lambda x: F.concat(x, F.array(F.lit("\n"))))), "")
+
+    def cut(t: Column) -> Column:
+        breaks = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i) == "\n")
+        # a break's place less the breaks before it: the number of words before it
+        at = F.array_distinct(F.transform(breaks, lambda p, i: p - i))
+        side = lambda w, c: F.slice(w, F.greatest(c - reach, F.lit(0)) + 1, F.least(c, F.lit(reach)) + reach)
+        each = lambda w: F.transform(F.filter(at, lambda c: (c > 0) & (c < F.size(w))), lambda c: side(w, c))
+        return F.transform(F.array(F.array_remove(t, "\n")), each)[0]
+
+    return F.transform(F.array(tokens), cut)[0]
+
+
+def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]], vocabulary: Sequence[str], reach: int) -> DataFrame:
     """One pass over the texts: doc_id, h, n_words, n_base, first_word, last_word, base (sorted
     distinct labels), and blocks: for each line with words of the vocabulary, its number and
-    those words, distinct. Words of lines serve the count, the phrases and the blocks."""
+    those words, distinct; line breaks with reach words on each side likewise, numbered from -1
+    down. Words of lines serve the count, the phrases and the blocks."""
     rough = "|".join(p.replace(" ", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+") for p, _ in phrases)
     known = sorted(vocabulary)
     lines = F.transform(F.split(lower_az(F.coalesce("text", F.lit(""))), "\n"), lambda x: F.split(x, SEP))
     words = F.array_remove(F.flatten(lines), "")
-    blocks = F.transform(lines, lambda x, i: F.struct(i.alias("block"), F.array_distinct(F.filter(x, lambda w: w.isin(known))).alias("words")))
+    block = lambda x, number: F.struct(number.alias("block"), F.array_distinct(F.filter(x, lambda w: w.isin(known))).alias("words"))
+    blocks = F.concat(F.transform(lines, block), F.transform(around_breaks(lines, reach), lambda x, i: block(x, -1 - i)))
     d = docs.select(
         "doc_id",
         doc_hash().alias("h"),
@@ -99,7 +121,7 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]], vocabulary: Sequen
 
 
 def containment_join(blocks: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
-    """blocks: doc_id, h, block, words (distinct template words of a line). Every block and
+    """blocks: doc_id, h, block, words (distinct template words of a block). Every block and
     template at or above the threshold: doc_id, h, block, template, label, containment."""
     spark = blocks.sparkSession
     sets = [template_words(t) for _, t in templates]
@@ -138,7 +160,8 @@ def license_scan(
     for a phrase, else the largest containment, else 0."""
     docs = docs.select("doc_id", "text")
     vocabulary = {w for _, t in templates for w in template_words(t)}
-    base = materialize(scan(docs, phrases, sorted(vocabulary)), "license-scan")
+    longest = max((len(re.findall("[a-z0-9]+", t.lower())) for _, t in templates), default=1)
+    base = materialize(scan(docs, phrases, sorted(vocabulary), longest - 1), "license-scan")
     blocks = base.select("doc_id", "h", F.explode("blocks").alias("b")).select("doc_id", "h", "b.block", "b.words")
     found = containment_join(blocks, templates, threshold)
     found = found.groupBy(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))

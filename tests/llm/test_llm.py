@@ -226,3 +226,16 @@ def test_decontamination_clipped_windows_and_short_items(spark):
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
     got = counted(decontaminate.contaminated(d, bench), "doc_id", "item_id", "first_word", "n_words")
     assert got == Counter([(0, 0, 0, 28), (1, 0, 0, 28), (2, 1, 40, 50), (3, 1, 0, 50), (5, 2, 9, 3), (6, 3, 0, 1), (7, 3, 7, 1)])
+
+
+def test_license_scan_wrapped_notices(spark):
+    import textwrap
+
+    notices = dict(license_scan.TEMPLATES[i] for i in (0, 4, 6))  # mit, gpl-3, bsd
+    filler = "\n".join(f"line {i} of other text" for i in range(20))
+    wrapped = {k: "\n".join(f" * {x}" for x in textwrap.wrap(t, 72)) for k, t in notices.items()}
+    rows = [(i, f"{filler}\n/*\n{x}\n\n */\n{filler}", None, None, 0, 0, 0) for i, x in enumerate(wrapped.values())]
+    half = wrapped["gpl-3"].split("\n")
+    rows += [(7, filler, None, None, 0, 0, 0), (8, half[0] + "\n" + filler + "\n" + "\n".join(half[1:]), None, None, 0, 0, 0)]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {**dict(enumerate(wrapped)), 7: "", 8: ""}
