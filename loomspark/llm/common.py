@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir. Only where it is
-    unset (tests, one machine) a temporary folder takes its place."""
+    unset on one machine (tests) a temporary folder takes its place; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="loomspark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -68,6 +71,31 @@ def maybe_in(df: DataFrame, h: str, ids: DataFrame) -> DataFrame:
     return out.withColumn("maybe", hit).drop("bm_own", "bm_word", "bm_bits")
 
 
+#: A key with more than 1 / HEAVY of all rows is heavy, so there are at most HEAVY such keys; each
+#: is spread over SALTS parts.
+HEAVY, SALTS = 1024, 128
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, spread: Column, how: str = "inner") -> DataFrame:
+    """left joined to right on keys. right is written and holds each key once, with its number
+    of rows of left in count (dropped). Heavy keys are salted by spread, so no key meets in one task."""
+    total = right.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) * HEAVY > total
+    heavy = right.filter(hot).select(*keys, F.lit(True).alias("is_heavy"))
+    salt = F.when(F.col("is_heavy"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = left.join(F.broadcast(heavy), list(keys), "left").withColumn("salt", salt).drop("is_heavy")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = right.withColumn("salt", F.explode(salts)).drop(count)
+    return left.join(right, [*keys, "salt"], how).drop("salt")
+
+
+def carried(docs: DataFrame, *extra: Column) -> DataFrame:
+    """All columns of docs as one struct `row`, so that no name of theirs can clash with ours,
+    beside doc_id (long), text, h and what extra computes from docs."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), doc_hash().alias("h"), *extra)
+
+
 #: Separators of plain words, the complement of the class [^\\x20\\x09-\\x0D].
 BLANKS = r"[\x20\x09-\x0D]+"
 

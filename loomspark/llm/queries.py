@@ -39,8 +39,8 @@ def op4_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    spans = F.transform(F.col("removed"), lambda r: F.concat_ws(":", r["unit"], r["start"], r["end"]))
-    return out.select("doc_id", "text", "n_units", "n_removed", F.coalesce(F.array_join(spans, ","), F.lit("")).alias("removed"))
+    spans = F.transform(F.col("removed"), lambda r: F.concat_ws(":", r["start"], r["end"]))
+    return out.select("row.doc_id", "text", "n_removed", F.coalesce(F.array_join(spans, ","), F.lit("")).alias("removed"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,16 +139,21 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """
 
 
-_LINES = r"""
-WITH u AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
+_UNITS = r"""
+WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[^.!?。！？\n]+[.!?。！？]*|[.!?。！？]+|\n') AS tokens FROM documents),
+u AS (SELECT doc_id, unnest(tokens) AS s, unnest(range(len(tokens))) AS k FROM t),
 n AS (SELECT *, trim(regexp_replace(lower(s), '[\s\x0b\x{85}\x{a0}]+', ' ', 'g')) AS norm,
-             sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(s) - 1 AS a FROM u),
-f AS (SELECT *, norm <> '' AND length(norm) - length(replace(norm, ' ', '')) >= 4
-             AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS gone FROM n)
-SELECT doc_id, coalesce(string_agg(s, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text, count(*)::BIGINT AS n_units,
-       count(*) FILTER (gone)::BIGINT AS n_removed,
-       coalesce(string_agg(k || ':' || a || ':' || (a + length(s)), ',' ORDER BY k) FILTER (gone), '') AS removed
-FROM f GROUP BY doc_id
-"""
-
-ORACLES: dict[str, str] = {"op3_mixing": _MIX, "op5_line_dedup": _LINES, "op9_license_scan": _license_sql()}
+             sum(length(s)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM u),
+j AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS j FROM n WHERE length(norm) >= {unit}),
+f AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, j) > 1 AS again FROM j),
+r AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS run FROM f WHERE again),
+p AS (SELECT doc_id, min(k) AS lo, max(k) AS hi, count(*) AS units, min(stop - length(s)) AS start, max(stop) AS stop
+      FROM r GROUP BY doc_id, run HAVING sum(length(norm)) >= {passage}),
+g AS (SELECT doc_id, sum(units)::BIGINT AS n_removed, string_agg(start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY lo) AS removed FROM p GROUP BY doc_id),
+kept AS (SELECT n.doc_id, string_agg(s, '' ORDER BY n.k) AS text
+      FROM n WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = n.doc_id AND n.k BETWEEN p.lo AND p.hi) GROUP BY n.doc_id)
+SELECT t.doc_id, CASE WHEN g.n_removed > 0 THEN coalesce(kept.text, '') ELSE t.text END AS text, coalesce(g.n_removed, 0) AS n_removed, coalesce(g.removed, '') AS removed
+FROM t LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+""".replace("{unit}", str(line_dedup.MIN_UNIT)).replace("{passage}", str(line_dedup.MIN_PASSAGE))
+
+ORACLES: dict[str, str] = {"op3_mixing": _MIX, "op5_line_dedup": _UNITS, "op9_license_scan": _license_sql()}

@@ -179,11 +179,52 @@ def test_license_scan(spark):
     assert (got[2]["n_words"], got[2]["labels"], got[3]["n_words"], got[3]["score"]) == (0, "", 3, 0.0)
 
 
+def removed_passages(rows, min_unit, min_passage):
+    """(doc_id, text, n_removed, spans) of dedup_units(unit="sentence"), unit by unit."""
+    cut = re.compile("[^.!?\n]+[.!?]*|[.!?]+|\n")
+    tokens = [[(m.start(), m.end()) for m in cut.finditer(t or "")] for _, t in rows]
+    seen, out = set(), [None] * len(rows)
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0)):
+        doc_id, text = rows[i]
+        units = [(k, n) for k, (a, b) in enumerate(tokens[i]) if len(n := " ".join(text[a:b].lower().split())) >= min_unit]
+        runs, run = [], []
+        for k, norm in units:
+            if norm in seen:
+                run.append((k, norm))
+            elif run:
+                runs, run = [*runs, run], []
+            seen.add(norm)
+        spans, n = [], 0
+        for r in [*runs, run]:
+            if r and sum(len(x) for _, x in r) >= min_passage:
+                spans.append((tokens[i][r[0][0]][0], tokens[i][r[-1][0]][1]))
+                n += len(r)
+        kept, at = "", 0
+        for a, b in spans:
+            kept, at = kept + text[at:a], b
+        out[i] = (doc_id, None if text is None else kept + text[at:], n, tuple(spans))
+    return Counter(out)
+
+
 def test_line_dedup(spark):
-    a, b = "one two three four five", "ONE  two three four FIVE"
-    d = spark.createDataFrame([(2, f"x\n{b}\ny", None, None, 0, 0, 0), (1, f"{a}\n{a}", None, None, 0, 0, 0), (3, None, None, None, 0, 0, 0), (4, "", None, None, 0, 0, 0)], SCHEMA)
-    got = {r["doc_id"]: (r["text"], r["n_units"], r["n_removed"], [tuple(x) for x in r["removed"] or []]) for r in line_dedup.dedup_units(d).collect()}
-    assert got == {1: (a, 2, 1, [(1, 24, 47)]), 2: ("x\ny", 3, 1, [(1, 2, 26)]), 3: (None, 1, 0, []), 4: ("", 1, 0, [])}
+    rng = random.Random(8)
+    units = ["".join(rng.choice("abc de") for _ in range(rng.randint(1, 12))).strip() + rng.choice([".", "!", "?!", "\n", ". "]) for _ in range(40)]
+    rows = [(i, "".join(rng.choice(units) for _ in range(rng.randint(0, 12)))) for i in range(80)]
+    rows += [(200, None), (201, ""), (None, rows[3][1]), (202, rows[3][1]), (203, "\n\n.."), rows[5], rows[5], rows[5]]
+    d = spark.createDataFrame([(i, t, "r", "k") for i, t in rows], "doc_id long, text string, runs string, g_id string")
+    out = line_dedup.dedup_units(d, "sentence", 4, 12)
+    got = Counter((r["row"]["doc_id"], r["text"], r["n_removed"], tuple(tuple(x) for x in r["removed"] or [])) for r in out.collect())
+    assert got == removed_passages(rows, 4, 12) and sum(n for _, _, n, _ in got) > 50
+    assert out.filter("row.runs = 'r' and row.g_id = 'k'").count() == len(rows)
+    assert line_dedup.dedup_units(d.limit(0)).count() == 0
+
+
+def test_line_dedup_units(spark):
+    rows = [(1, "Head\none two three\n\nmore of it\nend"), (2, "ONE  two three\nother\n\nMore of it\nEND\n\n\nnew")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = lambda unit: {r["row"]["doc_id"]: r["text"] for r in line_dedup.dedup_units(d, unit, 3, 3).collect()}
+    assert texts("line") == {1: rows[0][1], 2: "\nother\n\n\n\n\nnew"}
+    assert texts("paragraph") == {1: rows[0][1], 2: "ONE  two three\nother\n\n\n\n\nnew"}
 
 
 def test_models(spark, docs, rows):
