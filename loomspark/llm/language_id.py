@@ -3,8 +3,8 @@ softmax, trained by stochastic gradient descent in numpy, with calibrated reject
 
 A subword is 1 to 4 UTF-8 bytes of one word, its edges marked by the blank beside it. A text's
 feature is the mean embedding of all its subwords; the whole text counts. Training takes a
-bounded sample (PER_LANG snippets of at most SNIPPET characters a language) of the rows given
-for learning; the softmax temperature and the rejection threshold come from a held-back part.
+bounded sample (PER_LANG snippets of at most SNIPPET characters a language, drawn one by one)
+of the rows given for learning; every language there is learned. The softmax temperature and the rejection threshold come from a held-back part.
 
 Defined results: null texts and texts without a letter are `und` with score 0; no rows to
 learn from makes every text `und`; repeated rows get equal results; empty table, no rows.
@@ -143,16 +143,21 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel |
 
 
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """About per_lang snippets of each lang, chosen by hash over all rows: (lang, snippet)."""
-    cut = F.regexp_extract_all("text", F.lit(rf"([^\n]{{20,{SNIPPET}}})"), F.lit(1))
-    parts = docs.filter("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.size(F.split("text", "\n")).alias("n"), "text")
+    """(lang, snippet): per_lang snippets of each lang, or all it has. A text's snippets are its
+    stretches of SNIPPET characters; each is drawn by its own hash, so that a language in few
+    long documents gets as many as any other, and all are drawn of a language of few snippets."""
+    size = F.ceil(F.length("text") / SNIPPET).cast("int")
+    lang = F.col("lang").cast("string").alias("lang")
+    parts = docs.filter("lang is not null and length(text) > 0").select("doc_id", lang, size.alias("n"), F.xxhash64("doc_id", "text").alias("key"), "text")
     total = materialize(parts.groupBy(F.col("lang").alias("t_lang")).agg(F.sum("n").alias("all")), "langs")
-    u = F.pmod(F.xxhash64("doc_id", "lang", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = parts.join(broadcast_if_small(total, 10_000), F.col("lang") == F.col("t_lang")).filter(u < 4 * F.lit(per_lang) / F.col("all"))
-    each = chosen.select("lang", "doc_id", F.posexplode(cut).alias("i", "snippet"))
-    # a few long documents must not fill the sample: the smallest hashes of single snippets
-    h = F.xxhash64("doc_id", "i", F.lit("snippet"))
-    return each.withColumn("h", h).groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "snippet"))), 1, per_lang).alias("s")).select("lang", F.explode("s.snippet").alias("snippet"))
+    share = 2 * F.lit(per_lang) / F.col("all")  # twice as many as wanted, on average
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+    h = F.xxhash64("key", "i", F.lit("snippet"))
+    drawn = parts.join(broadcast_if_small(total, 10_000), F.col("lang") == F.col("t_lang")).withColumn("i", F.explode(places)).withColumn("h", h)
+    drawn = drawn.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    snippet = F.col("text").substr(F.col("i") * SNIPPET + 1, F.lit(SNIPPET)).alias("snippet")
+    chosen = drawn.select("lang", "h", snippet).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("h", "snippet"))).alias("s"))
+    return chosen.select("lang", F.explode(F.slice("s.snippet", 1, per_lang)).alias("snippet"))
 
 
 def _predictor(model):

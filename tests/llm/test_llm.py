@@ -280,3 +280,13 @@ def test_license_scan_wrapped_notices(spark):
     rows += [(7, filler, None, None, 0, 0, 0), (8, half[0] + "\n" + filler + "\n" + "\n".join(half[1:]), None, None, 0, 0, 0)]
     got = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {**dict(enumerate(wrapped)), 7: "", 8: ""}
+
+
+def test_no_language_is_lost(spark):
+    long = "\n".join(f"wort zwei drei {i}" for i in range(30_000))
+    rows = [(i, "some short lines\nof two words\n" * 40, "en") for i in range(300)] + [(1000, long, "xx"), (1001, "kurz", "yy"), (1002, "", "zz"), (1003, None, "zz")]
+    for k in range(3):  # other ids, other draws
+        d = spark.createDataFrame([(i + 7919 * k, t, g) for i, t, g in rows], "doc_id long, text string, lang string")
+        got = counted(language_id.training_rows(d, 200).groupBy("lang").count(), "lang", "count")
+        assert got == Counter([("en", 200), ("xx", 200), ("yy", 1)])
+    assert language_id.identify(d.limit(0), d.limit(0)).count() == 0
