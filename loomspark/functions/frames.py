@@ -5,17 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The frame, written to the folder in spark.checkpoint.dir and read again; a temporary
-    folder takes its place only where the setting is absent (one machine)."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the folder that all executors share, spark.checkpoint.dir. A temporary
+    folder takes its place only where the setting is absent on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="loomspark-")
         spark.sparkContext.setCheckpointDir(path)
-    path = f"{path.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """The frame, written to the shared folder and read again."""
+    path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

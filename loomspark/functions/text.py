@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# What closes a chunk, and how a list item begins.
+SENTENCE_END = r"[.)\]]$"
+LIST_ITEM = r"(?U)^\s*(?:\d+[.)]|[A-Za-z][.)]|i{1,3}\.)"
+
+
 def strip(text: str | Column) -> Column:
     """Unicode whitespace removed at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -24,8 +29,8 @@ def normalize(text: str | Column) -> Column:
 
 
 def ends_sentence(text: Column) -> Column:
-    return text.rlike(r"[.)\]]$")
+    return text.rlike(SENTENCE_END)
 
 
 def is_list_item(text: Column) -> Column:
-    return text.rlike(r"(?U)^\s*(?:\d+[.)]|[A-Za-z][.)]|i{1,3}\.)")
+    return text.rlike(LIST_ITEM)

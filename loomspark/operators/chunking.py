@@ -14,6 +14,8 @@ from loomspark.functions.text import ends_sentence, is_list_item, stable_id, str
 EXCLUDE = ("unclassified", "restricted", "edition", "intentionally blank")
 LABELS = ("unclassified", "restricted", "secret")
 KEYWORDS = ("lexicon", "acronyms", "abbreviations", "terms", "definitions")
+#: Elements of a document that one task numbers.
+BLOCK = 10_000
 PAGE_NUMBER = r"^(?:\d+|p\d+|[ivxlcdmIVXLCDM]+|[A-Za-z0-9]+-[A-Za-z0-9]+)$"
 
 
@@ -42,7 +44,7 @@ def page_tags(elements: DataFrame, exclude: Sequence[str] = EXCLUDE) -> DataFram
     keep = F.col("category").isin("Header", "Title") & (F.length(text) > 5)
     for x in exclude:
         keep &= ~F.lower(text).startswith(x)
-    rows = elements.filter(keep).groupBy("filename", "page_number").agg(F.array_sort(F.collect_list(F.struct("el_seq", "text"))).alias("t"))
+    rows = elements.filter(keep).groupBy("filename", "page_number").agg(F.array_sort(F.collect_list(F.struct("el_seq", text.alias("text")))).alias("t"))
     return rows.select("filename", "page_number", F.col("t.text").alias("tags"))
 
 
@@ -71,43 +73,58 @@ def drop_headers(elements: DataFrame, bottom: float = 724, top: float = 52) -> D
     text = strip("text")
     at_bottom = F.coalesce(F.col("y") >= bottom, F.lit(False))
     at_edge = at_bottom | F.coalesce(F.col("y") <= top, F.lit(False))
-    gone = (F.col("category") == "Header") | (F.lower(text).isin(*LABELS) & at_edge) | (F.lower(F.col("text")).startswith("edition") & at_bottom)
+    gone = (F.col("category") == "Header") | (F.lower(text).isin(*LABELS) & at_edge) | (F.lower(text).startswith("edition") & at_bottom)
     return elements.filter(~F.coalesce(gone | (text.rlike(PAGE_NUMBER) & at_bottom), F.lit(False)))
 
 
+def _segments(e: DataFrame, ignore_pages: bool) -> DataFrame:
+    """Adds segment: the breaks before each element, counted per block of BLOCK elements and
+    then across blocks, so that a long document's elements are not sorted in one task."""
+    by_doc = W.partitionBy("filename").orderBy("block")
+    inside = W.partitionBy("filename", "block").orderBy("el_seq")
+    e = e.withColumn("block", F.floor(F.col("el_seq") / BLOCK))
+    ends = e.groupBy("filename", "block").agg(F.max_by(F.struct("closes", "page_number"), "el_seq").alias("before"))
+    ends = ends.select("filename", "block", F.lag("before").over(by_doc).alias("before"))
+    e = e.join(ends, ["filename", "block"])
+    before = F.coalesce(F.lag(F.struct("closes", "page_number")).over(inside), F.col("before"))
+    turn = F.coalesce(before["closes"], F.lit(False))
+    if not ignore_pages:
+        turn |= F.coalesce(F.col("page_number") != before["page_number"], F.lit(False))
+    e = e.withColumn("turns", F.sum(turn.cast("long")).over(inside))
+    counts = e.groupBy("filename", "block").agg(F.max("turns").alias("all"))
+    total = F.coalesce(F.sum("all").over(by_doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("filename", "block", total.alias("offset"))
+    return e.join(offsets, ["filename", "block"]).withColumn("segment", F.col("offset") + F.col("turns")).drop("before", "turns", "offset", "block")
+
+
 def chunk(elements: DataFrame, soft_max: int = 750, ignore_pages: bool = True, keep_tail: bool = False) -> DataFrame:
     """filename, chunk_seq, page_number, text. Breaks that do not depend on size cut a document
-    into segments; inside one, a fold over the lengths places the size breaks."""
-    by_doc = W.partitionBy("filename").orderBy("el_seq")
-    e = elements.withColumn("s", strip("text")).withColumn("n", F.length("s"))
-    e = e.withColumn("closes", ends_sentence(F.col("s")) & ~is_list_item(F.col("text")))
-    turn = F.coalesce(F.lag("closes").over(by_doc), F.lit(False))
-    if not ignore_pages:
-        turn |= F.coalesce(F.col("page_number") != F.lag("page_number").over(by_doc), F.lit(False))
-    e = e.withColumn("segment", F.sum(turn.cast("int")).over(by_doc))
+    into segments; inside one, a fold over the lengths lists the places of the size breaks."""
+    e = elements.withColumn("s", strip(F.coalesce("text", F.lit("")))).withColumn("n", F.length("s"))
+    e = e.withColumn("closes", ends_sentence(F.col("s")) & ~is_list_item(F.col("s")))
+    e = _segments(e.select("filename", "el_seq", "page_number", "s", "n", "closes"), ignore_pages)
     row = F.struct("el_seq", "n", "s", "page_number", "closes")
     seg = e.groupBy("filename", "segment").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("grp"), F.array().cast("array<int>").alias("out"))
+    zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
 
     def step(acc: Column, n: Column) -> Column:
         over = acc["size"] + n > soft_max
-        grp = acc["grp"] + over.cast("int")
-        return F.struct(F.when(over, n).otherwise(acc["size"] + n).alias("size"), grp.alias("grp"), F.concat(acc["out"], F.array(grp)).alias("out"))
+        cuts = F.when(over, F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"])
+        return F.struct(F.when(over, n).otherwise(acc["size"] + n).alias("size"), (acc["at"] + 1).alias("at"), cuts.alias("cuts"))
 
-    groups = F.aggregate(F.col("rows.n"), zero, step, lambda a: a["out"])
+    starts = F.array_union(F.array(F.lit(0)), F.aggregate(F.col("rows.n"), zero, step, lambda a: a["cuts"]))
     last = F.max("segment").over(W.partitionBy("filename"))
-    seg = seg.withColumn("grps", groups).withColumn("tail", (F.col("segment") == last) & ~F.element_at("rows", -1)["closes"])
-    parts = seg.select("filename", "segment", "tail", F.array_max("grps").alias("top"), F.explode(F.arrays_zip("rows", "grps")).alias("z"))
-    parts = parts.select("filename", "segment", "tail", "top", F.col("z.grps").alias("grp"), "z.rows.*")
+    seg = seg.withColumn("starts", starts).withColumn("tail", (F.col("segment") == last) & ~F.element_at("rows", -1)["closes"])
+    stop = lambda i: F.coalesce(F.get("starts", i + 1), F.size("rows"))
+    parts = F.transform("starts", lambda at, i: F.slice("rows", at + 1, stop(i) - at))
+    parts = seg.select("filename", "tail", F.size("starts").alias("parts"), F.posexplode(parts).alias("k", "part"))
     if not keep_tail:
-        parts = parts.filter(~(F.col("tail") & (F.col("grp") == F.col("top"))))
-    out = parts.groupBy("filename", "segment", "grp").agg(
-        F.min("el_seq").alias("el_seq"),
-        F.min(F.struct("el_seq", "page_number"))["page_number"].alias("page_number"),
-        F.array_sort(F.collect_list(F.when(F.col("s") != "", F.struct("el_seq", "s")))).alias("t"),
-    )
-    out = out.filter(F.size("t") > 0).withColumn("text", F.array_join("t.s", "\n"))
-    return out.select("filename", (F.row_number().over(by_doc) - 1).alias("chunk_seq"), "page_number", "text")
+        parts = parts.filter(~(F.col("tail") & (F.col("k") + 1 == F.col("parts"))))
+    text = F.array_join(F.filter(F.col("part.s"), lambda x: x != ""), "\n")
+    out = parts.select("filename", F.col("part")[0]["el_seq"].alias("el_seq"), F.col("part")[0]["page_number"].alias("page_number"), text.alias("text"))
+    out = out.filter("text <> ''")
+    number = F.row_number().over(W.partitionBy("filename").orderBy("el_seq")) - 1
+    return out.select("filename", number.alias("chunk_seq"), "page_number", "text")
 
 
 def attach_tags(chunks: DataFrame, tags: DataFrame) -> DataFrame:
@@ -124,5 +141,7 @@ def chunk_documents(elements: DataFrame, limit: int = 25, soft_max: int = 750, i
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:
-    """Chunks per document and in total (null filename)."""
-    return chunks.rollup("filename").agg(F.count("*").alias("n_chunks"))
+    """n_chunks and n_files of every document and of all (null filename)."""
+    each = chunks.groupBy("filename").agg(F.count("*").alias("n_chunks"), F.lit(1).cast("long").alias("n_files"))
+    total = each.agg(F.lit(None).cast("string").alias("filename"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"), F.count("*").alias("n_files"))
+    return each.unionByName(total)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import stable_id
+from loomspark.functions.text import stable_id, strip
 
 RESPONSE = "array<struct<term:string,definition:string>>"
 
@@ -24,13 +24,36 @@ def extract(chunks: DataFrame, extractor: Callable[[Iterator[pd.DataFrame]], Ite
     return chunks.repartition(partitions).mapInPandas(extractor, "filename string, chunk_id string, chunk_seq long, response string")
 
 
+#: Sentences: up to four words, "is" or "are", and a definition that begins with an article; on
+#: glossary pages the verb is missing and the article capitalised.
+IS_A = r"^(\S+(?: \S+){0,3}?) (?:is|are) ((?:the|a|an|any) .+?)[.!?]*$"
+GLOSSARY = r"^(\S+(?: \S+){0,3}?) ((?:The|A|An|Any) .+?)[.!?]*$"
+#: Page tags of glossary pages.
+GLOSSARY_TAGS = ("lexicon", "terms", "definitions")
+
+
 def rule_concepts(chunks: DataFrame) -> DataFrame:
-    """Explicit definitions: the first sentence "X is ..." (or "X are ...") with X at most four
-    words, exact wording."""
-    found = F.regexp_extract_all("text", F.lit(r"(?m)(?:^|[.!?] )((?:[^\s.!?]+ ){1,4}(?:is|are) [^.!?\n]+\.)"), F.lit(1))
-    rows = chunks.select("filename", "chunk_seq", "page_number", F.posexplode(found).alias("item_seq", "definition"))
-    term = F.regexp_extract("definition", r"^(.*?) (?:is|are) ", 1)
-    return rows.select("filename", "chunk_seq", "page_number", "item_seq", term.alias("name"), "definition")
+    """filename, chunk_seq, page_number, item_seq (sentence), name, definition: the explicit
+    definitions in a chunk's sentences, in the source's words, first letters capitalised and the
+    closing mark left out. chunks without page_tags have no glossary pages."""
+    tagged = F.lit(False)
+    if "page_tags" in chunks.columns:
+        tagged = F.exists(F.coalesce("page_tags", F.array().cast("array<string>")), lambda t: F.lower(t).isin(*GLOSSARY_TAGS))
+    sentences = F.posexplode(F.split("text", r"(?<=[.!?])(?![.!?])|\n")).alias("item_seq", "s")
+    rows = chunks.select("filename", "chunk_seq", "page_number", tagged.alias("tagged"), sentences).withColumn("s", strip("s"))
+    pattern = F.when(F.col("s").rlike(IS_A), F.lit(IS_A)).when(F.col("tagged") & F.col("s").rlike(GLOSSARY), F.lit(GLOSSARY))
+    rows = rows.withColumn("pattern", pattern).filter("pattern is not null")
+    part = lambda k: F.when(F.col("pattern") == IS_A, F.regexp_extract("s", IS_A, k)).otherwise(F.regexp_extract("s", GLOSSARY, k))
+    first_up = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x)))
+    return rows.select("filename", "chunk_seq", "page_number", "item_seq", first_up(part(1)).alias("name"), first_up(part(2)).alias("definition"))
+
+
+def rule_responses(chunks: DataFrame) -> DataFrame:
+    """chunk_id, response: rule_concepts as the responses of a model, one JSON list a chunk."""
+    items = rule_concepts(chunks).groupBy("filename", "chunk_seq").agg(F.array_sort(F.collect_list(F.struct("item_seq", F.col("name").alias("term"), "definition"))).alias("i"))
+    listed = F.transform("i", lambda x: F.struct(x["term"].alias("term"), x["definition"].alias("definition")))
+    out = chunks.select("filename", "chunk_seq", F.col("id").alias("chunk_id")).join(items, ["filename", "chunk_seq"], "left")
+    return out.select("filename", "chunk_id", "chunk_seq", F.to_json(listed).alias("response"))
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -56,10 +79,22 @@ def with_provenance(items: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def progress_result(lines: DataFrame) -> DataFrame:
-    """The last complete event among "data: {...}" lines."""
-    body = F.trim("value")
-    rows = lines.filter(body.startswith("data: ")).select("line_no", F.from_json(F.expr("substring(trim(value), 7)"), "type string, result string").alias("j"))
-    return rows.filter(F.col("j.type") == "complete").agg(F.max_by("j.result", "line_no").alias("result"))
+    """lines: line_no, value. result: the data (JSON) of the last complete event among
+    "data: {...}" lines; malformed lines are skipped."""
+    events = lines.withColumn("s", strip("value")).filter(F.col("s").startswith("data: "))
+    body = F.expr("substring(s, 7)")
+    # a well-formed event whose data is any JSON value: data stays text
+    rows = events.select("line_no", F.from_json(body, "type string, data string").alias("j"), body.alias("body"))
+    done = rows.filter(F.col("j.type") == "complete")
+    return done.agg(F.max_by(F.get_json_object("body", "$.data"), "line_no").alias("result"))
+
+
+def flatten_result(result: DataFrame) -> DataFrame:
+    """result: one JSON object {chunk: {response}}, as progress_result gives. filename,
+    chunk_id, chunk_seq, response: one row a chunk, in the object's order."""
+    entries = F.map_entries(F.from_json("result", "map<string, struct<response: string>>"))
+    rows = result.select(F.posexplode(entries).alias("chunk_seq", "e"))
+    return rows.select(F.lit("result").alias("filename"), F.col("e.key").alias("chunk_id"), "chunk_seq", F.col("e.value.response").alias("response"))
 
 
 def concept_counts(concepts: DataFrame) -> DataFrame:

@@ -18,7 +18,16 @@ DEFINITION, NAME, PAGE, THRESHOLD = 0.60, 0.25, 0.15, 0.6
 @F.pandas_udf(T.DoubleType())
 def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Larger of both directions' matching-block ratios."""
-    return pd.Series([max(SequenceMatcher(None, x, y).ratio(), SequenceMatcher(None, y, x).ratio()) for x, y in zip(a, b, strict=True)])
+    return pd.Series([max(SequenceMatcher(None, x, y).ratio(), SequenceMatcher(None, y, x).ratio()) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def with_similarity(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds out, the sequence similarity of the texts a and b; null where one is null. Equal
+    pairs of texts are compared once, and only these reach Python."""
+    both = F.xxhash64(a, b), F.xxhash64(F.lit(1), a, b)
+    keyed = rows.withColumn("p1", F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), both[0])).withColumn("p2", both[1])
+    texts = keyed.filter("p1 is not null").groupBy("p1", "p2").agg(F.min(F.struct(F.col(a).alias("x"), F.col(b).alias("y"))).alias("t"))
+    return keyed.join(texts.select("p1", "p2", sequence_similarity("t.x", "t.y").alias(out)), ["p1", "p2"], "left").drop("p1", "p2")
 
 
 def candidates(truth: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -29,16 +38,25 @@ def candidates(truth: DataFrame, concepts: DataFrame) -> DataFrame:
     return t.join(concepts.select("filename", "page_number", "concept_seq", "name", "definition"), ["filename", "page_number"])
 
 
-def score(pairs: DataFrame, strict: bool = False) -> DataFrame:
-    """Adds score from definition, name and page; containment spares the name comparison."""
+def score(pairs: DataFrame, strict: bool = False, threshold: float | None = None) -> DataFrame:
+    """Adds name_score, definition_score and score. A name that contains the other scores 1
+    and is not compared; the definition's part before its first full stop counts too unless
+    strict. With a threshold, pairs that cannot reach it by their lengths are left out."""
     n1, n2, d1, d2 = (normalize(F.coalesce(c, F.lit(""))) for c in ("gt_name", "name", "gt_definition", "definition"))
     p = pairs.withColumns({"n1": n1, "n2": n2, "d1": d1, "d2": d2})
-    p = p.withColumn("name_score", F.when(F.col("n1").contains(F.col("n2")) | F.col("n2").contains(F.col("n1")), 1.0).otherwise(sequence_similarity("n1", "n2")))
-    d = sequence_similarity("d1", "d2")
-    if not strict:
-        d = F.greatest(d, F.when(F.col("d2").contains("."), sequence_similarity(F.col("d1"), F.substring_index("d2", ".", 1))))
+    first = F.lit(None).cast("string") if strict else F.when(F.col("d2").contains("."), F.substring_index("d2", ".", 1))
+    p = p.withColumn("d3", first).withColumn("holds", F.col("n1").contains(F.col("n2")) | F.col("n2").contains(F.col("n1")))
     same = (F.col("page_number") == F.col("gt_page")).cast("double")
-    return p.withColumn("score", DEFINITION * d + NAME * F.col("name_score") + PAGE * same).drop("n1", "n2", "d1", "d2")
+    if threshold is not None:
+        most = lambda a, b: F.coalesce(2.0 * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0)), F.lit(1.0))
+        by_name = F.when(F.col("holds"), 1.0).otherwise(most("n1", "n2"))
+        by_definition = F.greatest(most("d1", "d2"), F.when(F.col("d3").isNotNull(), most("d1", "d3")))
+        p = p.filter(DEFINITION * by_definition + NAME * by_name + PAGE * same >= threshold - 1e-9)
+    p = p.withColumn("other", F.when(~F.col("holds"), F.col("n2")))
+    p = with_similarity(with_similarity(with_similarity(p, "n1", "other", "r1"), "d1", "d2", "r2"), "d1", "d3", "r3")
+    p = p.withColumn("name_score", F.coalesce("r1", F.lit(1.0))).withColumn("definition_score", F.greatest("r2", "r3"))
+    total = DEFINITION * F.col("definition_score") + NAME * F.col("name_score") + PAGE * same
+    return p.withColumn("score", total).drop("n1", "n2", "d1", "d2", "d3", "holds", "other", "r1", "r2", "r3")
 
 
 def best_matches(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -62,9 +80,13 @@ def label(truth: DataFrame, concepts: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def metrics(labels: DataFrame) -> DataFrame:
-    """Counts, precision, recall and F1 per document and over all (null filename)."""
+    """Counts, totals of extracted and truth rows, precision, recall and F1 per document and
+    over all (null filename)."""
     n = lambda k: F.count(F.when(F.col("kind") == k, 1)).alias(k.lower())
-    c = labels.rollup("filename").agg(n("TP"), n("FP"), n("FN"))
+    c = labels.groupBy("filename").agg(n("TP"), n("FP"), n("FN"))
+    c = c.unionByName(c.agg(F.lit(None).cast("string").alias("filename"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tp", "fp", "fn")]))
+    # a picked concept is TP for one truth row
+    c = c.withColumn("total_extracted", F.col("tp") + F.col("fp")).withColumn("total_ground_truth", F.col("tp") + F.col("fn"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     c = c.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     f1: Column = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))

@@ -11,44 +11,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.frames import written
-from loomspark.operators import taxonomy
+from loomspark.operators import taxonomy, vectors
 
 #: Inserted concepts rank after every node of the hierarchy.
 AFTER_NODES = 1 << 40
-ROWS = 2048
 
 
 def _nearest_before(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """The nearest row of right that exists before each row of left, smaller ord on ties."""
-    seqs, ords, distances = [], [], []
+    row, ords, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if len(left) and len(right):
-        right = right.sort_values("ord")
-        t, since, ord_ = np.stack(right["embedding"].to_numpy()).astype(np.float64), right["since"].to_numpy(), right["ord"].to_numpy()
-        for lo in range(0, len(left), ROWS):
-            part = left.iloc[lo : lo + ROWS]
-            x, seq = np.stack(part["embedding"].to_numpy()).astype(np.float64), part["seq"].to_numpy()
-            d = (x * x).sum(1)[:, None] + (t * t).sum(1)[None, :] - 2 * x @ t.T
-            d[since[None, :] >= seq[:, None]] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, :4]
-            exact = ((x[:, None, :] - t[near]) ** 2).sum(2)
-            exact[np.take_along_axis(d, near, 1) == np.inf] = np.inf
-            best = np.lexsort((ord_[near], exact))[:, 0]
-            rows = np.flatnonzero(np.isfinite(exact[np.arange(len(x)), best]))
-            seqs.append(seq[rows])
-            ords.append(ord_[near[rows, best[rows]]])
-            distances.append(exact[rows, best[rows]])
-    if not seqs:
-        return pd.DataFrame({"seq": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64"), "o": pd.Series(dtype="int64")})
-    return pd.DataFrame({"seq": np.concatenate(seqs), "d": np.concatenate(distances), "o": np.concatenate(ords)})
-
-
-def nearest_before(queries: DataFrame, nodes: DataFrame, query_blocks: int = 8, node_blocks: int = 4) -> DataFrame:
+        seq, since = left["seq"].to_numpy(), right["since"].to_numpy()
+        before = lambda lo, hi: since[None, :] < seq[lo:hi, None]
+        row, ords, d = vectors.nearest_rows(vectors.matrix(left["embedding"]), vectors.matrix(right["embedding"]), right["ord"].to_numpy(), 1, before)
+    return pd.DataFrame({"seq": left["seq"].to_numpy()[row], "d": d, "o": ords})
+
+
+def nearest_before(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """queries: seq, embedding; nodes: ord, since, embedding. seq, near (struct of d, o): the
     nearest node with since < seq. Blocks of both sides meet; one row a query leaves each."""
-    blocks = lambda n: F.explode(F.array(*[F.lit(i) for i in range(n)]))
-    q = queries.select("seq", "embedding", F.pmod(F.xxhash64("seq"), F.lit(query_blocks)).alias("qb"), blocks(node_blocks).alias("nb"))
-    t = nodes.select("ord", "since", "embedding", F.pmod(F.xxhash64("ord"), F.lit(node_blocks)).alias("nb"), blocks(query_blocks).alias("qb"))
-    part = q.groupBy("qb", "nb").cogroup(t.groupBy("qb", "nb")).applyInPandas(_nearest_before, "seq long, d double, o long")
+    pairs = vectors.in_blocks(queries.select("seq", "embedding"), "seq", nodes.select("ord", "since", "embedding"), "ord")
+    part = pairs.applyInPandas(_nearest_before, "seq long, d double, o long")
     return part.groupBy("seq").agg(F.min(F.struct("d", "o")).alias("near"))
 
 
@@ -161,17 +144,30 @@ def export_rows(nodes: DataFrame, order: DataFrame) -> DataFrame:
 
 def apply_decisions(nodes: DataFrame, concepts: DataFrame, decisions: DataFrame) -> DataFrame:
     """nodes (with ord) after the decisions of decide_in_order: inserted concepts as last
-    children of their best nodes, then merged ones added to theirs."""
+    children of their best nodes, then merged ones added to theirs. Other columns of nodes stay,
+    empty for new nodes but for `Source name`."""
     made = concepts.join(decisions.select("seq", F.col("ord").alias("best"), "result"), "seq")
     ids = nodes.select("ord", "node_id").unionByName(concepts.select((F.col("seq") + AFTER_NODES).alias("ord"), F.col("concept_id").alias("node_id")))
     made = made.join(ids, made.best == ids.ord).drop("ord")
     made = made.withColumn("concept_seq", F.col("seq"))
-    plain = nodes.select("node_id", "parent_id", "child_ord", "name", "definition", "status", "standards", "alt_names", "alt_definitions")
-    grown = taxonomy.insert_children(plain, made.filter("result = 'Insert'"))
+    grown = taxonomy.insert_children(nodes.drop("ord", "embedding"), made.filter("result = 'Insert'"))
     grown = taxonomy.merge_concepts(grown, made.filter("result = 'Merge'"))
-    vectors = nodes.select("node_id", "ord", "embedding")
+    held = nodes.select("node_id", "ord", "embedding")
     # a new node follows all earlier ones, in concept order
     fresh = made.filter("result = 'Insert'").select(F.col("concept_id").alias("node_id"), "seq", "embedding")
     top = nodes.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top"))
     fresh = fresh.crossJoin(F.broadcast(top)).select("node_id", (F.col("top") + 1 + F.col("seq")).alias("ord"), "embedding")
-    return grown.join(vectors.unionByName(fresh), "node_id")
+    return grown.join(held.unionByName(fresh), "node_id")
+
+
+def insert_snapshot(nodes: DataFrame, concepts: DataFrame, reject: float = taxonomy.REJECT, merge: float = taxonomy.MERGE) -> tuple[DataFrame, DataFrame]:
+    """All concepts against one snapshot: decisions (the concepts' columns, node, similarity,
+    result, best_matching_node) and the nodes after them, without vectors. nodes: with ord and
+    embedding; concepts: concept_id, seq, name, definition, filename, page_number, embedding."""
+    queries = concepts.filter("embedding is not null").select(F.col("seq").alias("query_id"), "embedding")
+    best = vectors.nearest_nodes(queries, nodes.select(F.col("ord").alias("node_id"), "embedding"))
+    best = best.select(F.col("query_id").alias("seq"), F.col("node_id").alias("ord"), (1 - F.col("distance")).alias("similarity"))
+    scored = concepts.join(best, "seq", "left").join(nodes.select("ord", "node_id", F.col("name").alias("node")), "ord", "left").drop("ord")
+    decided = written(taxonomy.decide(scored.withColumn("concept_seq", F.col("seq")), reject, merge), "snapshot")
+    grown = taxonomy.insert_children(nodes.drop("ord", "embedding"), decided.filter("result = 'Insert'"))
+    return decided, taxonomy.merge_concepts(grown, decided.filter("result = 'Merge'"))

@@ -7,17 +7,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspark.functions.frames import written
 from loomspark.functions.text import stable_id, strip
 
 REJECT, MERGE = 0.5, 0.65
 
 
+#: Sheet columns that hold lists, and the columns of a node they become.
+LISTS = {"Associated Standards": "standards", "Alternative Names": "alt_names", "Alternative Definitions": "alt_definitions"}
+
+
 def normalize_rows(rows: DataFrame) -> DataFrame:
-    """Sheet rows (row_ord, ID, Term, ...): the last row's content at the first row's place."""
+    """Sheet rows (row_ord, ID, Term, ...): the last row's content at the first row's place (pos).
+    An exported sheet is read back: its Status and its lists stay; else they are "Original" and
+    empty."""
     name = strip("Term")
-    out = rows.withColumn("name", name).groupBy("name").agg(F.max_by(F.struct(*rows.columns), "row_ord").alias("r"), F.min("row_ord").alias("pos"))
-    node_id = F.when(F.coalesce(F.col("r.ID"), F.lit("")) != "", F.col("r.ID")).otherwise(stable_id("name"))
-    return out.select(node_id.alias("node_id"), "name", "pos", F.lit("Original").alias("status"), "r.*").drop("ID", "Term", "row_ord")
+    out = rows.withColumn("name", name).groupBy("name").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), "row_ord").alias("r"), F.min("row_ord").alias("pos"))
+    held = lambda c: F.col("r")[c] if c in rows.columns else F.lit(None).cast("string")
+    node_id = F.when(F.coalesce(held("ID"), F.lit("")) != "", held("ID")).otherwise(stable_id("name"))
+    status = F.when(F.coalesce(held("Status"), F.lit("")) != "", held("Status")).otherwise("Original")
+    listed = lambda c: F.when(F.coalesce(held(c), F.lit("")) != "", F.split(held(c), "; ")).otherwise(F.array().cast("array<string>"))
+    made = {"ID", "Term", "row_ord", "Definition", "Status", "name", *LISTS}
+    other = [F.col("r")[c].alias(c) for c in rows.columns if c not in made]
+    return out.select(node_id.alias("node_id"), "name", "pos", held("Definition").alias("definition"), status.alias("status"), *[listed(c).alias(v) for c, v in LISTS.items()], *other)
 
 
 def resolve_parents(nodes: DataFrame, parent: str = "Parent name/Broader", preferred: str = "Preferred name") -> DataFrame:
@@ -31,33 +43,49 @@ def resolve_parents(nodes: DataFrame, parent: str = "Parent name/Broader", prefe
     return out.withColumn("orphan", (F.col("want") != "") & F.col("parent_id").isNull()).drop("p1", "p2", "want")
 
 
-def preorder(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+def grow(nodes: DataFrame) -> DataFrame:
+    """Nodes of normalize_rows as a hierarchy: resolved parents, child_ord by place; the sheet's
+    own parent and child columns go."""
+    n = resolve_parents(nodes)
+    order = F.row_number().over(W.partitionBy("parent_id").orderBy("pos")) - 1
+    return n.withColumn("child_ord", order).drop("Parent name/Broader", "Child name/Narrower")
+
+
+def preorder(nodes: DataFrame) -> DataFrame:
     """node_id, depth, path of child ordinals and is_last flags, joined level by level; order by
-    path gives the preorder. Nodes of cycles stay out."""
+    path gives the preorder. Every level is written before the next; a node without a path from
+    a root (a cycle) stays out, so there are at most as many levels as nodes."""
     last = F.col("child_ord") == F.max("child_ord").over(W.partitionBy("parent_id"))
     flat = nodes.select("node_id", "parent_id", "child_ord", last.alias("is_last"))
     level = flat.filter("parent_id is null").select("node_id", F.lit(0).alias("depth"), F.array("child_ord").alias("path"), F.array(F.lit(True)).alias("lasts"))
+    level = written(level, "level")
     out = level
-    for depth in range(1, max_depth + 1):
-        up = level.select(F.col("node_id").alias("parent_id"), "path", "lasts")
+    while True:
+        up = level.select(F.col("node_id").alias("parent_id"), "depth", "path", "lasts")
         level = flat.filter("parent_id is not null").join(up, "parent_id").select(
-            "node_id", F.lit(depth).alias("depth"), F.concat("path", F.array("child_ord")).alias("path"), F.concat("lasts", F.array("is_last")).alias("lasts")
+            "node_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child_ord")).alias("path"), F.concat("lasts", F.array("is_last")).alias("lasts")
         )
+        level = written(level, "level")
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
-def validate(nodes: DataFrame, order: DataFrame) -> DataFrame:
-    """error, node_id: several roots, no root, unknown parents, nodes in cycles."""
+def validate(nodes: DataFrame, order: DataFrame, strict: bool = False) -> DataFrame:
+    """error, node_id: several roots, no root, unknown parents, nodes in cycles. strict raises
+    if there is any. An orphan (resolve_parents) is no root; its parent is unknown."""
+    orphan = F.coalesce("orphan", F.lit(False)) if "orphan" in nodes.columns else F.lit(False)
+    nodes = nodes.withColumn("parent_id", F.when(orphan, F.lit("")).otherwise(F.col("parent_id")))
     roots = nodes.filter("parent_id is null")
     many = roots.withColumn("n", F.count("*").over(W.partitionBy(F.lit(1)))).filter("n > 1").select(F.lit("several roots").alias("error"), "node_id")
     none = roots.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("no root").alias("error"), F.lit(None).cast("string").alias("node_id"))
     known = nodes.select(F.col("node_id").alias("parent_id"))
     lost = nodes.filter("parent_id is not null").join(known, "parent_id", "left_anti")
     loops = nodes.join(order, "node_id", "left_anti").join(lost.select("node_id"), "node_id", "left_anti")
-    return many.unionByName(none).unionByName(lost.select(F.lit("parent not found").alias("error"), "node_id")).unionByName(loops.select(F.lit("not reachable").alias("error"), "node_id"))
+    errors = many.unionByName(none).unionByName(lost.select(F.lit("parent not found").alias("error"), "node_id")).unionByName(loops.select(F.lit("not reachable").alias("error"), "node_id"))
+    if strict and (first := errors.orderBy("error", "node_id").first()) is not None:
+        raise ValueError(f"{first['error']}: {first['node_id']}")
+    return errors
 
 
 def children_names(nodes: DataFrame) -> DataFrame:
@@ -121,38 +149,48 @@ def merge_concepts(nodes: DataFrame, merged: DataFrame, salt: int = 16) -> DataF
     )
 
 
+def _fresh(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (node_id, parent_id, child_ord, name, definition, filename, page_number) as nodes
+    with the columns of nodes, in their order."""
+    mark = F.concat(F.col("filename"), F.lit(" (p. "), F.col("page_number").cast("string"), F.lit(")"))
+    none = F.array().cast("array<string>")
+    made = {"status": F.lit("Introduced"), "standards": F.array(mark), "alt_names": none, "alt_definitions": none, "Source name": F.col("filename")}
+    held = ("node_id", "parent_id", "child_ord", "name", "definition")
+    value = lambda f: F.col(f.name) if f.name in held else made.get(f.name, F.lit(None))
+    return rows.select(*[value(f).cast(f.dataType).alias(f.name) for f in nodes.schema.fields])
+
+
 def insert_children(nodes: DataFrame, inserted: DataFrame) -> DataFrame:
     """inserted: concept_id, node_id (best node), concept_seq, name, definition, filename,
     page_number. New nodes come last under their best node."""
-    top = nodes.groupBy("parent_id").agg(F.max("child_ord").alias("top")).filter("parent_id is not null")
+    top = nodes.groupBy(F.col("parent_id").alias("t_parent")).agg(F.max("child_ord").alias("top")).filter("t_parent is not null")
     rank = F.row_number().over(W.partitionBy("parent_id").orderBy("concept_seq"))
-    new = inserted.withColumnRenamed("node_id", "parent_id").withColumn("r", rank).join(top, "parent_id", "left")
-    mark = F.concat(F.col("filename"), F.lit(" (p. "), F.col("page_number").cast("string"), F.lit(")"))
-    none = F.array().cast("array<string>")
-    new = new.select(
-        F.col("concept_id").alias("node_id"), "parent_id", (F.coalesce("top", F.lit(-1)) + F.col("r")).cast("int").alias("child_ord"),
-        "name", "definition", F.lit("Introduced").alias("status"), F.array(mark).alias("standards"), none.alias("alt_names"), none.alias("alt_definitions"),
-    )
-    return nodes.unionByName(new)
+    new = inserted.select(F.col("concept_id").alias("node_id"), F.col("node_id").alias("parent_id"), "concept_seq", "name", "definition", "filename", "page_number")
+    new = new.withColumn("r", rank).join(top, F.col("parent_id") == F.col("t_parent"), "left")
+    return nodes.unionByName(_fresh(new.withColumn("child_ord", F.coalesce("top", F.lit(-1)) + F.col("r")), nodes))
 
 
 def insert_parents(nodes: DataFrame, inserted: DataFrame) -> DataFrame:
-    """inserted: concept_id, node_id (one row a node), name, definition. The new node comes last
-    under the old parent, the best node becomes its child."""
-    moves = inserted.select("node_id", F.col("concept_id").alias("above"))
-    old = nodes.join(moves, "node_id", "left")
-    top = nodes.groupBy("parent_id").agg(F.max("child_ord").alias("top"))
-    none = F.array().cast("array<string>")
-    src = inserted.withColumnRenamed("name", "c_name").withColumnRenamed("definition", "c_definition")
-    new = src.join(nodes.select("node_id", "parent_id"), "node_id")
-    new = new.join(top.withColumnRenamed("parent_id", "t_parent"), F.col("parent_id").eqNullSafe(F.col("t_parent")))
-    rank = F.row_number().over(W.partitionBy("parent_id").orderBy("concept_id"))
-    new = new.select(
-        F.col("concept_id").alias("node_id"), "parent_id", (F.col("top") + rank).cast("int").alias("child_ord"), F.col("c_name").alias("name"),
-        F.col("c_definition").alias("definition"), F.lit("Introduced").alias("status"), none.alias("standards"), none.alias("alt_names"), none.alias("alt_definitions"),
-    )
-    moved = old.withColumn("parent_id", F.coalesce("above", "parent_id")).withColumn("child_ord", F.when(F.col("above").isNotNull(), 0).otherwise(F.col("child_ord")))
-    return moved.drop("above").unionByName(new)
+    """inserted: concept_id, node_id (best node), concept_seq, name, definition, filename,
+    page_number. A new node takes the best node's place and comes last under its parent, the
+    best node becomes its child. Several for one node apply in concept order: a later one sits
+    directly above the node, so each lies under the one before it."""
+    new = inserted.select("concept_id", "node_id", "concept_seq", "name", "definition", "filename", "page_number")
+    by_node = W.partitionBy("node_id").orderBy("concept_seq")
+    new = new.withColumn("above", F.lag("concept_id").over(by_node)).withColumn("later", F.lead("concept_id").over(by_node))
+    moves = new.filter("later is null").select(F.col("node_id").alias("m_id"), F.col("concept_id").alias("m_parent"))
+    place = nodes.select(F.col("node_id").alias("p_id"), F.col("parent_id").alias("old"))
+    new = new.join(place, F.col("node_id") == F.col("p_id"))
+    top = nodes.groupBy(F.col("parent_id").alias("t_parent")).agg(F.max("child_ord").alias("top"))
+    outer = F.col("above").isNull()
+    new = new.join(top, outer & F.col("old").eqNullSafe(F.col("t_parent")), "left")
+    rank = F.row_number().over(W.partitionBy(outer, "old").orderBy("concept_seq"))
+    child_ord = F.when(outer, F.coalesce("top", F.lit(-1)) + rank).otherwise(0)
+    rows = new.select(F.col("concept_id").alias("node_id"), F.coalesce("above", "old").alias("parent_id"), child_ord.alias("child_ord"), "name", "definition", "filename", "page_number")
+    old = nodes.join(moves, F.col("node_id") == F.col("m_id"), "left")
+    moved = old.withColumn("child_ord", F.when(F.col("m_parent").isNotNull(), 0).otherwise(F.col("child_ord")).cast(nodes.schema["child_ord"].dataType))
+    moved = moved.withColumn("parent_id", F.coalesce("m_parent", "parent_id")).select(*[F.col(f"`{c}`") for c in nodes.columns])
+    return moved.unionByName(_fresh(rows, nodes))
 
 
 def decision_summary(decisions: DataFrame, *keys: str) -> DataFrame:

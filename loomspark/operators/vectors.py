@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
+#: Rows of one block of either side, and of the slices compared at once inside a task.
+BLOCK_ROWS, SLICE_ROWS = 16384, 512
 
 
 def hashed_embedding(texts: pd.Series, dim: int = 64) -> pd.Series:
@@ -19,16 +21,18 @@ def hashed_embedding(texts: pd.Series, dim: int = 64) -> pd.Series:
     for t in texts.fillna(""):
         v = np.zeros(dim, np.float32)
         for w in t.lower().split():
-            h = int.from_bytes(w.encode()[:64].ljust(8, b"\0")[:8], "little") ^ len(w)
-            h = (h * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
-            v[h >> 58 if dim == 64 else (h >> 32) % dim] += 1 if h & 1 << 20 else -1
+            h = int(md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:12], 16)
+            v[(h >> 1) % dim] += 1 if h & 1 else -1
         n = np.linalg.norm(v)
         out.append((v / n if n else v).tolist())
-    return pd.Series(out)
+    return pd.Series(out, dtype=object)
 
 
 def embed(docs: DataFrame, text: str, embedder: Callable[[pd.Series], pd.Series] = hashed_embedding) -> DataFrame:
-    return docs.withColumn("embedding", F.pandas_udf(embedder, "array<float>")(text))
+    def run(texts: pd.Series) -> pd.Series:
+        return embedder(texts)
+
+    return docs.withColumn("embedding", F.pandas_udf(run, "array<float>")(text))
 
 
 def out_of_sync(nodes: DataFrame, index: DataFrame) -> DataFrame:
@@ -38,33 +42,75 @@ def out_of_sync(nodes: DataFrame, index: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def nearest_rows(x: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int, allowed: Callable[[int, int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of x, id and squared distance of the k nearest rows of t, smaller ids on ties. The
+    matrix product only preselects: everything within rounding of the k-th distance is computed
+    exactly. allowed(lo, hi) masks the pairs of rows lo to hi of x."""
+    rows, out, distances = [], [], []
+    norms = (t * t).sum(1)
+    for lo in range(0, len(x) if len(t) else 0, SLICE_ROWS):
+        part = x[lo : lo + SLICE_ROWS]
+        own = (part * part).sum(1)
+        d = own[:, None] + norms[None, :] - 2 * part @ t.T
+        if allowed is not None:
+            d[~allowed(lo, lo + len(part))] = np.inf
+        m = min(k, len(t))
+        edge = np.partition(d, m - 1, axis=1)[:, m - 1]
+        margin = 1e-9 * (own + norms.max() + 1)
+        i, j = np.nonzero((d <= (edge + margin)[:, None]) & np.isfinite(d))
+        exact = ((part[i] - t[j]) ** 2).sum(1)
+        order = np.lexsort((ids[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.searchsorted(i, i)  # place of each row's first candidate
+        keep = np.arange(len(i)) - first < k
+        rows.append(i[keep] + lo)
+        out.append(ids[j[keep]])
+        distances.append(exact[keep])
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return np.concatenate(rows), np.concatenate(out), np.concatenate(distances)
+
+
+def matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def blocks_of(rows: int) -> int:
+    """Number of blocks of at most about BLOCK_ROWS rows."""
+    return max(1, -(-rows // BLOCK_ROWS))
+
+
+def in_blocks(left: DataFrame, left_key: str, right: DataFrame, right_key: str):
+    """Both sides cut into blocks by hash, as many as their rows ask for; every pair of blocks
+    meets as one cogroup. Rows of a side are repeated for each block of the other."""
+    n_left, n_right = blocks_of(left.count()), blocks_of(right.count())
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.withColumn("lb", F.pmod(F.xxhash64(left_key), F.lit(n_left))).withColumn("rb", every(n_right))
+    b = right.withColumn("rb", F.pmod(F.xxhash64(right_key), F.lit(n_right)).cast("int")).withColumn("lb", every(n_left))
+    return a.groupBy(F.col("lb").cast("int").alias("lb"), "rb").cogroup(b.groupBy("lb", "rb"))
+
+
 def _nearest(top_k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "node_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        if left.empty or right.empty:
-            return none
-        x, t = np.stack(left["embedding"].to_numpy()).astype(np.float32), np.stack(right["embedding"].to_numpy()).astype(np.float32)
-        ids = right["node_id"].to_numpy()
-        order = np.argsort(ids)
-        ids, t = ids[order], t[order]
-        d = (x * x).sum(1)[:, None] + (t * t).sum(1)[None, :] - 2 * x @ t.T
-        k = min(top_k + 4, d.shape[1])
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        exact = ((x[:, None, :].astype(np.float64) - t[near].astype(np.float64)) ** 2).sum(2)
-        best = np.lexsort((ids[near], exact))[:, :top_k]
-        rows = np.arange(len(x))[:, None]
-        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), best.shape[1]), "node_id": ids[near[rows, best]].ravel(), "distance": exact[rows, best].ravel()})
+        row, ids, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(left) and len(right):
+            row, ids, d = nearest_rows(matrix(left["embedding"]), matrix(right["embedding"]), right["node_id"].to_numpy(), top_k)
+        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[row], "node_id": ids, "distance": d})
 
     return run
 
 
-def nearest_nodes(queries: DataFrame, nodes: DataFrame, top_k: int = 1, query_blocks: int = 8, node_blocks: int = 4) -> DataFrame:
-    """queries: query_id, embedding; nodes: node_id, embedding (long ids). The top_k nodes by
-    squared distance, smaller ids first on ties. Blocks of both sides meet as one matrix
-    product a pair of blocks; partial winners are ranked again."""
-    blocks = lambda n: F.array(*[F.lit(i) for i in range(n)])
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn("nb", F.explode(blocks(node_blocks)))
-    t = nodes.withColumn("nb", F.pmod(F.xxhash64("node_id"), F.lit(node_blocks))).withColumn("qb", F.explode(blocks(query_blocks)))
-    part = q.groupBy("qb", "nb").cogroup(t.groupBy("qb", "nb")).applyInPandas(_nearest(top_k), "query_id long, node_id long, distance double")
+def nearest_nodes(queries: DataFrame, nodes: DataFrame, top_k: int = 1, where: Column | None = None, metric: str = "squared") -> DataFrame:
+    """queries: query_id, embedding; nodes: node_id (longs), embedding, perhaps doc and columns
+    for where, which chooses nodes before the ranking. query_id, node_id, distance, rank, and doc
+    if nodes have it: the top_k nodes, smaller ids first on ties. metric: squared or l2."""
+    if metric not in ("squared", "l2"):
+        raise ValueError(f"unknown metric {metric}")
+    nodes = nodes if where is None else nodes.filter(where)
+    pairs = in_blocks(queries.select("query_id", "embedding"), "query_id", nodes.select("node_id", "embedding"), "node_id")
+    part = pairs.applyInPandas(_nearest(top_k), "query_id long, node_id long, distance double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "node_id"))
-    return part.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+    best = part.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+    if metric == "l2":
+        best = best.withColumn("distance", F.sqrt("distance"))
+    return best.join(nodes.select("node_id", "doc"), "node_id") if "doc" in nodes.columns else best

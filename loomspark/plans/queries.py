@@ -1,335 +1,4 @@
-"""Queries over the given tables, one or more for every operator, with their SQL."""
+"""All registered queries over the given tables, with their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loomspark.operators import chunking, concepts, evaluation, placement, store, taxonomy, vectors
-from loomspark.sources import elements as src
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements of documents; page, category and height follow from doc_id and el_seq."""
-    d = src.text_elements(_table(spark, sf_dir, "documents"))
-    return d.selectExpr(
-        "filename", "cast(el_seq as bigint) as el_seq", "cast(el_seq div 8 + 1 as int) as page_number",
-        "case when el_seq % 11 = 0 then 'Title' when el_seq % 7 = 3 then 'Header' when el_seq % 5 = 2 then 'ListItem' else 'NarrativeText' end as category",
-        "text", "cast((el_seq * 131 + cast(filename as bigint)) % 780 as double) as y",
-    )
-
-
-_E = r"""
-WITH e0 AS (SELECT doc_id::VARCHAR AS filename, unnest(string_split_regex(text, '\n|, ')) AS text,
-                   unnest(range(len(string_split_regex(text, '\n|, '))))::BIGINT AS el_seq FROM documents),
-e AS (SELECT filename, el_seq, (el_seq // 8 + 1)::INT AS page_number,
-             CASE WHEN el_seq % 11 = 0 THEN 'Title' WHEN el_seq % 7 = 3 THEN 'Header' WHEN el_seq % 5 = 2 THEN 'ListItem' ELSE 'NarrativeText' END AS category,
-             text, ((el_seq * 131 + filename::BIGINT) % 780)::DOUBLE AS y,
-             regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM e0)
-"""
-
-
-@query(_E + "SELECT filename, el_seq, page_number, category, text FROM e")
-def a1_text_elements(spark, sf_dir):
-    return _elements(spark, sf_dir).drop("y")
-
-
-@query()
-def a1_html_elements(spark, sf_dir):
-    return src.html_elements(_table(spark, sf_dir, "pages"))
-
-
-@query()
-def a8_truth_documents(spark, sf_dir):
-    rows = _elements(spark, sf_dir).select("filename", F.col("el_seq").alias("ord"), F.col("page_number").alias("page"), "text", F.lit("Highlight").alias("type"))
-    return src.truth_documents(evaluation.clean_highlights(rows))
-
-
-@query(_E + r"""
-SELECT filename, min(CASE WHEN contains(lower(s), 'chapter 1') AND page_number > greatest(coalesce(p, 0), coalesce(t, 0)) THEN page_number END) AS page
-FROM (SELECT *, min(CASE WHEN page_number > 25 THEN el_seq END) OVER (PARTITION BY filename) AS stop,
-             arg_max(page_number, el_seq) FILTER (lower(s) = 'preface') OVER (PARTITION BY filename) AS p,
-             arg_max(page_number, el_seq) FILTER (lower(s) = 'table of contents') OVER (PARTITION BY filename) AS t FROM e)
-WHERE stop IS NULL OR el_seq <= stop GROUP BY filename""")
-def b1_first_chapter(spark, sf_dir):
-    return chunking.first_chapter_page(_elements(spark, sf_dir))
-
-
-@query(_E + "SELECT filename, el_seq FROM e")
-def b2_skip(spark, sf_dir):
-    return chunking.skip_to_first_chapter(_elements(spark, sf_dir)).select("filename", "el_seq")
-
-
-@query(_E + r"""
-SELECT filename, page_number, string_agg(text, '|' ORDER BY el_seq) AS tags FROM e
-WHERE category IN ('Header', 'Title') AND length(s) > 5 AND NOT regexp_matches(lower(s), '^(unclassified|restricted|edition|intentionally blank)')
-GROUP BY ALL""")
-def b3_page_tags(spark, sf_dir):
-    return chunking.page_tags(_elements(spark, sf_dir)).select("filename", "page_number", store.pack_tags("tags").alias("tags"))
-
-
-@query()
-def b4_propagated_tags(spark, sf_dir):
-    return chunking.propagate_tags(chunking.page_tags(_elements(spark, sf_dir)))
-
-
-@query(_E + r"""
-SELECT filename, el_seq FROM e WHERE NOT (category = 'Header'
-  OR (lower(s) IN ('unclassified', 'restricted', 'secret') AND (y >= 724 OR y <= 52)) OR (starts_with(lower(text), 'edition') AND y >= 724)
-  OR (y >= 724 AND regexp_matches(s, '^(?:[0-9]+|p[0-9]+|[ivxlcdmIVXLCDM]+|[A-Za-z0-9]+-[A-Za-z0-9]+)$')))""")
-def b9_drop_headers(spark, sf_dir):
-    return chunking.drop_headers(_elements(spark, sf_dir)).select("filename", "el_seq")
-
-
-_FOLD = _E.replace("WITH e0", "WITH RECURSIVE e0") + r""",
-n AS (SELECT *, length(s) AS n, regexp_matches(s, '[.)\]]$') AND NOT regexp_matches(text, '^\s*(?:\d+[.)]|[A-Za-z][.)]|i{1,3}\.)') AS closes FROM e),
-f AS (SELECT filename, el_seq, page_number, n, s, closes, 0::BIGINT AS k, n AS size, closes AS shut FROM n WHERE el_seq = 0
-      UNION ALL
-      SELECT n.filename, n.el_seq, n.page_number, n.n, n.s, n.closes,
-             CASE WHEN f.shut OR f.size + n.n > 750 THEN f.k + 1 ELSE f.k END,
-             CASE WHEN f.shut OR f.size + n.n > 750 THEN n.n ELSE f.size + n.n END, n.closes
-      FROM f JOIN n ON n.filename = f.filename AND n.el_seq = f.el_seq + 1),
-g AS (SELECT filename, k, arg_min(page_number, el_seq) AS page_number, string_agg(s, chr(10) ORDER BY el_seq) FILTER (s <> '') AS text,
-             arg_max(closes, el_seq) AS closed, k = max(k) OVER (PARTITION BY filename) AS last FROM f GROUP BY filename, k),
-c AS (SELECT filename, row_number() OVER (PARTITION BY filename ORDER BY k) - 1 AS chunk_seq, page_number, text FROM g
-      WHERE text IS NOT NULL AND (closed OR NOT last))
-"""
-
-
-@query(_FOLD + "SELECT filename, chunk_seq, page_number, text FROM c")
-def b11_chunk_fold(spark, sf_dir):
-    return chunking.chunk(_elements(spark, sf_dir))
-
-
-@query(_FOLD + "SELECT filename, count(*) AS n_chunks FROM c GROUP BY ROLLUP (filename)")
-def b14_chunk_counts(spark, sf_dir):
-    return chunking.chunk_counts(chunking.chunk(_elements(spark, sf_dir)))
-
-
-@query()
-def b13_chunk_documents(spark, sf_dir):
-    return chunking.chunk_documents(_elements(spark, sf_dir))
-
-
-@query()
-def c3_rule_concepts(spark, sf_dir):
-    return concepts.rule_concepts(chunking.chunk(_elements(spark, sf_dir)))
-
-
-def _responses(spark, sf_dir):
-    """Conversations as responses: one item a turn, some malformed."""
-    c = _table(spark, sf_dir, "conversations")
-    item = F.to_json(F.array(F.struct(F.col("role").alias("term"), F.col("text").alias("definition"))))
-    body = F.when(F.col("turn") % 5 == 4, "[{").otherwise(item)
-    return c.select(F.col("conv_id").cast("string").alias("filename"), F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.col("turn").alias("chunk_seq"), body.alias("response"))
-
-
-@query("SELECT conv_id::VARCHAR AS filename, role AS term, arg_max(text, turn) AS definition FROM conversations WHERE turn % 5 <> 4 AND role <> '' GROUP BY ALL")
-def c5_flatten_terms(spark, sf_dir):
-    return concepts.flatten_terms(concepts.parse_responses(_responses(spark, sf_dir)))
-
-
-@query("SELECT conv_id::VARCHAR AS filename, count(*) AS n_concepts FROM conversations WHERE turn % 5 <> 4 GROUP BY 1")
-def c7_concept_counts(spark, sf_dir):
-    return concepts.concept_counts(concepts.parse_responses(_responses(spark, sf_dir)).filter("not bad"))
-
-
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM orders
-UNION ALL SELECT -o_orderkey AS id, 'new' AS state FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey > 0""")
-def d1_upsert(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    base = o.withColumn("state", F.lit("old")).withColumn("ord", F.col("id"))
-    some = o.filter("id % 3 = 0")
-    batch = some.withColumn("state", F.lit("first")).withColumn("ord", F.lit(1).cast("long"))
-    batch = batch.unionByName(some.withColumn("state", F.lit("new")).withColumn("ord", F.lit(2).cast("long")))
-    batch = batch.unionByName(some.filter("id > 0").select((-F.col("id")).alias("id"), F.lit("new").alias("state"), F.lit(3).cast("long").alias("ord")))
-    return store.upsert(base, batch).select("id", "state")
-
-
-@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
-def d7_retention(spark, sf_dir):
-    e = _table(spark, sf_dir, "events")
-    now = e.agg(F.max("ts").alias("now"))
-    return store.retain(e.join(F.broadcast(now)), 7, F.col("now"), "ts").select("event_id")
-
-
-def _nodes(spark, sf_dir):
-    """root -> region -> nation -> customer and supplier."""
-    r, n, c, s = (_table(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier"))
-    root = spark.range(1).selectExpr("'root' as node_id", "cast(null as string) as parent_id", "0 as child_ord", "'root' as name")
-    rows = root.unionByName(r.selectExpr("concat('r', r_regionkey) as node_id", "'root' as parent_id", "cast(r_regionkey as int) as child_ord", "r_name as name"))
-    rows = rows.unionByName(n.selectExpr("concat('n', n_nationkey) as node_id", "concat('r', n_regionkey) as parent_id", "cast(n_nationkey as int) as child_ord", "n_name as name"))
-    rows = rows.unionByName(c.selectExpr("concat('c', c_custkey) as node_id", "concat('n', c_nationkey) as parent_id", "cast(2 * c_custkey as int) as child_ord", "c_name as name"))
-    rows = rows.unionByName(s.selectExpr("concat('s', s_suppkey) as node_id", "concat('n', s_nationkey) as parent_id", "cast(2 * s_suppkey + 1 as int) as child_ord", "s_name as name"))
-    return rows.selectExpr("*", "concat('about ', name) as definition", "'Original' as status", "cast(array() as array<string>) as standards", "cast(array() as array<string>) as alt_names", "cast(array() as array<string>) as alt_definitions")
-
-
-_N = """
-WITH RECURSIVE nodes AS (
-  SELECT 'root' AS node_id, NULL AS parent_id, 0 AS child_ord, 'root' AS name
-  UNION ALL SELECT 'r' || r_regionkey, 'root', r_regionkey::INT, r_name FROM region
-  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey::INT, n_name FROM nation
-  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, (2 * c_custkey)::INT, c_name FROM customer
-  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, (2 * s_suppkey + 1)::INT, s_name FROM supplier),
-walk AS (SELECT node_id, 0 AS depth, child_ord::VARCHAR AS path FROM nodes WHERE parent_id IS NULL
-  UNION ALL SELECT n.node_id, w.depth + 1, w.path || '.' || n.child_ord FROM walk w JOIN nodes n ON n.parent_id = w.node_id)
-"""
-
-
-@query(_N + "SELECT node_id, depth, path FROM walk")
-def e4_preorder(spark, sf_dir):
-    out = taxonomy.preorder(_nodes(spark, sf_dir))
-    return out.select("node_id", "depth", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
-
-
-@query(_N + "SELECT parent_id AS node_id, string_agg(name, '; ' ORDER BY child_ord, name) AS children, count(*) AS n_children FROM nodes WHERE parent_id IS NOT NULL GROUP BY 1")
-def e5_children(spark, sf_dir):
-    return taxonomy.children_names(_nodes(spark, sf_dir))
-
-
-@query()
-def e6_render(spark, sf_dir):
-    n = _nodes(spark, sf_dir)
-    return taxonomy.render(n, taxonomy.preorder(n)).drop("path")
-
-
-@query()
-def e8_neighbourhood(spark, sf_dir):
-    n = _nodes(spark, sf_dir).filter("node_id not like 'c%'")
-    return taxonomy.neighbourhood(n)
-
-
-@query("""
-WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id >= 100), t AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 100),
-p AS (SELECT q.vec_id AS query_id, t.vec_id AS node_id, list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE))) AS d FROM q, t)
-SELECT query_id, node_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS rank FROM p) WHERE rank <= 3""")
-def e13_nearest_nodes(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings")
-    out = vectors.nearest_nodes(e.filter("vec_id >= 100").selectExpr("vec_id as query_id", "embedding"), e.filter("vec_id < 100").selectExpr("vec_id as node_id", "embedding"), 3)
-    return out.select("query_id", "node_id", "rank")
-
-
-@query()
-def e20_snapshot_decisions(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings")
-    best = vectors.nearest_nodes(e.filter("vec_id >= 100").selectExpr("vec_id as query_id", "embedding"), e.filter("vec_id < 100").selectExpr("vec_id as node_id", "embedding"))
-    scored = best.selectExpr("query_id as concept_id", "concat('concept ', query_id) as name", "'defined' as definition", "cast(node_id as string) as node", "1 - distance as similarity")
-    decided = taxonomy.decide(scored, -0.40, -0.30)
-    return taxonomy.decision_summary(decided)
-
-
-@query(r"""
-SELECT 'n' || s_nationkey AS node_id, count(*) AS n_names, string_agg(s_name, '|' ORDER BY s_suppkey) AS alt_names, 'Corroborated' AS status FROM supplier GROUP BY s_nationkey""")
-def e16_merge(spark, sf_dir):
-    n = _nodes(spark, sf_dir).filter("node_id like 'n%'")
-    s = _table(spark, sf_dir, "supplier").selectExpr("concat('n', s_nationkey) as node_id", "s_suppkey as concept_seq", "s_name as name", "s_name as definition", "'suppliers' as filename", "1 as page_number")
-    out = taxonomy.merge_concepts(n, s).filter("status = 'Corroborated'")
-    return out.select("node_id", F.size("alt_names").cast("long").alias("n_names"), F.array_join("alt_names", "|").alias("alt_names"), "status")
-
-
-def _pairs(spark, sf_dir):
-    """Orders as truth, lines as concepts: page from the dates, the score an input column."""
-    o = _table(spark, sf_dir, "orders").selectExpr("cast(o_custkey as string) as filename", "o_orderkey as gt_seq", "cast(o_orderkey % 20 as int) as page_number", "'a' as name", "'b' as definition")
-    li = _table(spark, sf_dir, "lineitem").selectExpr("cast(l_suppkey as string) as filename", "l_orderkey * 10 + l_linenumber as concept_seq", "cast(l_partkey % 20 as int) as page_number", "'a' as name", "'b' as definition")
-    scored = evaluation.candidates(o, li).withColumn("score", F.pmod(F.col("gt_seq") * 7 + F.col("concept_seq") * 13, F.lit(100)) / 100)
-    return o, li, scored
-
-
-_W3 = """
-WITH o AS (SELECT o_custkey::VARCHAR AS filename, o_orderkey AS gt_seq, (o_orderkey % 20)::INT AS p FROM orders),
-l AS (SELECT l_suppkey::VARCHAR AS filename, l_orderkey * 10 + l_linenumber AS concept_seq, (l_partkey % 20)::INT AS p FROM lineitem),
-c AS (SELECT o.filename, gt_seq, concept_seq, l.p, ((gt_seq * 7 + concept_seq * 13) % 100) / 100.0::DOUBLE AS score
-      FROM o JOIN l ON o.filename = l.filename AND l.p BETWEEN o.p - 1 AND o.p + 1),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY filename, gt_seq ORDER BY score DESC, p, concept_seq) AS r FROM c WHERE score > 0) WHERE r = 1 AND score >= 0.6),
-k AS (SELECT *, row_number() OVER (PARTITION BY filename, concept_seq ORDER BY gt_seq) AS n FROM b),
-lab AS (SELECT o.filename, CASE WHEN k.n = 1 THEN 'TP' ELSE 'FN' END AS kind, o.gt_seq, k.concept_seq, k.score FROM o LEFT JOIN k ON o.filename = k.filename AND o.gt_seq = k.gt_seq
-      UNION ALL SELECT l.filename, 'FP', NULL, l.concept_seq, NULL FROM l ANTI JOIN k ON l.filename = k.filename AND l.concept_seq = k.concept_seq)
-"""
-
-
-@query(_W3 + "SELECT filename, gt_seq, concept_seq, score FROM b")
-def f7_best_matches(spark, sf_dir):
-    return evaluation.best_matches(_pairs(spark, sf_dir)[2]).select("filename", "gt_seq", "concept_seq", "score")
-
-
-@query(_W3 + "SELECT * FROM lab")
-def f8_labels(spark, sf_dir):
-    o, li, scored = _pairs(spark, sf_dir)
-    return evaluation.label(o, li, evaluation.best_matches(scored))
-
-
-@query(_W3 + """, m AS (SELECT filename, count(*) FILTER (kind = 'TP') AS tp, count(*) FILTER (kind = 'FP') AS fp, count(*) FILTER (kind = 'FN') AS fn FROM lab GROUP BY ROLLUP (filename)),
-q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM m)
-SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score FROM q""")
-def f10_metrics(spark, sf_dir):
-    o, li, scored = _pairs(spark, sf_dir)
-    return evaluation.metrics(evaluation.label(o, li, evaluation.best_matches(scored)))
-
-
-@query(_E + r""", h AS (SELECT filename, el_seq, regexp_replace(s, '\s+', ' ', 'g') AS text FROM e WHERE s <> '')
-SELECT filename, min(el_seq) AS ord, text FROM h GROUP BY filename, text""")
-def f12_highlights(spark, sf_dir):
-    rows = _elements(spark, sf_dir).withColumnRenamed("el_seq", "ord")
-    return evaluation.clean_highlights(rows).select("filename", "ord", "text")
-
-
-@query()
-def e9_filled_definitions(spark, sf_dir):
-    n = _nodes(spark, sf_dir).withColumn("definition", F.expr("case when child_ord % 3 = 1 then '' else definition end")).withColumn("Source name", F.lit("sheet"))
-    return placement.fill_definitions(n).select("node_id", "definition", F.col("Source name").alias("source_name"))
-
-
-@query("""SELECT vec_id::VARCHAR AS node_id, CASE WHEN vec_id % 7 = 0 THEN 'missing' ELSE 'extra' END AS what FROM embeddings WHERE (vec_id % 7 = 0) <> (vec_id % 5 = 0)""")
-def e12_index_sync(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings").selectExpr("cast(vec_id as string) as node_id", "vec_id")
-    return vectors.out_of_sync(e.filter("vec_id % 5 <> 0 or vec_id % 7 = 0"), e.filter("vec_id % 7 <> 0 or vec_id % 5 = 0"))
-
-
-@query(_N + """SELECT n.node_id AS id, n.name AS term, coalesce(p.name, '') AS parent, coalesce(c.children, '') AS children, 'Original' AS status FROM nodes n
-LEFT JOIN nodes p ON n.parent_id = p.node_id
-LEFT JOIN (SELECT parent_id, string_agg(name, '; ' ORDER BY child_ord, name) AS children FROM nodes GROUP BY 1) c ON c.parent_id = n.node_id""")
-def e14_export(spark, sf_dir):
-    n = _nodes(spark, sf_dir)
-    out = placement.export_rows(n, taxonomy.preorder(n))
-    return out.select(F.col("ID").alias("id"), F.col("Term").alias("term"), F.col("Parent name/Broader").alias("parent"), F.col("Child name/Narrower").alias("children"), F.col("Status").alias("status"))
-
-
-@query("""
-WITH e AS (SELECT vec_id, embedding, CASE WHEN vec_id = 0 THEN NULL ELSE vec_id // 10 END AS parent FROM embeddings WHERE vec_id < 100),
-c AS (SELECT q.vec_id AS concept, n.vec_id AS node, n.parent, q.embedding FROM embeddings q JOIN e n ON n.vec_id = q.vec_id % 100 WHERE q.vec_id >= 100),
-d AS (SELECT c.concept, t.vec_id = c.parent AS up, 1 - list_sum(list_transform(range(1, len(c.embedding) + 1), lambda i: (c.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE) * (c.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE))) AS s
-      FROM c JOIN e t ON t.vec_id = c.parent OR (t.parent = c.parent AND t.vec_id <> c.node)),
-m AS (SELECT concept, max(s) FILTER (up) AS p, max(s) FILTER (NOT up) AS s FROM d GROUP BY 1)
-SELECT c.concept::VARCHAR AS concept_id, CASE WHEN p >= -0.5 AND p > coalesce(s, -1e9) THEN 'parent' WHEN s >= -0.5 AND s > coalesce(p, -1e9) THEN 'sibling' ELSE 'child' END AS placement
-FROM c LEFT JOIN m ON c.concept = m.concept""")
-def e19_placement(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings")
-    n = e.filter("vec_id < 100").selectExpr("cast(vec_id as string) as node_id", "cast(case when vec_id > 0 then vec_id div 10 end as string) as parent_id", "embedding")
-    c = e.filter("vec_id >= 100").selectExpr("cast(vec_id as string) as concept_id", "cast(vec_id % 100 as string) as node_id", "embedding")
-    return placement.compare_placement(c, n, -0.5).select("concept_id", "placement")
-
-
-@query()
-def e21_ordered_decisions(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings")
-    c = e.filter("vec_id >= 100").selectExpr("vec_id as seq", "concat('concept ', vec_id) as name", "'defined' as definition", "embedding")
-    return placement.decide_in_order(c, e.filter("vec_id < 100").selectExpr("vec_id as ord", "embedding"), -0.40, -0.30)
+from loomspark.plans import concepts, documents, hierarchy, scoring  # noqa: F401
+from loomspark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -17,7 +17,7 @@ def text_elements(docs: DataFrame, name: str = "doc_id", text: str = "text", pat
 
 def html_elements(pages: DataFrame, name: str = "url", html: str = "html") -> DataFrame:
     """Elements of HTML pages: cut at opening block tags, tags stripped, entities decoded."""
-    cut = F.regexp_replace(html, r"(?is)<(title|h1|li|p|header|nav|footer)(?=[\s>])[^>]*>", "\u0001$1\u0002")
+    cut = F.regexp_replace(html, r"(?is)<(title|h1|li|p|header|nav|footer)(?:\s[^>]*)?>", "\u0001$1\u0002")
     parts = pages.select(F.col(name).cast("string").alias("filename"), F.posexplode(F.split(cut, "\u0001")).alias("el_seq", "part"))
     parts = parts.filter(F.col("part").contains("\u0002"))
     tag = F.lower(F.substring_index("part", "\u0002", 1))
@@ -35,6 +35,13 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK).option("multiLine", True).json(path)
 
 
+def read_chunk_contents(spark: SparkSession, path: str) -> DataFrame:
+    """Objects {"chunks": [{"content": ...}]}; filename is the file's own path. Without chunks
+    there are no rows."""
+    rows = spark.read.schema("chunks array<struct<content:string>>").option("multiLine", True).json(path)
+    return rows.select(F.col("_metadata.file_path").alias("filename"), F.posexplode("chunks").alias("chunk_seq", "c")).select("filename", "chunk_seq", F.col("c.content").alias("text"))
+
+
 def read_concepts(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of concept objects."""
     return spark.read.schema(CONCEPT).option("multiLine", True).json(path)
@@ -47,8 +54,23 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """A hierarchy sheet in CSV, nulls as empty strings."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"').na.fill("")
+    """A hierarchy sheet in CSV with row_ord, nulls as empty strings. path: a .csv file, or a
+    folder of them (as write_taxonomy leaves), whose files are ordered by name."""
+    suffix = path.rsplit("/", 1)[-1].rpartition(".")
+    if suffix[1] and suffix[2].lower() != "csv":
+        raise ValueError(f"not a CSV file: {path}")
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    names = rows.columns
+    # a file's rows are read in order by one task; files in the order of their names
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names], place.alias("row_ord"))
+
+
+def write_taxonomy(sheet: DataFrame, path: str) -> None:
+    """Writes placement.export_rows in preorder: the columns behind path, one folder of CSV files
+    whose names follow the order."""
+    columns = [F.col(f"`{c}`") for c in sheet.columns if c != "path"]
+    sheet.orderBy("path").select(*columns).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
 
 
 def write_rows(df: DataFrame, path: str) -> None:

@@ -16,6 +16,9 @@ def test_entry_imports_without_session():
 def test_json_readers(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"id": "1", "text": "t", "page_number": 2, "filename": "f", "page_tags": ["a"]}]))
     (tmp_path / "t.json").write_text(json.dumps({"concepts": [{"name": "n", "definition": "d", "page_number": 3}, {"name": "m"}]}))
+    (tmp_path / "d.json").write_text(json.dumps({"chunks": [{"content": "a"}, {"content": "b"}]}))
+    (tmp_path / "e.json").write_text("{}")
+    assert [(r["chunk_seq"], r["text"]) for r in elements.read_chunk_contents(spark, str(tmp_path / "[de].json")).collect()] == [(0, "a"), (1, "b")]
     assert elements.read_chunks(spark, str(tmp_path / "c.json")).first()["page_tags"] == ["a"]
     assert [(r["gt_seq"], r["name"]) for r in elements.read_truth(spark, str(tmp_path / "t.json")).orderBy("gt_seq").collect()] == [(0, "n"), (1, "m")]
 
@@ -24,3 +27,10 @@ def test_html(spark):
     page = "<html><title>T &amp; x</title><p>one <b>two</b><p>three<li class='a'>item</li><footer>end</footer>"
     got = [(r["category"], r["text"]) for r in elements.html_elements(spark.createDataFrame([("u", page)], "url string, html string")).orderBy("el_seq").collect()]
     assert got == [("Title", "T & x"), ("NarrativeText", "one two"), ("NarrativeText", "three"), ("ListItem", "item"), ("Footer", "end")]
+
+
+def test_only_csv_sheets(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="not a CSV file"):
+        elements.read_taxonomy(spark, "folder/sheet.json")
