@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import broadcast_if_small, doc_hash, materialize
+from loomspark.llm.common import broadcast_if_small, carried, doc_hash, materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -138,6 +138,7 @@ def contaminated(
 ) -> DataFrame:
     """docs: doc_id, text; benchmark: item_id, text. One row a document (doc_id, h) and item
     that it holds: first_word and n_words of its best window, distance, similarity."""
+    docs = docs.select("doc_id", "text")
     items = benchmark.select("item_id", "text").distinct()
     items = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", word_hashes(F.col("text")).alias("w"))
     items = items.withColumn("n", F.size("w")).filter("n > 0")
@@ -208,5 +209,6 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
-    bad = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("b_id"), F.col("h").alias("b_h")).distinct(), "leaks")
-    return docs.join(broadcast_if_small(bad), F.col("doc_id").eqNullSafe(F.col("b_id")) & (doc_hash() == F.col("b_h")), "left_anti")
+    found = contaminated(docs.withColumn("doc_id", F.col("doc_id").cast("long")), benchmark)
+    bad = materialize(found.select(F.col("doc_id").alias("b_id"), F.col("h").alias("b_h")).distinct(), "leaks")
+    return carried(docs).join(broadcast_if_small(bad), F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("h") == F.col("b_h")), "left_anti").select("row.*")

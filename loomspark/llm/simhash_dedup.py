@@ -7,6 +7,9 @@ least; a fingerprint probes every partition with all values within its threshold
 candidate if another fingerprint has such a value. Any pair within the radius agrees so in at
 least one partition, whatever the grouping: estimates only decide the cost.
 
+similar_texts finds near-duplicates by the similarity of shingle sets: SimHash first, then an
+exact prefix filter for what lies beyond its radius.
+
 Candidates are verified without listing pairs: for radius 2, two fingerprints link exactly if
 they share a value at distance at most 1 from both (radius 0 and 1 likewise), and at most 65
 fingerprints surround a value. Equal fingerprints are one node from the start, so copies never
@@ -18,10 +21,9 @@ smallest doc_id ignores nulls; repeated rows get equal results; an empty table g
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import broadcast_if_small, doc_hash, materialize, maybe_in, mix
+from loomspark.llm.common import broadcast_if_small, carried, doc_hash, join_counted, materialize, maybe_in
 from loomspark.llm.components import components
 
 SHINGLE, RADIUS, BITS = 3, 2, 64
-#: Independent fingerprints of similar_texts, the most a word counts there, and what its pairs are verified by.
-TABLES, WORD_WEIGHT = 6, 4
+#: What similar_texts calls similar.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: In a group of up to SMALL texts all pairs are compared; in a larger one, its members with one
+#: pivot after another, at most PIVOTS.
+SMALL, PIVOTS = 8, 3
 #: Fingerprints that the partitioning is fitted on, by hash; the join itself is exact.
 FIT_SAMPLE = 2000
 #: Number of fingerprints that the thresholds are chosen for, whatever the input: the plan is
@@ -73,22 +77,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
 
 
-def word_fingerprints(text: str | None, tables: int) -> list[int]:
-    """Independent SimHashes of a text's lower-cased words, one a table. A word weighs its count,
-    at most WORD_WEIGHT: repeats bring edited copies closer, the bound keeps one word from
-    deciding every bit."""
-    words = Counter((text or "").encode("utf-8", "surrogatepass").lower().split())
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
-    weight = np.minimum(np.fromiter(words.values(), np.int64, len(words)), WORD_WEIGHT).astype(np.float64)
-    out = []
-    for t in range(tables):
-        spread, ones = mix(h + np.uint64(t * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), np.zeros(BITS)
-        for k in range(0, len(h), _BLOCK):
-            ones += weight[k : k + _BLOCK] @ _bits_of(spread[k : k + _BLOCK])
-        out.append(sum(1 << i for i in np.flatnonzero(2 * ones > weight.sum()).tolist()))
-    return out
-
-
 def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
@@ -98,12 +86,32 @@ def _fingerprints(shingle: int):
     return run
 
 
-def _word_tables(tables: int):
+def _sketch(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[np.ndarray]]:
+    """Hash of each set of digests, and its prefix: two sets of that similarity share a member of
+    their prefixes, as all sets are ordered alike."""
+    keys = [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets]
+    return keys, [x[: len(x) - ceil(similarity * len(x) - 1e-9) + 1] for x in sets]
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
+def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_digests(text, shingle)]))
+
+
+def _sketches(shingle: int, similarity: float):
     def run(batches):
         for batch in batches:
-            fp = np.array([word_fingerprints(t.as_py(), tables) for t in batch.column("text")], np.uint64).view(np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(fp.reshape(-1)), tables).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), lists], names=["doc_id", "h", "fps"])
+            texts = batch.column("text").to_pylist()
+            sets = [_shingle_set(t, shingle) for t in texts]
+            keys, prefixes = _sketch(sets, similarity)
+            fps = [fingerprint(t, shingle) for t in texts]
+            longs = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            cols = [batch.column("doc_id"), batch.column("h"), longs(keys), pa.array([len(x) for x in sets], pa.int32()), longs(fps), _lists(prefixes)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "node", "n", "fp", "prefix"])
 
     return run
 
@@ -111,11 +119,8 @@ def _word_tables(tables: int):
 def _shingle_sets(shingle: int):
     def run(batches):
         for batch in batches:
-            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_digests(t.as_py(), shingle)])) for t in batch.column("text")]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            s = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("key"), s], names=["h", "key", "s"])
+            sets = [_shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets)], names=["node", "s"])
 
     return run
 
@@ -241,10 +246,9 @@ def candidates(fps: DataFrame, partitions: Sequence[tuple[list[int], int]]) -> D
     return met.select(F.col("e_t").alias("t"), F.col("x").bitwiseXOR(of(flips)).alias("fp")).distinct()
 
 
-def links(found: DataFrame, radius: int = RADIUS, chain: bool = False) -> DataFrame:
+def links(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges t, a, b that connect exactly the candidates (t, fp) linked within the radius (at
-    most 2); chain adds edges between consecutive members of a
-    neighbourhood and to its largest, which makes all pairs of up to four members."""
+    most 2)."""
     if radius > 2:
         raise ValueError("verification by common neighbours covers radius 0 to 2")
     single = [_signed(1 << b) for b in range(BITS)]
@@ -254,14 +258,7 @@ def links(found: DataFrame, radius: int = RADIUS, chain: bool = False) -> DataFr
         there = found.select("t", F.col("fp").alias("b"))
         return around.withColumnRenamed("x", "b").join(there, ["t", "b"]).filter("fp <> b").select("t", F.col("fp").alias("a"), "b")
     hubs = around.groupBy("t", "x").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.collect_list("fp").alias("members"))
-    hubs = hubs.filter("a <> z")
-    star = hubs.select("t", "a", F.explode("members").alias("b"))
-    if chain:
-        row = hubs.select("t", F.array_sort("members").alias("m"))
-        steps = row.select("t", F.explode(F.expr("arrays_zip(slice(m, 1, size(m) - 1), slice(m, 2, size(m) - 1))")).alias("e"))
-        star = star.unionByName(hubs.select("t", F.col("z").alias("a"), F.explode("members").alias("b")))
-        star = star.unionByName(steps.select("t", F.col("e.0").alias("a"), F.col("e.1").alias("b")))
-    return star.filter("a <> b").distinct()
+    return hubs.filter("a <> z").select("t", "a", F.explode("members").alias("b")).filter("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -283,95 +280,120 @@ def hex_fingerprint(column: str = "fp") -> Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-def _sets_of(docs: DataFrame, want: DataFrame, shingle: int) -> DataFrame:
-    """h, key, s: the distinct shingle hashes of the texts that want (w_h, w_id, key) names."""
-    want = materialize(want, "similar-want")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_hash().alias("h"))
-    src = maybe_in(src, "h", want.select("w_h")).filter("maybe")
-    hit = src.join(broadcast_if_small(want), (F.col("h") == F.col("w_h")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    return hit.select("h", "key", "text").mapInArrow(_shingle_sets(shingle), "h long, key long, s array<long>")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of pairs (a, b: hashes of texts) whose shingle sets have at least the similarity;
-    first (h, w_id) names a row of docs for each text. Two texts without words are alike."""
-    named = first.withColumnRenamed("h", "w_h")
-    left = _sets_of(docs, pairs.join(named, F.col("b") == F.col("w_h")).select("w_h", "w_id", F.col("a").alias("key")), shingle)
-    right = _sets_of(docs, pairs.select(F.col("a").alias("key")).distinct().join(named, F.col("key") == F.col("w_h")).select("w_h", "w_id", "key"), shingle)
-    both = left.join(right.select("key", F.col("s").alias("r")), "key")
-    shared = F.size(F.array_intersect("s", "r"))
-    union = F.size("s") + F.size("r") - shared
-    alike = F.when(union == 0, True).otherwise(shared / F.greatest(union, F.lit(1)) >= similarity)
-    return both.filter(alike).select(F.col("key").alias("a"), F.col("h").alias("b")).distinct()
-
-
-def similar_texts(
-    docs: DataFrame, tables: int = TABLES, radius: int = RADIUS, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY
-) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicate classes for texts by the similarity of their word shingles: a pair is a
-    candidate where any of several independent word fingerprints lies within
-    the radius, and a link if its shingle sets are similar enough.
-
-    A five-word-shingle similarity of 0.8 leaves about 98% of the words alike, which is 3 or 4
-    of 64 bits; one table at radius 2 would miss many such pairs, and a wider radius has no
-    selective partitions, so further tables add the recall at a cost that stays linear.
-
-    Not all pairs of a neighbourhood are verified. Each text is compared with the root of its
-    candidates' component; then the candidate pairs that still lie in different classes are.
-
-    Returns rows (doc_id, h, and the number of equal rows) and classes (node h, root h) of the
-    texts that have near-duplicates."""
+def _classes(edges: DataFrame) -> DataFrame:
+    out = components(edges)
+    return out.select(F.col("node").alias("c_node"), "root")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) of nodes whose sets (node, s) are similar enough. One b
+    may stand in very many pairs."""
+    counts = pairs.groupBy("b").agg(F.count("*").alias("count"))
+    right = materialize(counts.join(sets.select(F.col("node").alias("b"), F.col("s").alias("r")), "b"), "similar-right")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("l")), "a")
+    both = join_counted(left, right, ["b"], "count", F.col("a"))
+    shared = F.size(F.array_intersect("l", "r"))
+    union = F.size("l") + F.size("r") - shared
+    return both.filter(shared / F.greatest(union, F.lit(1)) >= similarity).select("a", "b")
+
+
+def _simhash_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs of nodes (node, fp) that SimHash offers: each with the representative of its
+    fingerprint's component."""
+    reps = materialize(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "similar-fps")
+    partitions = plan(reps.select("fp"), radius)
+    if not partitions:
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    found = materialize(candidates(reps.select(F.lit(0).alias("t"), "fp"), partitions), "similar-found")
+    comp = components(links(found, radius).select("a", "b")).select(F.col("node").alias("fp"), F.col("root").alias("r_fp"))
+    roots = comp.join(reps.select(F.col("fp").alias("r_fp"), F.col("rep").alias("b")), "r_fp").select("fp", "b")
+    own = reps.join(roots, "fp", "left").select("fp", F.coalesce("b", "rep").alias("b"))
+    return nodes.join(own, "fp").select(F.col("node").alias("a"), "b").filter("a <> b")
+
+
+def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Near-duplicate classes of texts whose sets of word shingles have at least the similarity.
+
+    Texts with equal sets are one node. SimHash within the radius joins what is nearest: each
+    node is verified against its component's representative. A similarity of 0.8 leaves the
+    fingerprints about 10 bits apart, where no partitioning is selective, so an exact prefix
+    filter finds the rest: the sets' members are ordered by hash, and similar sets share one of
+    their first n - ceil(similarity * n) + 1. Where few nodes share such a member, all their
+    pairs are verified. Where many do, the one that shares most is the pivot that all others of
+    other classes are compared with, then the next, so the work stays linear in their number.
+
+    Returns doc_id, h, rows (number of equal rows) and root, which names the class."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_hash().alias("h"))
-    rows = src.mapInArrow(_word_tables(tables), "doc_id long, h long, fps array<long>")
+    rows = src.mapInArrow(_sketches(shingle, similarity), "doc_id long, h long, node long, n int, fp long, prefix array<long>")
     rows = materialize(rows, "similar")
-    texts = rows.groupBy("h").agg(F.min("fps").alias("fps")).select("h", F.posexplode("fps").alias("t", "fp"))
-    texts = materialize(texts, "similar-texts")
-    salt = F.xxhash64("t")  # so that every table has its own representatives
-    nodes = texts.groupBy("t", "fp").agg(F.min(F.col("h").bitwiseXOR(salt)).alias("rep"))
-    nodes = materialize(nodes.withColumn("rep", F.col("rep").bitwiseXOR(salt)), "similar-nodes")
-    partitions = plan(nodes.filter("t = 0").select("fp"), radius)
-    if partitions:
-        found = materialize(candidates(nodes.select("t", "fp"), partitions), "similar-found")
-        near = materialize(links(found, radius, chain=True), "similar-links")
-    else:
-        near = nodes.select("t", F.col("fp").alias("a"), F.col("fp").alias("b"))
-    ends = nodes.select("t", F.col("fp").alias("a"), F.col("rep").alias("ra"))
-    other = nodes.select("t", F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    across = near.join(ends, ["t", "a"]).join(other, ["t", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    same = texts.join(nodes, ["t", "fp"]).filter("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b"))
-    pairs = across.unionByName(same).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = materialize(pairs.distinct(), "similar-pairs")
-    wide = materialize(components(pairs), "similar-wide")
-    first = rows.join(wide, F.col("h") == F.col("node")).groupBy("h").agg(F.min("doc_id").alias("w_id"))
-    first = materialize(first, "similar-first")
-    rooted = verified(wide.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), docs, first, shingle, similarity)
-    rooted = materialize(rooted, "similar-rooted")
-    label = wide.join(rooted.select(F.col("b").alias("node"), F.col("a").alias("label")), "node", "left")
-    label = materialize(label.select("node", F.coalesce("label", "node").alias("label")), "similar-label")
-    la = label.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    lb = label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = materialize(pairs.join(la, "a").join(lb, "b").filter("la <> lb").select("a", "b"), "similar-rest")
-    classes = components(rooted.unionByName(verified(rest, docs, first, shingle, similarity)))
-    return rows.groupBy("doc_id", "h").agg(F.count("*").alias("rows")), classes
-
-
-def drop_near_duplicates(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS) -> DataFrame:
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    nodes = materialize(nodes, "similar-nodes")
+
+    # members of prefixes that several nodes share
+    places = nodes.select("node", "n", F.explode("prefix").alias("g"))
+    shared = materialize(places.groupBy("g").agg(F.count("*").alias("count")).filter("count > 1"), "similar-shared")
+    places = maybe_in(places, "g", shared.select("g")).filter("maybe").drop("maybe")
+    right = shared.withColumn("size", F.col("count"))
+    places = materialize(join_counted(places, right, ["g"], "count", F.col("node")), "similar-places")
+    weight = places.groupBy("node").agg(F.sum("size").alias("weight"))
+
+    offered = materialize(_simhash_pairs(nodes.select("node", "fp"), radius), "similar-offered")
+    named = weight.select("node").unionByName(offered.select(F.col("a").alias("node"))).unionByName(offered.select(F.col("b").alias("node"))).distinct()
+    texts = rows.join(named, "node", "left_semi").groupBy("node").agg(F.min(F.struct("h", "doc_id")).alias("one"))
+    texts = materialize(texts.select("node", F.col("one.h").alias("w_h"), F.col("one.doc_id").alias("w_id")), "similar-texts")
+    hit = maybe_in(src, "h", texts.select("w_h")).filter("maybe")
+    hit = hit.join(broadcast_if_small(texts), (F.col("h") == F.col("w_h")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    sets = hit.select("node", "text").mapInArrow(_shingle_sets(shingle), "node long, s array<long>")
+    sets = materialize(sets.dropDuplicates(["node"]), "similar-sets")
+
+    edges = materialize(_verified(offered, sets, similarity), "similar-edges")
+    close = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+    small = places.filter(F.col("size") <= SMALL).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
+    each = small.select("m", F.posexplode("m").alias("i", "x"))
+    each = each.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y")).filter(close(F.col("x.n"), F.col("y.n")))
+    pairs = each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    edges = materialize(edges.unionByName(_verified(materialize(pairs, "similar-pairs"), sets, similarity)), "similar-edges")
+
+    order = F.struct((-F.col("weight")).alias("w"), "node", "n")
+    large = materialize(places.filter(F.col("size") > SMALL).join(weight, "node").select("g", "node", "n", order.alias("order")), "similar-large")
+    done = None
+    for _ in range(PIVOTS):
+        if large.isEmpty():
+            break
+        classes = materialize(_classes(edges), "similar-classes")
+        now = large.join(classes, F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("root", "node")).drop("c_node", "root")
+        later = now if done is None else now.join(done, "g").filter("order > pivot").drop("pivot")
+        groups = later.groupBy("g").agg(F.min("order").alias("pivot"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.min_by("class", "order").alias("p_class"), F.count("*").alias("count"))
+        groups = materialize(groups.filter("c0 <> c1").drop("c0", "c1"), "similar-pivots")
+        asked = join_counted(later, groups, ["g"], "count", F.col("node")).filter("class <> p_class").filter(close(F.col("n"), F.col("pivot.n")))
+        pairs = materialize(asked.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "similar-pairs")
+        more = materialize(_verified(pairs, sets, similarity), "similar-more")
+        edges = edges.unionByName(more)
+        done = groups.select("g", "pivot")
+        if groups.isEmpty():
+            break
+    classes = materialize(_classes(edges), "similar-classes")
+    by_text = rows.select("doc_id", "h", "node").join(classes, F.col("node") == F.col("c_node"), "left")
+    return by_text.withColumn("root", F.coalesce("root", "node")).groupBy("doc_id", "h", "root").agg(F.count("*").alias("rows"))
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs without all but one document of each class of similar or equal texts: the one with
     the smallest doc_id (nulls last; then the smallest hash of the text; of equal rows, one)."""
-    rows, classes = similar_texts(docs, tables, radius)
-    found = rows.join(classes, rows.h == classes.node, "left").select("doc_id", "h", "rows", F.coalesce("root", "h").alias("root"))
-    found = materialize(found, "similar-rows")
+    found = materialize(similar_texts(docs, radius), "similar-rows")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
-    keep = found.groupBy(F.col("root").alias("k_root")).agg(F.min(rank).alias("best"))
-    judged = found.join(keep, F.col("root") == F.col("k_root"))
+    keep = materialize(found.groupBy("root").agg(F.min(rank).alias("best"), F.count("*").alias("count")), "similar-keep")
+    judged = join_counted(found, keep, ["root"], "count", F.struct("doc_id", "h"))
     best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
     names = [F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")]
     gone = materialize(judged.filter(~best).select(*names), "similar-gone")
     again = materialize(judged.filter(best & (F.col("rows") > 1)).select(*names), "similar-again")
-    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (doc_hash() == F.col("g_h"))
-    out = docs.join(broadcast_if_small(gone), same, "left_anti")
-    if again.isEmpty():
-        return out
-    once = out.join(broadcast_if_small(again), same, "left_anti")
-    more = out.join(broadcast_if_small(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more)
+    own = carried(docs)
+    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("h") == F.col("g_h"))
+    out = own.join(broadcast_if_small(gone), same, "left_anti")
+    if not again.isEmpty():
+        # of equal rows one stays; which one is written down, so that it cannot change
+        equal = materialize(out.join(broadcast_if_small(again), same, "left_semi").withColumn("place", F.monotonically_increasing_id()), "similar-equal")
+        one = equal.groupBy("doc_id", "h").agg(F.min("place").alias("place")).select("place")
+        out = out.join(broadcast_if_small(again), same, "left_anti").unionByName(equal.join(one, "place", "left_semi").drop("place"))
+    return out.select("row.*")

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomspark.llm.common import chunks, doc_hash, materialize, maybe_in, mix, powers, prefix_hash, span_hash
+from loomspark.llm.common import carried, chunks, doc_hash, join_counted, materialize, maybe_in, mix, powers, prefix_hash, span_hash
 
 LENGTH, DIGIT = 200, 50
 #: A string with more different unions than this has its windows grouped by Spark instead of
@@ -43,15 +44,15 @@ def anchors(chunk, length: int, digit: int) -> dict[str, np.ndarray]:
         return {k: np.zeros(0, np.int64) for k in ("text", "key", "ctx", "lo", "hi")}
     prefix = prefix_hash(b)
     grams = mix((prefix[digit:] - prefix[:-digit]) * powers(n)[1][: n - digit + 1])
-    shift = np.uint64(n.bit_length())
-    place = np.uint64((1 << n.bit_length()) - 1)
-    packed = ((grams >> shift) << shift) | np.arange(len(grams), dtype=np.uint64)
-    pad = -len(packed) % w
-    blocks = np.concatenate([packed, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, w)
+    order = np.argsort(grams, kind="stable")  # of equal strings the first is smaller
+    rank = np.empty(len(grams), np.int64)
+    rank[order] = np.arange(len(grams))
+    pad = -len(rank) % w
+    blocks = np.concatenate([rank, np.full(pad, len(grams))]).reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     windows = n - length + 1
-    anchor = (np.minimum(behind[:windows], ahead[w - 1 : w - 1 + windows]) & place).astype(np.int64)
+    anchor = order[np.minimum(behind[:windows], ahead[w - 1 : w - 1 + windows])]
     # windows must end within their text
     cross = np.zeros(n + 1, np.int64)
     np.add.at(cross, np.maximum(at[1:] - length + 1, at[:-1]), 1)
@@ -199,10 +200,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT, gr
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_hash().alias("h"))
     first = src.mapInArrow(_anchor_rows(length, digit), _ANCHORS)
     # Pass 1: anchor strings that occur twice. Counting combines on the map side, so a string
-    # in a third of all documents is one row a task; the join back is split where skewed.
+    # in a third of all documents is one row a task; the join back salts such strings.
     keys = first.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
-    keys = keys.filter("n > 1").select("key", (F.col("c0") != F.col("c1")).alias("mixed"))
-    twice = materialize(first.join(keys, "key"), "suffix-1")
+    keys = materialize(keys.filter("n > 1").select("key", "n", (F.col("c0") != F.col("c1")).alias("mixed")), "suffix-keys")
+    twice = maybe_in(first, "key", keys.select("key")).filter("maybe").drop("maybe")
+    twice = materialize(join_counted(twice, keys, ["key"], "n", F.struct("doc_id", "h", "lo")), "suffix-1")
     # Pass 2: unions of windows that occur twice.
     mixed = twice.filter("mixed")
     ref = F.struct("doc_id", "h", "lo", "hi")
@@ -265,33 +267,36 @@ def _digest(length: int):
 def _cleaned(length: int):
     def run(batches):
         for batch in batches:
-            i = batch.schema.get_field_index("text")
-            text = [cut(t.as_py(), s.as_py(), length)[0].decode("utf-8", "ignore") if s.is_valid else t.as_py() for t, s in zip(batch.column("text"), batch.column("spans"), strict=True)]
-            yield batch.set_column(i, "text", pa.array(text, pa.string())).drop_columns(["spans"])
+            text = [cut(t.as_py(), s.as_py(), length)[0].decode("utf-8", "ignore") for t, s in zip(batch.column("text"), batch.column("spans"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(text, pa.string())], names=["row", "text"])
 
     return run
 
 
-def _with_spans(docs: DataFrame, length: int, digit: int) -> tuple[DataFrame, DataFrame]:
-    """docs that certainly have no spans, and the others with their spans."""
-    spans = repeated_spans(docs, length, digit)
+def _with_spans(own: DataFrame, length: int, digit: int) -> tuple[DataFrame, DataFrame]:
+    """own (carried docs): the rows without spans, and the others with theirs."""
+    spans = repeated_spans(own.select("doc_id", "text"), length, digit)
     spans = materialize(spans.withColumnRenamed("doc_id", "s_id").withColumnRenamed("h", "s_h"), "suffix-spans")
-    named = maybe_in(docs.withColumn("s_own", doc_hash()), "s_own", spans.select("s_h"))
-    none = F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans")
-    on = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("s_own") == F.col("s_h"))
+    named = maybe_in(own, "h", spans.select("s_h"))
+    on = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h"))
     more = named.filter("maybe").join(spans, on, "left")
-    return named.filter("not maybe").select(*docs.columns, none), more.select(*docs.columns, "spans")
+    plain = named.filter("not maybe").select("row", "doc_id", "text").unionByName(more.filter("spans is null").select("row", "doc_id", "text"))
+    return plain, more.filter("spans is not null").select("row", "doc_id", "text", "spans")
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain, some = _with_spans(carried(docs.select("doc_id", "text")), length, digit)
+    none = F.lit(0).cast("long")
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    whole = plain.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    plain, cut_ = (d.mapInArrow(_digest(length), schema) for d in _with_spans(src, length, digit))
-    return plain.unionByName(cut_)
+    return whole.unionByName(some.select("doc_id", "text", "spans").mapInArrow(_digest(length), schema))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataFrame:
     """docs with the repeated bytes cut out of text; half characters at a cut are dropped."""
-    plain, wide = _with_spans(docs, length, digit)
-    return plain.drop("spans").unionByName(wide.mapInArrow(_cleaned(length), docs.schema))
+    plain, some = _with_spans(carried(docs), length, digit)
+    schema = T.StructType([some.schema["row"], T.StructField("text", T.StringType())])
+    out = plain.select("row", "text").unionByName(some.select("row", "text", "spans").mapInArrow(_cleaned(length), schema))
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -290,3 +290,60 @@ def test_no_language_is_lost(spark):
         got = counted(language_id.training_rows(d, 200).groupBy("lang").count(), "lang", "count")
         assert got == Counter([("en", 200), ("xx", 200), ("yy", 1)])
     assert language_id.identify(d.limit(0), d.limit(0)).count() == 0
+
+
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, h long, rows long, spans string, s_own long, maybe string, bm_own long, todo string, t_key long, b_id long, b_lang string, g_id long, g_h long, row string, place long, root string, fp string, salt string"
+
+
+def test_stages_keep_clashing_columns(spark, rows):
+    wide = [(*r, *["x" if " string" in c else 7 for c in CLASHES.split(", ")[7:]]) for r in rows]
+    d = spark.createDataFrame(wide, CLASHES)
+    bench = spark.createDataFrame([(1, " ".join(rows[0][1].split()[:12])), (2, None)], "item_id long, text string")
+    stages = {
+        "rejected": ngram_quality.drop_rejected,
+        "near": simhash_dedup.drop_near_duplicates,
+        "repeats": lambda x: suffix_dedup.remove_repeats(x, 40, 12),
+        "leaks": lambda x: decontaminate.drop_contaminated(x, bench),
+    }
+    for name, stage in stages.items():
+        out = stage(d)
+        assert out.columns == d.columns, name
+        got = out.collect()
+        assert got and all(r["spans"] == "x" and r["b_id"] == 7 and r["h"] == 1 for r in got), name
+        empty = stage(d.limit(0))
+        assert empty.columns == d.columns and empty.count() == 0, name
+        if name == "repeats":
+            assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+        if name == "leaks":
+            assert not {0, 104} & {r["doc_id"] for r in got} and len(got) == len(rows) - 2
+
+
+def test_similar_texts_equal_brute_force(spark):
+    rng = random.Random(21)
+    base = [[f"w{rng.randrange(900)}" for _ in range(rng.randint(40, 160))] for _ in range(12)]
+    texts = []
+    for k, words in enumerate(base):
+        texts.append(" ".join(words))
+        for _ in range(30 if k == 0 else 3):  # one large group of near copies
+            copy = words.copy()
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(9)}"
+            texts.append(" ".join(copy))
+    texts += ["", None, "a b", "A  b", texts[0], " ".join(base[1] + base[2])]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = sets[i] | sets[j]
+            if root[i] != root[j] and (not both or len(sets[i] & sets[j]) / len(both) >= 0.8):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["root"] for r in simhash_dedup.similar_texts(d).collect()}
+    classes = lambda names: {frozenset(i for i in range(len(texts)) if names[i] == names[k]) for k in range(len(texts))}
+    assert classes(got) == classes(root) and len(set(root)) < len(texts) - 20
+    kept = {r["doc_id"] for r in simhash_dedup.drop_near_duplicates(d).collect()}
+    assert kept == {min(c) for c in classes(root)}
