@@ -16,7 +16,8 @@ def _remainder(n: int):
 
 
 def op1_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+    out = masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "mean_log_prob", "log_likelihood", "pseudo_perplexity", "n_tokens")
 
 
 def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

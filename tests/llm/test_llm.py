@@ -152,10 +152,25 @@ def test_ngram_model_sums_to_one(docs):
 
     t = ngram_quality.count_ngrams(docs).toArrow()
     m = ngram_quality.fit_model(t["code"].to_numpy(), t["n"].to_numpy())
-    p = (2.0 ** m.expand().astype(np.float64)).reshape(-1, ngram_quality.CLASSES).sum(1)
+    v = ngram_quality.CLASSES
+    seen = np.unique(m.codes // v)  # contexts
+    some = np.concatenate([seen, np.arange(0, v**3, 97)])
+    p = (2.0 ** m.log_prob((some[:, None] * v + np.arange(v)).reshape(-1)).astype(np.float64)).reshape(-1, v).sum(1)
     assert np.allclose(p, 1, atol=1e-3)
 
 
+def test_ngram_tokens_are_characters():
+    import pyarrow as pa
+    from loomspark.llm.common import chunks
+
+    texts = ["abé€😀", "", "éa"]
+    (chunk,) = chunks(pa.array(texts))
+    codes, at = ngram_quality.codes_of(chunk)
+    v = ngram_quality.CLASSES
+    assert at.tolist() == [0, 5, 5, 7] and (codes % v)[0] == 1 and (codes % v)[2] == (codes % v)[5] and codes[5] < v and all((codes % v)[2:5] >= ngram_quality.ASCII)
+    assert codes[1] == v + 2 and codes[6] == (codes[5] % v) * v + 1
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     w = lambda n: [f"q{rng.randrange(5000)}" for _ in range(n)]
