@@ -5,13 +5,13 @@ weight; within a source, documents are taken in key order until the prefix sum o
 reaches the source's budget. Whole epochs come first, the rest of the budget is the
 fractional selection.
 
-The prefix sum never sorts a source in one task: keys fall into BUCKETS equal-probability
-ranges, the ranges' sums give every range's offset, and only the one range that the budget
-ends in is sorted.
+The prefix sum never sorts a source in one task: keys fall into BUCKETS ranges, the ranges' sums
+give every range's offset, the one range that the budget ends in is cut into BUCKETS ranges
+again, whatever weights crowd it, and only the one of these where the budget ends is sorted.
 
 Defined results: null or empty texts have size 0 and take nothing; a null source is a source,
 ordered last; an unlabelled document has weight 1; rows equal in doc_id, source and size are
-interchangeable; a null doc_id has one fixed key; an empty table gives no rows.
+interchangeable; a row without doc_id draws by its text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +30,11 @@ BUCKETS = 4096
 SEED = "mix-1"
 
 
-def draw(doc_id: str, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / weight with u in (0, 1) from the digest of doc_id: the smallest keys are an
-    Efraimidis-Spirakis sample. Reruns agree."""
-    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(seed)))
+def draw(doc_id: str, text: str, weight: Column, seed: str = SEED) -> Column:
+    """-ln(u) / weight with u in (0, 1) from the digest of doc_id, or of the text where that is
+    null: the smallest keys are an Efraimidis-Spirakis sample. Reruns agree."""
+    instead = F.concat(F.lit("null"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), instead), F.lit(seed)))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
@@ -64,6 +65,16 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     return s.withColumn("target", F.coalesce(target, F.col("stop"))).select("source", "source_size", "target")
 
 
+def _ends(sums: DataFrame, plan: DataFrame) -> DataFrame:
+    """sums: source, bucket, sum; plan: source, source_size, target, epochs, rest, start (words
+    before the first bucket). Adds end: the bucket that the budget ends in, and the words before it."""
+    walk = W.partitionBy("r_source").orderBy("bucket")
+    ranges = sums.withColumnRenamed("source", "r_source").withColumn("upto", F.sum("sum").over(walk))
+    met = ranges.join(plan, F.col("r_source").eqNullSafe(F.col("source"))).filter(F.col("start") + F.col("upto") >= F.col("rest"))
+    end = F.min(F.struct("bucket", (F.col("start") + F.col("upto") - F.col("sum")).alias("before"))).alias("end")
+    return met.groupBy("source", "source_size", "target", "epochs", "rest").agg(end)
+
+
 def mix_sources(
     docs: DataFrame,
     quality: DataFrame | None = None,
@@ -76,14 +87,14 @@ def mix_sources(
     """docs: doc_id, text, source; quality: (doc_id, weight) with positive weights. One row per
     row of docs: doc_id, source, size, source_size, target, epochs (complete copies), part (words
     of the fractional selection; the document where a budget ends gives only what is left) and taken."""
-    d = docs.select("doc_id", "source", count_words().alias("size"))
+    d = docs.select("doc_id", "source", "text", count_words().alias("size"))
     if quality is not None:
         q = quality.groupBy(F.col("doc_id").alias("q_id")).agg(F.max("weight").alias("q_weight"))
         d = d.join(q, F.col("doc_id") == F.col("q_id"), "left").drop("q_id")
     else:
         d = d.withColumn("q_weight", F.lit(1.0))
     weight = F.coalesce(F.col("q_weight"), F.lit(1.0))
-    d = d.withColumn("key", draw("doc_id", weight, seed)).drop("q_weight")
+    d = d.withColumn("key", draw("doc_id", "text", weight, seed)).drop("q_weight", "text")
     bucket = F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int")  # rises with the key
     d = materialize(d.withColumn("bucket", bucket), "mix-sizes")
 
@@ -93,25 +104,28 @@ def mix_sources(
     plan = plan.withColumn("epochs", F.floor(F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0.0))))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     # Where each source's budget ends: the bucket that holds the prefix sum `rest`.
-    walk = W.partitionBy("source").orderBy("bucket")
-    ranges = sums.withColumn("upto", F.sum("sum").over(walk)).withColumnRenamed("source", "r_source")
-    ends = (
-        ranges.join(plan, F.col("r_source").eqNullSafe(F.col("source")))
-        .filter(F.col("upto") >= F.col("rest"))
-        .groupBy("source", "source_size", "target", "epochs", "rest")
-        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("sum")).alias("before"))).alias("end"))
-        .withColumnRenamed("source", "p_source")
-    )
-    ends = materialize(ends, "mix-plan")
-    d = d.join(ends, F.col("source").eqNullSafe(F.col("p_source")), "left").drop("p_source")
+    ends = materialize(_ends(sums, plan.withColumn("start", F.lit(0).cast("long"))), "mix-plan")
+    d = d.join(ends.withColumnRenamed("source", "p_source"), F.col("source").eqNullSafe(F.col("p_source")), "left").drop("p_source")
     in_end = F.col("bucket") == F.col("end.bucket")
+    zone = d.filter(in_end)
+    span = zone.groupBy(F.col("source").alias("s_source")).agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    zone = zone.join(span, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
+    within = F.floor((F.col("key") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * buckets)
+    zone = zone.withColumn("bucket", F.coalesce(F.least(within, F.lit(buckets - 1)), F.lit(0)).cast("int")).drop("lo", "hi")
+    fine = ends.select("source", "source_size", "target", "epochs", "rest", F.col("end.before").alias("start"))
+    fine = materialize(_ends(zone.groupBy("source", "bucket").agg(F.sum("size").alias("sum")), fine), "mix-fine")
+    fine = fine.select(F.col("source").alias("p_source"), F.col("end").alias("fine"))
+    zone = zone.join(fine, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
     inside = W.partitionBy("source").orderBy("key", "doc_id", "size")
-    last = d.filter(in_end).withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    in_fine = F.col("bucket") == F.col("fine.bucket")
+    last = zone.filter(in_fine).withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
     # The document the budget ends in gives the words that are left.
-    left = F.floor(F.col("rest") - F.col("end.before") - F.col("upto") + F.col("size"))
-    last = last.withColumn("part", F.greatest(F.least(left, F.col("size")), F.lit(0))).drop("upto")
-    rest = d.filter(~in_end).withColumn("part", F.when(F.col("bucket") < F.col("end.bucket"), F.col("size")).otherwise(0))
-    out = rest.unionByName(last).withColumn("part", F.col("part").cast("long"))
+    left = F.floor(F.col("rest") - F.col("fine.before") - F.col("upto") + F.col("size"))
+    last = last.withColumn("part", F.greatest(F.least(left, F.col("size")), F.lit(0)))
+    beside = zone.filter(~in_fine).withColumn("part", F.when(F.col("bucket") < F.col("fine.bucket"), F.col("size")).otherwise(0))
+    far = d.filter(~in_end).withColumn("part", F.when(F.col("bucket") < F.col("end.bucket"), F.col("size")).otherwise(0))
+    columns = ["doc_id", "source", "size", "source_size", "target", "epochs", F.col("part").cast("long").alias("part")]
+    out = far.select(*columns).unionByName(beside.select(*columns)).unionByName(last.select(*columns))
     return out.withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long")).select(
         "doc_id", "source", "size", "source_size", "target", "epochs", "part", "taken"
     )

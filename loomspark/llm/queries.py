@@ -88,7 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _MIX = """
 WITH d AS (
   SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':mix-1'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
+         -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null' || md5(coalesce(d.text, ''))) || ':mix-1'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
            / coalesce(q.w, 1.0) AS key
   FROM documents d LEFT JOIN (SELECT doc_id, max(CASE WHEN quality = 0 THEN 0.25 ELSE 1.0 END) AS w FROM labels GROUP BY 1) q
     ON d.doc_id = q.doc_id),
