@@ -40,6 +40,8 @@ SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: In a group of up to SMALL texts all pairs are compared; in a larger one, its members with one
 #: pivot after another, at most PIVOTS.
 SMALL, PIVOTS = 8, 3
+#: Bits of a set's parity signature.
+PARITY = 512
 #: Fingerprints that the partitioning is fitted on, by hash; the join itself is exact.
 FIT_SAMPLE = 2000
 #: Number of fingerprints that the thresholds are chosen for, whatever the input: the plan is
@@ -86,11 +88,11 @@ def _fingerprints(shingle: int):
     return run
 
 
-def _sketch(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[np.ndarray]]:
-    """Hash of each set of digests, and its prefix: two sets of that similarity share a member of
-    their prefixes, as all sets are ordered alike."""
-    keys = [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets]
-    return keys, [x[: len(x) - ceil(similarity * len(x) - 1e-9) + 1] for x in sets]
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Parity of the members in each of PARITY bins: two sets differ in at least as many members
+    as their signatures in bits."""
+    odd = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
@@ -107,11 +109,14 @@ def _sketches(shingle: int, similarity: float):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             sets = [_shingle_set(t, shingle) for t in texts]
-            keys, prefixes = _sketch(sets, similarity)
+            keys = [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets]
+            # sets are ordered alike: similar ones share a member of these prefixes
+            prefixes = [x[: len(x) - ceil(similarity * len(x) - 1e-9) + 1] for x in sets]
             fps = [fingerprint(t, shingle) for t in texts]
             longs = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            cols = [batch.column("doc_id"), batch.column("h"), longs(keys), pa.array([len(x) for x in sets], pa.int32()), longs(fps), _lists(prefixes)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "node", "n", "fp", "prefix"])
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            cols = [batch.column("doc_id"), batch.column("h"), longs(keys), sizes, longs(fps), _lists(prefixes), _lists([_parity(x) for x in sets])]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "node", "n", "fp", "prefix", "parity"])
 
     return run
 
@@ -285,16 +290,32 @@ def _classes(edges: DataFrame) -> DataFrame:
     return out.select(F.col("node").alias("c_node"), "root")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct pairs (a, b) of nodes whose sets (node, s) are similar enough. One b
-    may stand in very many pairs."""
+def _with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """Distinct pairs (a, b) of nodes with the value of both, as l and r; values: node, value.
+    One b may stand in very many pairs."""
     counts = pairs.groupBy("b").agg(F.count("*").alias("count"))
-    right = materialize(counts.join(sets.select(F.col("node").alias("b"), F.col("s").alias("r")), "b"), "similar-right")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("l")), "a")
-    both = join_counted(left, right, ["b"], "count", F.col("a"))
+    right = materialize(counts.join(values.select(F.col("node").alias("b"), F.col(value).alias("r")), "b"), "similar-right")
+    left = pairs.join(values.select(F.col("node").alias("a"), F.col(value).alias("l")), "a")
+    return join_counted(left, right, ["b"], "count", F.col("a"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, src: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) of nodes whose shingle sets are similar enough. Pairs
+    whose parity signatures differ too much cannot be; the sets of the others are compared.
+    nodes: node, n, parity; texts: node and a row of src (w_h, w_id) that has it."""
+    both = _with_both(pairs, nodes.withColumn("v", F.struct("n", "parity")), "v")
+    apart = sum(F.bit_count(F.get("l.parity", F.lit(i)).bitwiseXOR(F.get("r.parity", F.lit(i)))) for i in range(PARITY // 64))
+    n = F.col("l.n") + F.col("r.n")
+    near = materialize(both.filter(apart <= n - 2 * F.ceil(n * (similarity / (1 + similarity)) - 1e-9)).select("a", "b"), "similar-near")
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    want = materialize(texts.join(ends, "node"), "similar-want")
+    hit = maybe_in(src, "h", want.select("w_h")).filter("maybe")
+    hit = hit.join(broadcast_if_small(want), (F.col("h") == F.col("w_h")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    sets = hit.select("node", "text").mapInArrow(_shingle_sets(shingle), "node long, s array<long>")
+    both = _with_both(near, materialize(sets.dropDuplicates(["node"]), "similar-sets"), "s")
     shared = F.size(F.array_intersect("l", "r"))
     union = F.size("l") + F.size("r") - shared
-    return both.filter(shared / F.greatest(union, F.lit(1)) >= similarity).select("a", "b")
+    return materialize(both.filter(shared / F.greatest(union, F.lit(1)) >= similarity).select("a", "b"), "similar-edges")
 
 
 def _simhash_pairs(nodes: DataFrame, radius: int) -> DataFrame:
@@ -318,60 +339,51 @@ def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_
     node is verified against its component's representative. A similarity of 0.8 leaves the
     fingerprints about 10 bits apart, where no partitioning is selective, so an exact prefix
     filter finds the rest: the sets' members are ordered by hash, and similar sets share one of
-    their first n - ceil(similarity * n) + 1. Where few nodes share such a member, all their
-    pairs are verified. Where many do, the one that shares most is the pivot that all others of
-    other classes are compared with, then the next, so the work stays linear in their number.
+    their first n - ceil(similarity * n) + 1. Of the nodes that share such a member, the one that
+    shares most is the pivot that all of other classes are compared with. Then all pairs of
+    different classes are compared where few nodes share a member; where many do, one pivot
+    after another, so the work stays linear in their number.
 
     Returns doc_id, h, rows (number of equal rows) and root, which names the class."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_hash().alias("h"))
-    rows = src.mapInArrow(_sketches(shingle, similarity), "doc_id long, h long, node long, n int, fp long, prefix array<long>")
+    rows = src.mapInArrow(_sketches(shingle, similarity), "doc_id long, h long, node long, n int, fp long, prefix array<long>, parity array<long>")
     rows = materialize(rows, "similar")
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "prefix", "parity")], F.min(F.struct("h", "doc_id")).alias("one"))
     nodes = materialize(nodes, "similar-nodes")
+    texts = nodes.select("node", F.col("one.h").alias("w_h"), F.col("one.doc_id").alias("w_id"))
+    check = lambda pairs: _verified(materialize(pairs.distinct(), "similar-pairs"), nodes, texts, src, shingle, similarity)
+    edges = check(_simhash_pairs(nodes.select("node", "fp"), radius))
 
     # members of prefixes that several nodes share
     places = nodes.select("node", "n", F.explode("prefix").alias("g"))
     shared = materialize(places.groupBy("g").agg(F.count("*").alias("count")).filter("count > 1"), "similar-shared")
     places = maybe_in(places, "g", shared.select("g")).filter("maybe").drop("maybe")
-    right = shared.withColumn("size", F.col("count"))
-    places = materialize(join_counted(places, right, ["g"], "count", F.col("node")), "similar-places")
+    places = materialize(join_counted(places, shared.withColumn("size", F.col("count")), ["g"], "count", F.col("node")), "similar-places")
     weight = places.groupBy("node").agg(F.sum("size").alias("weight"))
-
-    offered = materialize(_simhash_pairs(nodes.select("node", "fp"), radius), "similar-offered")
-    named = weight.select("node").unionByName(offered.select(F.col("a").alias("node"))).unionByName(offered.select(F.col("b").alias("node"))).distinct()
-    texts = rows.join(named, "node", "left_semi").groupBy("node").agg(F.min(F.struct("h", "doc_id")).alias("one"))
-    texts = materialize(texts.select("node", F.col("one.h").alias("w_h"), F.col("one.doc_id").alias("w_id")), "similar-texts")
-    hit = maybe_in(src, "h", texts.select("w_h")).filter("maybe")
-    hit = hit.join(broadcast_if_small(texts), (F.col("h") == F.col("w_h")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    sets = hit.select("node", "text").mapInArrow(_shingle_sets(shingle), "node long, s array<long>")
-    sets = materialize(sets.dropDuplicates(["node"]), "similar-sets")
-
-    edges = materialize(_verified(offered, sets, similarity), "similar-edges")
+    order = F.struct((-F.col("weight")).alias("w"), "node", "n").alias("order")
+    groups = materialize(places.join(weight, "node").select("g", "node", "n", "size", order), "similar-groups")
     close = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
-    small = places.filter(F.col("size") <= SMALL).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
-    each = small.select("m", F.posexplode("m").alias("i", "x"))
-    each = each.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y")).filter(close(F.col("x.n"), F.col("y.n")))
-    pairs = each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    edges = materialize(edges.unionByName(_verified(materialize(pairs, "similar-pairs"), sets, similarity)), "similar-edges")
-
-    order = F.struct((-F.col("weight")).alias("w"), "node", "n")
-    large = materialize(places.filter(F.col("size") > SMALL).join(weight, "node").select("g", "node", "n", order.alias("order")), "similar-large")
     done = None
-    for _ in range(PIVOTS):
-        if large.isEmpty():
-            break
+    for k in range(PIVOTS):
         classes = materialize(_classes(edges), "similar-classes")
-        now = large.join(classes, F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("root", "node")).drop("c_node", "root")
-        later = now if done is None else now.join(done, "g").filter("order > pivot").drop("pivot")
-        groups = later.groupBy("g").agg(F.min("order").alias("pivot"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.min_by("class", "order").alias("p_class"), F.count("*").alias("count"))
-        groups = materialize(groups.filter("c0 <> c1").drop("c0", "c1"), "similar-pivots")
-        asked = join_counted(later, groups, ["g"], "count", F.col("node")).filter("class <> p_class").filter(close(F.col("n"), F.col("pivot.n")))
-        pairs = materialize(asked.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "similar-pairs")
-        more = materialize(_verified(pairs, sets, similarity), "similar-more")
-        edges = edges.unionByName(more)
-        done = groups.select("g", "pivot")
-        if groups.isEmpty():
+        now = groups if done is None else groups.filter(F.col("size") > SMALL).join(done, "g").filter("order > pivot").drop("pivot")
+        now = now.join(classes, F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("root", "node")).drop("c_node", "root")
+        pivots = now.groupBy("g").agg(F.min("order").alias("pivot"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.min_by("class", "order").alias("p_class"), F.count("*").alias("count"))
+        pivots = materialize(pivots.filter("c0 <> c1").drop("c0", "c1"), "similar-pivots")
+        if pivots.isEmpty():
             break
+        asked = join_counted(now, pivots, ["g"], "count", F.col("node")).filter("class <> p_class").filter(close(F.col("n"), F.col("pivot.n")))
+        edges = edges.unionByName(check(asked.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))))
+        done = pivots.select("g", "pivot")
+        if k == 0:  # all pairs of the small groups that are still in several classes
+            classes = materialize(_classes(edges), "similar-classes")
+            small = groups.filter(F.col("size") <= SMALL).join(done.select("g"), "g", "left_semi")
+            small = small.join(classes, F.col("node") == F.col("c_node"), "left")
+            listed = small.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("node", "n", F.coalesce("root", "node").alias("class")))).alias("m"))
+            each = listed.select("m", F.posexplode("m").alias("i", "x"))
+            each = each.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
+            each = each.filter((F.col("x.class") != F.col("y.class")) & close(F.col("x.n"), F.col("y.n")))
+            edges = edges.unionByName(check(each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
     classes = materialize(_classes(edges), "similar-classes")
     by_text = rows.select("doc_id", "h", "node").join(classes, F.col("node") == F.col("c_node"), "left")
     return by_text.withColumn("root", F.coalesce("root", "node")).groupBy("doc_id", "h", "root").agg(F.count("*").alias("rows"))
