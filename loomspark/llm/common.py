@@ -71,16 +71,16 @@ def maybe_in(df: DataFrame, h: str, ids: DataFrame) -> DataFrame:
     return out.withColumn("maybe", hit).drop("bm_own", "bm_word", "bm_bits")
 
 
-#: A key with more than 1 / HEAVY of all rows is heavy, so there are at most HEAVY such keys; each
-#: is spread over SALTS parts.
-HEAVY, SALTS = 1024, 128
+#: A key with more than 1 / HEAVY of all rows, and more than FEW, is heavy, so there are at most
+#: HEAVY such keys; each is spread over SALTS parts.
+HEAVY, FEW, SALTS = 1024, 1000, 128
 
 
 def join_counted(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, spread: Column, how: str = "inner") -> DataFrame:
-    """left joined to right on keys. right is written and holds each key once, with its number
-    of rows of left in count (dropped). Heavy keys are salted by spread, so no key meets in one task."""
+    """left joined to right on keys. right holds each key once, with its number of rows of left in
+    count (dropped), and is cheap to read again. Heavy keys are salted by spread, so no key meets in one task."""
     total = right.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    hot = F.col(count) * HEAVY > total
+    hot = (F.col(count) * HEAVY > total) & (F.col(count) > FEW)
     heavy = right.filter(hot).select(*keys, F.lit(True).alias("is_heavy"))
     salt = F.when(F.col("is_heavy"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
     left = left.join(F.broadcast(heavy), list(keys), "left").withColumn("salt", salt).drop("is_heavy")

@@ -95,9 +95,10 @@ def _parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+def _lists(sets: list[np.ndarray], dtype: type = np.uint64) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+    values = np.concatenate([np.zeros(0, dtype), *sets])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64 if dtype is np.uint64 else np.int32)))
 
 
 def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -110,12 +111,13 @@ def _sketches(shingle: int, similarity: float):
             texts = batch.column("text").to_pylist()
             sets = [_shingle_set(t, shingle) for t in texts]
             keys = [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets]
-            # sets are ordered alike: similar ones share a member of these prefixes
-            prefixes = [x[: len(x) - ceil(similarity * len(x) - 1e-9) + 1] for x in sets]
+            # sets are ordered alike: similar ones share a member of these prefixes, and so its
+            # upper half, which is enough to find candidates by
+            prefixes = [(x[: len(x) - ceil(similarity * len(x) - 1e-9) + 1] >> np.uint64(32)).astype(np.uint32) for x in sets]
             fps = [fingerprint(t, shingle) for t in texts]
             longs = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
             sizes = pa.array([len(x) for x in sets], pa.int32())
-            cols = [batch.column("doc_id"), batch.column("h"), longs(keys), sizes, longs(fps), _lists(prefixes), _lists([_parity(x) for x in sets])]
+            cols = [batch.column("doc_id"), batch.column("h"), longs(keys), sizes, longs(fps), _lists(prefixes, np.uint32), _lists([_parity(x) for x in sets])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "node", "n", "fp", "prefix", "parity"])
 
     return run
@@ -291,17 +293,17 @@ def _classes(edges: DataFrame) -> DataFrame:
 
 
 def _with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """Distinct pairs (a, b) of nodes with the value of both, as l and r; values: node, value.
-    One b may stand in very many pairs."""
-    counts = pairs.groupBy("b").agg(F.count("*").alias("count"))
-    right = materialize(counts.join(values.select(F.col("node").alias("b"), F.col(value).alias("r")), "b"), "similar-right")
+    """Written, distinct pairs (a, b) of nodes with the value of both, as l and r; values: node,
+    value. One b may stand in very many pairs."""
+    counts = materialize(pairs.groupBy("b").agg(F.count("*").alias("count")), "similar-counts")
+    right = counts.join(values.select(F.col("node").alias("b"), F.col(value).alias("r")), "b")
     left = pairs.join(values.select(F.col("node").alias("a"), F.col(value).alias("l")), "a")
     return join_counted(left, right, ["b"], "count", F.col("a"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, src: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the distinct pairs (a, b) of nodes whose shingle sets are similar enough. Pairs
-    whose parity signatures differ too much cannot be; the sets of the others are compared.
+    """Those of the written, distinct pairs (a, b) of nodes whose shingle sets are similar enough.
+    Pairs whose parity signatures differ too much cannot be; the sets of the others are compared.
     nodes: node, n, parity; texts: node and a row of src (w_h, w_id) that has it."""
     both = _with_both(pairs, nodes.withColumn("v", F.struct("n", "parity")), "v")
     apart = sum(F.bit_count(F.get("l.parity", F.lit(i)).bitwiseXOR(F.get("r.parity", F.lit(i)))) for i in range(PARITY // 64))
@@ -312,10 +314,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, src: DataFra
     hit = maybe_in(src, "h", want.select("w_h")).filter("maybe")
     hit = hit.join(broadcast_if_small(want), (F.col("h") == F.col("w_h")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
     sets = hit.select("node", "text").mapInArrow(_shingle_sets(shingle), "node long, s array<long>")
-    both = _with_both(near, materialize(sets.dropDuplicates(["node"]), "similar-sets"), "s")
+    both = _with_both(near, materialize(sets, "similar-sets"), "s")
     shared = F.size(F.array_intersect("l", "r"))
     union = F.size("l") + F.size("r") - shared
-    return materialize(both.filter(shared / F.greatest(union, F.lit(1)) >= similarity).select("a", "b"), "similar-edges")
+    # equal rows of src give a set more than once
+    return materialize(both.filter(shared / F.greatest(union, F.lit(1)) >= similarity).select("a", "b").distinct(), "similar-edges")
 
 
 def _simhash_pairs(nodes: DataFrame, radius: int) -> DataFrame:
@@ -339,21 +342,18 @@ def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_
     node is verified against its component's representative. A similarity of 0.8 leaves the
     fingerprints about 10 bits apart, where no partitioning is selective, so an exact prefix
     filter finds the rest: the sets' members are ordered by hash, and similar sets share one of
-    their first n - ceil(similarity * n) + 1. Of the nodes that share such a member, the one that
-    shares most is the pivot that all of other classes are compared with. Then all pairs of
-    different classes are compared where few nodes share a member; where many do, one pivot
-    after another, so the work stays linear in their number.
+    their first n - ceil(similarity * n) + 1. Where few nodes share such a member, all their pairs
+    are compared. Where many do, the one that shares most is the pivot that all of other classes
+    are compared with, then the next, so the work stays linear in their number.
 
     Returns doc_id, h, rows (number of equal rows) and root, which names the class."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_hash().alias("h"))
-    rows = src.mapInArrow(_sketches(shingle, similarity), "doc_id long, h long, node long, n int, fp long, prefix array<long>, parity array<long>")
+    rows = src.mapInArrow(_sketches(shingle, similarity), "doc_id long, h long, node long, n int, fp long, prefix array<int>, parity array<long>")
     rows = materialize(rows, "similar")
     nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "prefix", "parity")], F.min(F.struct("h", "doc_id")).alias("one"))
     nodes = materialize(nodes, "similar-nodes")
     texts = nodes.select("node", F.col("one.h").alias("w_h"), F.col("one.doc_id").alias("w_id"))
     check = lambda pairs: _verified(materialize(pairs.distinct(), "similar-pairs"), nodes, texts, src, shingle, similarity)
-    edges = check(_simhash_pairs(nodes.select("node", "fp"), radius))
-
     # members of prefixes that several nodes share
     places = nodes.select("node", "n", F.explode("prefix").alias("g"))
     shared = materialize(places.groupBy("g").agg(F.count("*").alias("count")).filter("count > 1"), "similar-shared")
@@ -363,27 +363,24 @@ def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_
     order = F.struct((-F.col("weight")).alias("w"), "node", "n").alias("order")
     groups = materialize(places.join(weight, "node").select("g", "node", "n", "size", order), "similar-groups")
     close = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
-    done = None
-    for k in range(PIVOTS):
+    pairs = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    offered = _simhash_pairs(nodes.select("node", "fp"), radius).select(*pairs("a", "b"))
+    small = groups.filter(F.col("size") <= SMALL).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
+    each = small.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
+    each = each.filter(close(F.col("x.n"), F.col("y.n"))).select(*pairs("x.node", "y.node"))
+    edges = check(offered.unionByName(each))
+    large = groups.filter(F.col("size") > SMALL)
+    for _ in range(PIVOTS):
         classes = materialize(_classes(edges), "similar-classes")
-        now = groups if done is None else groups.filter(F.col("size") > SMALL).join(done, "g").filter("order > pivot").drop("pivot")
-        now = now.join(classes, F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("root", "node")).drop("c_node", "root")
+        now = large.join(classes, F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("root", "node")).drop("c_node", "root")
         pivots = now.groupBy("g").agg(F.min("order").alias("pivot"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.min_by("class", "order").alias("p_class"), F.count("*").alias("count"))
         pivots = materialize(pivots.filter("c0 <> c1").drop("c0", "c1"), "similar-pivots")
         if pivots.isEmpty():
             break
-        asked = join_counted(now, pivots, ["g"], "count", F.col("node")).filter("class <> p_class").filter(close(F.col("n"), F.col("pivot.n")))
-        edges = edges.unionByName(check(asked.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))))
-        done = pivots.select("g", "pivot")
-        if k == 0:  # all pairs of the small groups that are still in several classes
-            classes = materialize(_classes(edges), "similar-classes")
-            small = groups.filter(F.col("size") <= SMALL).join(done.select("g"), "g", "left_semi")
-            small = small.join(classes, F.col("node") == F.col("c_node"), "left")
-            listed = small.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("node", "n", F.coalesce("root", "node").alias("class")))).alias("m"))
-            each = listed.select("m", F.posexplode("m").alias("i", "x"))
-            each = each.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-            each = each.filter((F.col("x.class") != F.col("y.class")) & close(F.col("x.n"), F.col("y.n")))
-            edges = edges.unionByName(check(each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
+        asked = join_counted(now, pivots, ["g"], "count", F.col("node")).filter("order > pivot")
+        far = asked.filter("class <> p_class").filter(close(F.col("n"), F.col("pivot.n")))
+        edges = edges.unionByName(check(far.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))))
+        large = materialize(asked.select("g", "node", "n", "size", "order"), "similar-groups")  # without their pivots
     classes = materialize(_classes(edges), "similar-classes")
     by_text = rows.select("doc_id", "h", "node").join(classes, F.col("node") == F.col("c_node"), "left")
     return by_text.withColumn("root", F.coalesce("root", "node")).groupBy("doc_id", "h", "root").agg(F.count("*").alias("rows"))
