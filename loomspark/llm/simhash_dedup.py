@@ -126,8 +126,10 @@ def _sketches(shingle: int, similarity: float):
 def _shingle_sets(shingle: int):
     def run(batches):
         for batch in batches:
-            sets = [_shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets)], names=["node", "s"])
+            # lower halves of the digests: a collision, in about n * n / 2^32 of the pairs, adds one
+            # shared member and so never loses a link
+            sets = [np.unique(_shingle_set(t, shingle).astype(np.uint32)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets, np.uint32)], names=["node", "s"])
 
     return run
 
@@ -313,7 +315,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, src: DataFra
     want = materialize(texts.join(ends, "node"), "similar-want")
     hit = maybe_in(src, "h", want.select("w_h")).filter("maybe")
     hit = hit.join(broadcast_if_small(want), (F.col("h") == F.col("w_h")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    sets = hit.select("node", "text").mapInArrow(_shingle_sets(shingle), "node long, s array<long>")
+    sets = hit.select("node", "text").mapInArrow(_shingle_sets(shingle), "node long, s array<int>")
     both = _with_both(near, materialize(sets, "similar-sets"), "s")
     shared = F.size(F.array_intersect("l", "r"))
     union = F.size("l") + F.size("r") - shared
