@@ -22,7 +22,7 @@ smallest doc_id ignores nulls; repeated rows get equal results; an empty table g
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
+from itertools import chain, combinations, repeat
 from math import ceil, comb
 
 import numpy as np
@@ -37,9 +37,11 @@ from loomspark.llm.components import components
 SHINGLE, RADIUS, BITS = 3, 2, 64
 #: What similar_texts calls similar.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
-#: In a group of up to SMALL texts all pairs are compared; in a larger one, its members with one
-#: pivot after another, at most PIVOTS.
-SMALL, PIVOTS = 8, 3
+#: In a group of up to SMALL texts all pairs are compared; in a larger one, its members with
+#: pivots, PIVOTS at a time in the first round, the second, and so on as the last.
+SMALL, PIVOTS = 8, (1, 8, 64)
+#: Shingles are ordered by how often their bin, the top bits of their hash, occurs in the corpus.
+BIN_BITS, LANES = 18, 16
 #: Bits of a set's parity signature.
 PARITY = 512
 #: Fingerprints that the partitioning is fitted on, by hash; the join itself is exact.
@@ -105,19 +107,54 @@ def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_digests(text, shingle)]))
 
 
-def _sketches(shingle: int, similarity: float):
+def _bins(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
+def _bin_rows(shingle: int):
+    def run(batches):
+        total, held, waiting = np.zeros(1 << BIN_BITS, np.int64), [], 0
+        for batch in batches:
+            for t in batch.column("text"):
+                for h in shingle_digests(t.as_py(), shingle):
+                    held.append(_bins(h))
+                    waiting += len(h)
+                    if waiting >= 1 << 20:
+                        total += np.bincount(np.concatenate(held), minlength=len(total))
+                        held, waiting = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
+        wide = total.reshape(-1, LANES)
+        cols = [pa.array(np.arange(len(wide), dtype=np.int32))] + [pa.array(np.ascontiguousarray(wide[:, j])) for j in range(LANES)]
+        yield pa.RecordBatch.from_arrays(cols, names=["bins", *[f"n{j}" for j in range(LANES)]])
+
+    return run
+
+
+def bin_counts(src: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of the corpus fall into each of the 2^BIN_BITS bins: a table of fixed size,
+    whatever the input."""
+    lanes = [f"n{j}" for j in range(LANES)]
+    rows = src.select("text").mapInArrow(_bin_rows(shingle), "bins int, " + ", ".join(f"{x} long" for x in lanes))
+    got = rows.groupBy("bins").agg(*[F.sum(x).alias(x) for x in lanes]).toPandas()
+    out = np.zeros(1 << BIN_BITS, np.int64)
+    if len(got):
+        out.reshape(-1, LANES)[got["bins"].to_numpy()] = got[lanes].to_numpy(np.int64)
+    return out
+
+
+def _sketches(shingle: int, similarity: float, often):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             sets = [_shingle_set(t, shingle) for t in texts]
             keys = [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets]
-            # sets are ordered alike: similar ones share a member of these prefixes, and so its
-            # upper half, which is enough to find candidates by
-            prefixes = [(x[: len(x) - ceil(similarity * len(x) - 1e-9) + 1] >> np.uint64(32)).astype(np.uint32) for x in sets]
+            # all sets are ordered alike, so similar ones share a member of these prefixes
+            prefixes = [x[np.lexsort((x, often.value[_bins(x)]))[: len(x) - ceil(similarity * len(x) - 1e-9) + 1]] for x in sets]
             fps = [fingerprint(t, shingle) for t in texts]
             longs = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
             sizes = pa.array([len(x) for x in sets], pa.int32())
-            cols = [batch.column("doc_id"), batch.column("h"), longs(keys), sizes, longs(fps), _lists(prefixes, np.uint32), _lists([_parity(x) for x in sets])]
+            cols = [batch.column("doc_id"), batch.column("h"), longs(keys), sizes, longs(fps), _lists(prefixes), _lists([_parity(x) for x in sets])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "node", "n", "fp", "prefix", "parity"])
 
     return run
@@ -343,14 +380,16 @@ def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_
     Texts with equal sets are one node. SimHash within the radius joins what is nearest: each
     node is verified against its component's representative. A similarity of 0.8 leaves the
     fingerprints about 10 bits apart, where no partitioning is selective, so an exact prefix
-    filter finds the rest: the sets' members are ordered by hash, and similar sets share one of
-    their first n - ceil(similarity * n) + 1. Where few nodes share such a member, all their pairs
-    are compared. Where many do, the one that shares most is the pivot that all of other classes
-    are compared with, then the next, so the work stays linear in their number.
+    filter finds the rest: the sets' members are ordered from rare to frequent, and similar sets
+    share one of their first n - ceil(similarity * n) + 1. Where few nodes share such a member, all
+    their pairs are compared. Where many do, all of other classes are compared with pivots, first
+    with the one that shares most; pivots leave, and rounds go on until what is left of every such
+    group is one class. A group of near copies thus takes one round, and no link is lost.
 
     Returns doc_id, h, rows (number of equal rows) and root, which names the class."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_hash().alias("h"))
-    rows = src.mapInArrow(_sketches(shingle, similarity), "doc_id long, h long, node long, n int, fp long, prefix array<int>, parity array<long>")
+    often = docs.sparkSession.sparkContext.broadcast(bin_counts(src, shingle))
+    rows = src.mapInArrow(_sketches(shingle, similarity, often), "doc_id long, h long, node long, n int, fp long, prefix array<long>, parity array<long>")
     rows = materialize(rows, "similar")
     nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "prefix", "parity")], F.min(F.struct("h", "doc_id")).alias("one"))
     nodes = materialize(nodes, "similar-nodes")
@@ -371,18 +410,21 @@ def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_
     each = small.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
     each = each.filter(close(F.col("x.n"), F.col("y.n"))).select(*pairs("x.node", "y.node"))
     edges = check(offered.unionByName(each))
-    large = groups.filter(F.col("size") > SMALL)
-    for _ in range(PIVOTS):
+    large = groups.filter(F.col("size") > SMALL).drop("size")
+    for lots in chain(PIVOTS, repeat(PIVOTS[-1])):
         classes = materialize(_classes(edges), "similar-classes")
         now = large.join(classes, F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("root", "node")).drop("c_node", "root")
-        pivots = now.groupBy("g").agg(F.min("order").alias("pivot"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.min_by("class", "order").alias("p_class"), F.count("*").alias("count"))
+        lot = F.pmod(F.xxhash64("node"), F.lit(lots)).alias("lot")
+        firsts = now.groupBy("g", lot).agg(F.min(F.struct("order", "node", "n", "class")).alias("p"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("count"))
+        pivots = firsts.groupBy("g").agg(F.collect_list("p").alias("pivots"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("count").alias("count"))
         pivots = materialize(pivots.filter("c0 <> c1").drop("c0", "c1"), "similar-pivots")
         if pivots.isEmpty():
             break
-        asked = join_counted(now, pivots, ["g"], "count", F.col("node")).filter("order > pivot")
-        far = asked.filter("class <> p_class").filter(close(F.col("n"), F.col("pivot.n")))
-        edges = edges.unionByName(check(far.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))))
-        large = materialize(asked.select("g", "node", "n", "size", "order"), "similar-groups")  # without their pivots
+        asked = join_counted(now, pivots, ["g"], "count", F.col("node"))
+        far = asked.withColumn("p", F.explode("pivots")).filter("class <> p.class").filter(close(F.col("n"), F.col("p.n")))
+        edges = edges.unionByName(check(far.select(*pairs("node", "p.node"))))
+        left = asked.filter(~F.array_contains("pivots.node", F.col("node")))
+        large = materialize(left.select("g", "node", "n", "order"), "similar-groups")
     classes = materialize(_classes(edges), "similar-classes")
     by_text = rows.select("doc_id", "h", "node").join(classes, F.col("node") == F.col("c_node"), "left")
     return by_text.withColumn("root", F.coalesce("root", "node")).groupBy("doc_id", "h", "root").agg(F.count("*").alias("rows"))

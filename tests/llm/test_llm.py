@@ -333,7 +333,10 @@ def test_stages_keep_clashing_columns(spark, rows):
             assert not {0, 104} & {r["doc_id"] for r in got} and len(got) == len(rows) - 2
 
 
-def test_similar_texts_equal_brute_force(spark):
+@pytest.mark.parametrize("small", [simhash_dedup.SMALL, 1])
+def test_similar_texts_equal_brute_force(spark, monkeypatch, small):
+    """With small = 1 every shared member goes through the rounds of pivots, which must lose no link."""
+    monkeypatch.setattr(simhash_dedup, "SMALL", small)
     rng = random.Random(21)
     base = [[f"w{rng.randrange(900)}" for _ in range(rng.randint(40, 160))] for _ in range(12)]
     texts = []
@@ -344,6 +347,10 @@ def test_similar_texts_equal_brute_force(spark):
             for _ in range(rng.randint(0, 5)):
                 copy[rng.randrange(len(copy))] = f"x{rng.randrange(9)}"
             texts.append(" ".join(copy))
+    passage = base[3][:40] + base[4][:40]
+    for _ in range(12):  # unlike texts around one passage, each with a near copy of its own
+        own = [f"y{rng.randrange(900)}" for _ in range(60)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-1] + ["z"])]
     texts += ["", None, "a b", "A  b", texts[0], " ".join(base[1] + base[2])]
     sets = []
     for t in texts:
