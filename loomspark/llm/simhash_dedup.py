@@ -38,8 +38,8 @@ SHINGLE, RADIUS, BITS = 3, 2, 64
 #: What similar_texts calls similar.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: In a group of up to SMALL texts all pairs are compared; in a larger one, its members with
-#: pivots, PIVOTS at a time in the first round, the second, and so on as the last.
-SMALL, PIVOTS = 8, (1, 8, 64)
+#: pivots: at most PIVOTS at a time in the first round and in each later one.
+SMALL, PIVOTS = 8, (1, 256)
 #: Shingles are ordered by how often their bin, the top bits of their hash, occurs in the corpus.
 BIN_BITS, LANES = 18, 16
 #: Bits of a set's parity signature.
@@ -410,21 +410,23 @@ def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_
     each = small.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
     each = each.filter(close(F.col("x.n"), F.col("y.n"))).select(*pairs("x.node", "y.node"))
     edges = check(offered.unionByName(each))
-    large = groups.filter(F.col("size") > SMALL).drop("size")
+    large = groups.filter(F.col("size") > SMALL)
     for lots in chain(PIVOTS, repeat(PIVOTS[-1])):
         classes = materialize(_classes(edges), "similar-classes")
         now = large.join(classes, F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("root", "node")).drop("c_node", "root")
-        lot = F.pmod(F.xxhash64("node"), F.lit(lots)).alias("lot")
+        # one pivot a lot; what is left of a group that has become small is all compared
+        lot = F.when(F.col("size") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(lots))).alias("lot")
         firsts = now.groupBy("g", lot).agg(F.min(F.struct("order", "node", "n", "class")).alias("p"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("count"))
         pivots = firsts.groupBy("g").agg(F.collect_list("p").alias("pivots"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("count").alias("count"))
-        pivots = materialize(pivots.filter("c0 <> c1").drop("c0", "c1"), "similar-pivots")
+        pivots = pivots.filter("c0 <> c1").withColumn("rest", F.col("count") - F.size("pivots"))
+        pivots = materialize(pivots.drop("c0", "c1"), "similar-pivots")
         if pivots.isEmpty():
             break
         asked = join_counted(now, pivots, ["g"], "count", F.col("node"))
         far = asked.withColumn("p", F.explode("pivots")).filter("class <> p.class").filter(close(F.col("n"), F.col("p.n")))
         edges = edges.unionByName(check(far.select(*pairs("node", "p.node"))))
         left = asked.filter(~F.array_contains("pivots.node", F.col("node")))
-        large = materialize(left.select("g", "node", "n", "order"), "similar-groups")
+        large = materialize(left.select("g", "node", "n", F.col("rest").alias("size"), "order"), "similar-groups")
     classes = materialize(_classes(edges), "similar-classes")
     by_text = rows.select("doc_id", "h", "node").join(classes, F.col("node") == F.col("c_node"), "left")
     return by_text.withColumn("root", F.coalesce("root", "node")).groupBy("doc_id", "h", "root").agg(F.count("*").alias("rows"))
