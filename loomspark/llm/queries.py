@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontaminate, language_id, license_scan, line_crf, line_dedup, masked_lm, mixing, ngram_quality, simhash_dedup, suffix_dedup
+from loomspark.llm import bit_sliced, conversation_repair, decontaminate, language_id, license_scan, line_crf, line_dedup, masked_lm, mixing, ngram_quality, simhash_dedup, spelling, suffix_dedup
 from loomspark.llm.common import table
 
 
@@ -69,6 +69,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damaged(rows), rows)
+
+
+def op12_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return bit_sliced.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.damaged_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.variants(spelling.vocabulary(runs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_license_scan,
         op10_suffix_dedup,
+        op11_conversation_repair,
+        op12_bit_sliced_top_k,
+        op13_spelling_variants,
     )
 }
 
@@ -157,4 +175,44 @@ SELECT t.doc_id, CASE WHEN g.n_removed > 0 THEN coalesce(kept.text, '') ELSE t.t
 FROM t LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 """.replace("{unit}", str(line_dedup.MIN_UNIT)).replace("{passage}", str(line_dedup.MIN_PASSAGE))
 
-ORACLES: dict[str, str] = {"op3_mixing": _MIX, "op5_line_dedup": _UNITS, "op9_license_scan": _license_sql()}
+_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 50 = 0) q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+#: crc32 is linear: of a message of 4 bytes or more it is the complement of the xor of one table
+#: entry a byte, where tables[k] is the byte table moved on by k bytes and the first 4 bytes are complemented.
+_SPELLING = """
+WITH RECURSIVE byte AS (
+  SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+  FROM (SELECT unnest(range(256)) AS b)),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{C0}-\\x{FF}]+')) AS run FROM documents),
+g AS (SELECT d, run, count(*) AS k, hex(encode(d || ':' || run)) AS hex FROM runs WHERE length(run) >= 6 GROUP BY d, run),
+tables(k, b, v) AS (
+  SELECT 0, b, v FROM byte
+  UNION ALL
+  SELECT t.k + 1, t.b, xor(t.v // 256, byte.v) FROM tables t JOIN byte ON byte.b = t.v % 256 WHERE t.k < (SELECT max(length(hex)) // 2 FROM g)),
+bytes AS (SELECT d, run, i, length(hex) // 2 AS n, ('0x' || substr(hex, 2 * i + 1, 2))::BIGINT AS b FROM (SELECT *, unnest(range(length(hex) // 2)) AS i FROM g)),
+crc AS (SELECT d, run, xor(bit_xor(t.v), 4294967295) AS h
+        FROM bytes JOIN tables t ON t.k = n - 1 - i AND t.b = CASE WHEN i < 4 THEN 255 - bytes.b ELSE bytes.b END GROUP BY d, run),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+      FROM g JOIN crc USING (d, run) GROUP BY 1 HAVING length(word) >= 6 AND sum(k) >= 5),
+less AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+near AS (
+  SELECT less.word AS a, w.word AS b FROM less JOIN w ON w.word = rest
+  UNION SELECT w.word, less.word FROM less JOIN w ON w.word = rest
+  UNION SELECT x.word, y.word FROM less x JOIN less y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+best AS (SELECT a, count(*) OVER (PARTITION BY a) AS n_near, b, w.n, row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS r FROM near JOIN w ON w.word = b),
+f AS (SELECT w.word, w.n, coalesce(best.n_near, 0) AS n_near, CASE WHEN best.n >= 5 * w.n THEN best.b END AS form, CASE WHEN best.n >= 5 * w.n THEN best.n END AS form_n
+      FROM w LEFT JOIN best ON best.a = w.word AND best.r = 1),
+way(word, root, step) AS (SELECT word, form, 1 FROM f WHERE form IS NOT NULL UNION ALL SELECT way.word, f.form, step + 1 FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, step) AS root FROM way GROUP BY word)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN last USING (word)
+"""
+
+ORACLES: dict[str, str] = {"op3_mixing": _MIX, "op5_line_dedup": _UNITS, "op9_license_scan": _license_sql(), "op12_bit_sliced_top_k": _TOP_K, "op13_spelling_variants": _SPELLING}
