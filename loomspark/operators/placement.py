@@ -11,28 +11,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.frames import written
+from loomspark.functions.graph import components
 from loomspark.operators import taxonomy, vectors
 
 #: Inserted concepts rank after every node of the hierarchy.
 AFTER_NODES = 1 << 40
 
 
-def _nearest_before(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The nearest row of right that exists before each row of left, smaller ord on ties."""
-    row, ords, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+def _within(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of rows of left and right nearer than left's limit, and that right may precede."""
+    out = {"j": [np.zeros(0, np.int64)], "i": [np.zeros(0, np.int64)], "d": [np.zeros(0)]}
     if len(left) and len(right):
-        seq, since = left["seq"].to_numpy(), right["since"].to_numpy()
-        before = lambda lo, hi: since[None, :] < seq[lo:hi, None]
-        row, ords, d = vectors.nearest_rows(vectors.matrix(left["embedding"]), vectors.matrix(right["embedding"]), right["ord"].to_numpy(), 1, before)
-    return pd.DataFrame({"seq": left["seq"].to_numpy()[row], "d": d, "o": ords})
+        x, t = vectors.matrix(left["embedding"]), vectors.matrix(right["embedding"])
+        limit, last, g, first = left["limit"].to_numpy(), left["last"].to_numpy(), left["g"].to_numpy(), right["g"].to_numpy()
+        norms = (t * t).sum(1)
+        for lo in range(0, len(x), vectors.SLICE_ROWS):
+            part = x[lo : lo + vectors.SLICE_ROWS]
+            own, at = (part * part).sum(1), slice(lo, lo + len(part))
+            d = own[:, None] + norms[None, :] - 2 * part @ t.T
+            margin = 1e-9 * (own + norms.max() + 1)
+            i, j = np.nonzero((d <= (limit[at] + margin)[:, None]) & (first[None, :] < last[at, None]) & (first[None, :] != g[at, None]))
+            exact = ((part[i] - t[j]) ** 2).sum(1)
+            keep = exact < limit[at][i]
+            for c, v in (("j", g[at][i]), ("i", first[j]), ("d", exact)):
+                out[c].append(v[keep])
+    return pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
+
+
+#: Rounds over all waiting concepts, before what is left is finished component by component.
+ROUNDS = 5
+
+
+def _one_after_the_other(reject: float, merge: float):
+    """Decides concepts in order. Rows: root, seq, g, d, o (best node so far), i, e (a nearer
+    group that may hold an inserted concept, and how near; null if none), sorted by root and seq.
+    What is kept is the inserted groups of one root and the row under way."""
+
+    def run(batches):
+        root, seq, inserted, g, best = None, None, {}, None, None
+
+        def settled():
+            s = 1 - best[0]
+            result = "Reject" if s < reject else "Merge" if s >= merge else "Insert"
+            if result == "Insert":
+                inserted.setdefault(g, seq)
+            return seq, best[1], s, result
+
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                if (r.root, r.seq) != (root, seq):
+                    if seq is not None:
+                        out.append(settled())
+                    if r.root != root:
+                        inserted = {}
+                    root, seq, g, best = r.root, r.seq, r.g, (r.d, r.o)
+                if r.i in inserted:  # a null is in no set
+                    best = min(best, (r.e, AFTER_NODES + inserted[r.i]))
+            yield pd.DataFrame(out, columns=["seq", "ord", "similarity", "result"])
+        if seq is not None:
+            yield pd.DataFrame([settled()], columns=["seq", "ord", "similarity", "result"])
+
+    return run
+
+
+def _offered(waiting: DataFrame, edges: DataFrame, state: DataFrame) -> DataFrame:
+    """waiting (seq, g, best) with the nearest earlier inserted concept taken into best, and
+    rival, the nearest earlier one that is not settled. state: i, since, pending: first inserted
+    and first unsettled concept of a group."""
+    reach = waiting.join(edges.join(state, "i").withColumnRenamed("j", "g"), "g")
+    node = lambda at: F.min(F.when(F.col(at) < F.col("seq"), F.struct("d", (F.col(at) + AFTER_NODES).alias("o"))))
+    told = reach.groupBy("seq").agg(node("since").alias("better"), node("pending").alias("rival"))
+    return waiting.join(told, "seq", "left").select("seq", "g", F.least("best", "better").alias("best"), "rival")
 
 
-def nearest_before(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """queries: seq, embedding; nodes: ord, since, embedding. seq, near (struct of d, o): the
-    nearest node with since < seq. Blocks of both sides meet; one row a query leaves each."""
-    pairs = vectors.in_blocks(queries.select("seq", "embedding"), "seq", nodes.select("ord", "since", "embedding"), "ord")
-    part = pairs.applyInPandas(_nearest_before, "seq long, d double, o long")
-    return part.groupBy("seq").agg(F.min(F.struct("d", "o")).alias("near"))
+_DECIDED = "seq long, ord long, similarity double, result string"
 
 
 def decide_in_order(concepts: DataFrame, nodes: DataFrame, reject: float = taxonomy.REJECT, merge: float = taxonomy.MERGE) -> DataFrame:
@@ -40,28 +93,53 @@ def decide_in_order(concepts: DataFrame, nodes: DataFrame, reject: float = taxon
     of inserting one concept after the other, an inserted one being a possible best node of all
     later ones: seq, ord (best node; AFTER_NODES + seq for an inserted concept), similarity, result.
 
-    A round settles every concept whose best node so far is nearer than any unsettled earlier
-    concept; the earliest one always settles. Concepts without name or definition are rejected
-    without a best node. An empty table gives no rows."""
+    Equal vectors form a group. Vectors are compared twice: groups with nodes, then groups with
+    groups, which leaves an edge where a group that may be inserted is nearer than the best node.
+    What follows handles these numbers only. ROUNDS rounds settle every concept whose best node
+    so far is nearer than any unsettled earlier concept; the components of the rest are then
+    each walked in order. Concepts without name or definition are rejected without a best node,
+    as are all if there are no nodes. An empty table gives no rows."""
     empty = (F.coalesce("name", F.lit("")) == "") | (F.coalesce("definition", F.lit("")) == "") | F.col("embedding").isNull()
-    none = F.lit(None).cast("struct<d:double,o:bigint>")
-    out = concepts.filter(empty).select("seq", F.lit(None).cast("long").alias("ord"), F.lit(None).cast("double").alias("similarity"), F.lit("Reject").alias("result"))
-    base = nodes.select("ord", F.lit(-1).cast("long").alias("since"), "embedding")
-    waiting = written(concepts.filter(~empty).select("seq", "embedding"), "order-start")
-    waiting = written(waiting.join(nearest_before(waiting, base), "seq", "left").select("seq", "embedding", F.coalesce("near", none).alias("near")), "order")
-    inserts = lambda df: df.select((F.col("seq") + AFTER_NODES).alias("ord"), F.col("seq").alias("since"), "embedding")
-    while not waiting.isEmpty():
-        rival = nearest_before(waiting, inserts(waiting)).withColumnRenamed("near", "rival")
-        ready = F.col("rival").isNull() | F.coalesce(F.col("near") < F.col("rival"), F.lit(False))
-        judged = written(waiting.join(rival, "seq", "left").withColumn("ready", ready).drop("rival"), "order-judged")
-        s = 1 - F.col("near.d")
-        result = F.when(s.isNull() | (s < reject), "Reject").when(s >= merge, "Merge").otherwise("Insert")
-        done = judged.filter("ready").select("seq", F.col("near.o").alias("ord"), s.alias("similarity"), result.alias("result"), "embedding")
-        out = out.unionByName(done.drop("embedding"))
-        rest = judged.filter("not ready").drop("ready")
-        more = nearest_before(rest, inserts(done.filter("result = 'Insert'"))).withColumnRenamed("near", "more")
-        waiting = written(rest.join(more, "seq", "left").select("seq", "embedding", F.least("near", "more").alias("near")), "order")
-    return out
+    blank = concepts.filter(empty).select("seq", F.lit(None).cast("long").alias("ord"), F.lit(None).cast("double").alias("similarity"), F.lit("Reject").alias("result"))
+    filled = written(concepts.filter(~empty).select("seq", "embedding"), "order-concepts")
+    groups = written(filled.groupBy("embedding").agg(F.min("seq").alias("g"), F.max("seq").alias("last")), "order-groups")
+    near = vectors.nearest_nodes(groups.select(F.col("g").alias("query_id"), "embedding"), nodes.select(F.col("ord").alias("node_id"), "embedding"))
+    near = near.select(F.col("query_id").alias("g"), F.struct(F.col("distance").alias("d"), F.col("node_id").alias("o")).alias("best"))
+    groups = written(groups.join(near, "g", "left"), "order-near")
+    lost = groups.filter("best is null")
+    waiting = filled.join(groups.select("embedding", "g", "best"), "embedding").select("seq", "g", "best")
+    alone = waiting.filter("best is null").select("seq", F.lit(None).cast("long").alias("ord"), F.lit(None).cast("double").alias("similarity"), F.lit("Reject").alias("result"))
+    out = blank if lost.isEmpty() else blank.unionByName(alone)
+    waiting = written(waiting.filter("best is not null"), "order-waiting")
+
+    live = groups.filter("best is not null")
+    pairs = vectors.in_blocks(live.select("g", "last", F.col("best.d").alias("limit"), "embedding"), "g", live.filter(1 - F.col("best.d") < merge).select("g", "embedding"), "g")
+    edges = pairs.applyInPandas(_within, "j long, i long, d double")
+    copies = live.filter("g < last").select(F.col("g").alias("j"), F.col("g").alias("i"), F.lit(0.0).alias("d"))
+    edges = written(edges.unionByName(copies), "order-edges")
+
+    inserted = filled.sparkSession.createDataFrame([], "i long, since long")
+    for _ in range(ROUNDS):
+        pending = waiting.groupBy(F.col("g").alias("i")).agg(F.min("seq").alias("pending"))
+        judged = _offered(waiting, edges, pending.join(inserted, "i", "full"))
+        judged = written(judged.withColumn("ready", F.coalesce(F.col("best") < F.col("rival"), F.lit(True))).drop("rival"), "order-judged")
+        s = 1 - F.col("best.d")
+        result = F.when(s < reject, "Reject").when(s >= merge, "Merge").otherwise("Insert")
+        done = judged.filter("ready").select("seq", "g", F.col("best.o").alias("ord"), s.alias("similarity"), result.alias("result"))
+        out = out.unionByName(done.drop("g"))
+        waiting = judged.filter("not ready").drop("ready")
+        inserted = written(inserted.unionByName(done.filter("result = 'Insert'").select(F.col("g").alias("i"), F.col("seq").alias("since"))).groupBy("i").agg(F.min("since").alias("since")), "order-inserted")
+        if waiting.isEmpty():
+            return out
+
+    waiting = written(_offered(waiting, edges, inserted.withColumn("pending", F.lit(None).cast("long"))).drop("rival"), "order-waiting")
+    held = waiting.select("g").distinct()
+    edges = written(edges.join(held.withColumnRenamed("g", "i"), "i", "left_semi").join(held.withColumnRenamed("g", "j"), "j", "left_semi"), "order-rest")
+    roots = components(edges.select(F.col("i").alias("a"), F.col("j").alias("b"))).withColumnRenamed("node", "g")
+    rest = waiting.join(roots, "g", "left").join(edges.select(F.col("j").alias("g"), "i", F.col("d").alias("e")), "g", "left")
+    rest = rest.select(F.coalesce("root", "g").alias("root"), "seq", "g", "best.d", "best.o", "i", "e")
+    rest = rest.repartition("root").sortWithinPartitions("root", "seq", "e", "i")
+    return out.unionByName(rest.mapInPandas(_one_after_the_other(reject, merge), _DECIDED))
 
 
 def _similarity(a: str, b: str) -> Column:

@@ -42,22 +42,20 @@ def out_of_sync(nodes: DataFrame, index: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def nearest_rows(x: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int, allowed: Callable[[int, int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_rows(x: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of x, id and squared distance of the k nearest rows of t, smaller ids on ties. The
     matrix product only preselects: everything within rounding of the k-th distance is computed
-    exactly. allowed(lo, hi) masks the pairs of rows lo to hi of x."""
+    exactly."""
     rows, out, distances = [], [], []
     norms = (t * t).sum(1)
     for lo in range(0, len(x) if len(t) else 0, SLICE_ROWS):
         part = x[lo : lo + SLICE_ROWS]
         own = (part * part).sum(1)
         d = own[:, None] + norms[None, :] - 2 * part @ t.T
-        if allowed is not None:
-            d[~allowed(lo, lo + len(part))] = np.inf
         m = min(k, len(t))
         edge = np.partition(d, m - 1, axis=1)[:, m - 1]
         margin = 1e-9 * (own + norms.max() + 1)
-        i, j = np.nonzero((d <= (edge + margin)[:, None]) & np.isfinite(d))
+        i, j = np.nonzero(d <= (edge + margin)[:, None])
         exact = ((part[i] - t[j]) ** 2).sum(1)
         order = np.lexsort((ids[j], exact, i))
         i, j, exact = i[order], j[order], exact[order]
@@ -90,7 +88,9 @@ def in_blocks(left: DataFrame, left_key: str, right: DataFrame, right_key: str):
     return a.groupBy(F.col("lb").cast("int").alias("lb"), "rb").cogroup(b.groupBy("lb", "rb"))
 
 
-def _nearest(top_k: int):
+def nearest_of(top_k: int):
+    """The top_k nearest rows of one frame for each row of another, as a cogrouped function."""
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row, ids, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(left) and len(right):
@@ -108,7 +108,7 @@ def nearest_nodes(queries: DataFrame, nodes: DataFrame, top_k: int = 1, where: C
         raise ValueError(f"unknown metric {metric}")
     nodes = nodes if where is None else nodes.filter(where)
     pairs = in_blocks(queries.select("query_id", "embedding"), "query_id", nodes.select("node_id", "embedding"), "node_id")
-    part = pairs.applyInPandas(_nearest(top_k), "query_id long, node_id long, distance double")
+    part = pairs.applyInPandas(nearest_of(top_k), "query_id long, node_id long, distance double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "node_id"))
     best = part.withColumn("rank", rank).filter(F.col("rank") <= top_k)
     if metric == "l2":

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.functions.frames import shared_path, written
-from loomspark.operators import placement, store, taxonomy, vectors
+from loomspark.operators import placement, store, taxonomy, vector_index, vectors
 from loomspark.plans.registry import query, table
 from loomspark.sources import elements as src
 from loomspark.streaming import insertion
@@ -142,15 +142,27 @@ def e12_index_sync(spark, sf_dir):
 _DISTANCE = "list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE)))"
 
 
-@query(f"""
+_NEAREST = f"""
 WITH p AS (SELECT q.vec_id AS query_id, t.vec_id AS node_id, {_DISTANCE} AS d FROM embeddings q, embeddings t WHERE q.vec_id % 20 = 0)
-SELECT query_id, node_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS rank FROM p) WHERE rank <= 3""")
+SELECT query_id, node_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS rank FROM p) WHERE rank <= 3"""
+
+
+@query(_NEAREST)
 def e13_nearest_nodes(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     out = vectors.nearest_nodes(e.filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding"), e.selectExpr("vec_id as node_id", "embedding"), 3)
     return out.select("query_id", "node_id", "rank")
 
 
+@query(_NEAREST)
+def e13_indexed_nodes(spark, sf_dir):
+    """The same search through a written index of cells."""
+    e = table(spark, sf_dir, "embeddings")
+    index = vector_index.build_index(e.selectExpr("vec_id as node_id", "embedding"), shared_path(spark, "index"))
+    out = vector_index.nearest_in_index(e.filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding"), index, 3)
+    return out.select("query_id", "node_id", "rank")
+
+
 @query(f"""
 WITH p AS (SELECT q.vec_id AS query_id, t.vec_id AS node_id, {_DISTANCE} AS d, 'vector ' || t.vec_id AS doc FROM embeddings q, embeddings t WHERE q.vec_id % 20 = 0 AND t.vec_id % 3 = 1)
 SELECT query_id, node_id, round(sqrt(d), 6) AS distance, doc FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS rank FROM p) WHERE rank <= 2""")

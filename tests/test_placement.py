@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from loomspark.operators import placement, taxonomy
 from loomspark.streaming import insertion
 
@@ -39,6 +40,39 @@ def test_ordered_decisions_equal_loop(spark):
     assert placement.decide_in_order(c.limit(0), n).count() == 0
 
 
+def worlds(n_worlds, seed):
+    """Many small cases in one table: worlds so far apart that none sees another."""
+    rng = random.Random(seed)
+    concepts, nodes = [], []
+    for w in range(n_worlds):
+        v = lambda: [float(w * 1000), *[rng.randint(-3, 3) / 4 for _ in range(2)]]  # noqa: B023, E731
+        nodes += [(3 * w + k, v()) for k in range(rng.randint(1, 3))]
+        concepts += [(w, v()) for _ in range(rng.randint(1, 14))]
+    rng.shuffle(concepts)
+    return [(i, w, v) for i, (w, v) in enumerate(concepts)], nodes
+
+
+@pytest.mark.parametrize("rounds", [5, 0])
+def test_thousand_cases_equal_loop(spark, monkeypatch, rounds):
+    monkeypatch.setattr(placement, "ROUNDS", rounds)
+    concepts, nodes = worlds(1000, 7)
+    c = spark.createDataFrame([(f"c{i}", i, "n", "d", "f", 1, v) for i, _, v in concepts], CONCEPT)
+    n = spark.createDataFrame(nodes, "ord long, embedding array<float>")
+    got = {r["seq"]: (r["ord"], r["result"]) for r in placement.decide_in_order(c, n, 0.3, 0.9).collect()}
+    want = {}
+    for w in range(1000):
+        want |= one_by_one([(i, "d", v) for i, x, v in concepts if x == w], [(o, v) for o, v in nodes if o // 3 == w], 0.3, 0.9)
+    assert got == want
+    assert sum(o >= placement.AFTER_NODES for o, _ in want.values()) > 1000
+
+
+def test_no_nodes_reject_all(spark):
+    concepts, nodes = sample(9, 4)
+    c = spark.createDataFrame([(f"c{i}", i, "n", d, "f", 1, v) for i, d, v in concepts], CONCEPT)
+    n = spark.createDataFrame(nodes, "ord long, embedding array<float>").limit(0)
+    assert {(r["ord"], r["result"]) for r in placement.decide_in_order(c, n).collect()} == {(None, "Reject")}
+
+
 def test_stream_equals_batches_in_order(spark, tmp_path):
     concepts, nodes = sample(12, 9)
     root = str(tmp_path / "root")
