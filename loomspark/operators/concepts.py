@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import stable_id, strip
+from loomspark.operators import calls
 
 RESPONSE = "array<struct<term:string,definition:string>>"
 
 
-def prompts(chunks: DataFrame) -> DataFrame:
-    """Adds prompt from the chunk's text and page tags."""
-    return chunks.withColumn("prompt", F.concat(F.lit("Text: "), F.coalesce("text", F.lit("")), F.lit("\nHeaders: "), F.array_join("page_tags", ", ")))
+# Fixed value: what a model is sent for a chunk.
+TEMPLATE = "{'text': {text}, 'metadata':{'page_tags': {page_tags}}}"
 
 
-def extract(chunks: DataFrame, extractor: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], partitions: int) -> DataFrame:
-    """filename, chunk_id, chunk_seq, response from a batch extractor; partitions bound the
-    number of clients at work."""
-    return chunks.repartition(partitions).mapInPandas(extractor, "filename string, chunk_id string, chunk_seq long, response string")
+def prompts(chunks: DataFrame, template: str = TEMPLATE) -> DataFrame:
+    """Adds prompt: the template with {text} and {page_tags} filled in; the tags are a bracketed
+    list of quoted strings."""
+    tags = F.transform(F.coalesce("page_tags", F.array().cast("array<string>")), lambda t: F.concat(F.lit("'"), t, F.lit("'")))
+    values = {"{text}": F.coalesce("text", F.lit("")), "{page_tags}": F.concat(F.lit("["), F.array_join(tags, ", "), F.lit("]"))}
+    parts = [values[p] if p in values else F.lit(p) for p in re.split(r"(\{text\}|\{page_tags\})", template) if p]
+    return chunks.withColumn("prompt", F.concat(*parts))
+
+
+def extract(chunks: DataFrame, model: calls.Model, store: str, name: str, template: str = TEMPLATE, clients: int = 8, slices: int = 8) -> DataFrame:
+    """filename, chunk_id, chunk_seq, response: the model's answers to the chunks' prompts, by way
+    of the store (calls.answered): equal prompts are asked once, a job run again asks the rest."""
+    asked = prompts(chunks, template).select("filename", F.col("id").alias("chunk_id"), F.col("chunk_seq").cast("long").alias("chunk_seq"), "prompt")
+    return calls.answered(asked, "prompt", model, store, name, clients=clients, slices=slices).drop("prompt").withColumnRenamed("answer", "response")
 
 
 #: Sentences: up to four words, "is" or "are", and a definition that begins with an article; on

@@ -3,16 +3,16 @@ node, filled definitions, and the export sheet."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.frames import written
+from loomspark.functions.frames import shared_path, written
 from loomspark.functions.graph import components
-from loomspark.operators import taxonomy, vectors
+from loomspark.operators import calls, taxonomy, vectors
 
 #: Inserted concepts rank after every node of the hierarchy.
 AFTER_NODES = 1 << 40
@@ -162,28 +162,29 @@ def compare_placement(inserted: DataFrame, nodes: DataFrame, least: float = 0.5)
     return c.join(near, "concept_id", "left").withColumn("placement", placement)
 
 
-def context_definitions(rows: pd.DataFrame) -> pd.Series:
-    """The offline default: the neighbours' names as a sentence."""
-    def one(parent, children):
-        kind = f"A kind of {parent['name']}" if parent is not None else "A top-level concept"
-        names = [c["name"] for c in children]
-        return kind + (f" that covers {', '.join(names)}." if names else ".")
+def context_definitions(prompts: pd.Series) -> pd.Series:
+    """The offline default: the neighbours' names as a sentence. A prompt is JSON with parent and
+    children as taxonomy.neighbourhood gives them, and siblings where asked for."""
+    def one(prompt):
+        around = json.loads(prompt)
+        kind = f"A kind of {around['parent']['name']}" if around.get("parent") else "A top-level concept"
+        names = [c.get("name") for c in around["children"]]
+        return kind + (f" that covers {', '.join(n or '' for n in names)}." if names else ".")
 
-    return pd.Series([one(p, c) for p, c in zip(rows["parent"], rows["children"], strict=True)], dtype=object)
+    return prompts.map(one)
 
 
-def fill_definitions(nodes: DataFrame, generator: Callable[[pd.DataFrame], pd.Series] = context_definitions, partitions: int = 8) -> DataFrame:
-    """nodes (with `Source name`) with empty definitions generated from each node's neighbours
-    as they are in the given table; the source tells so. partitions bound the clients at work."""
+def fill_definitions(nodes: DataFrame, generator: calls.Model = context_definitions, name: str = "context", store: str | None = None, siblings: bool = False, clients: int = 8) -> DataFrame:
+    """nodes (with `Source name`) with empty definitions generated from each node's name and
+    neighbours as they are in the given table; the source tells so. Only neighbours of these
+    nodes are read, siblings only on demand. generator gets JSON prompts; its answers are kept in
+    store under name, so equal prompts are asked once and a job run again asks the rest."""
     missing = F.coalesce("definition", F.lit("")) == ""
-    todo = taxonomy.neighbourhood(nodes).join(nodes.filter(missing).select("node_id", "name"), "node_id")
-    schema = "node_id string, made string"
-
-    def run(batches):
-        for rows in batches:
-            yield pd.DataFrame({"node_id": rows["node_id"], "made": generator(rows).to_numpy()})
-
-    made = todo.repartition(partitions, "node_id").mapInPandas(run, schema)
+    around = taxonomy.neighbourhood(nodes, nodes.filter(missing).select("node_id"), siblings).join(nodes.filter(missing).select("node_id", "name"), "node_id")
+    what = ["name", "parent", "children", *(["siblings"] if siblings else [])]
+    asked = around.select("node_id", F.to_json(F.struct(*what)).alias("prompt"))
+    store = store or shared_path(nodes.sparkSession, "definitions")
+    made = calls.answered(asked, "prompt", generator, store, name, clients=clients).select("node_id", F.col("answer").alias("made"))
     source = F.ltrim(F.concat(F.coalesce("Source name", F.lit("")), F.lit(" (LLM-generated definition)")))
     out = nodes.join(made, "node_id", "left")
     out = out.withColumn("Source name", F.when(F.col("made").isNotNull(), source).otherwise(F.col("Source name")))
@@ -220,10 +221,23 @@ def export_rows(nodes: DataFrame, order: DataFrame) -> DataFrame:
     return rows.select("path", *[made.get(c, held.get(c, F.lit(""))).alias(c) for c in SHEET])
 
 
-def apply_decisions(nodes: DataFrame, concepts: DataFrame, decisions: DataFrame) -> DataFrame:
+def changed_nodes(nodes: DataFrame, concepts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Only the nodes that apply_decisions adds or changes. Of the hierarchy, the best nodes and
+    their children are read."""
+    made = decisions.select("seq", F.col("ord").alias("best"), "result").filter("result <> 'Reject'")
+    best = nodes.join(made.select(F.col("best").alias("ord")).distinct(), "ord", "left_semi")
+    family = best.select(F.col("node_id").alias("parent_id"))
+    near = best.unionByName(nodes.join(family, "parent_id", "left_semi").join(best.select("node_id"), "node_id", "left_anti").select(best.columns))
+    after = apply_decisions(near, concepts, decisions, nodes.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top")))
+    merged = nodes.join(made.filter("result = 'Merge'").select(F.col("best").alias("ord")).distinct(), "ord", "left_semi").select("node_id")
+    new = concepts.join(made.filter("result = 'Insert'"), "seq", "left_semi").select(F.col("concept_id").alias("node_id"))
+    return after.join(merged.unionByName(new), "node_id", "left_semi")
+
+
+def apply_decisions(nodes: DataFrame, concepts: DataFrame, decisions: DataFrame, top: DataFrame | None = None) -> DataFrame:
     """nodes (with ord) after the decisions of decide_in_order: inserted concepts as last
     children of their best nodes, then merged ones added to theirs. Other columns of nodes stay,
-    empty for new nodes but for `Source name`."""
+    empty for new nodes but for `Source name`. top: the largest ord, if nodes are not all there are."""
     made = concepts.join(decisions.select("seq", F.col("ord").alias("best"), "result"), "seq")
     ids = nodes.select("ord", "node_id").unionByName(concepts.select((F.col("seq") + AFTER_NODES).alias("ord"), F.col("concept_id").alias("node_id")))
     made = made.join(ids, made.best == ids.ord).drop("ord")
@@ -233,7 +247,7 @@ def apply_decisions(nodes: DataFrame, concepts: DataFrame, decisions: DataFrame)
     held = nodes.select("node_id", "ord", "embedding")
     # a new node follows all earlier ones, in concept order
     fresh = made.filter("result = 'Insert'").select(F.col("concept_id").alias("node_id"), "seq", "embedding")
-    top = nodes.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top"))
+    top = nodes.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top")) if top is None else top
     fresh = fresh.crossJoin(F.broadcast(top)).select("node_id", (F.col("top") + 1 + F.col("seq")).alias("ord"), "embedding")
     return grown.join(held.unionByName(fresh), "node_id")
 

@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspark.functions.frames import numbered
 
-def upsert(base: DataFrame, batch: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
-    """The batch's last row a key replaces the base's row."""
-    last = batch.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")
-    return base.join(last.select(key), key, "left_anti").unionByName(last)
+
+def last_rows(batch: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of every key of the batch; null is a key too."""
+    columns = [F.col(f"`{c}`") for c in batch.columns]
+    return batch.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max_by(F.struct(*columns), order).alias("_row")).select("_row.*")
+
+
+def upsert(base: DataFrame, batch: DataFrame, key: str = "id", order: str = "ord", now: Column | None = None) -> DataFrame:
+    """The batch's last row a key replaces the base's row. Rows of the batch come last, in their
+    order: order continues behind the base. created, if the base has it, becomes now."""
+    top = base.agg(F.coalesce(F.max(order), F.lit(-1)).alias("_top"))
+    fresh = continued(last_rows(batch, key, order), order, top, now if "created" in base.columns else None)
+    keys = fresh.select(F.col(f"`{key}`").alias("_key"))
+    return base.join(keys, F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left_anti").unionByName(fresh)
+
+
+def continued(rows: DataFrame, order: str, top: DataFrame, now: Column | None) -> DataFrame:
+    """rows with order numbered on behind _top, the one value of top, and created set to now."""
+    out = numbered(rows, order, name="_n").crossJoin(F.broadcast(top))
+    out = out.withColumn(order, (F.col("_top") + 1 + F.col("_n")).cast(rows.schema[order].dataType)).drop("_n", "_top")
+    return out if now is None else out.withColumn("created", now)
 
 
 def by_document(base: DataFrame, filename: str, limit: int = -1, offset: int = 0) -> DataFrame:

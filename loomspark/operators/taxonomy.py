@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.functions.frames import written
+from loomspark.functions.frames import numbered_within, written
 from loomspark.functions.text import stable_id, strip
 
 REJECT, MERGE = 0.5, 0.65
@@ -51,38 +51,73 @@ def grow(nodes: DataFrame) -> DataFrame:
     return n.withColumn("child_ord", order).drop("Parent name/Broader", "Child name/Narrower")
 
 
-def preorder(nodes: DataFrame) -> DataFrame:
-    """node_id, depth, path of child ordinals and is_last flags, joined level by level; order by
-    path gives the preorder. Every level is written before the next; a node without a path from
-    a root (a cycle) stays out, so there are at most as many levels as nodes."""
-    last = F.col("child_ord") == F.max("child_ord").over(W.partitionBy("parent_id"))
-    flat = nodes.select("node_id", "parent_id", "child_ord", last.alias("is_last"))
-    level = flat.filter("parent_id is null").select("node_id", F.lit(0).alias("depth"), F.array("child_ord").alias("path"), F.array(F.lit(True)).alias("lasts"))
-    level = written(level, "level")
-    out = level
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """node_id, depth, top and in_cycle, by pointer doubling: each round doubles the way that every
+    node looks up, so there are about log2 of the depth of them. top is the root (or the node
+    whose parent is unknown) above a node; nodes that never reach one have no depth, and those
+    among them that meet themselves are in_cycle, others lie below one."""
+    flat = nodes.select("node_id", "parent_id").dropDuplicates(["node_id"])
+    known = flat.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
+    # at: the ancestor `steps` above, or the node itself once that is a top (done)
+    at = flat.join(known, "parent_id", "left").select("node_id", F.coalesce(F.when(F.col("known"), F.col("parent_id")), F.col("node_id")).alias("at"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("steps"), F.col("known").isNull().alias("done"))
+    at = written(at, "ancestors")
+    seen = None
     while True:
-        up = level.select(F.col("node_id").alias("parent_id"), "depth", "path", "lasts")
-        level = flat.filter("parent_id is not null").join(up, "parent_id").select(
-            "node_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child_ord")).alias("path"), F.concat("lasts", F.array("is_last")).alias("lasts")
-        )
-        level = written(level, "level")
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-
-
-def validate(nodes: DataFrame, order: DataFrame, strict: bool = False) -> DataFrame:
-    """error, node_id: several roots, no root, unknown parents, nodes in cycles. strict raises
-    if there is any. An orphan (resolve_parents) is no root; its parent is unknown."""
+        open_ = at.filter("not done").agg(F.count("*"), F.count_distinct("at")).first()
+        # no node got to a top, so none ever will; and no place was left, so all are on cycles
+        if not open_[0] or open_ == seen:
+            break
+        seen = open_
+        up = at.select(F.col("node_id").alias("at"), F.col("at").alias("up"), F.col("steps").alias("more"), F.col("done").alias("over"))
+        at = at.join(up, "at").select("node_id", F.col("up").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("done") | F.col("over")).alias("done"))
+        at = written(at, "ancestors")
+    # every node of a cycle is where some node has got to
+    cycle = at.filter("not done").select(F.col("at").alias("node_id"), F.lit(True).alias("met")).distinct()
+    out = at.join(cycle, "node_id", "left")
+    return out.select("node_id", F.when(F.col("done"), F.col("steps")).cast("int").alias("depth"), F.when(F.col("done"), F.col("at")).alias("top"), F.coalesce("met", F.lit(False)).alias("in_cycle"))
+
+
+def preorder(nodes: DataFrame) -> DataFrame:
+    """node_id, depth, path of child ordinals and is_last flags; order by path gives the
+    preorder. Paths double in every round: a node's path below its ancestor is put behind the
+    ancestor's own. Nodes without a path from a root stay out."""
+    top = nodes.filter("parent_id is not null").groupBy("parent_id").agg(F.max("child_ord").alias("top"))
+    flat = nodes.join(top, "parent_id", "left")
+    last = F.col("parent_id").isNull() | (F.col("child_ord") == F.col("top"))
+    at = written(flat.select("node_id", F.col("parent_id").alias("at"), F.array("child_ord").alias("path"), F.array(last).alias("lasts")), "paths")
+    rooted = nodes.filter("parent_id is null").select("node_id")
+    out = written(at.join(rooted, "node_id", "left_semi").drop("at"), "paths")
+    whole = out
+    # nodes that never get to a root would go on for ever
+    at = at.join(ancestors(nodes).filter("depth > 0").select("node_id", "top").join(rooted.withColumnRenamed("node_id", "top"), "top", "left_semi"), "node_id", "left_semi")
+    at = written(at, "paths")
+    while not at.isEmpty():
+        up = whole.select(F.col("node_id").alias("at"), F.lit(None).cast(nodes.schema["node_id"].dataType).alias("up"), F.col("path").alias("p"), F.col("lasts").alias("l"))
+        up = up.unionByName(at.select(F.col("node_id").alias("at"), F.col("at").alias("up"), F.col("path").alias("p"), F.col("lasts").alias("l")))
+        at = written(at.join(up, "at").select("node_id", F.col("up").alias("at"), F.concat("p", "path").alias("path"), F.concat("l", "lasts").alias("lasts")), "paths")
+        whole = written(whole.unionByName(at.filter("at is null").drop("at")), "paths")
+        at = at.filter("at is not null")
+    return whole.select("node_id", (F.size("path") - 1).alias("depth"), "path", "lasts")
+
+
+def validate(nodes: DataFrame, strict: bool = False) -> DataFrame:
+    """error, node_id: several roots, no root, unknown parents, nodes in cycles, and nodes that a
+    cycle or an unknown parent above them cuts off. strict raises if there is any. An orphan
+    (resolve_parents) is no root; its parent is unknown."""
     orphan = F.coalesce("orphan", F.lit(False)) if "orphan" in nodes.columns else F.lit(False)
     nodes = nodes.withColumn("parent_id", F.when(orphan, F.lit("")).otherwise(F.col("parent_id")))
     roots = nodes.filter("parent_id is null")
-    many = roots.withColumn("n", F.count("*").over(W.partitionBy(F.lit(1)))).filter("n > 1").select(F.lit("several roots").alias("error"), "node_id")
-    none = roots.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("no root").alias("error"), F.lit(None).cast("string").alias("node_id"))
+    count = roots.agg(F.count("*").alias("n"))
+    many = roots.crossJoin(F.broadcast(count)).filter("n > 1").select(F.lit("several roots").alias("error"), "node_id")
+    none = count.filter("n = 0").select(F.lit("no root").alias("error"), F.lit(None).cast("string").alias("node_id"))
     known = nodes.select(F.col("node_id").alias("parent_id"))
     lost = nodes.filter("parent_id is not null").join(known, "parent_id", "left_anti")
-    loops = nodes.join(order, "node_id", "left_anti").join(lost.select("node_id"), "node_id", "left_anti")
-    errors = many.unionByName(none).unionByName(lost.select(F.lit("parent not found").alias("error"), "node_id")).unionByName(loops.select(F.lit("not reachable").alias("error"), "node_id"))
+    found = written(ancestors(nodes), "validated")
+    loops = found.filter("in_cycle").select(F.lit("in a cycle").alias("error"), "node_id")
+    below = found.filter("depth > 0").join(lost.select(F.col("node_id").alias("top")), "top", "left_semi")
+    cut = found.filter("depth is null and not in_cycle").select("node_id").unionByName(below.select("node_id"))
+    errors = many.unionByName(none).unionByName(lost.select(F.lit("parent not found").alias("error"), "node_id")).unionByName(loops)
+    errors = errors.unionByName(cut.select(F.lit("not reachable").alias("error"), "node_id"))
     if strict and (first := errors.orderBy("error", "node_id").first()) is not None:
         raise ValueError(f"{first['error']}: {first['node_id']}")
     return errors
@@ -102,17 +137,24 @@ def render(nodes: DataFrame, order: DataFrame) -> DataFrame:
     return order.join(nodes.select("node_id", "name"), "node_id").select("node_id", "path", F.concat(bars, tip, "name").alias("line"))
 
 
-def neighbourhood(nodes: DataFrame) -> DataFrame:
-    """parent, siblings and children of every node, as (name, definition)."""
+def neighbourhood(nodes: DataFrame, only: DataFrame | None = None, siblings: bool = True) -> DataFrame:
+    """parent, siblings and children, as (name, definition), of every node or of those of only
+    (node_id). Sibling lists repeat a parent's children for each child, so they can be left out."""
     item = F.struct("name", "definition")
-    kids = nodes.filter("parent_id is not null").groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("child_ord", "node_id", "name", "definition"))).alias("kids"))
+    rows = F.array_sort(F.collect_list(F.struct("child_ord", "node_id", "name", "definition")))
+    kids = lambda of: nodes.join(of, "parent_id", "left_semi").groupBy("parent_id").agg(rows.alias("kids"))
     plain = lambda a: F.transform(a, lambda x: F.struct(x["name"].alias("name"), x["definition"].alias("definition")))
+    some = nodes if only is None else nodes.join(only.select("node_id"), "node_id", "left_semi")
     parents = nodes.select(F.col("node_id").alias("p_id"), item.alias("parent"))
-    own = kids.select(F.col("parent_id").alias("o_id"), F.col("kids").alias("own"))
-    out = nodes.join(parents, nodes.parent_id == parents.p_id, "left").join(kids, "parent_id", "left").join(own, nodes.node_id == own.o_id, "left")
+    own = kids(some.select(F.col("node_id").alias("parent_id"))).select(F.col("parent_id").alias("o_id"), F.col("kids").alias("own"))
+    out = some.join(parents, some.parent_id == parents.p_id, "left").join(own, some.node_id == own.o_id, "left")
     none = F.array().cast("array<struct<name:string,definition:string>>")
-    others = F.filter("kids", lambda x: x["node_id"] != F.col("node_id"))
-    return out.select("node_id", "parent", F.coalesce(plain(others), none).alias("siblings"), F.coalesce(plain(F.col("own")), none).alias("children"))
+    found = ["node_id", "parent", F.coalesce(plain(F.col("own")), none).alias("children")]
+    if siblings:
+        out = out.join(kids(some.filter("parent_id is not null").select("parent_id")), "parent_id", "left")
+        others = F.filter("kids", lambda x: x["node_id"] != F.col("node_id"))
+        found.append(F.coalesce(plain(others), none).alias("siblings"))
+    return out.select(*found)
 
 
 def node_document() -> Column:
@@ -164,10 +206,9 @@ def insert_children(nodes: DataFrame, inserted: DataFrame) -> DataFrame:
     """inserted: concept_id, node_id (best node), concept_seq, name, definition, filename,
     page_number. New nodes come last under their best node."""
     top = nodes.groupBy(F.col("parent_id").alias("t_parent")).agg(F.max("child_ord").alias("top")).filter("t_parent is not null")
-    rank = F.row_number().over(W.partitionBy("parent_id").orderBy("concept_seq"))
     new = inserted.select(F.col("concept_id").alias("node_id"), F.col("node_id").alias("parent_id"), "concept_seq", "name", "definition", "filename", "page_number")
-    new = new.withColumn("r", rank).join(top, F.col("parent_id") == F.col("t_parent"), "left")
-    return nodes.unionByName(_fresh(new.withColumn("child_ord", F.coalesce("top", F.lit(-1)) + F.col("r")), nodes))
+    new = numbered_within(new, "parent_id", "concept_seq", "node_id", name="r").join(top, F.col("parent_id") == F.col("t_parent"), "left")
+    return nodes.unionByName(_fresh(new.withColumn("child_ord", F.coalesce("top", F.lit(-1)) + 1 + F.col("r")), nodes))
 
 
 def insert_parents(nodes: DataFrame, inserted: DataFrame) -> DataFrame:

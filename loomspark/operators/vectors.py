@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspark.functions.frames import written
+from loomspark.operators import calls
+
 #: Rows of one block of either side, and of the slices compared at once inside a task.
 BLOCK_ROWS, SLICE_ROWS = 16384, 512
 
@@ -35,11 +38,40 @@ def embed(docs: DataFrame, text: str, embedder: Callable[[pd.Series], pd.Series]
     return docs.withColumn("embedding", F.pandas_udf(run, "array<float>")(text))
 
 
+def embed_once(docs: DataFrame, text: str, store: str, embedder: Callable[[pd.Series], pd.Series] = hashed_embedding, name: str = "hashed") -> DataFrame:
+    """As embed, through a store of vectors by content: equal texts are embedded once, also
+    across jobs, and a job run again embeds what is missing. name tells embedders apart."""
+    return calls.answered(docs, text, embedder, store, name, "array<float>").withColumnRenamed("answer", "embedding")
+
+
 def out_of_sync(nodes: DataFrame, index: DataFrame) -> DataFrame:
-    """node_id and what: ids missing from the index or left over in it."""
+    """node_id and what: ids missing from the index, left over in it, or, where nodes have doc
+    and the index doc_hash, changed."""
     a = nodes.select("node_id").join(index.select("node_id"), "node_id", "left_anti").withColumn("what", F.lit("missing"))
     b = index.select("node_id").join(nodes.select("node_id"), "node_id", "left_anti").withColumn("what", F.lit("extra"))
-    return a.unionByName(b)
+    out = a.unionByName(b)
+    if "doc" in nodes.columns and "doc_hash" in index.columns:
+        both = nodes.select("node_id", content_hash().alias("now")).join(index.select("node_id", "doc_hash"), "node_id")
+        out = out.unionByName(both.filter("not now <=> doc_hash").select("node_id", F.lit("changed").alias("what")))
+    return out
+
+
+def content_hash(doc: str = "doc") -> Column:
+    return F.sha2(F.coalesce(F.col(doc), F.lit("")), 256)
+
+
+def synchronised(nodes: DataFrame, index: DataFrame, store: str, embedder: Callable[[pd.Series], pd.Series] = hashed_embedding, name: str = "hashed") -> DataFrame:
+    """nodes: node_id (unique), doc. index: node_id, doc_hash, embedding. The index brought in step
+    with the nodes: node_id, doc_hash, embedding and what (kept, missing or changed). Only missing
+    and changed nodes are embedded, each text once; extra entries are left out."""
+    now = nodes.select("node_id", "doc", content_hash().alias("doc_hash"))
+    was = index.select("node_id", F.col("doc_hash").alias("was"), "embedding", F.lit(True).alias("held"))
+    both = written(now.join(was, "node_id", "left"), "index-state")
+    kept = F.col("held") & F.col("was").eqNullSafe(F.col("doc_hash"))
+    stay = both.filter(kept).select("node_id", "doc_hash", "embedding", F.lit("kept").alias("what"))
+    todo = both.filter(~F.coalesce(kept, F.lit(False))).select("node_id", "doc_hash", F.coalesce("doc", F.lit("")).alias("doc"), F.when(F.col("held"), "changed").otherwise("missing").alias("what"))
+    made = embed_once(todo, "doc", store, embedder, name)
+    return stay.unionByName(made.select("node_id", "doc_hash", "embedding", "what"))
 
 
 def nearest_rows(x: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,8 +7,8 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loomspark.functions.frames import written
-from loomspark.operators import chunking, concepts, store
+from loomspark.functions.frames import shared_path, written
+from loomspark.operators import chunking, concepts, store, versions
 from loomspark.plans.documents import B13_SQL, elements
 from loomspark.plans.registry import query, table
 
@@ -17,21 +17,21 @@ def _chunks(spark, sf_dir):
     return written(chunking.chunk_documents(elements(spark, sf_dir)), "chunks")
 
 
-@query(B13_SQL + "SELECT id, 'Text: ' || text || chr(10) || 'Headers: ' || coalesce(array_to_string(pl.tags, ', '), '') AS prompt FROM ch LEFT JOIN pl USING (filename, page_number)")
+@query(B13_SQL + """SELECT id, '{''text'': ' || text || ', ''metadata'':{''page_tags'': [' || coalesce('''' || array_to_string(pl.tags, ''', ''') || '''', '') || ']}}' AS prompt
+FROM ch LEFT JOIN pl USING (filename, page_number)""")
 def c1_prompts(spark, sf_dir):
     return concepts.prompts(_chunks(spark, sf_dir)).select("id", "prompt")
 
 
-def _first_word(batches):
+def _first_word(prompts: pd.Series) -> pd.Series:
     """A stand-in for a model: the first word and the whole text."""
-    for rows in batches:
-        answers = [json.dumps([{"term": t.split()[0], "definition": t}]) for t in rows["text"]]
-        yield pd.DataFrame({"filename": rows["filename"], "chunk_id": rows["id"], "chunk_seq": rows["chunk_seq"].astype("int64"), "response": answers})
+    texts = prompts.str.removeprefix("{'text': ").str.replace(r", 'metadata':\{'page_tags': \[.*\]\}\}$", "", regex=True)
+    return texts.map(lambda t: json.dumps([{"term": t.split()[0], "definition": t}]))
 
 
 @query(B13_SQL + r"SELECT id AS chunk_id, regexp_extract(text, '^\s*(\S+)', 1) AS term, text AS definition FROM ch")
 def c2_extracted(spark, sf_dir):
-    out = concepts.extract(_chunks(spark, sf_dir), _first_word, 8)
+    out = concepts.extract(_chunks(spark, sf_dir), _first_word, shared_path(spark, "answers"), "first-word")
     return concepts.parse_responses(out).select("chunk_id", "term", "definition")
 
 
@@ -89,16 +89,34 @@ def c8_progress_result(spark, sf_dir):
     return concepts.progress_result(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), value.alias("value")))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM orders
-UNION ALL SELECT -o_orderkey AS id, 'new' AS state FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey > 0""")
-def d1_upsert(spark, sf_dir):
+_UPSERT = """WITH b AS (SELECT o_orderkey AS k FROM orders), t AS (SELECT max(k) AS top FROM b),
+f AS (SELECT k AS id, k AS place FROM b WHERE k % 3 = 0 UNION ALL SELECT -k, 1000000000000 + k FROM b WHERE k % 3 = 0 AND k > 0)
+SELECT id, 'new' AS state, (top + row_number() OVER (ORDER BY place))::BIGINT AS ord FROM f, t UNION ALL SELECT k, 'old', k FROM b WHERE k % 3 <> 0"""
+
+
+def _orders(spark, sf_dir):
+    """Orders as rows of a keyed table; and a batch that replaces some twice and adds others."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    base = o.withColumn("state", F.lit("old")).withColumn("ord", F.col("id"))
     some = o.filter("id % 3 = 0")
-    batch = some.withColumn("state", F.lit("first")).withColumn("ord", F.lit(1).cast("long"))
-    batch = batch.unionByName(some.withColumn("state", F.lit("new")).withColumn("ord", F.lit(2).cast("long")))
-    batch = batch.unionByName(some.filter("id > 0").select((-F.col("id")).alias("id"), F.lit("new").alias("state"), F.lit(3).cast("long").alias("ord")))
-    return store.upsert(base, batch).select("id", "state")
+    row = lambda df, state, key, step: df.select(F.expr(key).alias("id"), F.lit(state).alias("state"), (F.lit(step * 10**12) + F.abs("id")).alias("ord"))
+    batch = row(some, "first", "id", 0).unionByName(row(some, "new", "id", 1)).unionByName(row(some.filter("id > 0"), "new", "-id", 2))
+    return row(o, "old", "id", 0), batch
+
+
+@query(_UPSERT)
+def d1_upsert(spark, sf_dir):
+    """Replaced and new rows come last."""
+    return store.upsert(*_orders(spark, sf_dir))
+
+
+@query("SELECT id, state, ord, 1 AS version FROM (" + _UPSERT + ")")
+def d1_versioned(spark, sf_dir):
+    """The same in a table of versions; a batch that comes again changes nothing."""
+    base, batch = _orders(spark, sf_dir)
+    kept = versions.VersionedTable(spark, shared_path(spark, "orders"))
+    kept.create(base)
+    kept.upsert(batch, "batch-1")
+    return kept.rows(kept.upsert(batch, "batch-1")).withColumn("version", F.lit(kept.latest()))
 
 
 def _rows(spark, sf_dir):

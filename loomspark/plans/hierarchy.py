@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.functions.frames import shared_path, written
+from loomspark.functions.frames import numbered, shared_path, written
 from loomspark.operators import placement, store, taxonomy, vector_index, vectors
 from loomspark.plans.registry import query, table
 from loomspark.sources import elements as src
@@ -68,12 +67,23 @@ def e2_resolved_parents(spark, sf_dir):
 
 
 @query("""SELECT 'several roots' AS error, 'r' || r_regionkey AS node_id FROM region UNION ALL SELECT 'parent not found', 's' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 0
-UNION ALL SELECT 'not reachable', 'c' || c_custkey FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'several roots', 'root'""")
+UNION ALL SELECT 'in a cycle', 'c' || c_custkey FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'several roots', 'root'
+UNION ALL SELECT 'not reachable', 'c' || a.c_custkey FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey - a.c_custkey % 10 WHERE a.c_custkey % 10 IN (1, 2) AND a.c_custkey > 2
+UNION ALL SELECT 'not reachable', 'c' || c_custkey FROM customer WHERE c_custkey % 10 = 3 AND c_custkey // 10 * 10 IN (SELECT s_suppkey FROM supplier WHERE s_suppkey > 0)""")
 def e3_validated(spark, sf_dir):
-    """Regions made roots, some suppliers without their parent, some customers their own parents."""
-    parent = F.expr("case when parent_id = 'root' then null when node_id like 's%' and substring(node_id, 2) % 10 = 0 then 'nowhere' when node_id like 'c%' and substring(node_id, 2) % 10 = 0 then node_id else parent_id end")
-    n = _nodes(spark, sf_dir).withColumn("parent_id", parent)
-    return taxonomy.validate(n, taxonomy.preorder(n))
+    """Regions made roots; some suppliers without their parent and customers below them; some
+    customers their own parents, others one and two levels below those."""
+    key = "cast(substring(node_id, 2) as bigint)"
+    parent = F.expr(f"""case when parent_id = 'root' then null when node_id like 's%' and {key} % 10 = 0 then 'nowhere' when node_id like 'c%' and {key} % 10 = 0 then node_id
+        when node_id like 'c%' and {key} % 10 in (1, 2) and {key} > 2 then concat('c', {key} - 1) when node_id like 'c%' and {key} % 10 = 3 and s_suppkey > 0 then concat('s', s_suppkey) else parent_id end""")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    n = _nodes(spark, sf_dir).join(s, F.expr(f"case when node_id like 'c%' then {key} div 10 * 10 end") == F.col("s_suppkey"), "left")
+    return taxonomy.validate(n.withColumn("parent_id", parent).drop("s_suppkey"))
+
+
+@query(_N + "SELECT node_id, depth, 'root' AS top, false AS in_cycle FROM walk")
+def e4_ancestors(spark, sf_dir):
+    return taxonomy.ancestors(_nodes(spark, sf_dir))
 
 
 @query(_N + "SELECT node_id, depth, path FROM walk")
@@ -128,7 +138,8 @@ def e10_node_documents(spark, sf_dir):
 v AS (SELECT doc_id, ((h // 2) % 64)::INT AS dim, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS x FROM w GROUP BY ALL)
 SELECT doc_id, dim, sign(x)::INT AS sign FROM v WHERE x <> 0""")
 def e11_embedded(spark, sf_dir):
-    out = vectors.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = vectors.embed_once(docs, "text", shared_path(spark, "embeddings"))
     rows = out.select("doc_id", F.posexplode("embedding").alias("dim", "x")).filter("x <> 0")
     return rows.select("doc_id", "dim", F.signum("x").cast("int").alias("sign"))
 
@@ -139,6 +150,22 @@ def e12_index_sync(spark, sf_dir):
     return vectors.out_of_sync(e.filter("vec_id % 5 <> 0 or vec_id % 7 = 0"), e.filter("vec_id % 7 <> 0 or vec_id % 5 = 0"))
 
 
+@query(r"""WITH w AS (SELECT doc_id, ('0x' || substr(md5(unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''))), 1, 12))::BIGINT AS h FROM documents WHERE doc_id % 5 <> 0),
+v AS (SELECT doc_id, ((h // 2) % 64)::INT AS dim, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS x FROM w GROUP BY ALL),
+n AS (SELECT doc_id, sum(x * x) AS n, sum(dim * x) AS s FROM v GROUP BY 1)
+SELECT d.doc_id::VARCHAR AS node_id, CASE WHEN d.doc_id % 7 = 0 THEN 'missing' WHEN d.doc_id % 3 = 0 THEN 'changed' ELSE 'kept' END AS what,
+       CASE WHEN d.doc_id % 7 = 0 OR d.doc_id % 3 = 0 THEN round(coalesce(s / nullif(sqrt(n), 0), 0), 2) ELSE 0 END::DOUBLE AS weight
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id WHERE d.doc_id % 5 <> 0""")
+def e12_synchronised(spark, sf_dir):
+    """An index that lacks some documents, has some with another text and some too many, brought
+    in step; weight sums a vector's components times their numbers (kept entries hold zeros)."""
+    d = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) as node_id", "doc_id", "coalesce(text, '') as doc")
+    old = d.filter("doc_id % 5 = 0 or doc_id % 7 <> 0").select("node_id", F.when(F.expr("doc_id % 3 = 0"), "old").otherwise(vectors.content_hash()).alias("doc_hash"), F.expr("array_repeat(cast(0 as float), 64)").alias("embedding"))
+    out = vectors.synchronised(d.filter("doc_id % 5 <> 0").select("node_id", "doc"), old, shared_path(spark, "embeddings"))
+    weight = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * i), F.lit(0.0), lambda a, x: a + x)
+    return out.select("node_id", "what", (F.round(weight, 2) + 0.0).alias("weight"))
+
+
 _DISTANCE = "list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE)))"
 
 
@@ -194,8 +221,7 @@ def a5_a7_sheet_round_trip(spark, sf_dir):
     rows = written(src.read_taxonomy(spark, path), "sheet-rows")
     again = written(taxonomy.grow(taxonomy.normalize_rows(rows)), "sheet-grown")
     out = placement.export_rows(again, taxonomy.preorder(again))
-    place = F.row_number().over(W.orderBy("path")) - 1
-    return out.select(F.col("ID").alias("id"), F.col("Term").alias("term"), F.col("Parent name/Broader").alias("parent"), F.col("Child name/Narrower").alias("children"), F.col("Status").alias("status"), F.col("Alternative Names").alias("names"), place.cast("long").alias("place"))
+    return numbered(out, "path", name="place").select(F.col("ID").alias("id"), F.col("Term").alias("term"), F.col("Parent name/Broader").alias("parent"), F.col("Child name/Narrower").alias("children"), F.col("Status").alias("status"), F.col("Alternative Names").alias("names"), F.col("place").cast("long").alias("place"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 OR o_orderkey % 100 < 50 THEN 'Reject' WHEN o_orderkey % 100 >= 65 THEN 'Merge' ELSE 'Insert' END AS result,

@@ -69,9 +69,11 @@ def test_normalize(spark):
 
 
 def test_upsert_last_wins(spark):
-    base = spark.createDataFrame([("a", 1, "old"), ("b", 2, "old")], "id string, ord int, v string")
-    batch = spark.createDataFrame([("a", 3, "x"), ("a", 4, "y"), ("c", 5, "z")], "id string, ord int, v string")
-    assert {(r["id"], r["v"]) for r in store.upsert(base, batch).collect()} == {("a", "y"), ("b", "old"), ("c", "z")}
+    base = spark.createDataFrame([("a", 1, "old"), ("b", 2, "old"), (None, 3, "old")], "id string, ord int, v string")
+    batch = spark.createDataFrame([("a", 3, "x"), ("a", 4, "y"), ("c", 1, "z"), (None, 9, "n")], "id string, ord int, v string")
+    assert [(r["id"], r["v"]) for r in store.upsert(base, batch).orderBy("ord").collect()] == [("b", "old"), ("c", "z"), ("a", "y"), (None, "n")]
+    dated = store.upsert(base.selectExpr("*", "timestamp'2020-01-01' as created"), batch.selectExpr("*", "cast(null as timestamp) as created"), now=F.expr("timestamp'2021-01-01'"))
+    assert [(r["v"], r["created"].year) for r in dated.orderBy("ord").collect()] == [("old", 2020), ("z", 2021), ("y", 2021), ("n", 2021)]
 
 
 def test_labels_first_truth_row_wins(spark):
@@ -87,7 +89,11 @@ def test_preorder_and_validation(spark):
     n = spark.createDataFrame(rows, "node_id string, parent_id string, child_ord int")
     order = taxonomy.preorder(n)
     assert [r["node_id"] for r in order.orderBy("path").collect()] == ["r", "a", "c", "b"]
-    assert {(r["error"], r["node_id"]) for r in taxonomy.validate(n, order).collect()} == {("parent not found", "l"), ("not reachable", "x"), ("not reachable", "y")}
+    assert {(r["error"], r["node_id"]) for r in taxonomy.validate(n).collect()} == {("parent not found", "l"), ("in a cycle", "x"), ("in a cycle", "y")}
+    more = n.unionByName(spark.createDataFrame([("p", "x", 0), ("q", "p", 0), ("m", "l", 0), ("s", "s", 0)], n.schema))
+    cut = {("not reachable", "p"), ("not reachable", "q"), ("not reachable", "m")}
+    assert {(r["error"], r["node_id"]) for r in taxonomy.validate(more).collect()} == {("parent not found", "l"), ("in a cycle", "x"), ("in a cycle", "y"), ("in a cycle", "s"), *cut}
+    assert [r["node_id"] for r in taxonomy.preorder(more).orderBy("path").collect()] == ["r", "a", "c", "b"]
 
 
 def test_decide_bounds(spark):
@@ -206,4 +212,4 @@ def test_new_parents_in_order(spark):
 def test_strict_validation(spark):
     n = spark.createDataFrame([("r", None, 0), ("s", None, 1)], "node_id string, parent_id string, child_ord int")
     with pytest.raises(ValueError, match="several roots: r"):
-        taxonomy.validate(n, taxonomy.preorder(n), strict=True)
+        taxonomy.validate(n, strict=True)
