@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loomspark.functions.frames import written
 from loomspark.functions.text import ends_sentence, is_list_item, stable_id, strip
 
-#: Prefixes of page tags that are left out, labels, and glossary keywords.
+#: Prefixes of page tags that are left out, labels, glossary keywords and page numbers.
 EXCLUDE = ("unclassified", "restricted", "edition", "intentionally blank")
 LABELS = ("unclassified", "restricted", "secret")
 KEYWORDS = ("lexicon", "acronyms", "abbreviations", "terms", "definitions")
-#: Elements of a document that one task numbers.
-BLOCK = 10_000
 PAGE_NUMBER = r"^(?:\d+|p\d+|[ivxlcdmIVXLCDM]+|[A-Za-z0-9]+-[A-Za-z0-9]+)$"
 
+#: Elements of a document that one row of arrays holds.
+BLOCK = 4096
+
 
 def first_chapter_page(elements: DataFrame, limit: int = 25) -> DataFrame:
     """filename, page: smallest page with "chapter 1" behind preface and contents, or null."""
@@ -77,54 +81,169 @@ def drop_headers(elements: DataFrame, bottom: float = 724, top: float = 52) -> D
     return elements.filter(~F.coalesce(gone | (text.rlike(PAGE_NUMBER) & at_bottom), F.lit(False)))
 
 
-def _segments(e: DataFrame, ignore_pages: bool) -> DataFrame:
-    """Adds segment: the breaks before each element, counted per block of BLOCK elements and
-    then across blocks, so that a long document's elements are not sorted in one task."""
-    by_doc = W.partitionBy("filename").orderBy("block")
-    inside = W.partitionBy("filename", "block").orderBy("el_seq")
-    e = e.withColumn("block", F.floor(F.col("el_seq") / BLOCK))
-    ends = e.groupBy("filename", "block").agg(F.max_by(F.struct("closes", "page_number"), "el_seq").alias("before"))
-    ends = ends.select("filename", "block", F.lag("before").over(by_doc).alias("before"))
-    e = e.join(ends, ["filename", "block"])
-    before = F.coalesce(F.lag(F.struct("closes", "page_number")).over(inside), F.col("before"))
-    turn = F.coalesce(before["closes"], F.lit(False))
-    if not ignore_pages:
-        turn |= F.coalesce(F.col("page_number") != before["page_number"], F.lit(False))
-    e = e.withColumn("turns", F.sum(turn.cast("long")).over(inside))
-    counts = e.groupBy("filename", "block").agg(F.max("turns").alias("all"))
-    total = F.coalesce(F.sum("all").over(by_doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("filename", "block", total.alias("offset"))
-    return e.join(offsets, ["filename", "block"]).withColumn("segment", F.col("offset") + F.col("turns")).drop("before", "turns", "offset", "block")
+# --- the size rule over blocks --------------------------------------------------------------
+
+def _cuts(n: list[int], turns: list[bool], size: int, soft_max: int) -> list[int]:
+    """Places in a block where a chunk begins, if size characters of one are open before it.
+    turns[i]: a break before element i that does not depend on size."""
+    out = []
+    for i, (k, turn) in enumerate(zip(n, turns, strict=True)):
+        if turn or size + k > soft_max:
+            out.append(i)
+            size = k
+        else:
+            size += k
+    return out
+
+
+def _summary(n: list[int], turns: list[bool], soft_max: int) -> tuple[list[int], list[int], list[int], int]:
+    """What a block does with any open size before it (turns[0] left aside). More than limits[j]
+    open characters make the first cut at its j-th possible place, or an earlier one; from there
+    on exits[j] characters of the chunk begun at lasts[j] are open behind the block. The last of
+    the places is one that cuts whatever is open (limit -1), if there is one. And the block's size."""
+    after = [0] * (len(n) + 1)
+    for i, k in enumerate(n):
+        after[i + 1] = after[i] + k
+    # from the last element back: where the next cut is if one is at i, and what follows from it
+    exits, lasts, end = [0] * len(n), [0] * len(n), len(n)
+    turn_at = [len(n)] * (len(n) + 1)
+    for i in range(len(n) - 1, -1, -1):
+        turn_at[i] = i if turns[i] and i else turn_at[i + 1]
+    for i in range(len(n) - 1, -1, -1):
+        # the first element that no longer fits behind i
+        while end - 1 > i and after[end] - after[i] > soft_max and after[end - 1] - after[i] > soft_max:
+            end -= 1
+        stop = end if after[end] - after[i] <= soft_max else end - 1
+        cut = min(max(stop, i + 1), turn_at[i + 1])
+        exits[i], lasts[i] = (after[-1] - after[i], i) if cut >= len(n) else (exits[cut], lasts[cut])
+    limits, places = [], []
+    for i in range(len(n)):
+        if i and turns[i]:
+            limits.append(-1)
+            places.append(i)
+            break
+        limit = soft_max - after[i + 1]
+        if not limits or limit < limits[-1]:
+            limits.append(max(limit, -1))
+            places.append(i)
+            if limit < 0:
+                break
+    return limits, [exits[p] for p in places], [lasts[p] for p in places], after[-1]
+
+
+_INTS = T.ArrayType(T.IntegerType())
+
+
+def _fields(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+def _summaries(soft_max: int):
+    @F.pandas_udf(_fields(limits=_INTS, exits=_INTS, lasts=_INTS, total=T.LongType()))
+    def run(n: pd.Series, turns: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_summary(list(a), list(b), soft_max) for a, b in zip(n, turns, strict=True)], columns=["limits", "exits", "lasts", "total"])
+
+    return run
+
+
+_OPEN = T.ArrayType(_fields(size=T.LongType(), start_block=T.LongType(), start=T.IntegerType()))
+
+
+@F.pandas_udf(_OPEN)
+def _opened(blocks: pd.Series) -> pd.Series:
+    """For each block of a document, and behind its last: the open size before it, and the block
+    and place where that chunk began."""
+
+    def one(rows) -> list[dict]:
+        size, block, start, out = 0, None, None, []
+        for r in rows:
+            out.append({"size": size, "start_block": block, "start": start})
+            s = r["s"]
+            if r["turn"]:  # a cut at the first element: as if more was open than fits
+                j = 0
+            else:
+                j = next((j for j, limit in enumerate(s["limits"]) if size > limit), None)
+            if j is None:
+                size += s["total"]
+            else:
+                size, block, start = s["exits"][j], r["block"], s["lasts"][j]
+        return [*out, {"size": size, "start_block": block, "start": start}]
+
+    return blocks.map(one)
+
+
+def _starts(soft_max: int):
+    @F.pandas_udf(_INTS)
+    def run(n: pd.Series, turns: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([_cuts(a, b, int(s), soft_max) for a, b, s in zip(n, turns, size, strict=True)], dtype=object)
+
+    return run
 
 
 def chunk(elements: DataFrame, soft_max: int = 750, ignore_pages: bool = True, keep_tail: bool = False) -> DataFrame:
-    """filename, chunk_seq, page_number, text. Breaks that do not depend on size cut a document
-    into segments; inside one, a fold over the lengths lists the places of the size breaks."""
-    e = elements.withColumn("s", strip(F.coalesce("text", F.lit("")))).withColumn("n", F.length("s"))
-    e = e.withColumn("closes", ends_sentence(F.col("s")) & ~is_list_item(F.col("s")))
-    e = _segments(e.select("filename", "el_seq", "page_number", "s", "n", "closes"), ignore_pages)
-    row = F.struct("el_seq", "n", "s", "page_number", "closes")
-    seg = e.groupBy("filename", "segment").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
-
-    def step(acc: Column, n: Column) -> Column:
-        over = acc["size"] + n > soft_max
-        cuts = F.when(over, F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"])
-        return F.struct(F.when(over, n).otherwise(acc["size"] + n).alias("size"), (acc["at"] + 1).alias("at"), cuts.alias("cuts"))
-
-    starts = F.array_union(F.array(F.lit(0)), F.aggregate(F.col("rows.n"), zero, step, lambda a: a["cuts"]))
-    last = F.max("segment").over(W.partitionBy("filename"))
-    seg = seg.withColumn("starts", starts).withColumn("tail", (F.col("segment") == last) & ~F.element_at("rows", -1)["closes"])
-    stop = lambda i: F.coalesce(F.get("starts", i + 1), F.size("rows"))
-    parts = F.transform("starts", lambda at, i: F.slice("rows", at + 1, stop(i) - at))
-    parts = seg.select("filename", "tail", F.size("starts").alias("parts"), F.posexplode(parts).alias("k", "part"))
+    """filename, chunk_seq, page_number, text. A document is cut into blocks of BLOCK elements,
+    written once. A block's summary says for every size that may be open before it what is open
+    behind it, so the blocks of a long document are stitched from small numbers, and each block
+    is then cut and put together by itself; a chunk that goes on in the next blocks gets their
+    first pieces. A document of one block needs none of this."""
+    s = strip(F.coalesce("text", F.lit("")))
+    e = elements.select("filename", "el_seq", "page_number", s.alias("s"))
+    e = e.withColumn("closes", ends_sentence(F.col("s")) & ~is_list_item(F.col("s"))).withColumn("block", F.floor(F.col("el_seq") / BLOCK))
+    rows = e.groupBy("filename", "block").agg(F.array_sort(F.collect_list(F.struct("el_seq", "page_number", "s", "closes"))).alias("r"))
+    cut = F.col("r.closes")
+    turn = lambda x, i: F.when(F.lit(False) if ignore_pages else F.coalesce(F.get("r", i - 1)["page_number"] != F.get("r", i)["page_number"], F.lit(False)), True).otherwise(F.coalesce(F.get(cut, i - 1), F.lit(False)))
+    rows = rows.select(
+        "filename", "block", F.col("r.el_seq").alias("el_seq"), F.col("r.page_number").alias("pages"), F.col("r.s").alias("s"),
+        F.transform("r", lambda x: F.length(x["s"])).alias("n"), F.transform("r", turn).alias("turns"), F.element_at(cut, -1).alias("closes"),
+    )
+    rows = written(rows, "blocks")
+
+    counts = rows.groupBy("filename").agg(F.count("*").alias("blocks"))
+    many = written(counts.filter("blocks > 1").select("filename"), "blocks-many")
+    long = rows.join(many, "filename", "left_semi")
+    scalars = long.select("filename", "block", _summaries(soft_max)("n", "turns").alias("s"), "closes", F.get("pages", F.lit(0)).alias("first_page"), F.element_at("pages", -1).alias("last_page"))
+    before = lambda c: F.lag(c).over(W.partitionBy("filename").orderBy("block"))
+    turned = F.coalesce(before("closes"), F.lit(True))
+    if not ignore_pages:
+        turned |= F.coalesce(before("last_page") != F.col("first_page"), F.lit(False))
+    stitched = scalars.withColumn("turn", turned).groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("block", "turn", "closes", "s"))).alias("b"))
+    stitched = written(stitched.select("filename", "b.block", "b.turn", F.element_at("b.closes", -1).alias("closed"), _opened("b").alias("open")), "blocks-stitched")
+    entries = stitched.select("filename", F.inline(F.arrays_zip("block", "turn", F.slice("open", 1, F.size("block")).alias("open")))).select("filename", "block", "turn", "open.*")
+    tails = stitched.filter("not closed").select("filename", F.element_at("open", -1).alias("o")).select("filename", F.col("o.start_block").alias("block"), F.col("o.start").alias("start"))
+
+    first = lambda turns, turn: F.transform(turns, lambda x, i: F.when(i == 0, turn).otherwise(x))
+    words = lambda texts: F.filter(texts, lambda x: x != "")
+    piece = lambda lo, hi: F.struct(F.get("el_seq", lo).alias("el_seq"), F.get("pages", lo).alias("page_number"), words(F.slice("s", lo + 1, hi - lo)).alias("words"))
+    until = lambda i: F.coalesce(F.get("starts", i + 1), F.size("s"))
+    pieces = F.transform("starts", lambda lo, i: piece(lo, until(i)))
+    text = lambda p: F.struct(p["el_seq"].alias("el_seq"), p["page_number"].alias("page_number"), F.array_join(p["words"], "\n").alias("text"))
+    full = lambda parts: F.filter(F.transform(parts, text), lambda p: p["text"] != "")
+
+    short = rows.join(many, "filename", "left_anti")
+    short = short.withColumn("starts", _starts(soft_max)("n", first(F.col("turns"), F.lit(True)), F.lit(0)))
     if not keep_tail:
-        parts = parts.filter(~(F.col("tail") & (F.col("k") + 1 == F.col("parts"))))
-    text = F.array_join(F.filter(F.col("part.s"), lambda x: x != ""), "\n")
-    out = parts.select("filename", F.col("part")[0]["el_seq"].alias("el_seq"), F.col("part")[0]["page_number"].alias("page_number"), text.alias("text"))
-    out = out.filter("text <> ''")
-    number = F.row_number().over(W.partitionBy("filename").orderBy("el_seq")) - 1
-    return out.select("filename", number.alias("chunk_seq"), "page_number", "text")
+        short = short.withColumn("starts_kept", F.when(F.col("closes"), F.size("starts")).otherwise(F.size("starts") - 1))
+        one = short.select("filename", F.lit(0).cast("long").alias("before"), full(F.slice(pieces, F.lit(1), F.col("starts_kept"))).alias("chunks"))
+    else:
+        one = short.select("filename", F.lit(0).cast("long").alias("before"), full(pieces).alias("chunks"))
+
+    long = long.join(entries, ["filename", "block"])
+    long = long.withColumn("starts", _starts(soft_max)("n", first(F.col("turns"), F.col("turn")), F.col("size")))
+    head = words(F.slice("s", 1, F.coalesce(F.get("starts", F.lit(0)), F.size("s"))))
+    heads = long.select("filename", "start_block", F.struct("block", head.alias("w")).alias("h")).filter(F.size("h.w") > 0)
+    heads = heads.groupBy("filename", F.col("start_block").alias("block")).agg(F.flatten(F.array_sort(F.collect_list("h"))["w"]).alias("more"))
+    extra = heads.join(tails.withColumn("dropped", F.lit(True)), ["filename", "block"], "full") if not keep_tail else heads.withColumn("dropped", F.lit(None).cast("boolean"))
+    own = long.withColumn("pieces", pieces).join(extra.select("filename", "block", "more", "dropped"), ["filename", "block"], "left")
+    last = lambda p: F.struct(p["el_seq"].alias("el_seq"), p["page_number"].alias("page_number"), F.concat(p["words"], F.coalesce("more", F.array().cast("array<string>"))).alias("words"))
+    end = F.size("pieces")
+    own = own.withColumn("pieces", F.transform("pieces", lambda p, i: F.when(i + 1 == end, last(p)).otherwise(p)))
+    own = own.select("filename", "block", full(F.slice("pieces", F.lit(1), F.when(F.col("dropped"), F.greatest(end - 1, F.lit(0))).otherwise(end))).alias("chunks"))
+    own = written(own, "blocks-chunks")
+    earlier = F.sum("count").over(W.partitionBy("filename").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    places = own.select("filename", "block", F.size("chunks").alias("count")).select("filename", "block", F.coalesce(earlier, F.lit(0)).alias("before"))
+    out = one.unionByName(own.join(places, ["filename", "block"]).select("filename", "before", "chunks"))
+    out = out.select("filename", "before", F.posexplode("chunks").alias("i", "c"))
+    return out.select("filename", (F.col("before") + F.col("i")).cast("int").alias("chunk_seq"), "c.page_number", "c.text")
 
 
 def attach_tags(chunks: DataFrame, tags: DataFrame) -> DataFrame:
@@ -134,7 +253,7 @@ def attach_tags(chunks: DataFrame, tags: DataFrame) -> DataFrame:
 
 def chunk_documents(elements: DataFrame, limit: int = 25, soft_max: int = 750, ignore_pages: bool = True, keep_tail: bool = False) -> DataFrame:
     """The whole chain: skip, tags, propagation, header filter, fold, tags, ids."""
-    body = skip_to_first_chapter(elements, limit)
+    body = written(skip_to_first_chapter(written(elements, "elements"), limit), "body")
     tags = propagate_tags(page_tags(body))
     out = attach_tags(chunk(drop_headers(body), soft_max, ignore_pages, keep_tail), tags)
     return out.withColumn("id", stable_id("filename", "chunk_seq", "text"))

@@ -45,6 +45,7 @@ def test_chunk_fold_equals_loop(spark, monkeypatch):
     monkeypatch.setattr(chunking, "BLOCK", 5)  # documents span blocks
     rng = random.Random(3)
     docs = {f"d{i}": [(j // 4, rng.choice(["", "  ", "ab", "1. item.", "word " * rng.randint(1, 9), "End.", "x)"])) for j in range(rng.randint(1, 14))] for i in range(60)}
+    docs["long"] = [(j // 9, rng.choice(["", "", "ab", "c", "1. item.", "word " * rng.randint(1, 9), "End." if j % 7 else ""])) for j in range(400)]
     rows = [(f, j, p, t) for f, d in docs.items() for j, (p, t) in enumerate(d)]
     df = spark.createDataFrame(rows, "filename string, el_seq long, page_number int, text string")
     for ignore_pages in (True, False):
