@@ -54,22 +54,33 @@ def page_tags(elements: DataFrame, exclude: Sequence[str] = EXCLUDE) -> DataFram
 
 def propagate_tags(tags: DataFrame, keywords: Sequence[str] = KEYWORDS) -> DataFrame:
     """Glossary pages keep only their keywords; a page that repeats a header of an earlier
-    glossary page counts as "lexicon". A fold along each document's pages."""
+    glossary page counts as "lexicon" and is one itself. The first page on which each header of a
+    document is known is a least fixpoint: every round joins the headers that have become known
+    with the later pages that bear them."""
     words = F.array(*[F.lit(k) for k in keywords])
-    zero = F.struct(F.array().cast("array<string>").alias("known"), F.array().cast("array<struct<page_number:int,tags:array<string>>>").alias("out"))
-
-    def step(state: Column, page: Column) -> Column:
-        low = F.transform(page["tags"], lambda t: F.lower(t))
-        found = F.filter(words, lambda k: F.exists(low, lambda t: t.contains(k)))
-        found = F.when(F.arrays_overlap(low, state["known"]), F.array_union(found, F.array(F.lit("lexicon")))).otherwise(found)
-        known = F.when(F.size(found) > 0, F.array_union(state["known"], low)).otherwise(state["known"])
-        kept = F.when(F.size(found) > 0, F.array_sort(found)).otherwise(page["tags"])
-        row = F.struct(page["page_number"].cast("int").alias("page_number"), kept.alias("tags"))
-        return F.struct(known.alias("known"), F.concat(state["out"], F.array(row)).alias("out"))
-
-    pages = tags.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("page_number", "tags"))).alias("pages"))
-    out = pages.select("filename", F.explode(F.aggregate("pages", zero, step, lambda s: s["out"])).alias("p"))
-    return out.select("filename", "p.page_number", "p.tags")
+    low = F.transform("tags", lambda t: F.lower(t))
+    found = F.filter(words, lambda k: F.exists("low", lambda t: t.contains(k)))
+    pages = written(tags.select("filename", "page_number", "tags", low.alias("low")).withColumn("found", found), "pages")
+    heads = pages.select("filename", "page_number", F.explode("low").alias("h")).distinct()
+    first = lambda some: some.groupBy("filename", "h").agg(F.min("page_number").alias("first"))
+    glossary = written(pages.filter(F.size("found") > 0).select("filename", "page_number"), "glossary")
+    known = written(first(heads.join(glossary, ["filename", "page_number"], "left_semi")), "known")
+    told, news = None, known
+    while True:
+        # pages behind the first one of a header that is news
+        hit = heads.join(news, ["filename", "h"]).filter("page_number > first").select("filename", "page_number").distinct()
+        told = written(hit if told is None else told.unionByName(hit).distinct(), "told")
+        fresh = told.join(glossary, ["filename", "page_number"], "left_anti")
+        fresh = written(fresh, "glossary")
+        if fresh.isEmpty():
+            break
+        glossary = glossary.unionByName(fresh)
+        news = first(heads.join(fresh, ["filename", "page_number"], "left_semi"))
+        news = written(news.join(known.withColumnRenamed("first", "was"), ["filename", "h"], "left").filter("was is null or first < was").drop("was"), "news")
+        known = written(first(known.unionByName(news).withColumnRenamed("first", "page_number")), "known")
+    out = pages.join(told.withColumn("told", F.lit(True)), ["filename", "page_number"], "left")
+    kept = F.array_union("found", F.when(F.col("told"), F.array(F.lit("lexicon"))).otherwise(F.array().cast("array<string>")))
+    return out.select("filename", "page_number", F.when(F.size(kept) > 0, F.array_sort(kept)).otherwise(F.col("tags")).alias("tags"))
 
 
 def drop_headers(elements: DataFrame, bottom: float = 724, top: float = 52) -> DataFrame:

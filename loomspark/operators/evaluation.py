@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,53 +11,93 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomspark.functions.frames import written
 from loomspark.functions.text import normalize, strip
 
 DEFINITION, NAME, PAGE, THRESHOLD = 0.60, 0.25, 0.15, 0.6
 
 
+#: Pairs of texts whose ratio a Python worker remembers.
+REMEMBERED = 1 << 16
+
+
+@lru_cache(REMEMBERED)
+def _ratio(x: str, y: str) -> float:
+    """Larger of both directions' matching-block ratios."""
+    return 1.0 if x == y else max(SequenceMatcher(None, x, y).ratio(), SequenceMatcher(None, y, x).ratio())
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Larger of both directions' matching-block ratios."""
-    return pd.Series([max(SequenceMatcher(None, x, y).ratio(), SequenceMatcher(None, y, x).ratio()) for x, y in zip(a, b, strict=True)], dtype=float)
+    """The ratio of two texts, null where one is null."""
+    return pd.Series([None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+#: Letters that the profile of a text counts one by one; all others are counted together.
+COUNTED = " abcdefghijklmnopqrstuvwxyz"
+
 
+def profile(text: str) -> Column:
+    """How often each letter of COUNTED, and any other, occurs in a text."""
+    each = [F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit(""))) for c in COUNTED]
+    return F.array(*each, F.length(F.translate(text, COUNTED, "")))
 
-def with_similarity(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Adds out, the sequence similarity of the texts a and b; null where one is null. Equal
-    pairs of texts are compared once, and only these reach Python."""
-    both = F.xxhash64(a, b), F.xxhash64(F.lit(1), a, b)
-    keyed = rows.withColumn("p1", F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), both[0])).withColumn("p2", both[1])
-    texts = keyed.filter("p1 is not null").groupBy("p1", "p2").agg(F.min(F.struct(F.col(a).alias("x"), F.col(b).alias("y"))).alias("t"))
-    return keyed.join(texts.select("p1", "p2", sequence_similarity("t.x", "t.y").alias(out)), ["p1", "p2"], "left").drop("p1", "p2")
+
+def most_similar(a: str, b: str) -> Column:
+    """No ratio of two texts exceeds this: both contain at most so many equal characters. Columns
+    a, b and their profiles a_p, b_p."""
+    shared = F.aggregate(F.zip_with(f"{a}_p", f"{b}_p", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return F.coalesce(2.0 * shared / F.nullif(F.length(a) + F.length(b), F.lit(0)), F.lit(1.0))
+
+
+TRUTH_TEXTS = {"n1": "gt_name", "d1": "gt_definition"}
+CONCEPT_TEXTS = {"n2": "name", "d2": "definition"}
+
+
+def prepared(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """Adds the normalised texts, d3 (the part of d2 before its first full stop, if any) and the
+    profiles of all, once a row of truth or concepts and not once a pair."""
+    rows = rows.withColumns({k: normalize(F.coalesce(F.col(c), F.lit(""))) for k, c in texts.items()})
+    if "d2" in texts:
+        rows = rows.withColumn("d3", F.when(F.col("d2").contains("."), F.substring_index("d2", ".", 1)))
+    return rows.withColumns({f"{k}_p": profile(k) for k in (*texts, *(["d3"] if "d2" in texts else []))})
 
 
 def candidates(truth: DataFrame, concepts: DataFrame) -> DataFrame:
     """truth: filename, gt_seq, page_number, ...; concepts: filename, concept_seq, page_number,
-    ... Pairs on the same or a neighbouring page, by an equi-join on three keys a truth row."""
+    ... Pairs on the same or a neighbouring page, by an equi-join on three keys a truth row, with
+    the prepared texts of both."""
     t = truth.select("filename", "gt_seq", F.col("page_number").alias("gt_page"), F.col("name").alias("gt_name"), F.col("definition").alias("gt_definition"))
-    t = t.withColumn("page_number", F.explode(F.array(*[F.col("gt_page") + d for d in (-1, 0, 1)])))
-    return t.join(concepts.select("filename", "page_number", "concept_seq", "name", "definition"), ["filename", "page_number"])
+    t = prepared(t, TRUTH_TEXTS).withColumn("page_number", F.explode(F.array(*[F.col("gt_page") + d for d in (-1, 0, 1)])))
+    c = concepts.select("filename", "page_number", "concept_seq", "name", "definition")
+    return t.join(prepared(c, CONCEPT_TEXTS), ["filename", "page_number"])
+
+
+def within_reach(pairs: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
+    """Pairs that may reach the threshold by their lengths, and then by their characters."""
+    same = (F.col("page_number") == F.col("gt_page")).cast("double")
+    holds = F.col("n1").contains(F.col("n2")) | F.col("n2").contains(F.col("n1"))
+    by_length = lambda a, b: F.coalesce(2.0 * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0)), F.lit(1.0))
+    for most in (by_length, most_similar):
+        definition = most("d1", "d2") if strict else F.greatest(most("d1", "d2"), F.when(F.col("d3").isNotNull(), most("d1", "d3")))
+        name = F.when(holds, 1.0).otherwise(most("n1", "n2"))
+        pairs = pairs.filter(DEFINITION * definition + NAME * name + PAGE * same >= threshold - 1e-9)
+    return pairs
 
 
 def score(pairs: DataFrame, strict: bool = False, threshold: float | None = None) -> DataFrame:
-    """Adds name_score, definition_score and score. A name that contains the other scores 1
-    and is not compared; the definition's part before its first full stop counts too unless
-    strict. With a threshold, pairs that cannot reach it by their lengths are left out."""
-    n1, n2, d1, d2 = (normalize(F.coalesce(c, F.lit(""))) for c in ("gt_name", "name", "gt_definition", "definition"))
-    p = pairs.withColumns({"n1": n1, "n2": n2, "d1": d1, "d2": d2})
-    first = F.lit(None).cast("string") if strict else F.when(F.col("d2").contains("."), F.substring_index("d2", ".", 1))
-    p = p.withColumn("d3", first).withColumn("holds", F.col("n1").contains(F.col("n2")) | F.col("n2").contains(F.col("n1")))
+    """Adds name_score, definition_score and score to candidates. A name that contains the other
+    scores 1 and is not compared; the definition's part before its first full stop counts too
+    unless strict. With a threshold, pairs that cannot reach it are left out before any text is
+    compared. Every worker remembers the pairs of texts it has compared."""
+    p = pairs if threshold is None else within_reach(pairs, threshold, strict)
+    holds = F.col("n1").contains(F.col("n2")) | F.col("n2").contains(F.col("n1"))
+    p = p.withColumn("name_score", F.coalesce(sequence_similarity("n1", F.when(~holds, F.col("n2"))), F.lit(1.0)))
+    part = F.lit(None).cast("string") if strict else F.col("d3")
+    p = p.withColumn("definition_score", F.greatest(sequence_similarity("d1", "d2"), sequence_similarity("d1", part)))
     same = (F.col("page_number") == F.col("gt_page")).cast("double")
-    if threshold is not None:
-        most = lambda a, b: F.coalesce(2.0 * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0)), F.lit(1.0))
-        by_name = F.when(F.col("holds"), 1.0).otherwise(most("n1", "n2"))
-        by_definition = F.greatest(most("d1", "d2"), F.when(F.col("d3").isNotNull(), most("d1", "d3")))
-        p = p.filter(DEFINITION * by_definition + NAME * by_name + PAGE * same >= threshold - 1e-9)
-    p = p.withColumn("other", F.when(~F.col("holds"), F.col("n2")))
-    p = with_similarity(with_similarity(with_similarity(p, "n1", "other", "r1"), "d1", "d2", "r2"), "d1", "d3", "r3")
-    p = p.withColumn("name_score", F.coalesce("r1", F.lit(1.0))).withColumn("definition_score", F.greatest("r2", "r3"))
     total = DEFINITION * F.col("definition_score") + NAME * F.col("name_score") + PAGE * same
-    return p.withColumn("score", total).drop("n1", "n2", "d1", "d2", "d3", "holds", "other", "r1", "r2", "r3")
+    return p.withColumn("score", total).drop("n1", "n2", "d1", "d2", "d3", "n1_p", "n2_p", "d1_p", "d2_p", "d3_p")
 
 
 def best_matches(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -70,7 +111,7 @@ def label(truth: DataFrame, concepts: DataFrame, best: DataFrame) -> DataFrame:
     """filename, kind, gt_seq, concept_seq, score: the first truth row that picks a concept is
     TP, later ones and unmatched ones FN, never picked concepts FP."""
     w = W.partitionBy("filename", "concept_seq").orderBy("gt_seq")
-    picked = best.select("filename", "gt_seq", "concept_seq", "score").withColumn("r", F.row_number().over(w))
+    picked = written(best.select("filename", "gt_seq", "concept_seq", "score").withColumn("r", F.row_number().over(w)), "picked")
     hits = truth.select("filename", "gt_seq").join(picked, ["filename", "gt_seq"], "left")
     kind = F.when(F.col("r") == 1, "TP").otherwise("FN")
     a = hits.select("filename", kind.alias("kind"), "gt_seq", "concept_seq", "score")

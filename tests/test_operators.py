@@ -64,6 +64,25 @@ def test_propagated_tags(spark):
     assert got == {1: ["lexicon"], 2: ["Plain header"], 3: ["lexicon"], 4: ["lexicon"]}
 
 
+def test_propagation_equals_page_by_page(spark):
+    rng = random.Random(8)
+    rows = []
+    for f in range(40):
+        heads = [f"Head {k}" for k in range(12)] + ["Terms of use", "List of Acronyms"]
+        rows += [(f"f{f}", p, [rng.choice(heads[: rng.choice([12, 14])]) for _ in range(rng.randint(0, 3))]) for p in rng.sample(range(60), 25)]
+    rows += [("chain", p, [f"h{p}", f"H{p - 1}" if p else "lexicon"]) for p in range(12)]
+    want = {}
+    for f in {r[0] for r in rows}:
+        known = set()
+        for _, p, tags in sorted(r for r in rows if r[0] == f):
+            low = [t.lower() for t in tags]
+            found = {k for k in chunking.KEYWORDS if any(k in t for t in low)} | ({"lexicon"} if known & set(low) else set())
+            known |= set(low) if found else set()
+            want[f, p] = sorted(found) if found else tags
+    df = spark.createDataFrame(rows, "filename string, page_number int, tags array<string>")
+    assert {(r["filename"], r["page_number"]): r["tags"] for r in chunking.propagate_tags(df).collect()} == want
+
+
 def test_normalize(spark):
     rows = spark.createDataFrame([("deployment.3",), ("  A  B;",)], "x string").select(normalize("x").alias("y")).collect()
     assert [r["y"] for r in rows] == ["deployment. ", "a b"]
