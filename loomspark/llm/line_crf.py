@@ -2,8 +2,9 @@
 good or bad from its own and its neighbours' features; the lines' forward-backward marginals,
 weighted by length, give the document's quality.
 
-The field is trained in numpy on a bounded sample (SAMPLE documents, by hash of doc_id) of the
-labelled rows given for learning; a sampled document's lines carry its label. A logistic link
+The field is trained in numpy on a bounded sample (SAMPLE documents, by hash of doc_id, without
+those over FIT_BYTES) of the labelled rows given for learning; a sampled document's lines carry its
+label. All texts, of any length, are scored whole. A logistic link
 fitted on the same sample turns the weighted marginal into a probability.
 
 Defined results: null and empty texts are one empty line and are scored; rows without labels
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.common import CHUNK_BYTES, chunks, per_text, prefix_hash, span_hash
 
-SAMPLE = 3000
-STEPS, RATE, RIDGE = 80, 0.2, 1e-3
+#: Documents to learn from, and bytes of one of them, at most; lines that advance one by one.
+SAMPLE, FIT_BYTES, STRETCH = 3000, 1 << 16, 256
+STEPS, RATE, RIDGE = 120, 0.2, 1e-3
 OWN = 11
 FEATURES = 3 * OWN + 2
 
@@ -104,35 +106,71 @@ class LineCrf:
     slope: float = 1.0
     shift: float = 0.0
 
-    def marginals(self, x: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(good) of every line, expected transition counts, log partition of each text. Texts
-        advance together, line by line."""
-        lines = np.bincount(owner)
-        lines = lines[lines > 0]
-        at = np.concatenate([[0], np.cumsum(lines)[:-1]])
+    def marginals(self, x: np.ndarray, owner: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """P(good) of every line, expected transition counts (each counting weight of its first
+        line), log partition of each text with lines.
+
+        Texts are cut into stretches of at most STRETCH lines, and all stretches advance together,
+        line by line. Those of one text are tied by the 2 x 2 log-matrices of their products, so a
+        text of n lines takes about STRETCH + n / STRETCH steps."""
+        trans, u = self.trans, np.stack([np.zeros(len(x)), x @ self.w], axis=1)
+        begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(x) else np.zeros(0, int)
+        size = np.diff(np.concatenate([begins, [len(x)]]))
+        # stretches: of every text the first ones, then the second ones, and so on
+        rank = np.concatenate([np.full(int((size > k * STRETCH).sum()), k) for k in range(-(-int(size.max(initial=0)) // STRETCH))] or [[]]).astype(int)
+        text = np.concatenate([np.flatnonzero(size > k * STRETCH) for k in range(int(rank.max(initial=-1)) + 1)] or [[]]).astype(int)
+        at = begins[text] + rank * STRETCH
+        lines = np.minimum(size[text] - rank * STRETCH, STRETCH)
+        # longest first, so that those with a t-th line are the first live[t]
         by_size = np.argsort(-lines, kind="stable")
-        at, lines = at[by_size], lines[by_size]
-        u = np.stack([np.zeros(len(x)), x @ self.w], axis=1)
-        alpha, beta = u.copy(), np.zeros_like(u)
+        rank, text, at, lines = rank[by_size], text[by_size], at[by_size], lines[by_size]
         live = [int(np.searchsorted(-lines, -t, "left")) for t in range(int(lines.max(initial=0)))]
+        of_rank = np.split(np.argsort(rank, kind="stable"), np.cumsum(np.bincount(rank))[:-1]) if len(rank) else []
+        slot = np.zeros((len(begins), len(of_rank)), int)
+        slot[text, rank] = np.arange(len(text))
+        # products of the stretches of texts that have more than one
+        whole = np.zeros((len(at), 2, 2))
+        several = size[text] > STRETCH
+        for t in range(len(live) if several.any() else 0):
+            s = np.flatnonzero(several[: live[t]])
+            i = at[s] + t
+            step = trans[None] + u[i][:, None, :]
+            if t == 0:
+                start = np.array([[0.0, -np.inf], [-np.inf, 0.0]])[None] + u[i][:, None, :]
+                whole[s] = np.where((rank[s] == 0)[:, None, None], start, step)
+            else:
+                a, b = whole[s][:, :, :, None], step[:, None]
+                whole[s] = np.logaddexp(a[:, :, 0] + b[:, :, 0], a[:, :, 1] + b[:, :, 1])
+        # what lies before and behind each stretch
+        before, behind = np.zeros((len(at), 2)), np.zeros((len(at), 2))
+        for k in range(1, len(of_rank)):
+            s = of_rank[k]
+            p = slot[text[s], k - 1]
+            before[s] = np.logaddexp(before[p][:, :1] + whole[p][:, 0], before[p][:, 1:] + whole[p][:, 1])
+        for k in range(len(of_rank) - 1, 0, -1):
+            s = of_rank[k]
+            behind[slot[text[s], k - 1]] = np.logaddexp(whole[s][:, :, 0] + behind[s][:, :1], whole[s][:, :, 1] + behind[s][:, 1:])
+        alpha, beta = u.copy(), np.zeros_like(u)
+        later = np.flatnonzero(rank > 0)
+        alpha[at[later]] += np.logaddexp(before[later][:, :1] + trans[0], before[later][:, 1:] + trans[1])
         for t in range(1, len(live)):
             i = at[: live[t]] + t
-            alpha[i] += np.logaddexp(alpha[i - 1, :1] + self.trans[0], alpha[i - 1, 1:] + self.trans[1])
+            alpha[i] += np.logaddexp(alpha[i - 1, :1] + trans[0], alpha[i - 1, 1:] + trans[1])
+        beta[at + lines - 1] = behind
         for t in range(len(live) - 2, -1, -1):
             i = at[: live[t + 1]] + t
             nxt = u[i + 1] + beta[i + 1]
-            beta[i] = np.logaddexp(self.trans[:, 0] + nxt[:, :1], self.trans[:, 1] + nxt[:, 1:])
-        end = at + lines - 1
+            beta[i] = np.logaddexp(trans[:, 0] + nxt[:, :1], trans[:, 1] + nxt[:, 1:])
+        end = begins + size - 1
         z = np.logaddexp(alpha[end, 0], alpha[end, 1])
-        z_line = np.empty(len(x))
-        z_line[np.repeat(at, lines) + np.concatenate([np.arange(k) for k in lines] or [[]]).astype(int)] = np.repeat(z, lines)
+        z_line = np.repeat(z, size)
         good = np.exp(alpha[:, 1] + beta[:, 1] - z_line)
         pair = np.zeros((2, 2))
         j = np.flatnonzero(owner[1:] == owner[:-1])
-        if len(j):
-            for a in (0, 1):
-                for c in (0, 1):
-                    pair[a, c] = np.exp(alpha[j, a] + self.trans[a, c] + u[j + 1, c] + beta[j + 1, c] - z_line[j]).sum()
+        for a in (0, 1):
+            for c in (0, 1):
+                share = np.exp(alpha[j, a] + trans[a, c] + u[j + 1, c] + beta[j + 1, c] - z_line[j])
+                pair[a, c] = share.sum() if weight is None else share @ weight[j]
         return good, pair, z
 
     def score(self, x: np.ndarray, n: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +187,7 @@ def _logit(q: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], good: list[int]) -> LineCrf:
-    """Gradient ascent on the mean conditional log-likelihood of the lines' labels."""
+    """Gradient ascent on the mean over documents of a line's conditional log-likelihood."""
     model = LineCrf(np.zeros(FEATURES), np.zeros((2, 2)))
     if not texts or len(set(good)) < 2:
         model.slope = 0.0
@@ -169,13 +207,12 @@ def train(texts: list[str], good: list[int]) -> LineCrf:
     inner = owner[1:] == owner[:-1]
     seen = np.zeros((2, 2))
     for a in (0, 1):
-        seen[a, a] = ((y[1:] == a) & inner).sum()
-    seen /= max(seen.sum(), 1)
+        seen[a, a] = weight[:-1][(y[1:] == a) & inner].sum()
     m = [np.zeros(FEATURES), np.zeros((2, 2))]
     v = [np.zeros(FEATURES), np.zeros((2, 2))]
     for step in range(1, STEPS + 1):
-        p, pair, _ = model.marginals(x, owner)
-        grads = [x.T @ ((y - p) * weight) / base - RIDGE * model.w, seen - pair / max(pair.sum(), 1) - RIDGE * model.trans]
+        p, pair, _ = model.marginals(x, owner, weight)
+        grads = [x.T @ ((y - p) * weight) / base - RIDGE * model.w, (seen - pair) / base - RIDGE * model.trans]
         for k, (param, g) in enumerate(zip((model.w, model.trans), grads, strict=True)):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
@@ -227,7 +264,7 @@ def classify(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Data
     picked = labelled.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most `sample` rows of two numbers, so the broadcast is bounded.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked.withColumnRenamed("doc_id", "p_id")), F.col("doc_id") == F.col("p_id"))
+    rows = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES).join(F.broadcast(picked.withColumnRenamed("doc_id", "p_id")), F.col("doc_id") == F.col("p_id"))
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).orderBy("doc_id").collect()
     model = train([r["text"] or "" for r in rows], [int(r["quality"] > 0) for r in rows])
     shared = docs.sparkSession.sparkContext.broadcast(model)
