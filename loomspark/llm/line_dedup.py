@@ -7,7 +7,9 @@ consecutive repeated units of at least MIN_PASSAGE characters. So a common short
 documents stays, and a passage of short sentences goes, wherever its lines begin. Sizes count
 characters, as not every script puts blanks between words.
 
-Units of fewer than MIN_UNIT characters are neither hashed nor break a run.
+Every unit with a character that is no blank is hashed, and one that is not repeated ends a run, so
+nothing goes that does not occur elsewhere. With unit "line" or "paragraph" and min_passage 1 every
+later occurrence of a line or paragraph goes.
 
 Counting and the earliest rank combine on the map side, and the join back salts frequent digests,
 so a unit in a third of all documents does not meet in one task.
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 
 from loomspark.llm.common import broadcast_if_small, carried, join_counted, materialize, maybe_in
 
-MIN_UNIT, MIN_PASSAGE = 16, 120
+MIN_UNIT, MIN_PASSAGE = 1, 120
 #: Where a text is cut into tokens; every character lies in exactly one.
 CUTS = {
     "sentence": "(?<=\n)|(?=\n)|(?<=[.!?。！？])(?![.!?。！？\n])",

@@ -39,7 +39,7 @@ def op4_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"), unit="sentence", min_unit=1, min_passage=120)
     spans = F.transform(F.col("removed"), lambda r: F.concat_ws(":", r["start"], r["end"]))
     return out.select("row.doc_id", "text", "n_removed", F.coalesce(F.array_join(spans, ","), F.lit("")).alias("removed"))
 
@@ -173,7 +173,7 @@ kept AS (SELECT n.doc_id, string_agg(s, '' ORDER BY n.k) AS text
       FROM n WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = n.doc_id AND n.k BETWEEN p.lo AND p.hi) GROUP BY n.doc_id)
 SELECT t.doc_id, CASE WHEN g.n_removed > 0 THEN coalesce(kept.text, '') ELSE t.text END AS text, coalesce(g.n_removed, 0) AS n_removed, coalesce(g.removed, '') AS removed
 FROM t LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
-""".replace("{unit}", str(line_dedup.MIN_UNIT)).replace("{passage}", str(line_dedup.MIN_PASSAGE))
+""".replace("{unit}", "1").replace("{passage}", "120")
 
 _TOP_K = """
 WITH v AS (
