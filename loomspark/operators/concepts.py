@@ -33,12 +33,16 @@ def extract(chunks: DataFrame, model: calls.Model, store: str, name: str, templa
     return calls.answered(asked, "prompt", model, store, name, clients=clients, slices=slices).drop("prompt").withColumnRenamed("answer", "response")
 
 
-#: Sentences: up to four words, "is" or "are", and a definition that begins with an article; on
-#: glossary pages the verb is missing and the article capitalised.
-IS_A = r"^(\S+(?: \S+){0,3}?) (?:is|are) ((?:the|a|an|any) .+?)[.!?]*$"
-GLOSSARY = r"^(\S+(?: \S+){0,3}?) ((?:The|A|An|Any) .+?)[.!?]*$"
-#: Page tags of glossary pages.
-GLOSSARY_TAGS = ("lexicon", "terms", "definitions")
+#: Sentences that define a term of up to four words, and the definition: with "is" or "are" and an
+#: article; with a verb of defining; on glossary pages without a verb, the article capitalised;
+#: and with "is" or "are" and any definition where the sentence before is the term itself.
+TERM = r"^(\S+(?: \S+){0,3}?) "
+IS_A = TERM + r"(?:is|are) ((?:the|a|an|any) .+?)[.!?]*$"
+MEANS = TERM + r"(?:means|refers to|is defined as|are defined as) (.+?)[.!?]*$"
+GLOSSARY = TERM + r"((?:The|A|An|Any) .+?)[.!?]*$"
+NAMED = TERM + r"(?:is|are) (.+?)[.!?]*$"
+#: Page tags of glossary pages: the keywords that mark one.
+GLOSSARY_TAGS = ("lexicon", "acronyms", "abbreviations", "terms", "definitions")
 
 
 def rule_concepts(chunks: DataFrame) -> DataFrame:
@@ -48,11 +52,14 @@ def rule_concepts(chunks: DataFrame) -> DataFrame:
     tagged = F.lit(False)
     if "page_tags" in chunks.columns:
         tagged = F.exists(F.coalesce("page_tags", F.array().cast("array<string>")), lambda t: F.lower(t).isin(*GLOSSARY_TAGS))
-    sentences = F.posexplode(F.split("text", r"(?<=[.!?])(?![.!?])|\n")).alias("item_seq", "s")
-    rows = chunks.select("filename", "chunk_seq", "page_number", tagged.alias("tagged"), sentences).withColumn("s", strip("s"))
-    pattern = F.when(F.col("s").rlike(IS_A), F.lit(IS_A)).when(F.col("tagged") & F.col("s").rlike(GLOSSARY), F.lit(GLOSSARY))
-    rows = rows.withColumn("pattern", pattern).filter("pattern is not null")
-    part = lambda k: F.when(F.col("pattern") == IS_A, F.regexp_extract("s", IS_A, k)).otherwise(F.regexp_extract("s", GLOSSARY, k))
+    sentences = F.transform(F.split("text", r"(?<=[.!?])(?![.!?])|\n"), strip)
+    rows = chunks.select("filename", "chunk_seq", "page_number", tagged.alias("tagged"), sentences.alias("all"))
+    rows = rows.select("filename", "chunk_seq", "page_number", "tagged", "all", F.posexplode("all").alias("item_seq", "s"))
+    before = F.lower(F.regexp_replace(F.coalesce(F.get("all", F.col("item_seq") - 1), F.lit("")), r"[.!?]+$", ""))
+    named = (F.regexp_extract("s", NAMED, 1) != "") & (F.lower(F.regexp_extract("s", NAMED, 1)) == before)
+    chosen = F.when(F.col("s").rlike(IS_A), 1).when(F.col("s").rlike(MEANS), 2).when(F.col("tagged") & F.col("s").rlike(GLOSSARY), 3).when(named, 4)
+    rows = rows.withColumn("rule", chosen).filter("rule is not null")
+    part = lambda k: F.when(F.col("rule") == 1, F.regexp_extract("s", IS_A, k)).when(F.col("rule") == 2, F.regexp_extract("s", MEANS, k)).when(F.col("rule") == 3, F.regexp_extract("s", GLOSSARY, k)).otherwise(F.regexp_extract("s", NAMED, k))
     first_up = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x)))
     return rows.select("filename", "chunk_seq", "page_number", "item_seq", first_up(part(1)).alias("name"), first_up(part(2)).alias("definition"))
 

@@ -36,11 +36,12 @@ def c2_extracted(spark, sf_dir):
 
 
 _RULES = B13_SQL + rf""", st AS (SELECT filename, chunk_seq, page_number, id, page_tags, regexp_extract_all(text, '[^.!?\n]+[.!?]*|[.!?]+|\n\n') AS ss FROM ch),
-ss AS (SELECT filename, chunk_seq, page_number, id, page_tags, trim(unnest(ss)) AS s, unnest(range(len(ss)))::INT AS item_seq FROM st),
-pp AS (SELECT *, CASE WHEN regexp_matches(s, '{concepts.IS_A}') THEN 1
-                  WHEN len(list_filter(string_split(page_tags, '|'), lambda t: lower(t) IN ('lexicon', 'terms', 'definitions'))) > 0 AND regexp_matches(s, '{concepts.GLOSSARY}') THEN 2 END AS k FROM ss),
-qq AS (SELECT *, CASE k WHEN 1 THEN regexp_extract(s, '{concepts.IS_A}', 1) ELSE regexp_extract(s, '{concepts.GLOSSARY}', 1) END AS a,
-                 CASE k WHEN 1 THEN regexp_extract(s, '{concepts.IS_A}', 2) ELSE regexp_extract(s, '{concepts.GLOSSARY}', 2) END AS b FROM pp WHERE k IS NOT NULL),
+ss AS (SELECT filename, chunk_seq, page_number, id, page_tags, ss AS tokens, trim(unnest(ss)) AS s, unnest(range(len(ss)))::INT AS item_seq FROM st),
+pp AS (SELECT *, CASE WHEN regexp_matches(s, '{concepts.IS_A}') THEN 1 WHEN regexp_matches(s, '{concepts.MEANS}') THEN 2
+                  WHEN len(list_filter(string_split(page_tags, '|'), lambda t: lower(t) IN ('lexicon', 'acronyms', 'abbreviations', 'terms', 'definitions'))) > 0 AND regexp_matches(s, '{concepts.GLOSSARY}') THEN 3
+                  WHEN item_seq > 0 AND regexp_matches(s, '{concepts.NAMED}') AND lower(regexp_extract(s, '{concepts.NAMED}', 1)) = lower(regexp_replace(trim(tokens[item_seq]), '[.!?]+$', '')) THEN 4 END AS k FROM ss),
+qq AS (SELECT *, CASE k WHEN 1 THEN regexp_extract(s, '{concepts.IS_A}', 1) WHEN 2 THEN regexp_extract(s, '{concepts.MEANS}', 1) WHEN 3 THEN regexp_extract(s, '{concepts.GLOSSARY}', 1) ELSE regexp_extract(s, '{concepts.NAMED}', 1) END AS a,
+                 CASE k WHEN 1 THEN regexp_extract(s, '{concepts.IS_A}', 2) WHEN 2 THEN regexp_extract(s, '{concepts.MEANS}', 2) WHEN 3 THEN regexp_extract(s, '{concepts.GLOSSARY}', 2) ELSE regexp_extract(s, '{concepts.NAMED}', 2) END AS b FROM pp WHERE k IS NOT NULL),
 rc AS (SELECT filename, chunk_seq, page_number, id AS chunk_id, item_seq, upper(a[1]) || a[2:] AS name, upper(b[1]) || b[2:] AS definition FROM qq)
 """
 

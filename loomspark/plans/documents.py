@@ -19,6 +19,8 @@ CASE WHEN el_seq = 10 AND fid % 3 = 0 THEN '  Preface ' WHEN el_seq = 3 AND fid
      WHEN el_seq = 25 AND fid % 3 = 1 THEN 'CHAPTER 10' WHEN el_seq = 300 THEN 'Chapter 1 again'
      WHEN el_seq % 37 = 5 THEN ' UNCLASSIFIED ' WHEN el_seq % 41 = 7 THEN '  Edition A' WHEN el_seq % 43 = 9 THEN ' xii '
      WHEN el_seq % 47 = 13 THEN '  1. an item of the list.'
+     WHEN el_seq % 53 = 21 THEN 'Movement. Movement is moving people and things.' WHEN el_seq % 59 = 31 THEN 'Cooperation. Cooperation between authorities is essential.'
+     WHEN el_seq % 61 = 17 THEN 'Supply line means whatever carries supplies!'
      WHEN el_seq % 33 = 11 THEN concat('Lexicon of part ', cast(el_seq DIV 11 % 3 AS string))
      WHEN el_seq % 7 = 3 THEN concat('Running head ', cast((fid + el_seq DIV 16) % 3 AS string)) ELSE text END"""
 _CATEGORY = "CASE WHEN el_seq % 11 = 0 THEN 'Title' WHEN el_seq % 7 = 3 THEN 'Header' WHEN el_seq % 5 = 2 THEN 'ListItem' ELSE 'NarrativeText' END"
@@ -51,12 +53,12 @@ def a1_text_elements(spark, sf_dir):
 
 
 @query(r"""
-WITH p AS (SELECT url AS filename, string_split(regexp_replace(html, '(?is)<(title|h1|li|p|header|nav|footer)(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM pages),
+WITH p AS (SELECT url AS filename, string_split(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?is)<(title|h[1-6]|li|p|t[dh]|header|nav|footer)(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM pages),
 u AS (SELECT filename, unnest(parts) AS part, unnest(range(len(parts)))::INT AS el_seq FROM p),
 t AS (SELECT filename, el_seq, lower(split_part(part, chr(2), 1)) AS tag, regexp_replace(string_split(part, chr(2))[-1], '(?s)<[^>]*>', ' ', 'g') AS body FROM u WHERE contains(part, chr(2))),
-d AS (SELECT filename, el_seq, CASE WHEN tag IN ('title', 'h1') THEN 'Title' WHEN tag = 'li' THEN 'ListItem' WHEN tag = 'p' THEN 'NarrativeText'
+d AS (SELECT filename, el_seq, CASE WHEN regexp_matches(tag, '^(title|h[1-6])$') THEN 'Title' WHEN tag = 'li' THEN 'ListItem' WHEN tag IN ('p', 'td', 'th') THEN 'NarrativeText'
              WHEN tag IN ('header', 'nav') THEN 'Header' ELSE 'Footer' END AS category,
-             trim(regexp_replace(replace(replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM t)
+             trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM t)
 SELECT * FROM d WHERE text <> ''""")
 def a1_html_elements(spark, sf_dir):
     return src.html_elements(table(spark, sf_dir, "pages"))

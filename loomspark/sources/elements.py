@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = "id string, text string, page_number int, filename string, page_tags array<string>"
 CONCEPT = "id string, name string, definition string, chunk_id string, page_number int, filename string"
@@ -15,19 +19,30 @@ def text_elements(docs: DataFrame, name: str = "doc_id", text: str = "text", pat
     return docs.select(F.col(name).cast("string").alias("filename"), F.posexplode(F.split(text, pattern)).alias("el_seq", "text"))
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(text: pd.Series) -> pd.Series:
+    """Named and numeric entities as characters."""
+    return text.map(unescape, na_action="ignore")
+
+
+#: What is no text, and the tags that open an element.
+NO_TEXT = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
+BLOCKS = r"(?is)<(title|h[1-6]|li|p|t[dh]|header|nav|footer)(?:\s[^>]*)?>"
+
+
 def html_elements(pages: DataFrame, name: str = "url", html: str = "html") -> DataFrame:
-    """Elements of HTML pages: cut at opening block tags, tags stripped, entities decoded."""
-    cut = F.regexp_replace(html, r"(?is)<(title|h1|li|p|header|nav|footer)(?:\s[^>]*)?>", "\u0001$1\u0002")
+    """Elements of HTML pages: scripts, styles and comments left out, cut at opening block tags,
+    tags stripped, entities decoded."""
+    cut = F.regexp_replace(F.regexp_replace(html, NO_TEXT, " "), BLOCKS, "\u0001$1\u0002")
     parts = pages.select(F.col(name).cast("string").alias("filename"), F.posexplode(F.split(cut, "\u0001")).alias("el_seq", "part"))
     parts = parts.filter(F.col("part").contains("\u0002"))
     tag = F.lower(F.substring_index("part", "\u0002", 1))
     body = F.regexp_replace(F.substring_index("part", "\u0002", -1), r"(?s)<[^>]*>", " ")
-    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        body = F.replace(body, F.lit(entity), F.lit(mark))
-    category = F.when(tag.isin("title", "h1"), "Title").when(tag == "li", "ListItem").when(tag == "p", "NarrativeText")
+    category = F.when(tag.rlike("^(title|h[1-6])$"), "Title").when(tag == "li", "ListItem").when(tag.isin("p", "td", "th"), "NarrativeText")
     category = category.when(tag.isin("header", "nav"), "Header").otherwise("Footer")
-    text = F.trim(F.regexp_replace(body, r"\s+", " "))
-    return parts.select("filename", "el_seq", category.alias("category"), text.alias("text")).filter(F.col("text") != "")
+    rows = parts.select("filename", "el_seq", category.alias("category"), _decoded(body).alias("body"))
+    text = F.trim(F.regexp_replace("body", r"(?U)\s+", " "))
+    return rows.select("filename", "el_seq", "category", text.alias("text")).filter(F.col("text") != "")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -131,6 +131,8 @@ def test_rule_concepts_examples(spark):
         ("deployment The relocation of forces to an area. Logistics The science of planning.", ["Lexicon"]),
         ("Alpha is the a. Beta is a b. Gamma are the c.\nDelta is an d", []),
         ("deployment The relocation of forces.", None),
+        ("MOVEMENT. Movement is moving people. Movement is slow.\nSupply line\nsupply line is whatever carries supplies", None),
+        ("Carrier means one who carries. A host refers to hosts! Depth is defined as distance below. It is clear. That is essential.", None),
     ]
     df = spark.createDataFrame([("f", i, 1, t, g) for i, (t, g) in enumerate(rows)], "filename string, chunk_seq long, page_number int, text string, page_tags array<string>")
     got = {}
@@ -140,6 +142,8 @@ def test_rule_concepts_examples(spark):
         2: [("Movement", "The set of activities involved in the transfer of personnel")],
         3: [("Deployment", "The relocation of forces to an area"), ("Logistics", "The science of planning")],
         4: [("Alpha", "The a"), ("Beta", "A b"), ("Gamma", "The c"), ("Delta", "An d")],
+        6: [("Movement", "Moving people"), ("Supply line", "Whatever carries supplies")],
+        7: [("Carrier", "One who carries"), ("A host", "Hosts"), ("Depth", "Distance below")],
     }
 
 

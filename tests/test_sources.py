@@ -24,9 +24,9 @@ def test_json_readers(spark, tmp_path):
 
 
 def test_html(spark):
-    page = "<html><title>T &amp; x</title><p>one <b>two</b><p>three<li class='a'>item</li><footer>end</footer>"
+    page = "<html><title>T &amp; x</title><p>one <b>two</b><p>three<li class='a'>item</li><h2>Caf&eacute; &#8211; &#x41;&nbsp;b</h2><script>var x = '<p>no';</script><style>p {}</style><!-- <p>no --><table><td>cell<th>head</table><footer>end</footer>"
     got = [(r["category"], r["text"]) for r in elements.html_elements(spark.createDataFrame([("u", page)], "url string, html string")).orderBy("el_seq").collect()]
-    assert got == [("Title", "T & x"), ("NarrativeText", "one two"), ("NarrativeText", "three"), ("ListItem", "item"), ("Footer", "end")]
+    assert got == [("Title", "T & x"), ("NarrativeText", "one two"), ("NarrativeText", "three"), ("ListItem", "item"), ("Title", "Café – A b"), ("NarrativeText", "cell"), ("NarrativeText", "head"), ("Footer", "end")]
 
 
 def test_only_csv_sheets(spark):
