@@ -147,16 +147,38 @@ def _similarity(a: str, b: str) -> Column:
     return 1 - F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _nearest_sibling(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Squared distance of each concept of left to the nearest sibling in right but its best node."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"concept_id": left["concept_id"][:0], "d": np.zeros(0)})
+    row, place, d = vectors.nearest_rows(vectors.matrix(left["embedding"]), vectors.matrix(right["embedding"]), np.arange(len(right)), 2)
+    other = right["node_id"].to_numpy()[place] != left["node_id"].to_numpy()[row]
+    return pd.DataFrame({"concept_id": left["concept_id"].to_numpy()[row[other]], "d": d[other]})
+
+
 def compare_placement(inserted: DataFrame, nodes: DataFrame, least: float = 0.5) -> DataFrame:
     """inserted: concept_id, node_id (best node), embedding; nodes: node_id, parent_id,
     embedding. Adds sim_parent, sim_siblings (largest; the best node itself is none) and
-    placement: parent or sibling where that side reaches least and exceeds the other, else child."""
+    placement: parent or sibling where that side reaches least and exceeds the other, else child.
+    Concepts and siblings of one parent meet as matrices; a wide parent is cut into blocks."""
     n = nodes.select("node_id", "parent_id")
     c = inserted.join(n, "node_id", "left")
     parents = nodes.select(F.col("node_id").alias("parent_id"), F.col("embedding").alias("p"))
     c = c.join(parents, "parent_id", "left").withColumn("sim_parent", _similarity("embedding", "p")).drop("p")
-    others = nodes.filter("parent_id is not null").select("parent_id", F.col("node_id").alias("s_id"), F.col("embedding").alias("s"))
-    near = c.join(others, "parent_id").filter("s_id <> node_id").groupBy("concept_id").agg(F.max(_similarity("embedding", "s")).alias("sim_siblings"))
+    blocks = lambda rows, name: rows.groupBy("parent_id").agg(F.ceil(F.count("*") / vectors.BLOCK_ROWS).cast("int").alias(name))
+    left = c.filter("parent_id is not null").select("concept_id", "node_id", "parent_id", "embedding")
+    right = nodes.filter("parent_id is not null").select("node_id", "parent_id", "embedding")
+    counts = blocks(left, "lefts").join(blocks(right, "rights"), "parent_id")
+    cut = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(counts, "parent_id").withColumn("lb", cut("concept_id", "lefts")).withColumn("rb", every("rights"))
+    right = right.join(counts, "parent_id").withColumn("rb", cut("node_id", "rights")).withColumn("lb", every("lefts"))
+    # both sides may come from one table, so all columns of the match are named anew
+    left = left.select(*[F.col(k).alias(k) for k in ("concept_id", "node_id", "embedding")], *[F.col(k).alias(f"l_{k}") for k in ("parent_id", "lb", "rb")])
+    right = right.select(*[F.col(k).alias(k) for k in ("node_id", "embedding")], *[F.col(k).alias(f"r_{k}") for k in ("parent_id", "lb", "rb")])
+    schema = f"concept_id {inserted.schema['concept_id'].dataType.simpleString()}, d double"
+    near = left.groupBy("l_parent_id", "l_lb", "l_rb").cogroup(right.groupBy("r_parent_id", "r_lb", "r_rb")).applyInPandas(_nearest_sibling, schema)
+    near = near.groupBy("concept_id").agg((1 - F.min("d")).alias("sim_siblings"))
     p, s = F.coalesce("sim_parent", F.lit(float("-inf"))), F.coalesce("sim_siblings", F.lit(float("-inf")))
     placement = F.when((p >= least) & (p > s), "parent").when((s >= least) & (s > p), "sibling").otherwise("child")
     return c.join(near, "concept_id", "left").withColumn("placement", placement)

@@ -88,6 +88,27 @@ def test_stream_equals_batches_in_order(spark, tmp_path):
     assert {r["seq"]: r["result"] for r in spark.read.parquet(f"{root}/decisions/b0").collect()} == {k: r for k, (_, r) in want.items()}
 
 
+@pytest.mark.parametrize("block", [3, 10_000])
+def test_siblings_in_blocks_equal_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(placement.vectors, "BLOCK_ROWS", block)
+    rng = random.Random(12)
+    v = lambda: [rng.randint(-4, 4) / 4 for _ in range(3)]
+    nodes = [("r", None, v())] + [(f"n{i}", rng.choice(["r", "r", "n0", "n1"]) if i > 1 else "r", v()) for i in range(40)]
+    concepts = [(f"c{i}", rng.choice(nodes)[0], v()) for i in range(30)]
+    n = spark.createDataFrame(nodes, "node_id string, parent_id string, embedding array<double>")
+    c = spark.createDataFrame(concepts, "concept_id string, node_id string, embedding array<double>")
+    up, at = {k: p for k, p, _ in nodes}, {k: x for k, _, x in nodes}
+    sim = lambda a, b: 1 - sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    want = {}
+    for k, best, x in concepts:
+        p = sim(x, at[up[best]]) if up[best] else None
+        s = max((sim(x, y) for m, q, y in nodes if q is not None and q == up[best] and m != best), default=None)
+        a, b = (-9.0 if z is None else z for z in (p, s))
+        want[k] = (p, s, "parent" if a >= 0.1 and a > b else "sibling" if b >= 0.1 and b > a else "child")
+    got = {r["concept_id"]: (r["sim_parent"], r["sim_siblings"], r["placement"]) for r in placement.compare_placement(c, n, 0.1).collect()}
+    assert got == want and {w[2] for w in want.values()} >= {"sibling", "child"}
+
+
 def test_placement_and_export(spark):
     rows = [("r", None, 0, "root", "top", [0.0, 0.0]), ("a", "r", 0, "A", "", [1.0, 0.0]), ("b", "r", 1, "B", None, [0.0, 1.0])]
     n = spark.createDataFrame(rows, "node_id string, parent_id string, child_ord int, name string, definition string, embedding array<double>")
