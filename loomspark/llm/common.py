@@ -42,9 +42,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, size: Column | None = None) -> DataFrame:
     """Broadcast a written frame of narrow rows if it has at most max_rows rows; beyond that
-    the join shuffles."""
+    the join shuffles. Rows that hold arrays count as size says."""
+    if size is not None:
+        return F.broadcast(df) if df.agg(F.coalesce(F.sum(size + 1), F.lit(0))).first()[0] <= max_rows else df
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 

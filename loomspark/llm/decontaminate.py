@@ -156,7 +156,7 @@ def contaminated(
     todo = windows_to_check(hits, shingle, similarity)
     todo = todo.groupBy("key").agg(F.collect_list(F.struct("n", "s", "k", "m")).alias("todo")).withColumnRenamed("key", "t_key")
     todo = materialize(todo, "windows-todo")
-    held = docs.join(broadcast_if_small(todo, 100_000), key == F.col("t_key"))
+    held = docs.join(broadcast_if_small(todo, 500_000, F.size("todo")), key == F.col("t_key"))
     held = held.select("doc_id", doc_hash().alias("h"), shingles_of("text", shingle).alias("g"), "todo")
     cut = F.transform("todo", lambda t: F.struct(t["n"].alias("n"), t["s"].alias("s"), F.slice("g", t["s"] + 1, t["k"]).alias("g"), t["m"].alias("m")))
     enough = F.filter(cut, lambda t: F.size(t["g"]) >= t["m"] * similarity - 1e-9)
