@@ -331,6 +331,21 @@ def _classes(edges: DataFrame) -> DataFrame:
     return out.select(F.col("node").alias("c_node"), "root")
 
 
+def _joined(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Written classes (c_node, root) after new edges (a, b): only the classes that these tie are
+    looked at. Nodes without an edge are in no class."""
+    if edges.isEmpty():
+        return classes
+    named = lambda end: classes.select(F.col("c_node").alias(end), F.col("root").alias(f"r_{end}"))
+    tied = edges.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    tied = tied.select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b")).filter("a <> b")
+    tied = components(tied).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    tied = materialize(tied, "similar-tied")
+    old = classes.join(broadcast_if_small(tied), "root", "left").select("c_node", F.coalesce("to", "root").alias("root"))
+    new = tied.select(F.col("root").alias("c_node"), F.col("to").alias("root")).join(classes, "c_node", "left_anti")
+    return materialize(old.unionByName(new), "similar-classes")
+
+
 def _with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """Written, distinct pairs (a, b) of nodes with the value of both, as l and r; values: node,
     value. One b may stand in very many pairs."""
@@ -386,6 +401,13 @@ def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_
     with the one that shares most; pivots leave, and rounds go on until what is left of every such
     group is one class. A group of near copies thus takes one round, and no link is lost.
 
+    Places in the order spare more: the first member that two sets share has the i-th and j-th
+    place in them, so they share no more than the smaller of n - i and m - j; pairs for which this
+    is too few at a member either share an earlier one, whose group has them, or are not similar.
+    The smaller of two similar sets has the member early (n - i reaches what two sets of its size
+    must share), so only such nodes are pivots, and a group ends when it has no more of them. A
+    frequent member comes late in most sets, so its group ends soon.
+
     Returns doc_id, h, rows (number of equal rows) and root, which names the class."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_hash().alias("h"))
     often = docs.sparkSession.sparkContext.broadcast(bin_counts(src, shingle))
@@ -396,38 +418,42 @@ def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_
     texts = nodes.select("node", F.col("one.h").alias("w_h"), F.col("one.doc_id").alias("w_id"))
     check = lambda pairs: _verified(materialize(pairs.distinct(), "similar-pairs"), nodes, texts, src, shingle, similarity)
     # members of prefixes that several nodes share
-    places = nodes.select("node", "n", F.explode("prefix").alias("g"))
+    places = nodes.select("node", "n", F.posexplode("prefix").alias("i", "g"))
     shared = materialize(places.groupBy("g").agg(F.count("*").alias("count")).filter("count > 1"), "similar-shared")
     places = maybe_in(places, "g", shared.select("g")).filter("maybe").drop("maybe")
     places = materialize(join_counted(places, shared.withColumn("size", F.col("count")), ["g"], "count", F.col("node")), "similar-places")
     weight = places.groupBy("node").agg(F.sum("size").alias("weight"))
     order = F.struct((-F.col("weight")).alias("w"), "node", "n").alias("order")
-    groups = materialize(places.join(weight, "node").select("g", "node", "n", "size", order), "similar-groups")
-    close = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+    groups = materialize(places.join(weight, "node").select("g", "node", "n", "i", "size", order), "similar-groups")
+    least = lambda n, m: F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
+    # x, y: n and i of two nodes; what comes before the first member they share is not shared
+    close = lambda x, y: (F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"]) - 1e-9) & (F.least(x["n"] - x["i"], y["n"] - y["i"]) >= least(x["n"], y["n"]))
+    early = F.col("n") - F.col("i") >= least(F.col("n"), F.col("n"))
     pairs = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     offered = _simhash_pairs(nodes.select("node", "fp"), radius).select(*pairs("a", "b"))
-    small = groups.filter(F.col("size") <= SMALL).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
+    small = groups.filter(F.col("size") <= SMALL).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("node", "n", "i"))).alias("m"))
     each = small.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-    each = each.filter(close(F.col("x.n"), F.col("y.n"))).select(*pairs("x.node", "y.node"))
+    each = each.filter(close(F.col("x"), F.col("y"))).select(*pairs("x.node", "y.node"))
     edges = check(offered.unionByName(each))
     large = groups.filter(F.col("size") > SMALL)
+    classes = materialize(_classes(edges), "similar-classes")
     for lots in chain(PIVOTS, repeat(PIVOTS[-1])):
-        classes = materialize(_classes(edges), "similar-classes")
         now = large.join(classes, F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("root", "node")).drop("c_node", "root")
         # one pivot a lot; what is left of a group that has become small is all compared
         lot = F.when(F.col("size") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(lots))).alias("lot")
-        firsts = now.groupBy("g", lot).agg(F.min(F.struct("order", "node", "n", "class")).alias("p"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("count"))
+        firsts = now.groupBy("g", lot).agg(F.min(F.when(early, F.struct("order", "node", "n", "i", "class"))).alias("p"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("count"))
         pivots = firsts.groupBy("g").agg(F.collect_list("p").alias("pivots"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("count").alias("count"))
-        pivots = pivots.filter("c0 <> c1").withColumn("rest", F.col("count") - F.size("pivots"))
+        pivots = pivots.filter("c0 <> c1 and size(pivots) > 0").withColumn("rest", F.col("count") - F.size("pivots"))
         pivots = materialize(pivots.drop("c0", "c1"), "similar-pivots")
         if pivots.isEmpty():
             break
         asked = join_counted(now, pivots, ["g"], "count", F.col("node"))
-        far = asked.withColumn("p", F.explode("pivots")).filter("class <> p.class").filter(close(F.col("n"), F.col("p.n")))
-        edges = edges.unionByName(check(far.select(*pairs("node", "p.node"))))
+        own = F.struct("n", "i", "class").alias("own")
+        near = F.filter("pivots", lambda p: (p["class"] != F.col("own.class")) & close(F.col("own"), p))
+        far = asked.select("node", "pivots", own).select("node", F.explode(near).alias("p"))
+        classes = _joined(classes, check(far.select(*pairs("node", "p.node"))))
         left = asked.filter(~F.array_contains("pivots.node", F.col("node")))
-        large = materialize(left.select("g", "node", "n", F.col("rest").alias("size"), "order"), "similar-groups")
-    classes = materialize(_classes(edges), "similar-classes")
+        large = materialize(left.select("g", "node", "n", "i", F.col("rest").alias("size"), "order"), "similar-groups")
     by_text = rows.select("doc_id", "h", "node").join(classes, F.col("node") == F.col("c_node"), "left")
     return by_text.withColumn("root", F.coalesce("root", "node")).groupBy("doc_id", "h", "root").agg(F.count("*").alias("rows"))
 
