@@ -39,7 +39,7 @@ SHINGLE, RADIUS, BITS = 3, 2, 64
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: In a group of up to SMALL texts all pairs are compared; in a larger one, its members with
 #: pivots: at most PIVOTS at a time in the first round and in each later one.
-SMALL, PIVOTS = 8, (1, 256)
+SMALL, PIVOTS = 8, (1, 256, 2048)
 #: Shingles are ordered by how often their bin, the top bits of their hash, occurs in the corpus.
 BIN_BITS, LANES = 18, 16
 #: Bits of a set's parity signature.
@@ -451,7 +451,9 @@ def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_
         own = F.struct("n", "i", "class").alias("own")
         near = F.filter("pivots", lambda p: (p["class"] != F.col("own.class")) & close(F.col("own"), p))
         far = asked.select("node", "pivots", own).select("node", F.explode(near).alias("p"))
-        classes = _joined(classes, check(far.select(*pairs("node", "p.node"))))
+        far = materialize(far.select(*pairs("node", "p.node")), "similar-far")
+        if not far.isEmpty():
+            classes = _joined(classes, check(far))
         left = asked.filter(~F.array_contains("pivots.node", F.col("node")))
         large = materialize(left.select("g", "node", "n", "i", F.col("rest").alias("size"), "order"), "similar-groups")
     by_text = rows.select("doc_id", "h", "node").join(classes, F.col("node") == F.col("c_node"), "left")
