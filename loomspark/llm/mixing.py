@@ -30,13 +30,13 @@ BUCKETS = 4096
 SEED = "mix-1"
 
 
-def draw(doc_id: str, text: str, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / weight with u in (0, 1) from the digest of doc_id, or of the text where that is
-    null: the smallest keys are an Efraimidis-Spirakis sample. Reruns agree."""
+def draw(doc_id: str, text: str, seed: str = SEED) -> Column:
+    """-ln(u) with u in (0, 1) from the digest of doc_id, or of the text where that is null: divided
+    by the weights, the smallest keys are an Efraimidis-Spirakis sample. Reruns agree."""
     instead = F.concat(F.lit("null"), F.md5(F.coalesce(F.col(text), F.lit(""))))
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), instead), F.lit(seed)))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
-    return -F.log(u) / weight
+    return -F.log(u)
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -87,14 +87,15 @@ def mix_sources(
     """docs: doc_id, text, source; quality: (doc_id, weight) with positive weights. One row per
     row of docs: doc_id, source, size, source_size, target, epochs (complete copies), part (words
     of the fractional selection; the document where a budget ends gives only what is left) and taken."""
-    d = docs.select("doc_id", "source", "text", count_words().alias("size"))
+    # The texts end here, before the join: beyond the broadcast limit it shuffles its rows.
+    d = docs.select("doc_id", "source", count_words().alias("size"), draw("doc_id", "text", seed).alias("key"))
     if quality is not None:
         q = quality.groupBy(F.col("doc_id").alias("q_id")).agg(F.max("weight").alias("q_weight"))
         d = d.join(q, F.col("doc_id") == F.col("q_id"), "left").drop("q_id")
     else:
         d = d.withColumn("q_weight", F.lit(1.0))
     weight = F.coalesce(F.col("q_weight"), F.lit(1.0))
-    d = d.withColumn("key", draw("doc_id", "text", weight, seed)).drop("q_weight", "text")
+    d = d.withColumn("key", F.col("key") / weight).drop("q_weight")
     bucket = F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int")  # rises with the key
     d = materialize(d.withColumn("bucket", bucket), "mix-sizes")
 
