@@ -6,11 +6,11 @@ summed conditional log-probabilities of all tokens score a document.
 Tokens are words hashed into GROUPS * WITHIN bins; an output is two small softmaxes, the bin's
 group and the bin within it, so a token costs 2 * sqrt(V) outputs. Training is data-parallel:
 in each round every partition starts from the broadcast parameters, runs stochastic gradient
-descent over its own masked positions, and Spark averages each parameter row over the partitions
-that changed it, weighted by their number of changes. Positions fall into SLOTS disjoint masks by
-a hash of their place in the text; each round trains the next mask, so ROUNDS of SLOTS of the
-positions of every text are predicted, whatever stands there. What is learned grows with the
-input, while the network stays a few MB. Scores depend a little on how the rows are partitioned.
+descent, and Spark averages each parameter row over the partitions that changed it, weighted by
+their number of changes. A step hides each token of a piece of STEP places in turn, from its own
+prediction only; a partition's pieces are dealt to the rounds, so that every token of every text
+is trained exactly once. What is learned grows with the input, while the network stays a few MB.
+Scores depend a little on how the rows are partitioned.
 
 Defined results: null and empty texts have no tokens, log-likelihood 0 and no mean; repeated
 rows are scored alike; an empty table gives no rows.
@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import chunks, mix, prefix_hash, span_hash
+from loomspark.llm.common import chunks, prefix_hash, span_hash
 
 GROUPS, WITHIN, DIM, WINDOW = 64, 64, 32, 3
 BINS = GROUPS * WITHIN
 EDGE = BINS  # the token outside a text
-SLOTS, ROUNDS, RATE, STEP = 12, 4, 0.15, 2048
+ROUNDS, RATE, STEP = 4, 0.15, 4096
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 
 
@@ -53,31 +53,55 @@ class WindowNet:
     def parts(self) -> list[tuple[str, np.ndarray]]:
         return [("embed", self.embed), ("position", self.position), ("group", self.group), ("within", self.within)]
 
-    def hidden(self, ctx: np.ndarray) -> np.ndarray:
-        h = self.embed[ctx[0]] * self.position[0]
-        for k in range(1, len(ctx)):
-            h += self.embed[ctx[k]] * self.position[k]
+    def hidden(self, e: np.ndarray) -> np.ndarray:
+        """States of the tokens of a piece of a stream whose embeddings are e, without its WINDOW
+        first and last ones: each is seen through its neighbours only."""
+        n = len(e) - 2 * WINDOW
+        h = e[:n] * self.position[0]
+        for k in range(1, len(OFFSETS)):
+            h += e[WINDOW + OFFSETS[k] :][:n] * self.position[k]
         return np.tanh(h, out=h)
 
-    def log_prob(self, ctx: np.ndarray, tok: np.ndarray) -> np.ndarray:
-        """Log-probability of each token given its context, tokens sorted by group."""
-        h = self.hidden(ctx)
-        g = tok // WITHIN
-        z = h @ self.group[:, :-1].T + self.group[:, -1]
-        out = z[np.arange(len(tok)), g] - _logsum(z)
-        cut = np.searchsorted(g, np.arange(GROUPS + 1))
-        for k in range(GROUPS):
+    def log_prob(self, piece: np.ndarray) -> np.ndarray:
+        """Log-probability of each token of a piece given its neighbours; 0 for edges."""
+        order, tok, cut = _by_group(piece)
+        h = _beside_one(self.hidden(self.embed[piece])[order])
+        small = _small(self)
+        part = _log_chance(h @ self.group.T, tok // WITHIN, small)
+        for k in np.flatnonzero(np.diff(cut)):
             lo, hi = cut[k], cut[k + 1]
-            if hi > lo:
-                w = self.within[k * WITHIN : (k + 1) * WITHIN]
-                z = h[lo:hi] @ w[:, :-1].T + w[:, -1]
-                out[lo:hi] += z[np.arange(hi - lo), tok[lo:hi] % WITHIN] - _logsum(z)
+            part[lo:hi] += _log_chance(h[lo:hi] @ self.within[k * WITHIN : (k + 1) * WITHIN].T, tok[lo:hi] % WITHIN, small)
+        out = np.zeros(len(piece) - 2 * WINDOW, np.float32)
+        out[order] = part
         return out
 
 
-def _logsum(z: np.ndarray) -> np.ndarray:
-    top = z.max(1)
-    return np.log(np.exp(z - top[:, None]).sum(1)) + top
+def _beside_one(h: np.ndarray) -> np.ndarray:
+    """States with a last column of ones, which meets the biases."""
+    out = np.ones((len(h), DIM + 1), np.float32)
+    out[:, :-1] = h
+    return out
+
+
+def _small(net: WindowNet) -> bool:
+    """Whether no output can overflow an exponential: states lie in -1..1."""
+    return max(np.abs(net.group).sum(1).max(), np.abs(net.within).sum(1).max()) < 60
+
+
+def _log_chance(z: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+    if not small:
+        z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), at]
+    return own - np.log(np.exp(z, out=z).sum(1))
+
+
+def _by_group(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a piece's real tokens ordered by bin, the tokens, and the bounds of the groups."""
+    mid = piece[WINDOW : len(piece) - WINDOW]
+    real = np.flatnonzero(mid != EDGE)
+    order = real[np.argsort(mid[real].astype(np.uint16), kind="stable")]
+    tok = mid[order]
+    return order, tok, np.searchsorted(tok, np.arange(GROUPS + 1) * WITHIN)
 
 
 def tokens(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,87 +117,73 @@ def tokens(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return stream, at, bounds
 
 
-def _context(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([stream[at + o] for o in OFFSETS])
+def pieces(stream: np.ndarray):
+    """Runs of STEP places of a padded stream, each with WINDOW places on both sides: every token
+    stands in the middle of exactly one."""
+    for lo in range(0, len(stream) - 2 * WINDOW, STEP):
+        yield stream[lo : lo + STEP + 2 * WINDOW]
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+def _descend(w: np.ndarray, h: np.ndarray, at: np.ndarray, rate: float, small: bool) -> np.ndarray:
+    """One step of a softmax layer w on states h and outputs at; the gradient of the states."""
+    n = len(h)
+    p = h @ w.T
+    if not small:
+        p -= p.max(1, keepdims=True)
+    np.exp(p, out=p)
+    p *= 1 / p.sum(1, keepdims=True)
+    p[np.arange(n), at] -= 1
+    back = p @ w[:, :-1]
+    w -= (p.T @ h) * np.float32(rate * len(w) / (4 * n))
+    return back
 
 
-def sgd_step(net: WindowNet, touched: dict[str, np.ndarray], ctx: np.ndarray, tok: np.ndarray, rate: float) -> None:
-    """One step on tokens sorted by group; touched counts the examples behind each row."""
+def sgd_step(net: WindowNet, touched: dict[str, np.ndarray], piece: np.ndarray, rate: float) -> int:
+    """One step on every token of a piece; touched counts the examples behind each row. Returns
+    the number of tokens."""
+    order, tok, cut = _by_group(piece)
     n = len(tok)
-    h = net.hidden(ctx)
-    g = tok // WITHIN
-    p = _softmax(h @ net.group[:, :-1].T + net.group[:, -1])
-    p[np.arange(n), g] -= 1
-    back = p @ net.group[:, :-1]
-    net.group[:, :-1] -= rate * (p.T @ h) / n * GROUPS / 4
-    net.group[:, -1] -= rate * p.mean(0) * GROUPS / 4
+    if not n:
+        return 0
+    e = net.embed[piece]
+    h = net.hidden(e)[order]
+    wide, small = _beside_one(h), _small(net)
+    back = _descend(net.group, wide, tok // WITHIN, rate, small)
     touched["group"] += n / GROUPS
-    cut = np.searchsorted(g, np.arange(GROUPS + 1))
-    for k in range(GROUPS):
+    for k in np.flatnonzero(np.diff(cut)):
         lo, hi = cut[k], cut[k + 1]
-        if hi > lo:
-            w = net.within[k * WITHIN : (k + 1) * WITHIN]
-            p = _softmax(h[lo:hi] @ w[:, :-1].T + w[:, -1])
-            p[np.arange(hi - lo), tok[lo:hi] % WITHIN] -= 1
-            back[lo:hi] += p @ w[:, :-1]
-            w[:, :-1] -= rate * (p.T @ h[lo:hi]) / (hi - lo) * WITHIN / 4
-            w[:, -1] -= rate * p.mean(0) * WITHIN / 4
-            touched["within"][k * WITHIN : (k + 1) * WITHIN] += (hi - lo) / WITHIN
+        back[lo:hi] += _descend(net.within[k * WITHIN : (k + 1) * WITHIN], wide[lo:hi], tok[lo:hi] % WITHIN, rate, small)
+        touched["within"][k * WITHIN : (k + 1) * WITHIN] += (hi - lo) / WITHIN
     back *= 1 - h * h
-    for k in range(len(ctx)):
-        e = net.embed[ctx[k]]
-        grad = back * net.position[k]
-        net.position[k] -= rate * (back * e).mean(0)
-        order = np.argsort(ctx[k], kind="stable")
-        ids = ctx[k][order]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        count = np.diff(np.append(first, n))
-        # each row moves by the mean of its own gradients
-        net.embed[ids[first]] -= rate * np.add.reduceat(grad[order], first, axis=0) / (count[:, None] + 4)
-        touched["embed"][ids[first]] += count
+    full = np.zeros((len(piece) - 2 * WINDOW, DIM), np.float32)
+    full[order] = back
+    # the gradient of a place is the sum over the tokens that see it
+    grad = np.zeros_like(e)
+    for k, o in enumerate(OFFSETS):
+        grad[WINDOW + o :][: len(full)] += full * net.position[k]
+        net.position[k] -= rate * np.einsum("nd,nd->d", full, e[WINDOW + o :][: len(full)]) / n
     touched["position"] += n
+    # each row moves by the mean of its own gradients
+    order = np.argsort(piece.astype(np.uint16), kind="stable")
+    ids = piece[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    count = np.diff(np.append(first, len(ids)))
+    net.embed[ids[first]] -= rate * np.add.reduceat(grad[order], first, axis=0) / (count[:, None] + 4).astype(np.float32)
+    touched["embed"][ids[first]] += count
+    return n
 
 
-def _trainer(shared, round_: int):
+def _trainer(shared, round_: int, rounds: int):
     def train(batches):
         net = WindowNet(*[a.copy() for _, a in shared.value.parts()])
         touched = {k: np.zeros(len(a)) for k, a in net.parts()}
-        hold_ctx, hold_tok, held = [], [], 0
-
-        def flush():
-            ctx, tok = np.concatenate(hold_ctx, axis=1), np.concatenate(hold_tok)
-            for lo in range(0, len(tok), STEP):
-                order = lo + np.argsort(tok[lo : lo + STEP], kind="stable")
-                sgd_step(net, touched, ctx[:, order], tok[order], RATE)
-            hold_ctx.clear()
-            hold_tok.clear()
-
+        seen = 0
         for batch in batches:
             for chunk in chunks(batch.column(0), 1 << 19):
-                stream, at, bounds = tokens(chunk)
-                if not len(at):
-                    continue
-                # the mask depends on the place in the text and the text's length and beginning
-                size = np.diff(bounds)
-                first = stream[np.minimum(at[np.minimum(bounds[:-1], len(at) - 1)], len(stream) - 1)]
-                seed = mix(size.astype(np.uint64) + (first.astype(np.uint64) << np.uint64(32)))
-                place = np.arange(len(at)) - np.repeat(bounds[:-1], size)
-                at = at[mix(np.repeat(seed, size) + place.astype(np.uint64)) % np.uint64(SLOTS) == np.uint64(round_ % SLOTS)]
-                hold_ctx.append(_context(stream, at))
-                hold_tok.append(stream[at])
-                held += len(at)
-                if held >= 8 * STEP:
-                    flush()
-                    held = 0
-        if held:
-            flush()
+                for piece in pieces(tokens(chunk)[0]):
+                    if seen % rounds == round_:
+                        sgd_step(net, touched, piece, RATE)
+                    seen += 1
         for name, a in net.parts():
             rows = np.flatnonzero(touched[name] > 0)
             if len(rows):
@@ -188,14 +198,14 @@ def _trainer(shared, round_: int):
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> WindowNet:
-    """Rounds of local descent and Spark-side averaging over every document."""
+    """Rounds of local descent and Spark-side averaging, over every token of every document in all."""
     net = WindowNet.start()
     sc = docs.sparkSession.sparkContext
     values = [f"v{j}" for j in range(DIM + 1)]
     schema = "part string, row int, weight double, " + ", ".join(f"{v} float" for v in values)
     for k in range(rounds):
         shared = sc.broadcast(net)
-        local = docs.select("text").mapInArrow(_trainer(shared, k), schema)
+        local = docs.select("text").mapInArrow(_trainer(shared, k, rounds), schema)
         mean = local.groupBy("part", "row").agg(*[(F.sum(v) / F.sum("weight")).alias(v) for v in values])
         got = mean.toPandas()  # one row a parameter row: fixed by the network
         for name, a in net.parts():
@@ -211,12 +221,8 @@ def _scorer(shared):
             total, count = [], []
             for chunk in chunks(batch.column("text"), 1 << 19):
                 stream, at, bounds = tokens(chunk)
-                logp = np.zeros(len(at))
-                for lo in range(0, len(at), 1 << 14):
-                    part = at[lo : lo + (1 << 14)]
-                    order = np.argsort(stream[part], kind="stable")
-                    logp[lo + order] = net.log_prob(_context(stream, part[order]), stream[part[order]])
-                cum = np.concatenate([[0.0], np.cumsum(logp)])
+                logp = np.concatenate([net.log_prob(piece) for piece in pieces(stream)])[at - WINDOW] if len(at) else np.zeros(0)
+                cum = np.concatenate([[0.0], np.cumsum(logp, dtype=np.float64)])
                 total.append(cum[bounds[1:]] - cum[bounds[:-1]])
                 count.append(np.diff(bounds))
             total = np.concatenate(total) if total else np.zeros(0)

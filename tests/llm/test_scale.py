@@ -1,6 +1,11 @@
 """What must stay small, and what must be whole, whatever the input."""
 
-from loomspark.llm import mixing
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
+from loomspark.llm import masked_lm, mixing
+from loomspark.llm.common import chunks
 
 
 def test_mixing_joins_without_texts(spark, monkeypatch):
@@ -22,3 +27,29 @@ def _outputs(plan, kind):
             found += [p.output().apply(i) for i in range(p.output().size())]
         nodes += [p.children().apply(i) for i in range(p.children().size())]
     return found
+
+
+def test_every_token_is_trained_once():
+    texts = ["", "a b", None, "long " * 20_001, *[f"word{i} of {i % 7}" for i in range(3000)]]
+    total, net = 0, masked_lm.WindowNet.start()
+    for k in range(masked_lm.ROUNDS):
+        out = masked_lm._trainer(SimpleNamespace(value=net), k, masked_lm.ROUNDS)([pa.record_batch([pa.array(texts)], ["text"])])
+        total += sum(r["weight"] for b in out for r in b.to_pylist() if r["part"] == "position" and r["row"] == 0)
+    assert total == 2 + 20_001 + 9000
+
+
+def test_log_prob_equals_the_formula(monkeypatch):
+    monkeypatch.setattr(masked_lm, "STEP", 5)
+    net, w = masked_lm.WindowNet.start(), masked_lm.WINDOW
+    (chunk,) = chunks(pa.array(["a b c d e f g h", "", "b a b"]))
+    stream, at, _ = masked_lm.tokens(chunk)
+    got = np.concatenate([net.log_prob(p) for p in masked_lm.pieces(stream)])[at - w]
+    assert len(got) == 11
+    for place, have in zip(at, got, strict=True):
+        h = np.tanh(sum(net.embed[stream[place + o]] * net.position[k] for k, o in enumerate(masked_lm.OFFSETS)))
+        g, j = divmod(stream[place], masked_lm.WITHIN)
+        want = 0.0
+        for layer, i in ((net.group, g), (net.within[g * masked_lm.WITHIN :][: masked_lm.WITHIN], j)):
+            z = layer[:, :-1] @ h + layer[:, -1]
+            want += z[i] - np.log(np.exp(z).sum())
+        assert np.isclose(have, want, atol=1e-4)
