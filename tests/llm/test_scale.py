@@ -1,10 +1,12 @@
 """What must stay small, and what must be whole, whatever the input."""
 
+import tracemalloc
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from loomspark.llm import masked_lm, mixing
+from loomspark.llm import masked_lm, mixing, ngram_quality
 from loomspark.llm.common import chunks
 
 
@@ -53,3 +55,22 @@ def test_log_prob_equals_the_formula(monkeypatch):
             z = layer[:, :-1] @ h + layer[:, -1]
             want += z[i] - np.log(np.exp(z).sum())
         assert np.isclose(have, want, atol=1e-4)
+
+
+def test_ngram_counts_take_the_memory_of_what_is_seen():
+    texts = ["", None, *[f"word{i} of {i % 7}\n" * 5 for i in range(3000)]]
+    want = Counter()
+    for chunk in chunks(pa.array(texts)):
+        want.update(ngram_quality.codes_of(chunk)[0].tolist())
+    batches = [pa.record_batch([pa.array(texts[lo : lo + 100])], ["text"]) for lo in range(0, len(texts), 100)]
+    list(ngram_quality._count(batches))
+    tracemalloc.start()
+    out = list(ngram_quality._count(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = Counter()
+    for b in out:
+        got.update(dict(zip(b["code"].to_pylist(), b["n"].to_pylist(), strict=True)))
+    assert got == want and sum(b.num_rows for b in out) == len(want)
+    assert peak < 60 << 20
+    assert not sum(b.num_rows for b in ngram_quality._count([]))
