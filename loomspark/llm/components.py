@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialize
+from loomspark.llm.common import by_sorting, materialize
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour or itself."""
     near = _both_ways(edges)
     least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    out = near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = near.filter("b > a").join(by_sorting(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.filter("a <> b").distinct()
 
 
@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
+    out = down.join(by_sorting(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
     return out.filter("a <> b").distinct()
 
 

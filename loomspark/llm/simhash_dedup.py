@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import broadcast_if_small, carried, doc_hash, join_counted, materialize, maybe_in
+from loomspark.llm.common import broadcast_if_small, by_sorting, carried, doc_hash, join_counted, materialize, maybe_in
 from loomspark.llm.components import components
 
 SHINGLE, RADIUS, BITS = 3, 2, 64
@@ -288,7 +288,7 @@ def candidates(fps: DataFrame, partitions: Sequence[tuple[list[int], int]]) -> D
     asked = probes.select((F.col("t") * len(flips) + F.col("p")).cast("int").alias("c"), "x")
     table = F.floor(F.col("c") / len(flips)).cast("int")
     same = (table == F.col("e_t")) & (of(numbers) == F.col("k")) & (F.col("x").bitwiseAND(of(masks)) == F.col("v"))
-    met = asked.join(counts, same).filter((F.col("n") > 1) | (of(flips) != 0))
+    met = asked.join(by_sorting(counts), same).filter((F.col("n") > 1) | (of(flips) != 0))
     return met.select(F.col("e_t").alias("t"), F.col("x").bitwiseXOR(of(flips)).alias("fp")).distinct()
 
 
@@ -316,9 +316,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
         return rows.withColumn("component_id", F.col("doc_id"))
     found = materialize(candidates(nodes.select(F.lit(0).alias("t"), "fp"), partitions), "simhash-found")
     comp = components(links(found, radius).select("a", "b"))
-    rooted = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(by_sorting(comp), nodes.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = materialize(rooted.join(smallest, "root").select(F.col("fp").alias("n_fp"), "component_id"), "simhash-comp")
+    by_fp = materialize(rooted.join(by_sorting(smallest), "root").select(F.col("fp").alias("n_fp"), "component_id"), "simhash-comp")
     return rows.join(broadcast_if_small(by_fp), F.col("fp") == F.col("n_fp"), "left").select("doc_id", "h", "fp", "component_id")
 
 
@@ -337,12 +337,12 @@ def _joined(classes: DataFrame, edges: DataFrame) -> DataFrame:
     if edges.isEmpty():
         return classes
     named = lambda end: classes.select(F.col("c_node").alias(end), F.col("root").alias(f"r_{end}"))
-    tied = edges.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    tied = edges.join(by_sorting(named("a")), "a", "left").join(by_sorting(named("b")), "b", "left")
     tied = tied.select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b")).filter("a <> b")
     tied = components(tied).select(F.col("node").alias("root"), F.col("root").alias("to"))
     tied = materialize(tied, "similar-tied")
     old = classes.join(broadcast_if_small(tied), "root", "left").select("c_node", F.coalesce("to", "root").alias("root"))
-    new = tied.select(F.col("root").alias("c_node"), F.col("to").alias("root")).join(classes, "c_node", "left_anti")
+    new = tied.select(F.col("root").alias("c_node"), F.col("to").alias("root")).join(by_sorting(classes), "c_node", "left_anti")
     return materialize(old.unionByName(new), "similar-classes")
 
 
@@ -350,8 +350,8 @@ def _with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """Written, distinct pairs (a, b) of nodes with the value of both, as l and r; values: node,
     value. One b may stand in very many pairs."""
     counts = materialize(pairs.groupBy("b").agg(F.count("*").alias("count")), "similar-counts")
-    right = counts.join(values.select(F.col("node").alias("b"), F.col(value).alias("r")), "b")
-    left = pairs.join(values.select(F.col("node").alias("a"), F.col(value).alias("l")), "a")
+    right = counts.join(by_sorting(values.select(F.col("node").alias("b"), F.col(value).alias("r"))), "b")
+    left = pairs.join(by_sorting(values.select(F.col("node").alias("a"), F.col(value).alias("l"))), "a")
     return join_counted(left, right, ["b"], "count", F.col("a"))
 
 
@@ -364,7 +364,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, src: DataFra
     n = F.col("l.n") + F.col("r.n")
     near = materialize(both.filter(apart <= n - 2 * F.ceil(n * (similarity / (1 + similarity)) - 1e-9)).select("a", "b"), "similar-near")
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    want = materialize(texts.join(ends, "node"), "similar-want")
+    want = materialize(texts.join(by_sorting(ends), "node"), "similar-want")
     hit = maybe_in(src, "h", want.select("w_h")).filter("maybe")
     hit = hit.join(broadcast_if_small(want), (F.col("h") == F.col("w_h")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
     sets = hit.select("node", "text").mapInArrow(_shingle_sets(shingle), "node long, s array<int>")
@@ -384,9 +384,9 @@ def _simhash_pairs(nodes: DataFrame, radius: int) -> DataFrame:
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     found = materialize(candidates(reps.select(F.lit(0).alias("t"), "fp"), partitions), "similar-found")
     comp = components(links(found, radius).select("a", "b")).select(F.col("node").alias("fp"), F.col("root").alias("r_fp"))
-    roots = comp.join(reps.select(F.col("fp").alias("r_fp"), F.col("rep").alias("b")), "r_fp").select("fp", "b")
-    own = reps.join(roots, "fp", "left").select("fp", F.coalesce("b", "rep").alias("b"))
-    return nodes.join(own, "fp").select(F.col("node").alias("a"), "b").filter("a <> b")
+    roots = comp.join(by_sorting(reps.select(F.col("fp").alias("r_fp"), F.col("rep").alias("b"))), "r_fp").select("fp", "b")
+    own = reps.join(by_sorting(roots), "fp", "left").select("fp", F.coalesce("b", "rep").alias("b"))
+    return nodes.join(by_sorting(own), "fp").select(F.col("node").alias("a"), "b").filter("a <> b")
 
 
 def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -424,7 +424,7 @@ def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_
     places = materialize(join_counted(places, shared.withColumn("size", F.col("count")), ["g"], "count", F.col("node")), "similar-places")
     weight = places.groupBy("node").agg(F.sum("size").alias("weight"))
     order = F.struct((-F.col("weight")).alias("w"), "node", "n").alias("order")
-    groups = materialize(places.join(weight, "node").select("g", "node", "n", "i", "size", order), "similar-groups")
+    groups = materialize(places.join(by_sorting(weight), "node").select("g", "node", "n", "i", "size", order), "similar-groups")
     least = lambda n, m: F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
     # x, y: n and i of two nodes; what comes before the first member they share is not shared
     close = lambda x, y: (F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"]) - 1e-9) & (F.least(x["n"] - x["i"], y["n"] - y["i"]) >= least(x["n"], y["n"]))
@@ -438,7 +438,7 @@ def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_
     large = groups.filter(F.col("size") > SMALL)
     classes = materialize(_classes(edges), "similar-classes")
     for lots in chain(PIVOTS, repeat(PIVOTS[-1])):
-        now = large.join(classes, F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("root", "node")).drop("c_node", "root")
+        now = large.join(by_sorting(classes), F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("root", "node")).drop("c_node", "root")
         # one pivot a lot; what is left of a group that has become small is all compared
         lot = F.when(F.col("size") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(lots))).alias("lot")
         firsts = now.groupBy("g", lot).agg(F.min(F.when(early, F.struct("order", "node", "n", "i", "class"))).alias("p"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("count"))
@@ -456,7 +456,7 @@ def similar_texts(docs: DataFrame, radius: int = RADIUS, shingle: int = SIMILAR_
             classes = _joined(classes, check(far))
         left = asked.filter(~F.array_contains("pivots.node", F.col("node")))
         large = materialize(left.select("g", "node", "n", "i", F.col("rest").alias("size"), "order"), "similar-groups")
-    by_text = rows.select("doc_id", "h", "node").join(classes, F.col("node") == F.col("c_node"), "left")
+    by_text = rows.select("doc_id", "h", "node").join(by_sorting(classes), F.col("node") == F.col("c_node"), "left")
     return by_text.withColumn("root", F.coalesce("root", "node")).groupBy("doc_id", "h", "root").agg(F.count("*").alias("rows"))
 
 
@@ -478,5 +478,5 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         # of equal rows one stays; which one is written down, so that it cannot change
         equal = materialize(out.join(broadcast_if_small(again), same, "left_semi").withColumn("place", F.monotonically_increasing_id()), "similar-equal")
         one = equal.groupBy("doc_id", "h").agg(F.min("place").alias("place")).select("place")
-        out = out.join(broadcast_if_small(again), same, "left_anti").unionByName(equal.join(one, "place", "left_semi").drop("place"))
+        out = out.join(broadcast_if_small(again), same, "left_anti").unionByName(equal.join(by_sorting(one), "place", "left_semi").drop("place"))
     return out.select("row.*")

@@ -6,8 +6,9 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from loomspark.llm import masked_lm, mixing, ngram_quality
+from loomspark.llm import masked_lm, mixing, ngram_quality, simhash_dedup
 from loomspark.llm.common import chunks
+from pyspark.sql import functions as F
 
 
 def test_mixing_joins_without_texts(spark, monkeypatch):
@@ -74,3 +75,16 @@ def test_ngram_counts_take_the_memory_of_what_is_seen():
     assert got == want and sum(b.num_rows for b in out) == len(want)
     assert peak < 60 << 20
     assert not sum(b.num_rows for b in ngram_quality._count([]))
+
+
+def _joins(plan):
+    """All joins of an optimized plan, with their hints."""
+    return [line for line in plan.toString().split("\n") if "Join " in line and "Join Cross" not in line]
+
+
+def test_probes_are_not_broadcast(spark):
+    """34 probes a fingerprint lie behind a small file."""
+    fps = spark.range(3).select(F.lit(0).alias("t"), F.col("id").alias("fp"))
+    found = simhash_dedup.candidates(fps, [(list(range(32)), 1), (list(range(32, 64)), 0)])
+    joins = _joins(found._jdf.queryExecution().optimizedPlan())
+    assert joins and all("strategy=" in line for line in joins)
