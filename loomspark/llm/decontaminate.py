@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import broadcast_if_small, carried, doc_hash, materialize
+from loomspark.llm.common import broadcast_if_small, by_sorting, carried, doc_hash, materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -98,7 +98,7 @@ def windows_to_check(hits: DataFrame, shingle: int, similarity: float) -> DataFr
     first = ranked.withColumn("m", m).withColumn("need", need).withColumn("at", F.col("r") + F.col("need") - 1)
     last = ranked.select(F.col("key").alias("l_key"), F.col("n").alias("l_n"), F.col("r").alias("l_r"), F.col("p").alias("l_p"))
     # the need-th hit from here on still lies in a window that starts here or a little before
-    dense = first.join(last, (F.col("key") == F.col("l_key")) & (F.col("n") == F.col("l_n")) & (F.col("at") == F.col("l_r")))
+    dense = first.join(by_sorting(last), (F.col("key") == F.col("l_key")) & (F.col("n") == F.col("l_n")) & (F.col("at") == F.col("l_r")))
     dense = dense.filter(F.col("l_p") - F.col("p") < F.col("m"))
     starts = F.sequence(F.greatest(F.col("p") - (F.col("m") - F.col("need")), F.lit(0)), F.col("p"))
     whole = dense.select("key", "n", "m", F.explode(starts).alias("s"), F.col("m").alias("k"))
@@ -143,7 +143,7 @@ def contaminated(
     items = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", word_hashes(F.col("text")).alias("w"))
     items = items.withColumn("n", F.size("w")).filter("n > 0")
     whole_items = materialize(items, "item-words")
-    short = short_items(docs, whole_items, shingle).join(whole_items.select("item", "item_id"), "item")
+    short = short_items(docs, whole_items, shingle).join(by_sorting(whole_items.select("item", "item_id")), "item")
     items = whole_items.filter(F.col("n") >= shingle)
     items = materialize(items.select("item", "item_id", "n", F.explode(shingles("w", shingle)).alias("g")), "items")
     sizes = materialize(items.select("g", "n").distinct(), "item-shingles")
@@ -177,14 +177,14 @@ def contaminated(
     least = F.ceil(m * similarity - F.lit(1e-9)).cast("int")  # shared with the shortest window
     ask = _rarest(ours, "win", frequency, F.col("k") - _need(m, F.col("k"), similarity) + 1).select("win", "n", "g")
     have = _rarest(theirs, "like", frequency, m - least + 1).select("like", "n", "g")
-    found = materialize(ask.join(have, ["n", "g"]).select("win", "like").distinct(), "window-pairs")
+    found = materialize(ask.join(by_sorting(have), ["n", "g"]).select("win", "like").distinct(), "window-pairs")
 
     counts = theirs.select("like", "g", F.col("c").alias("ic"))
-    shared = found.join(ours.select("win", "g", "c"), "win").join(counts, ["like", "g"]).groupBy("win", "like").agg(F.sum(F.least("c", "ic")).alias("shared"))
-    scored = shared.join(windows.select("win", "doc_id", "h", "n", "s", "m", "k"), "win")
+    shared = found.join(by_sorting(ours.select("win", "g", "c")), "win").join(by_sorting(counts), ["like", "g"]).groupBy("win", "like").agg(F.sum(F.least("c", "ic")).alias("shared"))
+    scored = shared.join(by_sorting(windows.select("win", "doc_id", "h", "n", "s", "m", "k")), "win")
     scored = scored.withColumn("similarity", F.col("shared") / (F.col("m") + F.col("k") - F.col("shared"))).filter(F.col("similarity") >= similarity)
     item_fp = _fingerprint(items, "item", "item_id", "n").withColumnRenamed("fp", "item_fp")
-    scored = scored.join(twins.select("like", "item"), "like").join(_fingerprint(shown, "win"), "win").join(item_fp.select("item", "item_fp"), "item")
+    scored = scored.join(by_sorting(twins.select("like", "item")), "like").join(by_sorting(_fingerprint(shown, "win")), "win").join(by_sorting(item_fp.select("item", "item_fp")), "item")
     scored = scored.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
     # a clipped window counts where no whole one is similar enough
     best = F.max(F.struct((F.col("k") == F.col("m")).alias("whole"), "similarity", (-F.col("s")).alias("back"), "k", "distance")).alias("best")
@@ -192,7 +192,7 @@ def contaminated(
     long = (
         scored.groupBy("doc_id", "h", "item")
         .agg(best)
-        .join(names, "item")
+        .join(by_sorting(names), "item")
         .select(
             "doc_id",
             "h",

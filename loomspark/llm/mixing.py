@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import count_words, materialize
+from loomspark.llm.common import by_sorting, count_words, materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
@@ -91,7 +91,7 @@ def mix_sources(
     d = docs.select("doc_id", "source", count_words().alias("size"), draw("doc_id", "text", seed).alias("key"))
     if quality is not None:
         q = quality.groupBy(F.col("doc_id").alias("q_id")).agg(F.max("weight").alias("q_weight"))
-        d = d.join(q, F.col("doc_id") == F.col("q_id"), "left").drop("q_id")
+        d = d.join(by_sorting(q), F.col("doc_id") == F.col("q_id"), "left").drop("q_id")
     else:
         d = d.withColumn("q_weight", F.lit(1.0))
     weight = F.coalesce(F.col("q_weight"), F.lit(1.0))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.common import carried, chunks, doc_hash, join_counted, materialize, maybe_in, mix, powers, prefix_hash, span_hash
+from loomspark.llm.common import broadcast_if_small, by_sorting, carried, chunks, doc_hash, join_counted, materialize, maybe_in, mix, powers, prefix_hash, span_hash
 
 LENGTH, DIGIT = 200, 50
 #: A string with more different unions than this has its windows grouped by Spark instead of
@@ -211,22 +211,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT, gr
     unions = mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(ref).alias("one"))
     unions = materialize(unions, "suffix-2")
     alone = unions.filter("n = 1").select("key", "ctx")
-    several = mixed.join(alone, ["key", "ctx"], "left_anti")
+    several = mixed.join(by_sorting(alone), ["key", "ctx"], "left_anti")
     whole = twice.filter("not mixed").select("doc_id", "h", "lo", "hi").unionByName(several.select("doc_id", "h", "lo", "hi"))
     # Pass 3: windows of the rest, where some union of the string occurs once.
     open_keys = unions.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("m"))
     open_keys = open_keys.filter("least = 1 and m > 1").select("key", (F.col("m") > group).alias("large"))
-    rest = unions.join(open_keys, "key").select("key", "large", "one.*")
+    rest = unions.join(by_sorting(open_keys), "key").select("key", "large", "one.*")
     rest = rest.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "key", "large")).alias("runs"))
     rest = materialize(rest.select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), "runs"), "suffix-rest")
     texts = maybe_in(src, "h", rest.select("r_h")).filter("maybe")
-    joined = texts.join(rest, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")))
+    joined = texts.join(broadcast_if_small(rest, size=F.size("runs")), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")))
     strings = joined.select("doc_id", "h", "text", "runs").mapInArrow(_union_bytes(length), "doc_id long, h long, key long, large boolean, lo int, b binary")
     strings = materialize(strings, "suffix-3")
     small = strings.filter("not large").repartition("key").sortWithinPartitions("key").drop("large").mapInArrow(_group_in_task(length), _SPAN)
     windows = strings.filter("large").mapInArrow(_window_rows(length), "doc_id long, h long, key long, digit long, s int")
     equal = windows.groupBy("key", "digit").agg(F.count("*").alias("n")).filter("n > 1").select("key", "digit")
-    large = windows.join(equal, ["key", "digit"], "left_semi").select("doc_id", "h", F.col("s").alias("lo"), F.col("s").alias("hi"))
+    large = windows.join(by_sorting(equal), ["key", "digit"], "left_semi").select("doc_id", "h", F.col("s").alias("lo"), F.col("s").alias("hi"))
     spans = whole.unionByName(small).unionByName(large)
     return spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
@@ -279,7 +279,7 @@ def _with_spans(own: DataFrame, length: int, digit: int) -> tuple[DataFrame, Dat
     spans = materialize(spans.withColumnRenamed("doc_id", "s_id").withColumnRenamed("h", "s_h"), "suffix-spans")
     named = maybe_in(own, "h", spans.select("s_h"))
     on = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h"))
-    more = named.filter("maybe").join(spans, on, "left")
+    more = named.filter("maybe").join(broadcast_if_small(spans, size=F.size("spans")), on, "left")
     plain = named.filter("not maybe").select("row", "doc_id", "text").unionByName(more.filter("spans is null").select("row", "doc_id", "text"))
     return plain, more.filter("spans is not null").select("row", "doc_id", "text", "spans")
 

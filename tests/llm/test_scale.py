@@ -6,7 +6,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from loomspark.llm import masked_lm, mixing, ngram_quality, simhash_dedup
+from loomspark.llm import common, components, decontaminate, masked_lm, mixing, ngram_quality, simhash_dedup, suffix_dedup
 from loomspark.llm.common import chunks
 from pyspark.sql import functions as F
 
@@ -88,3 +88,22 @@ def test_probes_are_not_broadcast(spark):
     found = simhash_dedup.candidates(fps, [(list(range(32)), 1), (list(range(32, 64)), 0)])
     joins = _joins(found._jdf.queryExecution().optimizedPlan())
     assert joins and all("strategy=" in line for line in joins)
+
+
+def test_no_join_is_left_to_the_size_of_files(spark, monkeypatch):
+    """An explode or an aggregate behind a small file may hold more than the driver: every join of
+    the pipeline's dedup stages says how it is done."""
+    rng = np.random.default_rng(3)
+    words = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"], 60)) for _ in range(3)]
+    texts = [t + f" {k}" for t in words for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = docs.select(F.col("doc_id").alias("item_id"), "text").filter("doc_id % 40 = 0")
+    plans = []
+    for module in (common, components, simhash_dedup, suffix_dedup, decontaminate):
+        write = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, tag, write=write: plans.append(df._jdf.queryExecution().optimizedPlan()) or write(df, tag))
+    for out in (simhash_dedup.near_duplicates(docs), simhash_dedup.drop_near_duplicates(docs), suffix_dedup.remove_repeats(docs), decontaminate.drop_contaminated(docs, bench)):
+        plans.append(out._jdf.queryExecution().optimizedPlan())
+    joins = [line for plan in plans for line in _joins(plan)]
+    assert len(joins) > 40
+    assert not [line for line in joins if "strategy=" not in line]
