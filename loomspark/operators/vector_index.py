@@ -2,7 +2,9 @@
 
 Nodes lie in the cell of their nearest centre and, inside it, in bands of distance to the centre.
 A band's nodes are no nearer to a query than the query's distance to the centre lies outside the
-band, so bands beyond a query's k-th distance so far are not read for it."""
+band, so bands beyond a query's k-th distance so far are not compared with it. Where bands exclude
+nothing, a search is all pairs in blocks: what is asked for are packs of bands, about as large as a
+block, so a query is sent to as many tasks as there are blocks of nodes, not bands."""
 
 from __future__ import annotations
 
@@ -21,6 +23,8 @@ from loomspark.operators import vectors
 SAMPLE, MOST_CELLS, BANDS, FIT_ROUNDS = 8192, 1024, 4, 8
 #: Nodes a query sees before its first bound.
 FIRST_ROWS = 64
+#: Rows that one batch of what is asked holds.
+ASKED_ROWS = 8192
 
 
 @dataclass
@@ -45,11 +49,20 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
+def _nearest_centre(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of and distance to the nearest centre of every row."""
+    cell, far = np.zeros(len(x), np.int32), np.zeros(len(x))
+    for lo in range(0, len(x), vectors.SLICE_ROWS):
+        d = _distances(x[lo : lo + vectors.SLICE_ROWS], centres)
+        cell[lo : lo + len(d)], far[lo : lo + len(d)] = d.argmin(1), d.min(1)
+    return cell, far
+
+
 def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
     centres = np.unique(sample, axis=0)
     centres = centres[np.random.default_rng(0).permutation(len(centres))[:cells]]
     for _ in range(FIT_ROUNDS):
-        own = _distances(sample, centres).argmin(1)
+        own = _nearest_centre(sample, centres)[0]
         count = np.bincount(own, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, own, sample)
@@ -68,8 +81,8 @@ def build_index(nodes: DataFrame, path: str) -> Index:
 
     def place(batches):
         for rows in batches:
-            d = _distances(vectors.matrix(rows["embedding"]), centres) if len(rows) else np.zeros((0, 1))
-            yield rows.assign(cell=d.argmin(1).astype(np.int32), to_centre=d.min(1))
+            cell, far = _nearest_centre(vectors.matrix(rows["embedding"]) if len(rows) else np.zeros((0, 1)), centres)
+            yield rows.assign(cell=cell, to_centre=far)
 
     schema = nodes.schema.simpleString()[len("struct<") : -1] + ",cell:int,to_centre:double"
     placed = written(nodes.mapInPandas(place, schema), "index-placed")
@@ -89,7 +102,8 @@ def build_index(nodes: DataFrame, path: str) -> Index:
 
 
 class _Bands:
-    """All bands' summaries, as arrays."""
+    """All bands' summaries, as arrays, and the packs they are asked for in: bands in order, up to
+    BLOCK_ROWS rows together; a larger band's parts are packs of their own."""
 
     def __init__(self, bands: pd.DataFrame):
         bands = bands.sort_values(["cell", "band"])
@@ -97,48 +111,131 @@ class _Bands:
         first = np.unique(self.cell, return_index=True)[1]
         self.centres = vectors.matrix(bands["centre"].iloc[first])
         self.at = np.searchsorted(self.cell[first], self.cell)
-
-    def lower(self, x: np.ndarray) -> np.ndarray:
-        """At least so far are the nodes of each band, less some rounding."""
-        d = _distances(x, self.centres)[:, self.at]
-        return np.maximum(0, np.maximum(d - self.high, self.low - d) - 1e-6 * (1 + d))
+        self.pack, self.packs, held = np.zeros(len(bands), np.int64), 0, 0
+        for i, (rows, parts) in enumerate(zip(self.rows.tolist(), self.parts.tolist(), strict=True)):
+            if parts > 1 or not held or held + rows > vectors.BLOCK_ROWS:
+                self.pack[i], held = self.packs, 0 if parts > 1 else rows
+                self.packs += parts
+            else:
+                self.pack[i], held = self.packs - 1, held + rows
+
+    def lower(self, x: np.ndarray, some: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """At least so far are the nodes of each band (of some), less some rounding."""
+        centres, at = np.unique(self.at[some], return_inverse=True)
+        d = _distances(x, self.centres[centres])[:, at]
+        return np.maximum(0, np.maximum(d - self.high[some], self.low[some] - d) - 1e-6 * (1 + d))
 
     def first(self, lower: np.ndarray) -> np.ndarray:
-        """The nearest bands up to FIRST_ROWS nodes."""
+        """How far the nearest bands up to FIRST_ROWS nodes are."""
         order = np.argsort(lower, axis=1, kind="stable")
         before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
-        out = np.zeros(lower.shape, bool)
-        np.put_along_axis(out, order, before < FIRST_ROWS, 1)
-        return out
+        last = np.maximum((before < FIRST_ROWS).sum(1) - 1, 0)
+        return np.take_along_axis(lower, order, 1)[np.arange(len(lower)), last] if lower.size else np.zeros(len(lower))
+
+    def packs_of(self, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and pack of all packs that hold a needed band."""
+        asked = np.zeros((len(need), self.packs), bool)
+        packs, start = np.unique(self.pack, return_index=True)
+        asked[:, packs] = np.logical_or.reduceat(need, start, axis=1)
+        for i in np.flatnonzero(self.parts > 1):
+            asked[:, self.pack[i] : self.pack[i] + self.parts[i]] |= need[:, i : i + 1]
+        return np.nonzero(asked)
+
+    def table(self) -> pd.DataFrame:
+        return pd.DataFrame({"cell": self.cell, "band": self.band, "pack": self.pack, "at": np.arange(len(self.pack))})
+
+
+_BOUNDED = "query_id long, embedding array<double>, bound double"
 
 
-_ASKED = "query_id long, embedding array<double>, cell int, band int, parts int, rows long"
+def _slices(q: pd.DataFrame):
+    """The batch in slices of at most SLICE_ROWS queries, with their vectors."""
+    for lo in range(0, len(q), vectors.SLICE_ROWS):
+        part = q.iloc[lo : lo + vectors.SLICE_ROWS]
+        yield part, vectors.matrix(part["embedding"])
 
 
-def _ask(bands: _Bands, again: bool):
-    """The bands each query needs: the first ones, or again those within its bound but the first."""
+def _first_bounds(bands: _Bands):
+    """The bound within which a query's first bands lie, less some rounding."""
 
     def run(batches):
         for q in batches:
-            x = vectors.matrix(q["embedding"]) if len(q) else np.zeros((0, bands.centres.shape[1]))
-            lower = bands.lower(x)
-            need = bands.first(lower)
-            if again:
-                need = (lower <= q["bound"].to_numpy()[:, None]) & ~need
-            i, j = np.nonzero(need)
-            yield pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "embedding": q["embedding"].to_numpy()[i], "cell": bands.cell[j], "band": bands.band[j], "parts": bands.parts[j], "rows": bands.rows[j]})
+            for part, x in _slices(q):
+                yield part.assign(bound=bands.first(bands.lower(x)) * (1 + 1e-9) + 1e-9)
+
+    return run
+
+
+def _ask(bands: _Bands):
+    """The packs that hold bands within a query's bound."""
+
+    def run(batches):
+        for q in batches:
+            for part, x in _slices(q):
+                i, pack = bands.packs_of(bands.lower(x) <= part["bound"].to_numpy()[:, None])
+                for lo in range(0, len(i), ASKED_ROWS):
+                    some = part.iloc[i[lo : lo + ASKED_ROWS]]
+                    yield some.assign(pack=pack[lo : lo + ASKED_ROWS])
+
+    return run
+
+
+def _rows_within(bands: _Bands):
+    """How many rows the bands within a query's bound hold."""
+
+    def run(batches):
+        for q in batches:
+            for part, x in _slices(q):
+                need = bands.lower(x) <= part["bound"].to_numpy()[:, None]
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy(), "rows": need @ bands.rows.astype(np.int64)})
+
+    return run
+
+
+def _top(row: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, d, row))
+    row, ids, d = row[order], ids[order], d[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], ids[keep], d[keep]
+
+
+def _meet(bands: _Bands, top_k: int):
+    """The top_k nodes of one block of a pack for each of a block of queries, as a cogrouped
+    function. Bands beyond a query's bound are left out, unless most are needed anyway."""
+
+    def run(q: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(q) and len(nodes):
+            nodes = nodes.sort_values("at", kind="stable")
+            t, ids = vectors.matrix(nodes["embedding"]), nodes["node_id"].to_numpy()
+            some, start = np.unique(nodes["at"].to_numpy(), return_index=True)
+            end = np.append(start[1:], len(t))
+            for part, x in _slices(q):
+                need = bands.lower(x, some) <= part["bound"].to_numpy()[:, None]
+                if need.mean() > 0.5:
+                    got = vectors.nearest_rows(x, t, ids, top_k)
+                else:
+                    got = [(np.zeros(0, np.int64), ids[:0], np.zeros(0))]
+                    for j in np.flatnonzero(need.any(0)):
+                        who = np.flatnonzero(need[:, j])
+                        row, i, d = vectors.nearest_rows(x[who], t[start[j] : end[j]], ids[start[j] : end[j]], top_k)
+                        got.append((who[row], i, d))
+                    got = _top(*(np.concatenate(c) for c in zip(*got, strict=True)), top_k)
+                found.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[got[0]], "node_id": got[1], "distance": got[2]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": np.zeros(0, np.int64), "node_id": np.zeros(0, np.int64), "distance": np.zeros(0)})
 
     return run
 
 
-def _compare(asked: DataFrame, rows: DataFrame, top_k: int, blocks: int) -> DataFrame:
-    """The top_k rows of every asked band for its queries: bands meet their queries part by
-    part, many queries in blocks."""
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    a = asked.withColumn("part", every(F.col("parts"))).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    b = rows.select("cell", "band", "part", "node_id", "embedding").withColumn("qb", every(F.lit(blocks)))
-    keys = ["cell", "band", "part", "qb"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(vectors.nearest_of(top_k), "query_id long, node_id long, distance double")
+def _compare(bounded: DataFrame, rows: DataFrame, bands: _Bands, top_k: int, blocks: int) -> DataFrame:
+    """The top_k rows of every pack for the queries whose bound reaches into it: packs meet the
+    queries in blocks of both."""
+    asked = bounded.mapInPandas(_ask(bands), f"{_BOUNDED}, pack long")
+    a = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    packs = rows.sparkSession.createDataFrame(bands.table(), "cell int, band int, pack long, at long")
+    b = rows.join(F.broadcast(packs), ["cell", "band"]).select((F.col("pack") + F.col("part")).alias("pack"), "at", "node_id", "embedding")
+    b = b.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return a.groupBy("pack", "qb").cogroup(b.groupBy("pack", "qb")).applyInPandas(_meet(bands, top_k), "query_id long, node_id long, distance double")
 
 
 def _best(found: DataFrame, top_k: int) -> DataFrame:
@@ -147,21 +244,21 @@ def _best(found: DataFrame, top_k: int) -> DataFrame:
 
 
 def _search(queries: DataFrame, index: Index, top_k: int, where: Column | None) -> tuple[DataFrame, DataFrame]:
-    """The nearest rows, and all asked bands with their numbers of rows."""
+    """The nearest rows, and for every query how many rows it is compared with."""
     queries = written(queries.filter("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding")), "index-queries")
     summary = index.bands.toPandas()
-    none = queries.sparkSession.createDataFrame([], _ASKED)
     if summary.empty:
+        none = queries.select("query_id", F.lit(0).cast("long").alias("rows")).limit(0)
         return queries.select("query_id", F.lit(0).cast("long").alias("node_id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0), none
     bands, blocks = _Bands(summary), vectors.blocks_of(queries.count())
     rows = index.rows if where is None else index.rows.filter(where)
-    near = queries.mapInPandas(_ask(bands, False), _ASKED)
-    found = written(_compare(near, rows, top_k, blocks), "index-near")
-    kth = _best(found, top_k).filter(F.col("rank") == top_k).select("query_id", F.sqrt("distance").alias("bound"))
+    near = written(queries.mapInPandas(_first_bounds(bands), _BOUNDED), "index-near")
+    found = _best(_compare(near, rows, bands, top_k, blocks), top_k)
+    kth = found.filter(F.col("rank") == top_k).select("query_id", F.sqrt("distance").alias("bound"))
     bounded = queries.join(kth, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    far = written(bounded.mapInPandas(_ask(bands, True), _ASKED), "index-far")
-    best = _best(found.unionByName(_compare(far, rows, top_k, blocks)), top_k)
-    return best, near.unionByName(far)
+    # what is within the bound holds the first bands' nodes too, as far as they are near enough
+    bounded = written(bounded.select("query_id", "embedding", "bound"), "index-far")
+    return _best(_compare(bounded, rows, bands, top_k, blocks), top_k), bounded.mapInPandas(_rows_within(bands), "query_id long, rows long")
 
 
 def nearest_in_index(queries: DataFrame, index: Index, top_k: int = 1, where: Column | None = None, metric: str = "squared") -> DataFrame:
@@ -174,7 +271,7 @@ def nearest_in_index(queries: DataFrame, index: Index, top_k: int = 1, where: Co
 
 
 def pairs_compared(queries: DataFrame, index: Index, top_k: int = 1) -> float:
-    """The fraction of all pairs of queries and nodes that a search compares."""
+    """The fraction of all pairs of queries and nodes that lie within the queries' bounds."""
     asked = _search(queries, index, top_k, None)[1].agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     nodes = index.bands.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     return asked / max(1, nodes * queries.filter("embedding is not null").count())

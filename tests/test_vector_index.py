@@ -52,3 +52,26 @@ def test_more_rows_than_nodes_and_no_nodes(spark, tmp_path):
     empty = vector_index.build_index(n.limit(0), str(tmp_path / "b"))
     assert vector_index.nearest_in_index(q, empty, 5).count() == 0
     assert vector_index.nearest_in_index(q.limit(0), index, 5).count() == 0
+
+
+def test_queries_are_not_repeated_for_every_band(spark, monkeypatch, tmp_path):
+    """Of vectors spread evenly no band is excluded; what a search writes and sends stays a row a
+    query and block."""
+    x = np.random.default_rng(5).normal(size=(2000, 32)).round(3)
+    nodes = [(i, v, 0) for i, v in enumerate(x.tolist())]
+    n = spark.createDataFrame(nodes, NODE)
+    q = n.filter("node_id % 40 = 0").withColumnRenamed("node_id", "query_id")
+    sizes, write = {}, vector_index.written
+
+    def spy(df, tag):
+        out = write(df, tag)
+        sizes[tag] = out.count()
+        return out
+
+    index = vector_index.build_index(n, str(tmp_path / "index"))
+    monkeypatch.setattr(vector_index, "written", spy)
+    got = vector_index.nearest_in_index(q, index, 3).collect()
+    assert len(got) == 150 and sizes["index-far"] <= 50
+    assert vector_index.pairs_compared(q, index, 3) > 0.9
+    want = nearest([(i, v, 0) for i, v, _ in nodes[::40]], nodes, 3)
+    assert {(r["query_id"], r["rank"]): r["node_id"] for r in got} == {(k, i + 1): v for k, ids in want.items() for i, v in enumerate(ids)}
